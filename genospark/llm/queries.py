@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language_id, quality_rules, quality_trees
 from .common import bound_batches, documents
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -62,6 +63,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "source", "copies")
 
 
+def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_trees.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules.judge(documents(spark, sf_dir).select("doc_id", "text"), labels)
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     blocks = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -70,10 +86,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_quality_trees": op3_quality_trees,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
     "op8_token_files": op8_token_files,
+    "op9_quality_rules": op9_quality_rules,
 }
 ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
 
