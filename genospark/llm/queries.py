@@ -13,6 +13,7 @@ from .common import bound_batches, documents
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .mixing import mix
+from .ngram_join import ngram_join
 from .packing import pack
 from .token_files import read_token_files, write_token_files
 
@@ -63,6 +64,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "source", "copies")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(documents(spark, sf_dir).select("doc_id", "text"), k=3, percent=90)
+
+
 def op3_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality_trees.classify(documents(spark, sf_dir).select("doc_id", "text"), labels)
@@ -90,6 +95,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_ngram_join": op2_ngram_join,
     "op3_quality_trees": op3_quality_trees,
     "op4_line_dedup": op4_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
