@@ -38,17 +38,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest id: 5 words, similarity 0.8."""
-    groups = ngram_join(docs, k=5, percent=80).where("doc_id = component_id").select("doc_id").distinct()
-    # Rows that repeat an id belong to one document here: one of them stays.
-    return docs.select(COLUMNS).join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each group of near duplicates stays, that with the smallest id: 5 words, similarity 0.8.
+
+    Rows without an id are told apart by their texts and come after all others.  Rows that share an id stay or go
+    together, but of rows that also share the text one stays.
+    """
+    stand_in = F.shiftright(F.xxhash64("text"), 2).bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 61)
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("_key"))
+    found = ngram_join(keyed, k=5, percent=80, id_col="_key")
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: 150% of all words, at most two epochs of a source."""
-    mixed = mix(docs.select(COLUMNS), budget_share=1.5, max_epochs=2.0).where("copies > 0").select("doc_id", "copies")
-    taken = docs.select(COLUMNS).join(mixed, "doc_id")
-    return taken.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(COLUMNS)
+    mixed = mix(docs.select(COLUMNS), budget_share=1.5, max_epochs=2.0, keep=("text", "lang", "n_chars"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")
+    return mixed.select(*COLUMNS, copies).select(COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
