@@ -178,7 +178,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
             slots, values = [], []
             for text in texts_of(batch):
                 raw = text.encode("utf-8", "replace")
-                blocks = [b for b in features(raw, words.hashes[words.ids(raw.split())]) if len(b)]
+                ids = words.ids(raw.split())  # before the hashes are read: new words may move them
+                blocks = [b for b in features(raw, words.hashes[ids]) if len(b)]
                 found = [np.unique(b, return_counts=True) for b in blocks]
                 slots.append(np.concatenate([s for s, _ in found]).astype(np.int32) if found else np.zeros(0, np.int32))
                 values.append(np.concatenate([n * _FEATURE_SCALE / n.sum() for _, n in found]).astype(np.float32) if found else np.zeros(0, np.float32))
