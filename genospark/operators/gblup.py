@@ -24,7 +24,7 @@ class RidgeModel:
 
 def _aligned(calls: DataFrame, pheno: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls of phenotyped individuals, and (individual, row_idx, y)."""
-    known = pheno.where("value is not null")
+    known = pheno.where("value is not null").select("individual", "value")
     own = calls.join(known.select("individual"), "individual", "left_semi")
     samples = individual_index(own).join(known, "individual").select("individual", "row_idx", F.col("value").alias("y"))
     return own, stored(samples, "gblup-samples")
