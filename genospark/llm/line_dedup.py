@@ -93,7 +93,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``: the lines that stay, joined by newlines.
 
     Null and empty texts have one empty line, which stays.  Repeated rows get the same bitmap.  The id may be null.
+    Columns that are called as the new ones are replaced.
     """
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "drop_bits", "_id", "_hash", "_text_hash", "_lines", "_kept")
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop_bits")
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.withColumn("_text_hash", text_hash).join(

@@ -64,6 +64,14 @@ def shingles(words: list[bytes], hashes: dict, k: int = SHINGLE) -> np.ndarray:
     return np.unique(out)
 
 
+def _set_hash(tokens: np.ndarray) -> int:
+    """A hash of the whole set; 0 for the empty one."""
+    if not len(tokens):
+        return 0
+    total = _mixed(tokens).sum(keepdims=True) + np.uint64(len(tokens))
+    return int(_mixed(total)[0].view(np.int64))
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -75,27 +83,26 @@ def _sets(batch: pa.RecordBatch, hashes: _WordHashes, k: int) -> list[np.ndarray
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """A narrow row per document: set size, signature, the low hashes (or the prefix, if longer) and order 2's prefix."""
+    """A narrow row per document: set size, the set's hash, the low hashes (or the prefix, if longer) and order 2's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
         for batch in slices(batches):
-            n, s1, s2, n_low, low, high = [], [], [], [], [], []
+            n, node, n_low, low, high = [], [], [], [], []
             for tokens in _sets(batch, hashes, k):
                 size = len(tokens)
                 p = prefix_length(size, percent) if size else 0
                 a = int(np.searchsorted(tokens, _LOW))
                 n.append(size)
-                s1.append(int(_mixed(tokens.sum(keepdims=True) + np.uint64(size))[0].view(np.int64)) if size else 0)
-                s2.append(int(_mixed(tokens).sum().view(np.int64)) if size else 0)
+                node.append(_set_hash(tokens))
                 n_low.append(a)
                 low.append(tokens[: max(a, p)].view(np.int64))
                 high.append(tokens[size - p :].astype(np.uint32).view(np.int32))
-            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, s1, s2)], pa.array(n_low, pa.int32())]
+            columns = [batch.column("doc_id"), *[pa.array(x, pa.int64()) for x in (n, node)], pa.array(n_low, pa.int32())]
             columns += [pa.array(low, pa.list_(pa.int64())), pa.array(high, pa.list_(pa.int32()))]
-            yield pa.record_batch(columns, names=["doc_id", "n", "node", "check", "n_low", "low", "high"])
+            yield pa.record_batch(columns, names=["doc_id", "n", "node", "n_low", "low", "high"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, check long, n_low int, low array<long>, high array<int>")
+    return docs.mapInArrow(run, "doc_id long, n long, node long, n_low int, low array<long>, high array<int>")
 
 
 def _postings(reps: DataFrame, percent: int) -> DataFrame:
@@ -221,7 +228,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
         hashes = _WordHashes()
         for batch in slices(batches):
             found = [t for t in _sets(batch, hashes, k) if len(t)]
-            node = [int(_mixed(t.sum(keepdims=True) + np.uint64(len(t)))[0].view(np.int64)) for t in found]
+            node = [_set_hash(t) for t in found]
             tokens = pa.array([t.view(np.int64) for t in found], pa.list_(pa.int64()))
             yield pa.record_batch([pa.array(node, pa.int64()), tokens], names=["node", "tokens"])
 
@@ -258,17 +265,17 @@ def ngram_join(
 
     Words are runs of anything but ASCII white space, lower-cased in A-Z.  Two documents link when 100 times the
     common shingles is at least ``percent`` times all shingles.  Null and empty texts and texts without words have no
-    shingles and link with nothing.  Repeated rows are equal sets.  Rows that share only the id count apart.  Sets
-    are told apart by 64-bit hashes of shingles and 128-bit signatures.
+    shingles and link with nothing.  Repeated rows are equal sets.  Rows that share only the id count apart.  Null ids
+    link as others do but never name a component: one of null ids alone has a null id.  Shingles and sets are told
+    apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.coalesce(text_col, F.lit(""))).cast("binary").alias("low"))
     profiles = stored(_profiles(narrow, k, percent), "join-profiles")
     whole = profiles.where("n > 0")
-    classes = stored(whole.groupBy("node", "check").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")), "join-classes")
-    reps = whole.join(classes.select("node", "check", "doc_id"), ["node", "check", "doc_id"], "left_semi").dropDuplicates(["node"])
-    reps = stored(reps, "join-reps")
+    classes = stored(whole.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")), "join-classes")
+    reps = stored(whole.dropDuplicates(["node"]), "join-reps")  # any document of a class has its set
     links = _links(narrow, reps, k, percent)
     labels = components(links, classes.select("node", F.col("doc_id").alias("id")))
     # Classes of many copies are few; their documents meet the label by broadcast, so no key of the join is hot.
