@@ -46,39 +46,43 @@ class Mixer:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.counts = np.ones(vocabulary, np.int64)
-        self.guess1 = np.full(vocabulary + 1, -1, np.int32)
-        self.trust1 = np.zeros(vocabulary + 1, np.int8)
-        self.guess2 = np.full(1 << PAIR_BITS, -1, np.int32)
-        self.trust2 = np.zeros(1 << PAIR_BITS, np.int8)
-        # How often guesses of each trust were tried and came true, for order 1 and 2.
-        self.tried, self.true = np.full((2, CONFIDENCE), 2.0), np.full((2, CONFIDENCE), 0.5)
+        self.guess1 = np.full(vocabulary + 1, -1, np.int64)
+        self.trust1 = np.zeros(vocabulary + 1, np.int64)
+        self.guess2 = np.full(1 << PAIR_BITS, -1, np.int64)
+        self.trust2 = np.zeros(1 << PAIR_BITS, np.int64)
+        # How often guesses of each trust were tried and came true, for order 1 and 2.  The level after the last is
+        # that of no guess.
+        self.tried, self.true = np.full((2, CONFIDENCE + 1), 2.0), np.full((2, CONFIDENCE + 1), 0.5)
         self.last = np.full(lanes, vocabulary, np.int64)
         self.before = np.full(lanes, vocabulary, np.int64)
-        self.ends = np.empty(vocabulary + 1, np.int64)
-        self.ends[0] = 0
+        self.ends = np.zeros(vocabulary + 1, np.int64)
 
     def look(self) -> tuple[np.ndarray, ...]:
         """Guesses of order 2 and 1, and the slots [0, w2), [w2, w2 + w1) and the rest that they and order 0 get."""
         np.cumsum(self.counts, out=self.ends[1:])
         self.pair = ((self.before * 49_999 + self.last) * 0x9E3779B1 >> 7) & ((1 << PAIR_BITS) - 1)
         self.g2, self.g1 = self.guess2[self.pair], self.guess1[self.last]
-        self.t2, self.t1 = self.trust2[self.pair], self.trust1[self.last]
+        self.t2 = np.where(self.g2 < 0, CONFIDENCE, self.trust2[self.pair])
+        self.t1 = np.where((self.g1 < 0) | (self.g1 == self.g2), CONFIDENCE, self.trust1[self.last])
         # Order 0 keeps at least its counts' sum, so that each id has a slot of its own.
         scale = float((1 << TOTAL_BITS) - self.ends[-1] - 2)
         rate = self.true / self.tried
-        w2 = np.where(self.g2 >= 0, (rate[1] * scale).astype(np.int64)[self.t2], 0)
+        rate[:, CONFIDENCE] = 0
+        w2 = (rate[1] * scale).astype(np.int64)[self.t2]
         w1 = ((scale - w2) * rate[0][self.t1]).astype(np.int64)
-        w1[(self.g1 < 0) | (self.g1 == self.g2)] = 0
         return self.g2, self.g1, w2, w1
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1, open1 = ids == self.g2, ids == self.g1, (self.g1 >= 0) & (self.g1 != self.g2) & (ids != self.g2)
-        for order, there, hit, trust in ((1, self.g2 >= 0, hit2, self.t2), (0, open1, hit1, self.t1)):
-            self.tried[order] += np.bincount(trust[there], minlength=CONFIDENCE)
-            self.true[order] += np.bincount(trust[there & hit], minlength=CONFIDENCE)
+        hit2, hit1 = ids == self.g2, ids == self.g1
+        width = CONFIDENCE + 1
+        two = np.bincount(self.t2 + width * hit2, minlength=2 * width).reshape(2, width)
+        one = np.bincount(np.where(hit2, CONFIDENCE, self.t1) + width * hit1, minlength=2 * width).reshape(2, width)
+        self.tried += (one.sum(0), two.sum(0))
+        self.true += (one[1], two[1])
+        trust2, trust1 = self.trust2[self.pair], self.trust1[self.last]
         self.guess2[self.pair], self.guess1[self.last] = ids, ids
-        self.trust2[self.pair] = np.where(hit2, np.minimum(self.t2 + 1, CONFIDENCE - 1), 0)
-        self.trust1[self.last] = np.where(hit1, np.minimum(self.t1 + 1, CONFIDENCE - 1), 0)
+        self.trust2[self.pair] = np.minimum(trust2 + 1, CONFIDENCE - 1) * hit2
+        self.trust1[self.last] = np.minimum(trust1 + 1, CONFIDENCE - 1) * hit1
         np.add.at(self.counts, ids, COUNT_STEP)
         self.before, self.last = self.last, ids
 
@@ -88,6 +92,15 @@ def _lanes_of(n: int, longest: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _shift(low: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which lanes give or take a word now, and all intervals after it; one that straddles two words is cut short."""
+    due = wide < _TOP
+    inside = low & _LOW40
+    wide = np.where(due & (inside + wide > _TOP), _TOP - inside, wide)
+    by = due.astype(_U) << _U(4)  # 16 or 0
+    return due, np.where(due, inside, low) << by, wide << by
+
+
 def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> bytes:
     """Lane lengths and 16-bit words of all lanes; ids must be below ``vocabulary``."""
     n = len(ids)
@@ -99,34 +112,32 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     model = Mixer(vocabulary, lanes)
     low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
-    out, used, row = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64), np.arange(lanes)
+    room = 4 * steps + 8
+    out, first = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
+    at = first.copy()
     for now in grid:
         g2, g1, w2, w1 = model.look()
-        all0 = model.ends[-1]
-        w0 = (1 << TOTAL_BITS) - w2 - w1
-        start = w2 + w1 + model.ends[now] * w0 // all0
-        size = w2 + w1 + model.ends[now + 1] * w0 // all0 - start
-        by1 = (now == g1) & (w1 > 0)
-        start[by1], size[by1] = w2[by1], w1[by1]
-        by2 = (now == g2) & (w2 > 0)
-        start[by2], size[by2] = 0, w2[by2]
+        all0, guessed = model.ends[-1], w2 + w1
+        w0 = (1 << TOTAL_BITS) - guessed
+        below = model.ends[now] * w0 // all0
+        size = model.ends[now + 1] * w0 // all0 - below
+        by2, by1 = (now == g2) & (w2 > 0), (now == g1) & (w1 > 0)
+        start = np.where(by2, 0, np.where(by1, w2, guessed + below))
+        size = np.where(by2, w2, np.where(by1, w1, size))
         part = wide >> _U(TOTAL_BITS)
-        low = low + part * start.astype(_U)
-        wide = part * size.astype(_U)
-        while (at := np.flatnonzero(wide < _TOP)).size:
-            lo, wi = low[at], wide[at]
-            split = ((lo ^ (lo + wi - _U(1))) >> _U(40)) != 0
-            wi = np.where(split, _TOP - (lo & _LOW40), wi)
-            out[at, used[at]] = lo >> _U(40)
-            used[at] += 1
-            low[at], wide[at] = (lo & _LOW40) << _16, wi << _16
+        low += part * start.view(_U)
+        wide = part * size.view(_U)
+        while (wide < _TOP).any():
+            out[at] = low >> _U(40)  # a lane that is not due writes over this place later
+            due, low, wide = _shift(low, wide)
+            at += due
         model.learn(now)
     for shift in (40, 24, 8):
-        out[row, used] = (low >> _U(shift)) & _U(0xFFFF)
-        used += 1
-    out[row, used] = (low & _U(0xFF)) << _U(8)
-    used += 1
-    return used.astype("<u4").tobytes() + out[np.arange(out.shape[1]) < used[:, None]].astype("<u2").tobytes()
+        out[at] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
+        at += 1
+    out[at] = ((low & _U(0xFF)) << _U(8)).astype(np.uint16)
+    used = at + 1 - first
+    return used.astype("<u4").tobytes() + out.reshape(lanes, room)[np.arange(room) < used[:, None]].astype("<u2").tobytes()
 
 
 def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) -> np.ndarray:
@@ -137,6 +148,8 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
     length = np.frombuffer(data, "<u4", lanes).astype(np.int64)
     words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, "<u2")]).astype(_U)
     at = np.cumsum(length) - length
+    if at[-1] + 4 > len(words):
+        raise ValueError("a block is cut short")
     model = Mixer(vocabulary, lanes)
     low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
     code = (words[at] << _U(40)) | (words[at + 1] << _U(24)) | (words[at + 2] << _U(8)) | (words[at + 3] >> _U(8))
@@ -145,30 +158,28 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
     grid = np.empty((steps, lanes), np.int64)
     for step in range(steps):
         g2, g1, w2, w1 = model.look()
-        all0 = model.ends[-1]
-        w0 = (1 << TOTAL_BITS) - w2 - w1
+        all0, guessed = model.ends[-1], w2 + w1
+        w0 = (1 << TOTAL_BITS) - guessed
         part = wide >> _U(TOTAL_BITS)
-        slot = np.minimum((code - low) // part, _TOTAL - _U(1)).astype(np.int64)
-        rest = slot - w2 - w1
-        # The largest id whose first slot is not above: the first id whose end * w0 // all0 exceeds the slot.
-        now = np.searchsorted(model.ends, ((np.maximum(rest, 0) + 1) * all0 + w0 - 1) // w0, "left") - 1
-        start = w2 + w1 + model.ends[now] * w0 // all0
-        size = w2 + w1 + model.ends[now + 1] * w0 // all0 - start
-        by1 = (rest < 0) & (slot >= w2)
-        now[by1], start[by1], size[by1] = g1[by1], w2[by1], w1[by1]
-        by2 = slot < w2
-        now[by2], start[by2], size[by2] = g2[by2], 0, w2[by2]
-        low = low + part * start.astype(_U)
-        wide = part * size.astype(_U)
-        while (i := np.flatnonzero(wide < _TOP)).size:
-            lo, wi = low[i], wide[i]
-            split = ((lo ^ (lo + wi - _U(1))) >> _U(40)) != 0
-            wi = np.where(split, _TOP - (lo & _LOW40), wi)
-            word = words[np.minimum(at[i], len(words) - 1)]
-            code[i] = ((code[i] & _LOW40) << _16) | (half[i] << _U(8)) | (word >> _U(8))
-            half[i] = word & _U(0xFF)
-            at[i] += 1
-            low[i], wide[i] = (lo & _LOW40) << _16, wi << _16
+        slot = np.minimum((code - low) // part, _TOTAL - _U(1)).view(np.int64)
+        rest = np.maximum(slot - guessed, 0)
+        # The id whose slot holds the rest: the last whose first slot is not above it.  The quotient is below 2^24 and
+        # its denominator too, so a double's floor is exact.
+        now = np.searchsorted(model.ends, (((rest + 1) * all0 - 1) / w0).astype(np.int64), "right") - 1
+        below = model.ends[now] * w0 // all0
+        size = model.ends[now + 1] * w0 // all0 - below
+        by2, by01 = slot < w2, slot < guessed
+        start = np.where(by2, 0, np.where(by01, w2, guessed + below))
+        size = np.where(by2, w2, np.where(by01, w1, size))
+        now = np.where(by2, g2, np.where(by01, g1, now))
+        low += part * start.view(_U)
+        wide = part * size.view(_U)
+        while (wide < _TOP).any():
+            due, low, wide = _shift(low, wide)
+            word = words[np.minimum(at, len(words) - 1)]
+            code = np.where(due, ((code & _LOW40) << _16) | (half << _U(8)) | (word >> _U(8)), code)
+            half = np.where(due, word & _U(0xFF), half)
+            at += due
         model.learn(now)
         grid[step] = now
     return grid.T.reshape(-1)[:n]
