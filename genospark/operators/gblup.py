@@ -72,7 +72,8 @@ def fit_gblup(calls: DataFrame, pheno: DataFrame, alpha: float = 1e-3, scale: bo
     joined = own.where("dosage is not null").join(markers, "marker").join(samples, "individual")
     entries = joined.select("row_idx", "marker_idx", "y", ((F.col("dosage") - shift) / F.col("scale")).alias("z"), *([] if scale else ["mean"]))
     if not scale:  # missing calls are means, which are not 0 here: the grid is written out
-        grid = samples.crossJoin(F.broadcast(markers)).select("row_idx", "marker_idx", "y", "mean")
+        every = markers.agg(F.collect_list(F.struct("marker_idx", "mean")).alias("m")).scalar()
+        grid = samples.select("row_idx", "y", F.explode(every).alias("m")).select("row_idx", "y", "m.marker_idx", "m.mean")
         entries = grid.join(entries.select("row_idx", "marker_idx", "z"), ["row_idx", "marker_idx"], "left").withColumn("z", F.coalesce("z", "mean"))
     if m <= n:
         xtx = collect_gram(gram(sparse_rows(entries, "row_idx", "marker_idx", "z"), m), m).get(0, np.zeros((m, m)))

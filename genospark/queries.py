@@ -148,8 +148,8 @@ def _repeated_pheno(s: SparkSession, d: str) -> DataFrame:
 
 _REP = "rep as (select 'C' || o_custkey individual, cast(o_totalprice as double) as value, o_orderkey row_idx from orders), lastv as (select individual, arg_max(value, row_idx) as value from rep group by 1)"
 register("pheno_last_wins", f"with {_REP} select individual, {_r('value')} as value from lastv")(lambda s, d: pheno.last_values(_repeated_pheno(s, d)))
-register("pheno_subset", f"with {_REP}, wanted as (select 'C' || c_custkey individual from customer where c_custkey % 3 = 0) select w.individual, {_r('value')} as value from wanted w join lastv using (individual)")(
-    lambda s, d: pheno.subset(_repeated_pheno(s, d), s.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("individual")))
+register("pheno_subset", f"with {_REP}, wanted as (select 'C' || c_custkey individual from customer where c_acctbal > 0) select w.individual, {_r('value')} as value from wanted w join lastv using (individual)")(
+    lambda s, d: pheno.subset(_repeated_pheno(s, d), s.read.parquet(f"{d}/customer.parquet").where("c_acctbal > 0").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("individual")))
 )
 
 # Phenotypes ----------------------------------------------------------------------------------------------------------
@@ -229,16 +229,19 @@ register("covariance", f"with {E}, {STATS}, {MIDX}, {_Z} select a.m mi, b.m mj,
 )
 
 
-def _coordinates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    c = calls_e(s, d).where("dosage is not null").select(F.substring("individual", 2, 9).cast("long").alias("i"), F.substring("marker", 2, 9).cast("long").alias("j"), F.col("dosage").alias("v"))
-    return c, c.where("i < 64").select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
+def _coordinates(s: SparkSession, d: str) -> DataFrame:
+    """All calls as a matrix (individual, marker, dosage)."""
+    c = calls_e(s, d).where("dosage is not null")
+    return c.select(F.substring("individual", 2, 9).cast("long").alias("i"), F.substring("marker", 2, 9).cast("long").alias("j"), F.col("dosage").alias("v"))
 
 
-_CO = f"with {E}, a as (select cast(substr(individual, 2) as bigint) i, cast(substr(marker, 2) as bigint) j, dosage v from calls where dosage is not null), b as (select j i, i j, v from a where i < 64)"
-register("matmul", f"{_CO} select a.i, b.j, {_r('sum(a.v * b.v)')} v from a join b on a.j = b.i where a.v != 0 and b.v != 0 group by 1, 2")(lambda s, d: linalg.matmul(*_coordinates(s, d)))
-register("transpose", f"{_CO} select j i, i j, v from a")(lambda s, d: linalg.transpose(_coordinates(s, d)[0]))
+_CO = f"with {E}, a as (select cast(substr(individual, 2) as bigint) i, cast(substr(marker, 2) as bigint) j, dosage v from calls where dosage is not null)"
+register("matmul", f"{_CO} select b.j i, a.j, {_r('sum(a.v * b.v)')} v from a join a b on a.i = b.i where a.v != 0 and b.v != 0 group by 1, 2")(
+    lambda s, d: linalg.matmul(linalg.transpose(_coordinates(s, d)), _coordinates(s, d))
+)
+register("transpose", f"{_CO} select j i, i j, v from a")(lambda s, d: linalg.transpose(_coordinates(s, d)))
 register("matvec", f"{_CO} select a.i, {_r('sum(a.v * (a.j + 1) / 7.0)')} v from a group by 1")(
-    lambda s, d: linalg.matvec(_coordinates(s, d)[0], s.range(64).select(F.col("id").alias("j"), ((F.col("id") + 1) / 7.0).alias("v")))
+    lambda s, d: linalg.matvec(_coordinates(s, d), s.range(64).select(F.col("id").alias("j"), ((F.col("id") + 1) / 7.0).alias("v")))
 )
 
 # Components, prediction ----------------------------------------------------------------------------------------------
@@ -356,15 +359,15 @@ def _given_p(s: SparkSession, d: str) -> DataFrame:
     return C.marker_index(calls_e(s, d)).select("marker", F.array((at % 7 + 1) / 8.0, (at % 5 + 1) / 4.0).alias("p"))
 
 
-register("admixture_transform", f"""with {E}, {STATS}, {MIDX}, p as (select marker, (idx % 7 + 1) / 8.0 a, (idx % 5 + 1) / 4.0 b from mi),
+_TRANSFORM = f"""with {E}, {STATS}, {MIDX}, p as (select marker, (idx % 7 + 1) / 8.0 a, (idx % 5 + 1) / 4.0 b from mi),
   g as (select sum(a * (a + b)) da, sum(b * (a + b)) db from p),
   t as (select individual, greatest(1e-9, sum(coalesce(dosage, mean) * a) / greatest(max(da), 1e-9)) qa, greatest(1e-9, sum(coalesce(dosage, mean) * b) / greatest(max(db), 1e-9)) qb
-    from grid join p using (marker), g group by 1)
-  select individual, {_r('qa / (qa + qb)')} q1, {_r('qb / (qa + qb)')} q2 from t""")(
+    from grid join p using (marker), g group by 1)"""
+register("admixture_transform", f"{_TRANSFORM} select individual, {_r('qa / (qa + qb)')} q1, {_r('qb / (qa + qb)')} q2 from t")(
     lambda s, d: admixture.transform(calls_e(s, d), _given_p(s, d), 2).select("individual", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"))
-)
-register("admixture_bars", f"""with {E}, {MIDX} select marker individual, 'Cluster ' || (k + 1) as cluster, {_r('case k when 0 then (idx % 7 + 1) / 8.0 else (idx % 5 + 1) / 4.0 end')} proportion
-  from mi, (select unnest(range(2)) k)""")(lambda s, d: plotdata.admixture_bars(_given_p(s, d).select(F.col("marker").alias("individual"), F.col("p").alias("q"))))
+)
+register("admixture_bars", f"""{_TRANSFORM} select individual, 'Cluster 1' as cluster, {_r('qa / (qa + qb)')} proportion from t
+  union all select individual, 'Cluster 2', {_r('qb / (qa + qb)')} from t""")(lambda s, d: plotdata.admixture_bars(admixture.transform(calls_e(s, d), _given_p(s, d), 2)))
 register("admixture_fit")(lambda s, d: plotdata.admixture_bars(admixture.fit_admixture(calls_e(s, d), 3, max_iter=10)[0]))
 
 
