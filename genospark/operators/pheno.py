@@ -56,8 +56,9 @@ def pearson(x: str, y: str):
     """Correlation of two columns as an aggregate; under two pairs or no variance is null."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    spread = (F.var_pop(a) > 0) & (F.var_pop(b) > 0) & (F.count(a) > 1)
-    return F.when(spread, F.corr(a, b))
+    # Not corr(), which divides by 0 where a column is constant.
+    spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.when((F.count(a) > 1) & (spread > 0), F.try_divide(F.covar_pop(a, b), spread))
 
 
 def rmse(true: str, predicted: str):

@@ -111,3 +111,10 @@ def test_folds_are_disjoint_and_even(spark):
     df = spark.createDataFrame([(f"I{i}",) for i in range(11)], "individual string")
     sizes = [r["count"] for r in pheno.assign_folds(df, 4, 1).groupBy("fold").count().orderBy("fold").collect()]
     assert sizes == [3, 3, 3, 2]
+
+
+def test_correlation_of_a_constant_is_null(spark):
+    rows = [("flat", 1.0, 2.0), ("flat", 1.0, 3.0), ("one", 1.0, 1.0), ("line", 1.0, 2.0), ("line", 2.0, 4.0), ("line", None, 9.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    found = table(df.groupBy("k").agg(pheno.pearson("x", "y").alias("r")), "k", "r")
+    assert found == {"flat": (None,), "one": (None,), "line": (pytest.approx(1.0),)}
