@@ -27,8 +27,8 @@ from .common import bound_batches, lower_ascii, slices, stored
 from .components import components
 from .exact_dedup import MAX_SLOTS
 
-SHINGLE = 3
-PERCENT = 90
+SHINGLE = 5
+PERCENT = 80
 #: Sets that a bucket may hold to give pairs; larger ones go by a leader.
 COLD = 12
 #: Tokens that a block of a large bucket holds at about most.
