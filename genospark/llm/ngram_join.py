@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, lower_ascii, slices, stored
+from .common import bound_batches, discard, lower_ascii, slices, stored
 from .components import components
 from .exact_dedup import MAX_SLOTS
 
@@ -255,7 +255,9 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     left = loaded.where("not linked").withColumn("i", block("left_blocks")).withColumn("j", every("blocks")).withColumn("side", F.lit(0))
     all_ = loaded.withColumn("j", block("blocks")).withColumn("i", every("left_blocks")).withColumn("side", F.lit(1))
     block_links = left.select(columns).unionByName(all_.select(columns)).groupBy("leader", "i", "j").applyInArrow(_block_links(percent), "x long, y long")
-    return stored(cold_links.union(star_links).union(block_links).distinct(), "join-links")
+    links = stored(cold_links.union(star_links).union(block_links).distinct(), "join-links")
+    discard(postings, placed, clusters, star_pairs, cold_pairs, taking, sets, members)
+    return links
 
 
 def ngram_join(
@@ -273,18 +275,19 @@ def ngram_join(
     bound_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.coalesce(text_col, F.lit(""))).cast("binary").alias("low"))
     profiles = stored(_profiles(narrow, k, percent), "join-profiles")
+    rows = stored(profiles.select("doc_id", "n", "node"), "join-rows")
     whole = profiles.where("n > 0")
-    classes = stored(whole.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")), "join-classes")
+    classes = stored(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times")), "join-classes")
     reps = stored(whole.dropDuplicates(["node"]), "join-reps")  # any document of a class has its set
+    discard(profiles)  # the rows go on without their tokens
     links = _links(narrow, reps, k, percent)
     labels = components(links, classes.select("node", F.col("doc_id").alias("id")))
     # Classes of many copies are few; their documents meet the label by broadcast, so no key of the join is hot.
-    total = profiles.count()
+    total = rows.count()
     hot_from = max(1000, total // 1000)
     of_class = classes.join(labels, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"), "times")
     of_class = stored(of_class, "join-labels")
     hot = F.broadcast(of_class.where(F.col("times") >= hot_from).drop("times"))
-    rows = profiles.select("doc_id", "n", "node")
     tagged = rows.where("n > 0").join(hot.withColumn("hot", F.lit(True)), "node", "left")
     of_hot = tagged.where("hot").select("doc_id", "n", "component_id")
     of_rest = tagged.where("hot is null").select("doc_id", "n", "node").join(of_class.where(F.col("times") < hot_from), "node").select("doc_id", "n", "component_id")
