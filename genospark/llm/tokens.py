@@ -23,7 +23,7 @@ _PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 _ODD_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Pieces that a worker remembers.
-CACHE = 1_500_000
+CACHE = 600_000
 
 _loaded: dict[int, PieceTokenizer] = {}
 
