@@ -27,7 +27,7 @@ from .common import bound_batches, shuffle_width, slices, stored, texts_of
 from .tokens import PieceTokenizer
 
 MAGIC = b"TIDB"
-VERSION = 1
+VERSION = 2  # 1 never halved its counts
 LANES = 4096
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 19
@@ -36,6 +36,8 @@ LEAST_RUN = 64
 TOTAL_BITS = 24  # the coder's frequencies add up to 2^24
 PAIR_BITS = 18  # slots of the order-2 table
 COUNT_STEP = 8  # what an occurrence adds to an id's count
+#: Counts are halved when their sum passes this, so that a block of any length leaves room for all slots.
+MOST_COUNTS = 1 << 23
 CONFIDENCE = 16  # levels of trust of a guess
 _U = np.uint64
 _TOTAL, _LOW40, _TOP, _16 = _U(1 << TOTAL_BITS), _U((1 << 40) - 1), _U(1 << 40), _U(16)
@@ -46,6 +48,7 @@ class Mixer:
 
     def __init__(self, vocabulary: int, lanes: int):
         self.counts = np.ones(vocabulary, np.int64)
+        self.sum = vocabulary
         self.guess1 = np.full(vocabulary + 1, -1, np.int64)
         self.trust1 = np.zeros(vocabulary + 1, np.int64)
         self.guess2 = np.full(1 << PAIR_BITS, -1, np.int64)
@@ -84,6 +87,10 @@ class Mixer:
         self.trust2[self.pair] = np.minimum(trust2 + 1, CONFIDENCE - 1) * hit2
         self.trust1[self.last] = np.minimum(trust1 + 1, CONFIDENCE - 1) * hit1
         np.add.at(self.counts, ids, COUNT_STEP)
+        self.sum += COUNT_STEP * len(ids)
+        if self.sum > MOST_COUNTS:
+            self.counts = (self.counts + 1) >> 1  # an id keeps at least 1
+            self.sum = int(self.counts.sum())
         self.before, self.last = self.last, ids
 
 

@@ -45,6 +45,14 @@ def test_coder_round_trip_of_large_blocks(source):
         assert len(data) < n // 2
 
 
+def test_coder_round_trip_of_a_block_whose_counts_pass_the_coders_total():
+    vocabulary = 400
+    n = 5 * (1 << token_files.TOTAL_BITS) // (4 * token_files.COUNT_STEP)
+    ids = np.minimum(np.random.default_rng(5).geometric(0.02, n) - 1, vocabulary - 1)
+    lengths, back = token_files.read_block(token_files.write_block(np.array([n]), ids, vocabulary))
+    assert lengths.tolist() == [n] and (back == ids).all()
+
+
 def test_blocks_are_checked():
     lengths, ids = np.array([2, 3]), np.array([5, 6, 7, 8, 9])
     block = token_files.write_block(lengths, ids, 10)
