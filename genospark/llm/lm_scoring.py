@@ -2,8 +2,10 @@
 
 A byte is eight binary decisions; each decision at each context depth has a Krichevsky-Trofimov estimator, and the
 context tree mixes the estimates of all depths.  Counts of (context, byte) come from all training texts and are summed
-by Spark; the tree keeps the contexts that are seen most, up to a bound, and what lies below a context that it does
-not keep is one branch, ``other``.  Scoring looks up one row of byte log probabilities per position.
+by Spark, and every context of them has its place in the tree.  Subtrees below a suffix of three bytes are weighted
+each in one group; the driver holds the contexts of up to two bytes only.  Pairs that scoring asks for are in the tree
+with a count of 0 where training lacks them, so each position finds its log probability in one table: the pairs met most
+are broadcast, the rest are counted by document and joined.
 """
 
 from __future__ import annotations
@@ -18,10 +20,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_hash, lower_ascii, slices, stored
+from .common import bound_batches, id_hash, lower_ascii, shuffle_width, slices, stored
 
-#: Bytes of context at most, and contexts that the tree keeps at most (a row of 256 floats each in the broadcast).
+#: Bytes of context at most, and contexts that ``fit_tree`` keeps at most (a row of 256 floats each).
 DEPTH, MAX_CONTEXTS = 5, 1 << 15
+#: Bytes of the suffix whose subtree is weighted in one group; shorter contexts are the driver's.
+CUT = 3
+#: The pairs of context and byte met most, whose predictions are broadcast; all others meet theirs in a join.
+HOT_PAIRS = 1 << 20
 #: The most frequent words, whose counts are broadcast; all other words meet their counts in a join.
 HOT_WORDS = 1 << 17
 END = 0xFF  # ends a text; UTF-8 has no such byte
@@ -48,27 +54,29 @@ def _contexts(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.nd
     return code[coded[depth:]]
 
 
-def count_contexts(texts: DataFrame) -> DataFrame:
-    """(context long, byte int, n long) over all texts in column ``low`` (binary, lower-cased)."""
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(pair long, k long, n long) over all texts in column ``low`` (binary, lower-cased): context << 8 | byte, its
+    places in texts to score (``ask``) and in training texts (``learn``)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
-        def total() -> tuple[np.ndarray, np.ndarray]:
-            code = np.concatenate([c for c, _ in held])
-            n = np.concatenate([k for _, k in held])
+        def total() -> tuple[np.ndarray, ...]:
+            code, k, n = (np.concatenate(c) for c in zip(*held, strict=True))
             unique, at = np.unique(code, return_inverse=True)
-            return unique, np.bincount(at, n, len(unique)).astype(np.int64)
+            return unique, *(np.bincount(at, x, len(unique)).astype(np.int64) for x in (k, n))
 
         def out() -> pa.RecordBatch:
-            code, n = total()
-            columns = [(code >> np.uint64(8)).astype(np.int64), (code & np.uint64(255)).astype(np.int32), n]
-            return pa.record_batch([pa.array(c) for c in columns], names=["context", "byte", "n"])
+            return pa.record_batch([pa.array(c.astype(np.int64)) for c in total()], names=["pair", "k", "n"])
 
         for batch in slices(batches):
-            data, starts = _codes(batch.column("low").to_pylist())
-            held.append(np.unique(_contexts(data, starts), return_counts=True))
-            size += len(held[-1][0])
+            lows = batch.column("low").to_pylist()
+            uses = list(zip(batch.column("ask").to_pylist(), batch.column("learn").to_pylist(), strict=True))
+            for use in sorted(set(uses)):
+                data, starts = _codes([t for t, u in zip(lows, uses, strict=True) if u == use])
+                code, times = np.unique(_contexts(data, starts), return_counts=True)
+                held.append((code, times * use[0], times * use[1]))
+                size += len(code)
             if size > _FLUSH:
                 held = [total()]
                 size = len(held[0][0])
@@ -78,8 +86,14 @@ def count_contexts(texts: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    found = texts.mapInArrow(count, "context long, byte int, n long")
-    return found.groupBy("context", "byte").agg(F.sum("n").alias("n"))
+    found = texts.mapInArrow(count, "pair long, k long, n long")
+    return found.groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+
+
+def count_contexts(texts: DataFrame) -> DataFrame:
+    """(context long, byte int, n long) over all texts in column ``low`` (binary, lower-cased)."""
+    pairs = count_pairs(texts.select("low", F.lit(False).alias("ask"), F.lit(True).alias("learn")))
+    return pairs.select(F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -199,7 +213,10 @@ def build_tree(context: np.ndarray, byte: np.ndarray, n: np.ndarray, by_depth: l
 
 
 def fit_tree(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
-    """Counts all ``texts`` (binary column ``low``) and keeps the most frequent contexts, closed under suffixes."""
+    """Counts all ``texts`` (binary column ``low``) and keeps the most frequent contexts, closed under suffixes.
+
+    A tree for one machine's memory; ``lm_score`` uses ``predict_pairs``, which keeps every context.
+    """
     deep = stored(count_contexts(texts), "lm-contexts")
     depth = DEPTH
     levels = F.explode(
@@ -231,6 +248,180 @@ def fit_tree(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
     return build_tree(context, byte, n, by_depth)
 
 
+def _subtree_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """pair, k and n of whole groups (pairs that share CUT bytes of suffix), from batches in order of the suffix."""
+    held, size, due = [], 0, least
+    for batch in batches:
+        held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "k", "n")])
+        size += batch.num_rows
+        if size >= due:
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            suffix = whole[0] >> 8 & (1 << 8 * CUT) - 1
+            cut = int(np.argmax(suffix == suffix[-1]))
+            if cut:
+                yield [c[:cut] for c in whole]
+            held, size = [[c[cut:] for c in whole]], size - cut
+            due = max(least, 2 * size)
+    if size:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
+
+
+class _Level:
+    """The bit nodes of one level of the byte's tree, at the contexts of CUT to DEPTH bytes of some groups.
+
+    By depth: ``node_of`` each (context, byte), ``parent`` of each node one depth up, counts ``a`` and ``b`` of bits 0
+    and 1, and ``share``, the weight of the context's own estimate.  ``weighted`` is that of depth CUT, ``node`` its
+    key: context << 8 | place in heap order.
+    """
+
+    def __init__(self, level: int, keys: list[np.ndarray], up: list[np.ndarray], n: list[np.ndarray]):
+        self.node_of, self.parent, self.a, self.b, self.share = ([None] * (DEPTH + 1) for _ in range(5))
+        self.bit = keys[DEPTH] >> 7 - level & 1
+        for d in range(CUT, DEPTH + 1):
+            prefix = keys[d] >> 8 - level
+            new = np.concatenate([[True], prefix[1:] != prefix[:-1]])
+            first = np.flatnonzero(new)
+            self.node_of[d] = np.cumsum(new) - 1
+            self.b[d] = np.add.reduceat(n[d] * (keys[d] >> 7 - level & 1), first).astype(np.float64)
+            self.a[d] = np.add.reduceat(n[d], first) - self.b[d]
+            if d > CUT:
+                self.parent[d] = self.node_of[d - 1][up[d][first]]
+            else:
+                self.node = (keys[d][first] & ~255) | 1 << level | (keys[d][first] & 255) >> 8 - level
+        self.weighted = _kt(self.a[DEPTH], self.b[DEPTH])
+        for d in range(DEPTH - 1, CUT - 1, -1):
+            below = np.bincount(self.parent[d + 1], self.weighted, len(self.a[d]))
+            self.share[d], self.weighted = _weigh(_kt(self.a[d], self.b[d]), below)
+
+    def logs(self, said: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Log probability of each pair's bit, from what contexts shorter than CUT say and leave."""
+        for d in range(CUT, DEPTH):
+            said, left = said + left * self.share[d] * _estimate(self.a[d], self.b[d]), left * (1 - self.share[d])
+            said, left = said[self.parent[d + 1]], left[self.parent[d + 1]]
+        one = (said + left * _estimate(self.a[DEPTH], self.b[DEPTH]))[self.node_of[DEPTH]]
+        return np.where(self.bit == 1, np.log(one), np.log1p(-one))
+
+
+def _weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of a context's own estimate and its weighted probability: half its own, half that of its branches."""
+    return 1 / (1 + np.exp(np.clip(below - own, -700, 700))), np.logaddexp(own, below) - np.log(2)
+
+
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (b + 0.5) / (a + b + 1)
+
+
+def _subtrees(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, Iterator[_Level]]:
+    """The order that sorts ``pair`` (distinct, whole groups), and the eight levels over the sorted pairs."""
+    order = np.argsort(pair)
+    keys, up, counts = ([None] * (DEPTH + 1) for _ in range(3))
+    keys[DEPTH], counts[DEPTH] = pair[order], n[order]
+    for d in range(DEPTH, CUT, -1):
+        keys[d - 1], up[d] = np.unique(keys[d] & (1 << 8 * d) - 1, return_inverse=True)
+        counts[d - 1] = np.bincount(up[d], counts[d], len(keys[d - 1])).astype(np.int64)
+    return order, (_Level(level, keys, up, counts) for level in range(8))
+
+
+def _crown(node: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What contexts shorter than CUT say for bit 1 and leave to longer ones, at each ``node`` of CUT - 1 bytes."""
+    ladder = []
+    for d in range(CUT - 1, -1, -1):
+        share, weighted = _weigh(_kt(a, b), below)
+        parent = None
+        if d:
+            node, parent = np.unique(node & (1 << 8 * d) - 1, return_inverse=True)
+        ladder.append((share, _estimate(a, b), parent))
+        if d:
+            a, b, below = (np.bincount(parent, x, len(node)) for x in (a, b, weighted))
+    said, left = np.zeros(len(node)), np.ones(len(node))
+    for share, estimate, parent in reversed(ladder):
+        if parent is not None:
+            said, left = said[parent], left[parent]
+        said, left = said + left * share * estimate, left * (1 - share)
+    return said, left
+
+
+def predict_pairs(pairs: DataFrame) -> DataFrame:
+    """(pair, k, log float): the natural log probability of each pair's byte after its context, from all ``pairs``."""
+    suffix = F.shiftright("pair", 8).bitwiseAND(F.lit((1 << 8 * CUT) - 1))
+    groups = pairs.repartition(shuffle_width(pairs.sparkSession), suffix).sortWithinPartitions(suffix)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pair, _, n in _subtree_groups(batches):
+            for level in _subtrees(pair, n)[1]:
+                node, at = np.unique(level.node & (1 << 8 * CUT) - 1, return_inverse=True)
+                sums = [np.bincount(at, x, len(node)) for x in (level.a[CUT], level.b[CUT], level.weighted)]
+                yield pa.record_batch([pa.array(c) for c in (node, *sums)], names=["node", "a", "b", "below"])
+
+    # A row for each context of CUT - 1 bytes and bit node: 65,536 x 255 at most, whatever the input.
+    crown = groups.mapInArrow(weigh, "node long, a double, b double, below double").groupBy("node")
+    crown = crown.agg(*[F.sum(c).alias(c) for c in ("a", "b", "below")]).orderBy("node").toArrow()
+    node = crown["node"].to_numpy()
+    told = pairs.sparkSession.sparkContext.broadcast((node, *_crown(node, *(crown[c].to_numpy() for c in ("a", "b", "below")))))
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, said, left = told.value
+        for pair, k, n in _subtree_groups(batches):
+            order, levels = _subtrees(pair, n)
+            logs = np.zeros(len(pair))
+            for level in levels:
+                at = np.searchsorted(node, level.node & (1 << 8 * CUT) - 1)
+                logs += level.logs(said[at], left[at])
+            columns = [pa.array(pair[order]), pa.array(k[order]), pa.array(logs.astype(np.float32))]
+            yield pa.record_batch(columns, names=["pair", "k", "log"])
+
+    return groups.mapInArrow(predict, "pair long, k long, log float")
+
+
+class PairTable:
+    """Pairs and their logs in open slots, those given first nearest to their first slot."""
+
+    def __init__(self, pairs: np.ndarray, logs: np.ndarray):
+        bits = max(4, int(2 * len(pairs)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.pairs, self.logs = np.full(1 << bits, -1, np.int64).view(np.uint64), np.zeros(1 << bits, np.float32)
+        pairs = pairs.astype(np.uint64)
+        at, rest = self._slot(pairs), np.arange(len(pairs))
+        while len(rest):
+            open_ = rest[self.pairs[at[rest]] == self.pairs.dtype.type(2**64 - 1)]
+            slot, first = np.unique(at[open_], return_index=True)
+            self.pairs[slot], self.logs[slot] = pairs[open_[first]], logs[open_[first]]
+            rest = rest[self.pairs[at[rest]] != pairs[rest]]
+            at[rest] = at[rest] + 1 & self.last
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
+
+    def look(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log of each pair, 0 where the table lacks it, and the places of those that it lacks."""
+        at = self._slot(pairs)
+        logs, other = self.logs[at], np.flatnonzero(self.pairs[at] != pairs)
+        at, lacking = at[other], []
+        while len(other):
+            logs[other] = 0
+            empty = self.pairs[at] == np.uint64(2**64 - 1)
+            lacking.append(other[empty])
+            other, at = other[~empty], at[~empty] + 1 & self.last
+            found = self.pairs[at] == pairs[other]
+            logs[other[found]] = self.logs[at[found]]
+            other, at = other[~found], at[~found]
+        return logs, np.sort(np.concatenate(lacking)) if lacking else np.zeros(0, np.int64)
+
+
+def _hot_pairs(predicted: DataFrame) -> PairTable:
+    """The pairs met most, by eighth octaves of their places, as many whole ones as HOT_PAIRS holds."""
+    grade = F.floor(8 * F.log2("k"))
+    sizes = predicted.where("k > 0").groupBy(grade.alias("g")).agg(F.count(F.lit(1)).alias("m")).collect()
+    kept, least = 0, None
+    for g, m in sorted(((r["g"], r["m"]) for r in sizes), reverse=True):
+        if kept + m > HOT_PAIRS:
+            break
+        kept, least = kept + m, g
+    found = predicted.where("k > 0").where(grade >= least if least is not None else F.lit(False)).toArrow()
+    order = np.argsort(-found["k"].to_numpy(), kind="stable")
+    return PairTable(found["pair"].to_numpy()[order], found["log"].to_numpy()[order])
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """(word, n): 64-bit hashes of words and their counts over all texts in column ``low``."""
 
@@ -252,7 +443,7 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def lm_score(docs: DataFrame, training: DataFrame, max_contexts: int = MAX_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores ``docs`` by models learned from ``training`` (both with an id and a text).
 
     Returns doc_id, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities) and code_length (bits
@@ -260,6 +451,16 @@ def lm_score(docs: DataFrame, training: DataFrame, max_contexts: int = MAX_CONTE
     hash.  Rows that repeat an id and a text are scored once and given back as often as they came.  Without training
     rows every token is unknown (N = V = 0, so each word and end scores log10(1 / 1)) and every bit costs one bit.
     """
+    texts = _texts(docs, F.lit(True), F.lit(False), text_col).unionByName(_texts(training, F.lit(False), F.lit(True), text_col))
+    return _scored(docs, training, texts, id_col, text_col)
+
+
+def _texts(rows: DataFrame, ask: Column, learn: Column, text_col: str = "text") -> DataFrame:
+    return rows.select(_low(F.col(text_col)).alias("low"), ask.alias("ask"), learn.alias("learn"))
+
+
+def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``lm_score`` from ``texts`` that say which of them to learn from and which will be scored."""
     spark = docs.sparkSession
     bound_batches(spark)
     learned = training.select(_low(F.col(text_col)).alias("low"))
@@ -269,18 +470,24 @@ def lm_score(docs: DataFrame, training: DataFrame, max_contexts: int = MAX_CONTE
     n_train, vocabulary = facts["n"] + ends, facts["v"] + (ends > 0)
     unit = float(np.log10(n_train + vocabulary + 1))
     hot = words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
-    tree = fit_tree(learned, max_contexts)
-    told = spark.sparkContext.broadcast((hot["word"].to_numpy().view(np.uint64), np.log10(hot["n"].to_numpy() + 1.0), tree))
+    predicted = stored(predict_pairs(stored(count_pairs(texts), "lm-pairs")), "lm-predicted")
+    table = _hot_pairs(predicted)
+    told = spark.sparkContext.broadcast((hot["word"].to_numpy().view(np.uint64), np.log10(hot["n"].to_numpy() + 1.0), table))
     end_log = float(np.log10(ends + 1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_words, hot_logs, tree = told.value
+        hot_words, hot_logs, table = told.value
         log_of = dict(zip(hot_words.tolist(), hot_logs.tolist(), strict=True))
         digest = xxhash.xxh3_64_intdigest
         seen: dict[bytes, tuple[int, float]] = {}
         for batch in slices(batches, 256):
             ids, lows = batch.column("doc_id").to_pylist(), batch.column("low").to_pylist()
-            logs = tree.log_probability(lows)
+            code = _contexts(*_codes(lows))
+            position_logs, cold = table.look(code)
+            first = np.cumsum([0] + [len(t) + 1 for t in lows])
+            logs = np.add.reduceat(position_logs, first[:-1], dtype=np.float64)
+            row = (np.searchsorted(first, cold, "right") - 1).astype(np.uint64)
+            cold, times = np.unique(row << np.uint64(48) | code[cold], return_counts=True)
             rare, row_of = [], []
             summary = []
             for at, text in enumerate(lows):
@@ -301,28 +508,32 @@ def lm_score(docs: DataFrame, training: DataFrame, max_contexts: int = MAX_CONTE
                         row_of.append(at)
                 summary.append((len(tokens) + 1, known, total, float(logs[at]) / np.log(10), len(text) + 1))
             key = [xxhash.xxh3_64_intdigest(t) for t in lows]
-            # One row for the document itself, under a key of its own, and one for each rare word.
-            n_rare = len(rare)
-            take = np.array([*range(len(lows)), *row_of], np.int64)
-            word = np.array([*key, *[h for h, _ in rare]], np.uint64).view(np.int64)
+            # One row for the document itself, under a key of its own, and one for each rare word and each cold pair.
+            n_rare, n_cold = len(rare), len(cold)
+            take = np.concatenate([np.array([*range(len(lows)), *row_of], np.int64), (cold >> np.uint64(48)).astype(np.int64)])
+            word = np.concatenate([np.array([*key, *[h for h, _ in rare]], np.uint64), cold & np.uint64((1 << 48) - 1)]).view(np.int64)
+            is_pair = np.arange(len(take)) >= len(lows) + n_rare
             columns = [
                 pa.array(ids, pa.int64()).take(pa.array(take)), pa.array(np.array(key, np.uint64).view(np.int64)[take]), pa.array(word),
-                pa.array([None] * len(lows) + [k for _, k in rare], pa.int64()),
-                *[pa.array([s[i] for s in summary] + [None] * n_rare, kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
+                pa.array(is_pair), pa.array([None] * len(lows) + [k for _, k in rare] + times.tolist(), pa.int64()),
+                *[pa.array([s[i] for s in summary] + [None] * (n_rare + n_cold), kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))],
             ]
-            yield pa.record_batch(columns, names=["doc_id", "text_key", "word", "k", "n_tokens", "known", "log_sum", "score", "n_bytes"])
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "word", "is_pair", "k", "n_tokens", "known", "log_sum", "score", "n_bytes"])
 
-    schema = "doc_id long, text_key long, word long, k long, n_tokens long, known long, log_sum double, score double, n_bytes long"
+    schema = "doc_id long, text_key long, word long, is_pair boolean, k long, n_tokens long, known long, log_sum double, score double, n_bytes long"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _low(F.col(text_col)).alias("low")).mapInArrow(score, schema)
-    met = rows.join(words, "word", "left")
+    known = words.select("word", F.lit(False).alias("is_pair"), "n", F.lit(None).cast("float").alias("log"))
+    pairs = predicted.where("k > 0").select(F.col("pair").alias("word"), F.lit(True).alias("is_pair"), F.lit(None).cast("long").alias("n"), "log")
+    met = rows.join(known.unionByName(pairs), ["word", "is_pair"], "left")
     rare_known = F.when(F.col("k").isNotNull() & F.col("n").isNotNull(), F.col("k"))
     by_doc = met.groupBy("doc_id", "text_key").agg(
         F.count("n_tokens").alias("times"), F.max("n_tokens").alias("n_tokens"), F.max("known").alias("hot_known"),
         F.max("log_sum").alias("hot_sum"), F.max("score").alias("score"), F.max("n_bytes").alias("n_bytes"),
+        F.coalesce(F.sum(F.col("k") * F.col("log").cast("double")) / np.log(10), F.lit(0.0)).alias("cold_score"),
         F.coalesce(F.sum(rare_known), F.lit(0)).alias("known"),
         F.coalesce(F.sum(rare_known * F.log10(F.col("n") + 1)), F.lit(0.0)).alias("rare_sum"),
     )
-    out = by_doc.select(
+    out = by_doc.withColumn("score", F.col("score") + F.col("cold_score") / F.col("times")).select(
         "doc_id", "n_tokens",
         (F.col("hot_known") + (F.col("known") / F.col("times")).cast("long")).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
@@ -337,8 +548,8 @@ def _low(text: Column) -> Column:
     return lower_ascii(F.coalesce(text, F.lit(""))).cast("binary")
 
 
-def score_held_out(docs: DataFrame, max_contexts: int = MAX_CONTEXTS) -> DataFrame:
+def score_held_out(docs: DataFrame) -> DataFrame:
     """Learns from documents whose id's crc32 does not leave 2 modulo 7 and scores all; adds ``held_out``."""
     out_of = F.coalesce(F.pmod(id_hash(F.col("doc_id")), F.lit(7)) == 2, F.lit(False))
-    scored = lm_score(docs, docs.where(~out_of), max_contexts)
+    scored = _scored(docs, docs.where(~out_of), _texts(docs, F.lit(True), ~out_of))
     return scored.select("doc_id", out_of.alias("held_out"), *[c for c in scored.columns if c != "doc_id"])

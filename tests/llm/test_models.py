@@ -233,6 +233,36 @@ def test_tree_with_few_contexts_is_still_a_distribution(spark):
     assert np.isfinite(tree.log_probability([b"the", b"unseen \xc3\xa9", b""])).all()
 
 
+@pytest.mark.parametrize("hot", [0, 9, 1 << 20])
+def test_scores_equal_the_recursion(spark, monkeypatch, hot):
+    monkeypatch.setattr(lm_scoring, "HOT_PAIRS", hot)
+    texts = [b"abracadabra", b"abra cad", b"", b"zz top"]
+    probes = [*texts, b"abrac", b"q", b"cadab top", "é".encode()]
+    table = lambda rows: spark.createDataFrame([(i, t.decode()) for i, t in enumerate(rows)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(table([*probes, b"q"]), table(texts)).collect()}
+    score = brute_tree(texts, lm_scoring.DEPTH)
+    assert [found[i] for i in range(9)] == pytest.approx([score(t) / math.log(10) for t in [*probes, b"q"]], rel=1e-5)
+
+
+def test_scores_use_every_context(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)]
+    texts = [" ".join(rng.permutation(words)[:n]) for n in (4000, 4000, 2000, 500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(docs, docs.where("doc_id < 3")).collect()}
+    tree = lm_scoring.fit_tree(spark.createDataFrame([(t.encode(),) for t in texts[:3]], "low binary"), max_contexts=1 << 30)
+    assert len(tree.logs) > 1 << 15
+    whole = tree.log_probability([t.encode() for t in texts]) / math.log(10)
+    assert [found[i] for i in range(4)] == pytest.approx(whole, rel=1e-5)
+
+
+def test_pair_table_finds_what_it_holds():
+    pairs = np.random.default_rng(1).permutation(1 << 16)[:30_000].astype(np.uint64)
+    logs, lacking = lm_scoring.PairTable(pairs[:20_000], np.arange(20_000, dtype=np.float32)).look(pairs)
+    assert (logs[:20_000] == np.arange(20_000)).all() and (logs[20_000:] == 0).all()
+    assert lacking.tolist() == list(range(20_000, 30_000))
+
+
 def test_lm_scores_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "HOT_WORDS", 2)
     rows = [(i, " ".join(["The", "cat", f"w{i % 5}", f"only{i}"][: i % 5])) for i in range(40)] + [(100, None), (101, "NEW thing\nthe"), (101, "NEW thing\nthe"), (None, "The cat")]
