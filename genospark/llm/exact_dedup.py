@@ -1,4 +1,5 @@
-"""Exact dedup: two passes of Bloom filtering, after which only possibly repeated rows shuffle.
+"""Exact dedup: two passes of Bloom filtering, after which only possibly repeated rows shuffle.  Pass 1 itself shuffles
+a narrow (slot, count) record for nearly every row.
 
 The filter is a table of 64-bit words, one bit a slot.  Each pass hashes the rows to slots, counts the slots
 (partial sums on the map side) and keeps the slots that more than one row hit.  Rows that miss in either pass
