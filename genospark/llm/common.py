@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import discard, shared_dir, stored
+
+__all__ = ["discard", "shared_dir", "stored"]
+
 #: ASCII white space, as all word and line rules here use it.
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -17,35 +21,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_BYTES = 16 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, else one made for a local session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts lineage, survives lost executors, computes it once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back.stored_path = path
-    return back
-
-
-def discard(*tables: DataFrame) -> None:
-    """Removes tables made by ``stored`` that no later step reads."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.stored_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Keeps the bytes that one Arrow batch holds within bounds, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
@@ -74,8 +49,16 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, for work that needs several arrays as long as the texts."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, for work that needs several arrays as long as the texts: ``rows`` rows or about ``most`` bytes
+    of strings at most, and one row at least."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        kinds = (pa.string(), pa.large_string(), pa.binary(), pa.large_binary())
+        wide = [pc.binary_length(c).fill_null(0).to_numpy(zero_copy_only=False) for c in batch.columns if c.type in kinds]
+        upto = np.cumsum(sum(wide, np.zeros(batch.num_rows, np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right"))
+            end = min(max(full, at + 1), at + rows, batch.num_rows)
+            yield batch.slice(at, end - at)
+            at = end

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shuffle_width, slices, stored, texts_of
+from .common import bound_batches, shuffle_width, slices, stored
 from .tokens import PieceTokenizer
 
 CAPACITY = 1024
@@ -131,22 +131,24 @@ def places(blocks: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32).  Null text is empty and has the end id alone."""
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path).read())
-    end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = PieceTokenizer.get(spec.value)
-        for batch in slices(batches):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts_of(batch)), strict=True):
-                ids += end
-                n = len(ids) // 4
-                bounds = [0, *range(n % capacity or min(n, capacity), n, capacity), n]
-                for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                    rows.append((doc, piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        for batch in slices(batches, 1 << 14, 8 << 20):
+            ids, bounds = tokenizer.encode(batch.column("text"), end_id)
+            raw = ids.astype("<u4", copy=False).data.cast("B")
+            n = np.diff(bounds)
+            # The first piece takes the remainder; each later one is full.
+            pieces = -(-n // capacity)
+            first = n - (pieces - 1) * capacity
+            doc = np.repeat(np.arange(len(n)), pieces)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[doc])
+            at = 4 * (bounds[doc] + start)
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+            columns = [batch.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(cut, PIECES)
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shuffle_width, slices, stored, texts_of
+from .common import bound_batches, shuffle_width, slices, stored
 from .tokens import PieceTokenizer
 
 MAGIC = b"TIDB"
@@ -227,7 +227,6 @@ def write_token_files(
     spark = docs.sparkSession
     bound_batches(spark)
     spec = spark.sparkContext.broadcast(open(tokenizer_path).read())
-    end = np.array([end_id], "<u4").tobytes()
     tie = F.xxhash64("text")
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
@@ -241,18 +240,19 @@ def write_token_files(
         part, block, start, held, doc_ids, coded = TaskContext.get().partitionId(), 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-            payload = write_block(np.array([len(x) // 4 for x in coded]), ids, vocabulary)
+            ids = np.concatenate(coded).astype(np.int64)
+            payload = write_block(np.array([len(x) for x in coded]), ids, vocabulary)
             names = ["part", "block", "part_start", "doc_ids", "n_ids", "payload"]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             row = [part, block, start, doc_ids, len(ids), payload]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
 
-        for batch in slices(batches, 256):
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), tokenizer.encode(texts_of(batch)), strict=True):
+        for batch in slices(batches, 1 << 14, 8 << 20):
+            found, bounds = tokenizer.encode(batch.column("text"), end_id)
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), np.split(found, bounds[1:-1]), strict=True):
                 doc_ids.append(doc)
-                coded.append(ids + end)
-                held += len(ids) // 4 + 1
+                coded.append(ids)
+                held += len(ids)
                 if held >= BLOCK_IDS:
                     yield close()
                     block, start, held, doc_ids, coded = block + 1, start + held, 0, [], []

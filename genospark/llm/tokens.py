@@ -1,39 +1,82 @@
 """Texts to token ids with a public tokenizer, one white-space piece at a time.
 
-Both vocabularies used here tokenize a piece (white space and the characters after it) the same way wherever it
-stands, so a bounded cache of pieces spares most calls of the tokenizer.  Texts whose white space is anything but
-single blanks and newlines are cut by a pattern instead, which keeps each run of white space whole.
+Both vocabularies used here tokenize a piece (white space and the characters after it, up to an ASCII mark that
+follows an ASCII letter) the same way wherever it stands, so a bounded cache of pieces spares most calls of the
+tokenizer.  A batch is cut into pieces and these are told apart by array operations on its bytes; Python itself handles
+only the distinct pieces.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from itertools import chain
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Unicode White_Space, as the tokenizers' own patterns see it.
-_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_PIECES = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-_ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
-_ODD_WIDE = re.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-#: Pieces that a worker remembers.
-CACHE = 600_000
+#: Bytes of pieces and their ids that a worker remembers; each costs ``_ENTRY`` more for its entry.
+CACHE_BYTES, _ENTRY = 240 << 20, 190
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[list(b"\t\n\x0b\x0c\r ")] = True
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[x for x in range(128) if chr(x).isalpha()]] = True
+_MARK[[x for x in range(33, 127) if not chr(x).isalnum()]] = True
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Unicode's other White_Space in UTF-8, as the tokenizers' own patterns see it.
+_WIDE = [chr(x).encode() for x in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_CODES = np.array(sorted(int.from_bytes(x.ljust(3, b"\0"), "big") for x in _WIDE))
 
 _loaded: dict[int, PieceTokenizer] = {}
 
 
+def _is_space(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _ASCII_SPACE[data]
+    at = np.flatnonzero(_WIDE_LEAD[data])
+    if len(at):
+        code = [np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int64) for k in (0, 1, 2)]
+        two = code[0] == 0xC2
+        found = np.isin(code[0] << 16 | code[1] << 8 | np.where(two, 0, code[2]), _WIDE_CODES)
+        at, two = at[found], two[found]
+        out[at], out[at + 1] = True, True
+        out[at[~two] + 2] = True
+    return out
+
+
+def _pieces(texts: pa.Array, special: bytes = b"<|") -> tuple[pa.Array, np.ndarray]:
+    """All texts' pieces as codes into a dictionary, and how many pieces each text has."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    buffer = texts.buffers()[2] or pa.py_buffer(b"")
+    data = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    space = _is_space(data)
+    starts = space.copy()
+    starts[1:] &= ~space[:-1]
+    if special not in data.tobytes():  # a special token holds letters and marks
+        starts[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
+    starts[bounds[:-1][bounds[:-1] < bounds[1:]]] = True
+    first = np.flatnonzero(starts)
+    ends = np.append(first, len(data)).astype(np.int64)
+    cut = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+    return cut.dictionary_encode(), np.diff(np.searchsorted(first, bounds))
+
+
 class PieceTokenizer:
-    """Ids of texts as little-endian unsigned 32-bit bytes."""
+    """Ids of texts; ``encode`` gives them as one array and where each text's ids end."""
 
     def __init__(self, spec: str):
         self.tokenizer = Tokenizer.from_str(spec)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.size, self.bytes = np.zeros(1 << 16, np.int64), 0
+        self.ids, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.start = np.zeros(1 << 16, np.int64)
 
     @classmethod
     def get(cls, spec: str) -> PieceTokenizer:
@@ -43,25 +86,54 @@ class PieceTokenizer:
             _loaded[key] = cls(spec)
         return _loaded[key]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        odd = any(x in text for x in _ODD_ASCII) or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n")
-        if odd or (not text.isascii() and _ODD_WIDE.search(text)):
-            return _PIECES.findall(text)
-        if "\0" in text:
-            return _PIECES.findall(text)
-        # A newline starts its own piece; any other piece after the first starts with its blank.
-        return text.replace("\n", "\0\n").replace(" ", "\0 ").split("\0")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        if new := list({p for p in chain.from_iterable(cut) if p not in known}):
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Tokenizes pieces and remembers them."""
+        for at in range(0, len(pieces), 4096):
+            part = pieces[at : at + 4096]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(sizes.sum()))
+            known = len(self.number)
+            while known + len(part) > len(self.size):
+                self.size, self.start = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.start))
+            while self.used + len(flat) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.size[known : known + len(part)] = sizes
+            self.start[known : known + len(part)] = self.used + np.cumsum(sizes) - sizes
+            self.ids[self.used : self.used + len(flat)] = flat
+            self.used += len(flat)
+            self.number.update(zip(part, range(known, known + len(part)), strict=True))
+            self.bytes += sum(map(len, part)) + 4 * len(flat) + _ENTRY * len(part)
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): text i has ids[bounds[i] : bounds[i + 1]], ``end_id`` after them if there is one.
+
+        ``texts`` is an array of strings; null counts as empty.
+        """
+        texts = texts.cast(pa.large_string()).fill_null("")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        cut, per_text = _pieces(texts)
+        distinct = cut.dictionary.to_pylist()
+        get = self.number.get
+        number = np.fromiter((get(p, -1) for p in distinct), np.int64, len(distinct))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            if self.bytes > CACHE_BYTES:
+                self._forget()
+                new = np.arange(len(distinct))
+            number[new] = len(self.number) + np.arange(len(new))
+            self._learn([distinct[i] for i in new])
+        code = cut.indices.to_numpy()
+        size, start, ids = self.size[number][code], self.start[number][code], self.ids
+        if end_id is not None:  # a piece of its own after each text
+            ends = np.cumsum(per_text)
+            size, start = np.insert(size, ends, 1), np.insert(start, ends, self.used)
+            if self.used == len(ids):
+                self.ids = ids = np.concatenate([ids, np.zeros_like(ids)])
+            ids[self.used] = end_id
+            per_text = per_text + 1
+        done = np.cumsum(size)
+        total = int(done[-1]) if len(done) else 0
+        out = ids[np.repeat(start - (done - size), size) + np.arange(total)]
+        return out, np.concatenate([[0], np.concatenate([[0], done])[np.cumsum(per_text)]])

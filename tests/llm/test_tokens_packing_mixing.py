@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,16 +16,17 @@ from genospark.llm.tokens import PieceTokenizer
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 PIECES = {n: PieceTokenizer(open(public_tokenizers.path(n)).read()) for n in NAMES}
 PLAIN = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in NAMES}
-alphabet = st.sampled_from(["a", "B", "é", "ß", "1", ".", "'s", " ", "  ", "\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", " ", "　", "́", "Σ", "<|endoftext|>", "#", "漢", "🙂"])
+alphabet = st.sampled_from(["a", "B", "é", "ß", "1", ".", "'s", " ", "  ", "\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", " ", "　", "́", "Σ", "<|endoftext|>", "<|", "#", "漢", "🙂", "a,", "n't", "e-", "\u2003", "\u200b", "½"])
 
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=300, deadline=None)
 @given(parts=st.lists(alphabet, max_size=30))
 def test_pieces_give_the_tokenizers_own_ids(name, parts):
-    text = "".join(parts)
-    expected = PLAIN[name].encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(PIECES[name].encode([text])[0], "<u4").tolist() == expected
+    texts = ["".join(parts), None, "".join(parts[::2]), ""]
+    ids, bounds = PIECES[name].encode(pa.array(texts, pa.string()), 2)
+    for text, own in zip(texts, np.split(ids, bounds[1:-1]), strict=True):
+        assert own.tolist() == [*PLAIN[name].encode(text or "", add_special_tokens=False).ids, 2]
 
 
 @settings(max_examples=60, deadline=None)
