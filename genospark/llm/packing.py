@@ -6,6 +6,7 @@ driver; documents then find their places by rank within their length, which is t
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -20,46 +21,110 @@ from .tokens import PieceTokenizer
 
 CAPACITY = 1024
 END_ID = 2
+#: Ids that the patterns of each round of the fit may leave empty.
+SLACKS = (0, 1, 4, 16, 64)
+#: The fit ends when no unused pattern agrees with what is missing by more than so many documents.
+FIT_TOLERANCE, FIT_AT_ONCE = 1e-3, 64
+#: Shares of the fitted patterns, the least certain ones, that are tried for a joint best fit with the residual.
+DISSOLVE = (0.0, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
+log = logging.getLogger(__name__)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def enumerate_patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
-    """Rows of up to three of the given lengths, descending, that fill the capacity exactly; 0 stands for none."""
+def enumerate_patterns(lengths: np.ndarray, capacity: int, slack: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns of few documents that leave at most ``slack`` ids empty: their lengths and how often each occurs.
+
+    Both arrays have three columns, 0 standing for none.  Patterns are up to three of the given lengths, or several
+    documents of one length and one more.
+    """
     there = np.zeros(capacity + 1, bool)
     there[lengths] = True
-    out = [np.array([[capacity, 0, 0]])] if there[capacity] else []
-    for a in np.sort(lengths)[::-1]:
-        rest = capacity - int(a)
-        if rest <= 0:
-            continue
-        if rest <= a and there[rest]:
-            out.append(np.array([[a, rest, 0]]))
-        b = np.arange((rest + 1) // 2, min(int(a), rest - 1) + 1)
-        b = b[there[b] & there[rest - b]]
-        out.append(np.stack([np.full_like(b, a), b, rest - b], 1))
-    return np.concatenate(out) if out else np.zeros((0, 3), int)
+    size, times = [], []
 
+    def add(*columns: tuple[np.ndarray | int, np.ndarray | int]) -> None:
+        n = max(np.size(x) for pair in columns for x in pair)
+        full = [[np.broadcast_to(x, n) for x in pair] for pair in columns] + [[np.zeros(n, int)] * 2] * (3 - len(columns))
+        size.append(np.stack([x[0] for x in full], 1))
+        times.append(np.stack([x[1] for x in full], 1))
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """x >= 0 that minimises |A x - histogram|, where A counts each length in each pattern.
+    for fill in range(capacity, capacity - slack - 1, -1):
+        if fill > 0 and there[fill]:
+            add((fill, 1))
+        for a in np.flatnonzero(there[: max(fill, 0)]).tolist():
+            rest = fill - a
+            if rest < a and there[rest]:
+                add((a, 1), (rest, 1))
+            # Three different lengths a > b > c.
+            b = np.arange(rest // 2 + 1, min(a, rest))
+            b = b[there[b] & there[rest - b]]
+            if len(b):
+                add((a, 1), (b, 1), (rest - b, 1))
+            # Several of one length, alone or with one of another.
+            k = np.arange(2, fill // a + 1)
+            more = fill - k * a
+            if len(k) and more[-1] == 0:
+                add((a, int(k[-1])))
+            k, more = k[(more > 0) & (more != a)], more[(more > 0) & (more != a)]
+            k, more = k[there[more]], more[there[more]]
+            if len(k):
+                add((a, k), (more, 1))
+    if not size:
+        return np.zeros((0, 3), int), np.zeros((0, 3), int)
+    return np.concatenate(size), np.concatenate(times)
 
-    Accelerated projected gradient; each pattern touches three entries at most, so a step costs O(patterns).
+
+def fit_counts(size: np.ndarray, times: np.ndarray, histogram: np.ndarray, tolerance: float = FIT_TOLERANCE) -> tuple[np.ndarray, np.ndarray, float]:
+    """Non-negative least squares: x >= 0 that minimises |A x - histogram|, A counting each length in each pattern.
+
+    Returns the patterns with x > 0, their x, and the largest violation left of the optimality conditions: by how
+    many documents any unused pattern still agrees with what is missing.  An active-set method: the patterns that
+    agree most, no two with a length in common, become free together; the least squares over the free ones is solved
+    and patterns whose count would be negative are taken out again.  So few patterns are used, which rounds well.
     """
-    x = np.zeros(len(patterns))
-    y, momentum = x.copy(), 1.0
-    used = patterns > 0
-    # The largest eigenvalue of A'A is at most the largest row sum of A times 3.
-    per_length = np.bincount(patterns[used], minlength=len(histogram))
-    step = 1.0 / max(1.0, 3.0 * per_length.max(initial=1))
-    for _ in range(rounds):
-        short = sum(np.bincount(patterns[:, j], y * used[:, j], len(histogram)) for j in range(3)) - histogram
-        short[0] = 0
-        gradient = short[patterns].sum(1)
-        new = np.maximum(0.0, y - step * gradient)
-        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        y = new + (momentum - 1) / following * (new - x)
-        x, momentum = new, following
-    return x
+    h = histogram.astype(float)
+    h[0] = 0
+    free, x = np.zeros(0, int), np.zeros(0)
+    columns, gram = np.zeros((len(h), 0)), np.zeros((0, 0))
+    is_free = np.zeros(len(size), bool)
+    rest, at_once = h.copy(), FIT_AT_ONCE
+    while True:
+        agree = (rest[size] * times).sum(1) / np.sqrt((times * times).sum(1))
+        agree[is_free] = -np.inf
+        worst = float(agree.max(initial=0.0))
+        if worst <= tolerance:
+            break
+        used, new = np.zeros(len(h), bool), []
+        for j in np.argsort(-agree, kind="stable")[: 16 * at_once]:
+            if agree[j] <= tolerance or len(new) == at_once:
+                break
+            if not used[size[j]].any():
+                used[size[j][times[j] > 0]] = True
+                new.append(j)
+        added = np.zeros((len(h), len(new)))
+        for c in range(3):
+            added[size[new, c], np.arange(len(new))] += times[new, c]
+        added[0] = 0
+        cross = columns.T @ added
+        gram = np.block([[gram, cross], [cross.T, added.T @ added]])
+        columns, free, x = np.concatenate([columns, added], 1), np.append(free, new), np.append(x, np.zeros(len(new)))
+        is_free[new] = True
+        while True:
+            # A trace of ridge keeps dependent patterns solvable.
+            z = np.linalg.solve(gram + 1e-9 * np.eye(len(free)), columns.T @ h)
+            low = z <= 0
+            if not low.any():
+                x = z
+                break
+            x = x + min(1.0, (x[low] / (x[low] - z[low])).min()) * (z - x)
+            keep = ~(low & (x <= 1e-9))
+            is_free[free[~keep]] = False
+            free, x, columns, gram = free[keep], x[keep], columns[:, keep], gram[np.ix_(keep, keep)]
+        before, rest = rest @ rest, h - columns @ x
+        if rest @ rest >= before - 1e-9:  # no progress: fewer at a time, in the end one, which always makes some
+            if at_once == 1:
+                break
+            at_once = max(1, at_once // 8)
+    return free, x, worst
 
 
 def pack_residuals(left: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -94,24 +159,41 @@ def pack_residuals(left: np.ndarray, capacity: int) -> list[tuple[list[int], int
 
 
 def plan(histogram: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
-    """Patterns and repeats that hold every length as often as the histogram has it."""
+    """Patterns and repeats that hold every length as often as the histogram has it.
+
+    Full patterns are fitted and rounded first; what rounding leaves is fitted again with patterns of ever more slack.
+    The residual is packed by best fit, together with the least certain patterns where that saves sequences.
+    """
     left = histogram.astype(np.int64).copy()
-    out: list[tuple[list[int], int]] = []
-    patterns = enumerate_patterns(np.flatnonzero(left), capacity)
-    if len(patterns):
-        counts = fit_counts(patterns, histogram.astype(float))
-        # Rounded, and never more than there is.
+    fitted: list[tuple[float, list[int], int]] = []
+    for slack in SLACKS:
+        size, times = enumerate_patterns(np.flatnonzero(left[1:]) + 1, capacity, slack)
+        if not len(size):
+            continue
+        free, counts, violation = fit_counts(size, times, left)
+        before = int(left.sum())
         for at in np.argsort(-counts, kind="stable"):
-            want = int(counts[at] + 0.5)
-            if not want:
-                break
-            lengths = patterns[at][patterns[at] > 0]
-            for size, each in zip(*np.unique(lengths, return_counts=True), strict=True):
-                want = min(want, int(left[size]) // int(each))
+            there = times[free[at]] > 0
+            own, each = size[free[at]][there], times[free[at]][there]
+            want = min(int(counts[at] + 0.5), int((left[own] // each).min()))  # never more than there is
             if want:
-                np.subtract.at(left, lengths, want)
-                out.append((lengths.tolist(), want))
-    return out + pack_residuals(left, capacity)
+                left[own] -= want * each
+                fitted.append((abs(counts[at] - want) / want, np.repeat(own, each).tolist(), want))
+        log.info("slack %d: %d patterns, %d used, violation %.1e, %d of %d pieces placed", slack, len(size), len(free), violation, before - left.sum(), before)
+    fitted.sort(key=lambda f: f[0])
+    least = -(-int((histogram * np.arange(capacity + 1)).sum()) // capacity)
+    best: list[tuple[list[int], int]] | None = None
+    for share in DISSOLVE:
+        kept = fitted[: len(fitted) - int(share * len(fitted))]
+        pool = left.copy()
+        for _, pattern, repeats in fitted[len(kept) :]:
+            np.add.at(pool, pattern, repeats)
+        found = [(pattern, repeats) for _, pattern, repeats in kept] + pack_residuals(pool, capacity)
+        if best is None or sum(n for _, n in found) < sum(n for _, n in best):
+            best = found
+        if sum(n for _, n in best) <= least:
+            break
+    return best
 
 
 def places(blocks: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
