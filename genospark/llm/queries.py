@@ -86,7 +86,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     blocks = write_token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
-    return read_token_files(blocks).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return read_token_files(blocks, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

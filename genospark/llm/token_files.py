@@ -1,14 +1,17 @@
 """Token ids in files of compressed blocks: an adaptive context-mixing range coder, vectorised over lanes.
 
-A block holds whole documents and is coded on its own: its models start empty and its payload carries a checksum.
-Its ids are cut into up to ``LANES`` equal runs that are coded side by side, one id of each lane at a time, so a step
-is a few array operations.  For each id three predictions are mixed into one distribution:
+A block holds whole documents and is coded on its own: its models start empty, and it carries its documents' ids, its
+place and a checksum of all that.  Its token ids are cut into up to ``LANES`` equal runs that are coded side by side,
+one id of each lane at a time, so a step is a few array operations.  Three models predict each id:
 
-* order 2: the id that last followed this pair of ids, trusted as often as such guesses came true so far;
-* order 1: the id that last followed this id, likewise;
+* order 2: the id that last followed this pair of ids, with a level of trust: how often in a row it came true;
+* order 1: the two ids that followed this id most recently, likewise; the older one serves where order 2 agrees with
+  the newer one;
 * order 0: adaptive counts over the whole vocabulary.
 
-The mixture drives a carry-less range coder.  The decoder repeats the same steps, so it knows the same models.
+Their mixture is ``wA [id = guess of order 2] + wB [id = guess of order 1] + w0 P0(id)``.  The weights are learned: for
+each joint state of trust and agreement, how often either guess came true so far.  The mixture drives a carry-less
+range coder; the decoder repeats the same steps, so it knows the same models and weights.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,71 +31,81 @@ from .common import bound_batches, shuffle_width, slices, stored
 from .tokens import PieceTokenizer
 
 MAGIC = b"TIDB"
-VERSION = 2  # 1 never halved its counts
-LANES = 4096
+VERSION = 3
+LANES = 8192
 #: Ids after which a block is closed; a longer document makes a longer block.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 21
 #: A lane's run at least, so that small blocks don't pay for many lanes.
 LEAST_RUN = 64
-TOTAL_BITS = 24  # the coder's frequencies add up to 2^24
+TOTAL_BITS = 26  # the coder's frequencies add up to 2^26
+ZERO_BITS = 20  # those of order 0 to 2^20; the mixture leaves order 0 that much at least, so each id has a slot
 PAIR_BITS = 18  # slots of the order-2 table
-COUNT_STEP = 8  # what an occurrence adds to an id's count
-#: Counts are halved when their sum passes this, so that a block of any length leaves room for all slots.
-MOST_COUNTS = 1 << 23
-CONFIDENCE = 16  # levels of trust of a guess
+TRUST = 16  # levels of trust of a guess; level 0 is that of no guess or of one that failed last
+#: Order 0 is counted anew after steps 1, 2, 3, 4, 6, 8, 12, ..., and every so many steps in the end.
+LONGEST_WAIT = 64
 _U = np.uint64
-_TOTAL, _LOW40, _TOP, _16 = _U(1 << TOTAL_BITS), _U((1 << 40) - 1), _U(1 << 40), _U(16)
+_TOTAL, _MIX_ROOM = 1 << TOTAL_BITS, (1 << TOTAL_BITS) - (1 << ZERO_BITS)
+_LOW32, _32 = _U((1 << 32) - 1), _U(32)
 
 
 class Mixer:
     """The adaptive models that coder and decoder share; ``look`` predicts for all lanes, ``learn`` updates."""
 
-    def __init__(self, vocabulary: int, lanes: int):
-        self.counts = np.ones(vocabulary, np.int64)
-        self.sum = vocabulary
-        self.guess1 = np.full(vocabulary + 1, -1, np.int64)
-        self.trust1 = np.zeros(vocabulary + 1, np.int64)
-        self.guess2 = np.full(1 << PAIR_BITS, -1, np.int64)
-        self.trust2 = np.zeros(1 << PAIR_BITS, np.int64)
-        # How often guesses of each trust were tried and came true, for order 1 and 2.  The level after the last is
-        # that of no guess.
-        self.tried, self.true = np.full((2, CONFIDENCE + 1), 2.0), np.full((2, CONFIDENCE + 1), 0.5)
-        self.last = np.full(lanes, vocabulary, np.int64)
-        self.before = np.full(lanes, vocabulary, np.int64)
-        self.ends = np.zeros(vocabulary + 1, np.int64)
+    def __init__(self, vocabulary: int, lanes: int, decodes: bool):
+        self.vocabulary, self.decodes = vocabulary, decodes
+        # The newer and the older guess, as id * TRUST + trust.
+        self.table2 = np.full(1 << PAIR_BITS, -TRUST, np.int32)
+        self.table1, self.older1 = np.full(vocabulary + 1, -TRUST, np.int32), np.full(vocabulary + 1, -1, np.int32)
+        self.seen = np.tile(np.array([2.0, 0.5, 0.3]), (2 * TRUST * TRUST, 1))  # of each state: all, A and B true
+        self.last, self.before = (np.full(lanes, vocabulary, np.int32) for _ in range(2))
+        self.counts, self.waiting, self.step, self.due = np.zeros(vocabulary, np.int64), [], 0, 1
+        self._count()
+        self._weigh()
+
+    def _count(self) -> None:
+        """Order 0 in 2^ZERO_BITS parts, one at least for each id."""
+        if self.waiting:
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.vocabulary)
+            self.waiting = []
+        room = (1 << ZERO_BITS) - self.vocabulary
+        self.size0 = 1 + (self.counts * (room / max(int(self.counts.sum()), 1))).astype(np.int64)
+        self.size0[int(self.size0.argmax())] += (1 << ZERO_BITS) - int(self.size0.sum())
+        self.start0 = np.cumsum(self.size0) - self.size0
+        if self.decodes:
+            self.id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.size0)
+
+    def _weigh(self) -> None:
+        share = self.seen[:, 1:] / self.seen[:, :1]
+        self.weight_a, self.weight_b = (share * _MIX_ROOM).astype(np.int64).T.copy()
 
     def look(self) -> tuple[np.ndarray, ...]:
-        """Guesses of order 2 and 1, and the slots [0, w2), [w2, w2 + w1) and the rest that they and order 0 get."""
-        np.cumsum(self.counts, out=self.ends[1:])
-        self.pair = ((self.before * 49_999 + self.last) * 0x9E3779B1 >> 7) & ((1 << PAIR_BITS) - 1)
-        self.g2, self.g1 = self.guess2[self.pair], self.guess1[self.last]
-        self.t2 = np.where(self.g2 < 0, CONFIDENCE, self.trust2[self.pair])
-        self.t1 = np.where((self.g1 < 0) | (self.g1 == self.g2), CONFIDENCE, self.trust1[self.last])
-        # Order 0 keeps at least its counts' sum, so that each id has a slot of its own.
-        scale = float((1 << TOTAL_BITS) - self.ends[-1] - 2)
-        rate = self.true / self.tried
-        rate[:, CONFIDENCE] = 0
-        w2 = (rate[1] * scale).astype(np.int64)[self.t2]
-        w1 = ((scale - w2) * rate[0][self.t1]).astype(np.int64)
-        return self.g2, self.g1, w2, w1
+        """Guesses A and B and their weights: A has the slots [0, a), B [a, a + b), order 0 the rest."""
+        self.pair = (self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
+        two, one, older = self.table2[self.pair], self.table1[self.last], self.older1[self.last]
+        self.trust2, self.trust1 = two & (TRUST - 1), one & (TRUST - 1)
+        self.guess_a, self.newer1, self.before1 = two >> 4, one >> 4, older
+        agree = self.guess_a == self.newer1
+        self.guess_b = np.where(agree, older, self.newer1)
+        self.state = (self.trust2 << 5) | (self.trust1 << 1) | agree
+        return self.guess_a, self.guess_b, self.weight_a[self.state], self.weight_b[self.state]
 
     def learn(self, ids: np.ndarray) -> None:
-        hit2, hit1 = ids == self.g2, ids == self.g1
-        width = CONFIDENCE + 1
-        two = np.bincount(self.t2 + width * hit2, minlength=2 * width).reshape(2, width)
-        one = np.bincount(np.where(hit2, CONFIDENCE, self.t1) + width * hit1, minlength=2 * width).reshape(2, width)
-        self.tried += (one.sum(0), two.sum(0))
-        self.true += (one[1], two[1])
-        trust2, trust1 = self.trust2[self.pair], self.trust1[self.last]
-        self.guess2[self.pair], self.guess1[self.last] = ids, ids
-        self.trust2[self.pair] = np.minimum(trust2 + 1, CONFIDENCE - 1) * hit2
-        self.trust1[self.last] = np.minimum(trust1 + 1, CONFIDENCE - 1) * hit1
-        np.add.at(self.counts, ids, COUNT_STEP)
-        self.sum += COUNT_STEP * len(ids)
-        if self.sum > MOST_COUNTS:
-            self.counts = (self.counts + 1) >> 1  # an id keeps at least 1
-            self.sum = int(self.counts.sum())
+        """``ids`` (int32) are what came."""
+        hit_a, hit_b, hit1 = ids == self.guess_a, ids == self.guess_b, ids == self.newer1
+        came = np.bincount(self.state * 4 + (hit_a + 2 * hit_b), minlength=8 * TRUST * TRUST).reshape(-1, 4)
+        self.seen[:, 0] += came.sum(1)
+        self.seen[:, 1] += came[:, 1] + came[:, 3]
+        self.seen[:, 2] += came[:, 2]
+        self._weigh()
+        self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * hit_a
+        self.table1[self.last] = (ids << 4) + np.minimum(self.trust1 + 1, TRUST - 1) * hit1
+        self.older1[self.last] = np.where(hit1, self.before1, self.newer1)
         self.before, self.last = self.last, ids
+        self.waiting.append(ids)
+        self.step += 1
+        if self.step == self.due:
+            self._count()
+            self.due += min(max(1, 1 << max(0, self.step.bit_length() - 2)), LONGEST_WAIT)
 
 
 def _lanes_of(n: int, longest: int) -> tuple[int, int]:
@@ -99,52 +113,52 @@ def _lanes_of(n: int, longest: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _shift(low: np.ndarray, wide: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which lanes give or take a word now, and all intervals after it; one that straddles two words is cut short."""
-    due = wide < _TOP
-    inside = low & _LOW40
-    wide = np.where(due & (inside + wide > _TOP), _TOP - inside, wide)
-    by = due.astype(_U) << _U(4)  # 16 or 0
-    return due, np.where(due, inside, low) << by, wide << by
+def _full(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Lanes whose interval is under 2^32 wide: their highest 32 bits are settled.  One that straddles two such words
+    is cut to the lower one."""
+    at = np.flatnonzero(wide <= _LOW32)
+    room = (_LOW32 - (low[at] & _LOW32)) + _U(1)
+    wide[at] = np.minimum(wide[at], room) << _32
+    return at
 
 
 def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> bytes:
-    """Lane lengths and 16-bit words of all lanes; ids must be below ``vocabulary``."""
+    """Lane lengths (compressed) and 32-bit words of all lanes; ids must be below ``vocabulary``."""
     n = len(ids)
     if n == 0:
         return b""
     lanes, steps = _lanes_of(n, most_lanes)
-    grid = np.zeros(lanes * steps, np.int64)
+    grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = Mixer(vocabulary, lanes)
-    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
-    room = 4 * steps + 8
-    out, first = np.zeros(lanes * room, np.uint16), np.arange(lanes) * room
-    at = first.copy()
+    model = Mixer(vocabulary, lanes, False)
+    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    room = steps + 2
+    out, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
+    end = first.copy()
     for now in grid:
-        g2, g1, w2, w1 = model.look()
-        all0, guessed = model.ends[-1], w2 + w1
-        w0 = (1 << TOTAL_BITS) - guessed
-        below = model.ends[now] * w0 // all0
-        size = model.ends[now + 1] * w0 // all0 - below
-        by2, by1 = (now == g2) & (w2 > 0), (now == g1) & (w1 > 0)
-        start = np.where(by2, 0, np.where(by1, w2, guessed + below))
-        size = np.where(by2, w2, np.where(by1, w1, size))
+        guess_a, guess_b, a, b = model.look()
+        guessed = a + b
+        rest = _TOTAL - guessed
+        start = model.start0[now]
+        below = start * rest >> ZERO_BITS
+        size = ((start + model.size0[now]) * rest >> ZERO_BITS) - below
+        below += guessed
+        by_b, by_a = np.flatnonzero(now == guess_b), np.flatnonzero(now == guess_a)
+        below[by_b], size[by_b] = a[by_b], b[by_b]
+        below[by_a], size[by_a] = 0, a[by_a]
         part = wide >> _U(TOTAL_BITS)
-        low += part * start.view(_U)
+        low += part * below.view(_U)
         wide = part * size.view(_U)
-        while (wide < _TOP).any():
-            out[at] = low >> _U(40)  # a lane that is not due writes over this place later
-            due, low, wide = _shift(low, wide)
-            at += due
+        at = _full(low, wide)
+        out[end[at]] = low[at] >> _32
+        low[at] <<= _32
+        end[at] += 1
         model.learn(now)
-    for shift in (40, 24, 8):
-        out[at] = ((low >> _U(shift)) & _U(0xFFFF)).astype(np.uint16)
-        at += 1
-    out[at] = ((low & _U(0xFF)) << _U(8)).astype(np.uint16)
-    used = at + 1 - first
-    return used.astype("<u4").tobytes() + out.reshape(lanes, room)[np.arange(room) < used[:, None]].astype("<u2").tobytes()
+    out[end] = low + _LOW32 >> _32  # the interval is wider than a word: with zeros after it, this one lies inside
+    used = end + 1 - first
+    table = zlib.compress(used.astype("<u4").tobytes(), 1)
+    return struct.pack("<I", len(table)) + table + out.reshape(lanes, room)[np.arange(room) < used[:, None]].astype("<u4").tobytes()
 
 
 def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) -> np.ndarray:
@@ -152,77 +166,110 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
     if n == 0:
         return np.zeros(0, np.int64)
     lanes, steps = _lanes_of(n, most_lanes)
-    length = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u2", offset=4 * lanes), np.zeros(8, "<u2")]).astype(_U)
-    at = np.cumsum(length) - length
-    if at[-1] + 4 > len(words):
+    size = struct.unpack_from("<I", data)[0] + 4
+    length = np.frombuffer(zlib.decompress(data[4:size]), "<u4").astype(np.int64)
+    stop = np.cumsum(length)
+    end = stop - length
+    if len(length) != lanes or len(data) != size + 4 * stop[-1] or length.min() < 1:
         raise ValueError("a block is cut short")
-    model = Mixer(vocabulary, lanes)
-    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 56) - 1, _U)
-    code = (words[at] << _U(40)) | (words[at + 1] << _U(24)) | (words[at + 2] << _U(8)) | (words[at + 3] >> _U(8))
-    half = words[at + 3] & _U(0xFF)  # the low half of the word that the code has not taken in whole
-    at += 4
-    grid = np.empty((steps, lanes), np.int64)
+    words = np.append(np.frombuffer(data, "<u4", offset=size), 0).astype(np.uint32)
+    model = Mixer(vocabulary, lanes, True)
+    low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
+    ahead = words[end].astype(_U) << _32 | np.where(length > 1, words[end + 1], 0)  # the code less low
+    end += 2
+    grid = np.empty((steps, lanes), np.int32)
     for step in range(steps):
-        g2, g1, w2, w1 = model.look()
-        all0, guessed = model.ends[-1], w2 + w1
-        w0 = (1 << TOTAL_BITS) - guessed
+        guess_a, guess_b, a, b = model.look()
+        guessed = a + b
+        rest = _TOTAL - guessed
         part = wide >> _U(TOTAL_BITS)
-        slot = np.minimum((code - low) // part, _TOTAL - _U(1)).view(np.int64)
-        rest = np.maximum(slot - guessed, 0)
-        # The id whose slot holds the rest: the last whose first slot is not above it.  The quotient is below 2^24 and
-        # its denominator too, so a double's floor is exact.
-        now = np.searchsorted(model.ends, (((rest + 1) * all0 - 1) / w0).astype(np.int64), "right") - 1
-        below = model.ends[now] * w0 // all0
-        size = model.ends[now + 1] * w0 // all0 - below
-        by2, by01 = slot < w2, slot < guessed
-        start = np.where(by2, 0, np.where(by01, w2, guessed + below))
-        size = np.where(by2, w2, np.where(by01, w1, size))
-        now = np.where(by2, g2, np.where(by01, g1, now))
-        low += part * start.view(_U)
+        slot = np.minimum(ahead // part, _U(_TOTAL - 1)).view(np.int64)
+        # The part of order 0 whose slots hold this one.  The quotient is below 2^20 and its denominator below 2^26, so
+        # a double's floor is exact.
+        inside = np.maximum(slot - guessed, 0)
+        now = model.id_at[np.minimum((((inside + 1 << ZERO_BITS) - 1) / rest).astype(np.int64), (1 << ZERO_BITS) - 1)]
+        start = model.start0[now]
+        below = start * rest >> ZERO_BITS
+        size = ((start + model.size0[now]) * rest >> ZERO_BITS) - below
+        below += guessed
+        by_a, by_b = np.flatnonzero(slot < a), np.flatnonzero((slot < guessed) & (slot >= a))
+        now[by_b], below[by_b], size[by_b] = guess_b[by_b], a[by_b], b[by_b]
+        now[by_a], below[by_a], size[by_a] = guess_a[by_a], 0, a[by_a]
+        past = part * below.view(_U)
+        low += past
+        ahead -= past
         wide = part * size.view(_U)
-        while (wide < _TOP).any():
-            due, low, wide = _shift(low, wide)
-            word = words[np.minimum(at, len(words) - 1)]
-            code = np.where(due, ((code & _LOW40) << _16) | (half << _U(8)) | (word >> _U(8)), code)
-            half = np.where(due, word & _U(0xFF), half)
-            at += due
+        at = _full(low, wide)
+        low[at] <<= _32
+        place = end[at]
+        ahead[at] = ahead[at] << _32 | np.where(place < stop[at], words[np.minimum(place, len(words) - 1)], 0)
+        end[at] += 1
         model.learn(now)
         grid[step] = now
-    return grid.T.reshape(-1)[:n]
+    return grid.T.reshape(-1)[:n].astype(np.int64)
 
 
-def write_block(lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
-    """magic, version, documents, ids, vocabulary, crc32 of the ids, then the lengths and the coded ids."""
-    sizes = zlib.compress(lengths.astype("<u4").tobytes(), 1)
-    crc = zlib.crc32(ids.astype("<u4").tobytes())
-    head = struct.pack("<4sHIQIII", MAGIC, VERSION, len(lengths), len(ids), vocabulary, crc, len(sizes))
-    return head + sizes + encode_ids(ids, vocabulary)
+@dataclass
+class Block:
+    """Documents of a range of ids: ``part`` is the range, ``start`` the token ids of the range before this block."""
 
+    part: int
+    start: int
+    doc_ids: list[int | None]
+    lengths: np.ndarray
+    ids: np.ndarray
 
-def read_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and ids of a block; raises ValueError if it is not one or its checksum fails."""
-    head = struct.calcsize("<4sHIQIII")
+
+_HEAD = "<4sHIIQQIII"
+
+
+def _checksum(fields: tuple, rest: bytes, ids: np.ndarray) -> int:
+    return zlib.crc32(ids.astype("<u4").tobytes(), zlib.crc32(rest, zlib.crc32(struct.pack(_HEAD, *fields, 0))))
+
+
+def write_block(block: Block, vocabulary: int) -> bytes:
+    """magic, version, documents, part, start, token ids, vocabulary, bytes of the table and crc32 of all that, of
+    the rest and of the token ids; then the table (document ids and lengths, compressed) and the coded ids."""
+    ids = np.array([0 if d is None else d for d in block.doc_ids], "<i8")
+    there = np.array([d is not None for d in block.doc_ids], bool)
+    table = zlib.compress(ids.tobytes() + there.tobytes() + np.asarray(block.lengths).astype("<u8").tobytes(), 1)
+    fields = (MAGIC, VERSION, len(block.doc_ids), block.part, block.start, len(block.ids), vocabulary, len(table))
+    coded = encode_ids(block.ids, vocabulary)
+    return struct.pack(_HEAD, *fields, _checksum(fields, table + coded, block.ids)) + table + coded
+
+
+def read_block(data: bytes) -> Block:
+    """The block; raises ValueError if it is not one or its checksum fails."""
+    head = struct.calcsize(_HEAD)
     if len(data) < head:
         raise ValueError("a block is cut short")
-    magic, version, _, n, vocabulary, crc, size = struct.unpack_from("<4sHIQIII", data)
+    *fields, crc = struct.unpack_from(_HEAD, data)
+    magic, version, documents, part, start, n, vocabulary, size = fields
     if magic != MAGIC or version != VERSION:
         raise ValueError("not a block of token ids")
-    lengths = np.frombuffer(zlib.decompress(data[head : head + size]), "<u4").astype(np.int64)
-    ids = decode_ids(data[head + size :], n, vocabulary)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != crc or lengths.sum() != n:
+    table = data[head : head + size]
+    try:
+        held = zlib.decompress(table)
+        doc_ids, there = np.frombuffer(held, "<i8", documents), np.frombuffer(held, bool, documents, 8 * documents)
+        lengths = np.frombuffer(held, "<u8", documents, 9 * documents).astype(np.int64)
+        if lengths.sum() != n or not 0 < vocabulary < 1 << ZERO_BITS:
+            raise ValueError("a block's table is broken")
+        ids = decode_ids(data[head + size :], n, vocabulary)
+    except (zlib.error, struct.error, IndexError) as e:
+        raise ValueError("a block is broken") from e
+    if _checksum(fields, data[head:], ids) != crc:
         raise ValueError("a block's checksum fails")
-    return lengths, ids
+    return Block(part, start, [int(d) if t else None for d, t in zip(doc_ids, there, strict=True)], lengths, ids)
 
 
 def write_token_files(
     docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The stored blocks: (part, block, part_start, doc_ids, n_ids, payload), in ascending order of ids.
+    """The stored blocks: (part, block, n_ids, payload), in ascending order of ids.
 
-    ``part`` is a range of ids, ``block`` its place there and ``part_start`` the ids of the range before it.  Null
-    text is empty; each document ends with ``end_id``.  Null ids come first; rows with one id are in order of their
-    texts' hashes and texts.
+    ``part`` is a range of ids and ``block`` its place there.  A payload is a whole block with its documents' ids and
+    its own place; the other columns only spare readers a look into it.  Null text is empty; each document ends with
+    ``end_id``.  Null ids come first; rows with one id are in order of their texts' hashes and texts.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -237,15 +284,13 @@ def write_token_files(
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = PieceTokenizer.get(spec.value)
         vocabulary = max(tokenizer.tokenizer.get_vocab_size(), end_id + 1)
-        part, block, start, held, doc_ids, coded = TaskContext.get().partitionId(), 0, 0, 0, [], []
+        part, number, start, held, doc_ids, coded = TaskContext.get().partitionId(), 0, 0, 0, [], []
 
         def close() -> pa.RecordBatch:
-            ids = np.concatenate(coded).astype(np.int64)
-            payload = write_block(np.array([len(x) for x in coded]), ids, vocabulary)
-            names = ["part", "block", "part_start", "doc_ids", "n_ids", "payload"]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            row = [part, block, start, doc_ids, len(ids), payload]
-            return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+            payload = write_block(Block(part, start, doc_ids, np.array([len(x) for x in coded]), np.concatenate(coded)), vocabulary)
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+            row = [part, number, held, payload]
+            return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["part", "block", "n_ids", "payload"])
 
         for batch in slices(batches, 1 << 14, 8 << 20):
             found, bounds = tokenizer.encode(batch.column("text"), end_id)
@@ -255,38 +300,38 @@ def write_token_files(
                 held += len(ids)
                 if held >= BLOCK_IDS:
                     yield close()
-                    block, start, held, doc_ids, coded = block + 1, start + held, 0, [], []
+                    number, start, held, doc_ids, coded = number + 1, start + held, 0, [], []
         if doc_ids:
             yield close()
 
-    schema = "part int, block int, part_start long, doc_ids array<long>, n_ids long, payload binary"
-    return stored(ordered.mapInArrow(write, schema), "token-blocks")
+    return stored(ordered.mapInArrow(write, "part int, block int, n_ids long, payload binary"), "token-blocks")
 
 
-def read_token_files(blocks: DataFrame) -> DataFrame:
-    """A row per document read back from the blocks: doc_id, start, n_tokens, ids_crc32, ids."""
+def read_token_files(blocks: DataFrame, with_ids: bool = True) -> DataFrame:
+    """A row per document read back from the blocks: doc_id, start, n_tokens, ids_crc32 and, if wanted, ids."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
-            row = batch.to_pylist()[0]
-            lengths, ids = read_block(row["payload"])
-            raw = ids.astype("<u4")
-            ends = np.cumsum(lengths)
-            starts = ends - lengths
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(raw.view("<i4")))
+            block = read_block(batch.column("payload")[0].as_py())
+            n = len(block.lengths)
+            raw = block.ids.astype("<u4")
+            ends = np.cumsum(block.lengths)
+            starts = ends - block.lengths
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             columns = [
-                pa.array([row["part"]] * len(lengths), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
-                pa.array(starts + row["part_start"]), pa.array(lengths), pa.array(crc, pa.int64()), lists,
+                pa.array([block.part] * n, pa.int32()), pa.array(block.doc_ids, pa.int64()),
+                pa.array(starts + block.start), pa.array(block.lengths), pa.array(crc, pa.int64()),
             ]
-            yield pa.record_batch(columns, names=["part", "doc_id", "place", "n_tokens", "ids_crc32", "ids"])
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(raw.view("<i4"))))
+            yield pa.record_batch(columns, names=["part", "doc_id", "place", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
     # A row per range: where it starts among all ids.
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = stored(parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "token-parts")
-    schema = "part int, doc_id long, place long, n_tokens long, ids_crc32 long, ids array<int>"
-    read_back = blocks.select("part", "part_start", "doc_ids", "payload").mapInArrow(read, schema)
+    schema = "part int, doc_id long, place long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    read_back = blocks.select("payload").mapInArrow(read, schema)
     return read_back.join(F.broadcast(bases), "part").select(
-        "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids
     )
