@@ -18,7 +18,7 @@ __all__ = ["discard", "shared_dir", "stored"]
 ASCII_SPACE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Text bytes that one Arrow batch may hold before it reaches Python.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -32,7 +32,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z; other letters stay."""
-    return F.translate(c, UPPER, LOWER)
+    # lower() is much the faster and says the same of text that is ASCII throughout.
+    return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def id_hash(c: Column) -> Column:

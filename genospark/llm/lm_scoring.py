@@ -10,8 +10,9 @@ are broadcast, the rest are counted by document and joined.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_hash, lower_ascii, shuffle_width, slices, stored
+from .common import bound_batches, id_hash, shuffle_width, slices, stored
 
 #: Bytes of context at most, and contexts that ``fit_tree`` keeps at most (a row of 256 floats each).
 DEPTH, MAX_CONTEXTS = 5, 1 << 15
@@ -34,6 +35,35 @@ END = 0xFF  # ends a text; UTF-8 has no such byte
 _FLUSH = 2_000_000
 
 
+#: Bytes of text whose positions are worked on at a time; longer texts come in several segments.
+SEGMENT = 2 << 20
+
+
+def _segments(lows: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(context << 8 | byte) of the coded positions of all texts, END included, and the text of each: some SEGMENT
+    positions at a time, so memory doesn't follow the longest text."""
+    held, rows, size = [], [], 0
+
+    def out() -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(held), np.uint8)
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        code = _contexts(data, np.cumsum(sizes) - sizes + depth, depth)
+        return code, np.repeat(np.array(rows), sizes - depth)
+
+    for row, text in enumerate(lows):
+        for at in range(0, len(text) + 1, SEGMENT):
+            before = text[max(at - depth, 0) : at].rjust(depth, b"\0")
+            part = text[at : at + SEGMENT]
+            held.append(before + part + (b"\xff" if at + SEGMENT > len(text) else b""))
+            rows.append(row)
+            size += len(part)
+            if size >= SEGMENT:
+                yield out()
+                held, rows, size = [], [], 0
+    if held:
+        yield out()
+
+
 def _codes(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts with ``depth`` zeros before and END after each, and where each text's bytes start."""
     pad = bytes(depth)
@@ -54,48 +84,75 @@ def _contexts(data: np.ndarray, starts: np.ndarray, depth: int = DEPTH) -> np.nd
     return code[coded[depth:]]
 
 
-def count_pairs(texts: DataFrame) -> DataFrame:
-    """(pair long, k long, n long) over all texts in column ``low`` (binary, lower-cased): context << 8 | byte, its
-    places in texts to score (``ask``) and in training texts (``learn``)."""
+def count_texts(texts: DataFrame) -> DataFrame:
+    """(is_word, key long, k long, n long) over all texts in column ``raw`` (binary), in one pass.
+
+    A key is context << 8 | byte, or the 64-bit hash of a word; ``k`` counts its places in texts to score (``ask``,
+    pairs only), ``n`` those in training texts (``learn``).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        words: Counter = Counter()
 
         def total() -> tuple[np.ndarray, ...]:
             code, k, n = (np.concatenate(c) for c in zip(*held, strict=True))
             unique, at = np.unique(code, return_inverse=True)
             return unique, *(np.bincount(at, x, len(unique)).astype(np.int64) for x in (k, n))
 
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c.astype(np.int64)) for c in total()], names=["pair", "k", "n"])
+        def row(is_word: bool, *columns: np.ndarray) -> pa.RecordBatch:
+            made = [pa.array(np.full(len(columns[0]), is_word)), *[pa.array(c.astype(np.int64)) for c in columns]]
+            return pa.record_batch(made, names=["is_word", "key", "k", "n"])
+
+        def all_words() -> pa.RecordBatch:
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+            return row(True, keys, np.zeros(len(words)), np.fromiter(words.values(), np.int64, len(words)))
 
         for batch in slices(batches):
-            lows = batch.column("low").to_pylist()
-            uses = list(zip(batch.column("ask").to_pylist(), batch.column("learn").to_pylist(), strict=True))
-            for use in sorted(set(uses)):
-                data, starts = _codes([t for t, u in zip(lows, uses, strict=True) if u == use])
-                code, times = np.unique(_contexts(data, starts), return_counts=True)
-                held.append((code, times * use[0], times * use[1]))
-                size += len(code)
-            if size > _FLUSH:
-                held = [total()]
-                size = len(held[0][0])
-                if size > _FLUSH // 2:
-                    yield out()
-                    held, size = [], 0
+            lows = [t.lower() for t in batch.column("raw").to_pylist()]
+            ask, learn = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ask", "learn"))
+            for low, use in zip(lows, learn, strict=True):
+                if use:
+                    words.update(_words(low))
+                    if len(words) > 400_000:
+                        yield all_words()
+                        words.clear()
+            for code, at in _segments(lows):
+                for use in {*zip(ask.tolist(), learn.tolist(), strict=True)}:
+                    own = code[((ask == use[0]) & (learn == use[1]))[at]]
+                    own, times = np.unique(own, return_counts=True)
+                    held.append((own, times * use[0], times * use[1]))
+                    size += len(own)
+                if size > _FLUSH:
+                    held = [total()]
+                    size = len(held[0][0])
+                    if size > _FLUSH // 2:
+                        yield row(False, *held[0])
+                        held, size = [], 0
         if held:
-            yield out()
+            yield row(False, *total())
+        yield all_words()
+
+    found = texts.mapInArrow(count, "is_word boolean, key long, k long, n long")
+    return found.groupBy("is_word", "key").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
 
-    found = texts.mapInArrow(count, "pair long, k long, n long")
-    return found.groupBy("pair").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
+
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(pair, k, n) of ``count_texts``."""
+    return count_texts(texts).where("not is_word").select(F.col("key").alias("pair"), "k", "n")
 
 
 def count_contexts(texts: DataFrame) -> DataFrame:
-    """(context long, byte int, n long) over all texts in column ``low`` (binary, lower-cased)."""
-    pairs = count_pairs(texts.select("low", F.lit(False).alias("ask"), F.lit(True).alias("learn")))
+    """(context long, byte int, n long) over all texts in column ``raw`` (binary)."""
+    pairs = count_pairs(texts.select("raw", F.lit(False).alias("ask"), F.lit(True).alias("learn")))
     return pairs.select(F.shiftright("pair", 8).alias("context"), F.col("pair").bitwiseAND(F.lit(255)).cast("int").alias("byte"), "n")
 
 
+def _words(low: bytes) -> Iterable[bytes]:
+    """Runs of anything but ASCII white space; of a very long text one at a time."""
+    return low.split() if len(low) < 8 * SEGMENT else (m[0] for m in re.finditer(rb"\S+", low))
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series after a shift by 8; absolute error below 1e-10 for x >= 0.5."""
     shift = np.ones_like(x)
@@ -213,7 +270,7 @@ def build_tree(context: np.ndarray, byte: np.ndarray, n: np.ndarray, by_depth: l
 
 
 def fit_tree(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
-    """Counts all ``texts`` (binary column ``low``) and keeps the most frequent contexts, closed under suffixes.
+    """Counts all ``texts`` (binary column ``raw``) and keeps the most frequent contexts, closed under suffixes.
 
     A tree for one machine's memory; ``lm_score`` uses ``predict_pairs``, which keeps every context.
     """
@@ -248,7 +305,7 @@ def fit_tree(texts: DataFrame, max_contexts: int = MAX_CONTEXTS) -> Tree:
     return build_tree(context, byte, n, by_depth)
 
 
-def _subtree_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+def _subtree_groups(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[list[np.ndarray]]:
     """pair, k and n of whole groups (pairs that share CUT bytes of suffix), from batches in order of the suffix."""
     held, size, due = [], 0, least
     for batch in batches:
@@ -377,7 +434,7 @@ class PairTable:
     """Pairs and their logs in open slots, those given first nearest to their first slot."""
 
     def __init__(self, pairs: np.ndarray, logs: np.ndarray):
-        bits = max(4, int(2 * len(pairs)).bit_length())
+        bits = max(4, int(2 * len(pairs) - 1).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
         self.pairs, self.logs = np.full(1 << bits, -1, np.int64).view(np.uint64), np.zeros(1 << bits, np.float32)
         pairs = pairs.astype(np.uint64)
@@ -422,27 +479,6 @@ def _hot_pairs(predicted: DataFrame) -> PairTable:
     return PairTable(found["pair"].to_numpy()[order], found["log"].to_numpy()[order])
 
 
-def count_words(texts: DataFrame) -> DataFrame:
-    """(word, n): 64-bit hashes of words and their counts over all texts in column ``low``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = np.fromiter(map(xxhash.xxh3_64_intdigest, held), np.uint64, len(held)).view(np.int64)
-            return pa.record_batch([pa.array(words), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-
-        for batch in slices(batches):
-            for low in batch.column("low").to_pylist():
-                held.update(low.split())
-            if len(held) > 500_000:
-                yield out()
-                held.clear()
-        yield out()
-
-    return texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def lm_score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores ``docs`` by models learned from ``training`` (both with an id and a text).
 
@@ -456,21 +492,22 @@ def lm_score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
 
 
 def _texts(rows: DataFrame, ask: Column, learn: Column, text_col: str = "text") -> DataFrame:
-    return rows.select(_low(F.col(text_col)).alias("low"), ask.alias("ask"), learn.alias("learn"))
+    return rows.select(_raw(F.col(text_col)).alias("raw"), ask.alias("ask"), learn.alias("learn"))
 
 
 def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``lm_score`` from ``texts`` that say which of them to learn from and which will be scored."""
     spark = docs.sparkSession
     bound_batches(spark)
-    learned = training.select(_low(F.col(text_col)).alias("low"))
     ends = training.count()
-    words = stored(count_words(learned), "lm-words")
+    counted = stored(count_texts(texts), "lm-counts")
+    words = counted.where("is_word").select(F.col("key").alias("word"), "n")
+    pairs_of = counted.where("not is_word").select(F.col("key").alias("pair"), "k", "n")
     facts = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train, vocabulary = facts["n"] + ends, facts["v"] + (ends > 0)
     unit = float(np.log10(n_train + vocabulary + 1))
     hot = words.orderBy(F.desc("n"), "word").limit(HOT_WORDS).toArrow()
-    predicted = stored(predict_pairs(stored(count_pairs(texts), "lm-pairs")), "lm-predicted")
+    predicted = stored(predict_pairs(pairs_of), "lm-predicted")
     table = _hot_pairs(predicted)
     told = spark.sparkContext.broadcast((hot["word"].to_numpy().view(np.uint64), np.log10(hot["n"].to_numpy() + 1.0), table))
     end_log = float(np.log10(ends + 1))
@@ -481,32 +518,34 @@ def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str
         digest = xxhash.xxh3_64_intdigest
         seen: dict[bytes, tuple[int, float]] = {}
         for batch in slices(batches, 256):
-            ids, lows = batch.column("doc_id").to_pylist(), batch.column("low").to_pylist()
-            code = _contexts(*_codes(lows))
-            position_logs, cold = table.look(code)
-            first = np.cumsum([0] + [len(t) + 1 for t in lows])
-            logs = np.add.reduceat(position_logs, first[:-1], dtype=np.float64)
-            row = (np.searchsorted(first, cold, "right") - 1).astype(np.uint64)
-            cold, times = np.unique(row << np.uint64(48) | code[cold], return_counts=True)
+            ids, lows = batch.column("doc_id").to_pylist(), [t.lower() for t in batch.column("raw").to_pylist()]
+            logs, lacking = np.zeros(len(lows)), []
+            for code, at in _segments(lows):
+                position_logs, cold = table.look(code)
+                logs += np.bincount(at, position_logs, len(lows))
+                lacking.append(np.unique(at[cold].astype(np.uint64) << np.uint64(48) | code[cold], return_counts=True))
+            cold, times = (np.concatenate(c) for c in zip(*lacking, strict=True))
             rare, row_of = [], []
             summary = []
             for at, text in enumerate(lows):
-                tokens = text.split()
+                tokens = Counter(_words(text))
                 known, total = int(ends > 0), end_log
-                for word, k in Counter(tokens).items():
+                for word, k in tokens.items():
                     entry = seen.get(word)
                     if entry is None:
                         if len(seen) > 300_000:
                             seen.clear()
                         h = digest(word)
-                        entry = seen[word] = (h, log_of.get(h, -1.0))
+                        entry = h, log_of.get(h, -1.0)
+                        if len(word) <= 64:
+                            seen[word] = entry
                     if entry[1] >= 0:
                         known += k
                         total += k * entry[1]
                     else:
                         rare.append((entry[0], k))
                         row_of.append(at)
-                summary.append((len(tokens) + 1, known, total, float(logs[at]) / np.log(10), len(text) + 1))
+                summary.append((tokens.total() + 1, known, total, float(logs[at]) / np.log(10), len(text) + 1))
             key = [xxhash.xxh3_64_intdigest(t) for t in lows]
             # One row for the document itself, under a key of its own, and one for each rare word and each cold pair.
             n_rare, n_cold = len(rare), len(cold)
@@ -521,7 +560,7 @@ def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str
             yield pa.record_batch(columns, names=["doc_id", "text_key", "word", "is_pair", "k", "n_tokens", "known", "log_sum", "score", "n_bytes"])
 
     schema = "doc_id long, text_key long, word long, is_pair boolean, k long, n_tokens long, known long, log_sum double, score double, n_bytes long"
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _low(F.col(text_col)).alias("low")).mapInArrow(score, schema)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _raw(F.col(text_col)).alias("raw")).mapInArrow(score, schema)
     known = words.select("word", F.lit(False).alias("is_pair"), "n", F.lit(None).cast("float").alias("log"))
     pairs = predicted.where("k > 0").select(F.col("pair").alias("word"), F.lit(True).alias("is_pair"), F.lit(None).cast("long").alias("n"), "log")
     met = rows.join(known.unionByName(pairs), ["word", "is_pair"], "left")
@@ -544,8 +583,9 @@ def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str
     return out.drop("_")
 
 
-def _low(text: Column) -> Column:
-    return lower_ascii(F.coalesce(text, F.lit(""))).cast("binary")
+def _raw(text: Column) -> Column:
+    """Bytes, whose ``lower`` in Python concerns A-Z alone."""
+    return F.coalesce(text, F.lit("")).cast("binary")
 
 
 def score_held_out(docs: DataFrame) -> DataFrame:
