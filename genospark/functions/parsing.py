@@ -11,7 +11,7 @@ def parse_value(cell: Column) -> Column:
 
     Java's type suffixes (``1.0d``) are no numbers here.
     """
-    text = F.trim(cell)
+    text = F.btrim(cell, F.lit(" \t\n\r\x0b\x0c"))
     missing = cell.isNull() | F.lower(text).isin("", "nan")
     suffixed = F.lower(text).rlike("[0-9.][df]$")
     bad = F.raise_error(F.concat(F.lit("not a number: "), cell)).cast("double")

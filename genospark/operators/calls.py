@@ -6,9 +6,11 @@ statistics are null, not NaN.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def individuals(calls: DataFrame) -> DataFrame:
     return calls.select("individual").distinct()
@@ -62,14 +64,21 @@ def align(calls: DataFrame, wanted: DataFrame) -> DataFrame:
     return calls.join(wanted.select("individual"), "individual", "left_semi")
 
 
+#: Markers that meet an individual in one row before they are spread out.
+GRID_BLOCK = 1024
+
+
 def _grid(calls: DataFrame, per_marker: DataFrame) -> DataFrame:
     """A row per individual and marker with the marker's columns.  The result itself has that many rows.
 
-    The markers are one array, exploded per individual; the calls join it by the cell's key.
+    Markers are dealt to blocks by hash; individuals meet each block once, and the calls join by the cell's key.
     """
     columns = per_marker.columns
-    markers = per_marker.agg(F.collect_list(F.struct(*columns)).alias("m")).scalar()
-    cells = individuals(calls).select("individual", F.explode(markers).alias("m")).select("individual", *[F.col(f"m.{c}") for c in columns])
+    blocks = max(1, -(-per_marker.count() // GRID_BLOCK))
+    block = F.pmod(F.xxhash64("marker"), F.lit(blocks)).cast("int").alias("_block")
+    markers = per_marker.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias("m"))
+    people = individuals(calls).select("individual", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    cells = people.join(markers, "_block").select("individual", F.explode("m").alias("m")).select("individual", *[F.col(f"m.{c}") for c in columns])
     return cells.join(calls.select("individual", "marker", "dosage"), ["individual", "marker"], "left")
 
 
@@ -101,9 +110,10 @@ def reorder_markers(calls: DataFrame, markers: DataFrame) -> DataFrame:
 
 
 def marker_index(calls: DataFrame) -> DataFrame:
-    """(marker, marker_idx): markers in order of their names, from 0.  A row per marker."""
-    return calls.select("marker").distinct().select("marker", (F.row_number().over(Window.orderBy("marker")) - 1).cast("long").alias("marker_idx"))
+    """(marker, marker_idx): markers in order of their names, from 0."""
+    return numbered(calls.select("marker").distinct(), "marker_idx", "marker")
 
 
 def individual_index(calls: DataFrame) -> DataFrame:
-    return individuals(calls).select("individual", (F.row_number().over(Window.orderBy("individual")) - 1).cast("long").alias("row_idx"))
+    """(individual, row_idx): individuals in order of their names, from 0."""
+    return numbered(individuals(calls), "row_idx", "individual")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .calls import individuals
+from .ranks import numbered
+
 
 def last_values(pheno: DataFrame) -> DataFrame:
     """One value per individual: that of the largest ``row_idx``."""
@@ -16,16 +19,19 @@ def subset(pheno: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(last_values(pheno), "individual")
 
 
+def align(pheno: DataFrame, calls: DataFrame) -> DataFrame:
+    """The last values of the individuals that have calls."""
+    return subset(pheno, individuals(calls))
+
+
 def summary(pheno: DataFrame) -> DataFrame:
     """One row: count, mean, std, min, q25, q50, q75, max.
 
     Quartiles are values by position: n // 4 and 3n // 4 from 0; the median averages the middle two.  One value has
     std 0.  No value is an error.
     """
-    n = pheno.agg(F.count("value").alias("n")).scalar()
-    rank = F.row_number().over(Window.orderBy("value")) - 1
-    # A phenotype has a row per individual, far fewer than calls.
-    placed = pheno.where("value is not null").select("value", rank.alias("at"), n.alias("n"))
+    placed = numbered(pheno.where("value is not null").select("value"), "at", "value")
+    placed = placed.withColumn("n", placed.agg(F.count(F.lit(1)).alias("n")).scalar())
     at = lambda e: F.max(F.when(F.col("at") == F.expr(e), F.col("value")))
     out = placed.agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("std"),
@@ -68,10 +74,14 @@ def rmse(true: str, predicted: str):
 def assign_folds(samples: DataFrame, n_splits: int, seed: int = 0) -> DataFrame:
     """``fold`` from 0: disjoint, covering, and of sizes that differ by one at most, the first ones larger.
 
-    The order is the md5 of seed and id.  A row per individual goes through one window.
+    The order is the md5 of seed and id.
     """
-    order = Window.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("individual"))), "individual")
-    return samples.withColumn("fold", (F.ntile(n_splits).over(order) - 1).cast("long"))
+    placed = numbered(samples, "_at", F.md5(F.concat(F.lit(f"{seed}:"), F.col("individual"))), "individual")
+    n = placed.agg(F.count(F.lit(1)).alias("n")).scalar()
+    placed = placed.withColumn("_size", F.floor(n / n_splits)).withColumn("_more", n % n_splits)
+    wide = "_more * (_size + 1)"  # individuals in the folds of one more
+    fold = F.expr(f"case when _at < {wide} then _at div (_size + 1) else _more + (_at - {wide}) div _size end")
+    return placed.withColumn("fold", fold.cast("long")).drop("_at", "_size", "_more")
 
 
 def marker_correlations(calls: DataFrame, pheno: DataFrame) -> DataFrame:

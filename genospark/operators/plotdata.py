@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def manhattan(results: DataFrame, order: str = "marker") -> DataFrame:
-    """(position, marker, neg_log10): p <= 0 plots as 0.  A row per marker goes through one window."""
-    position = (F.row_number().over(Window.orderBy(order)) - 1).cast("long")
+    """(position, marker, neg_log10): p <= 0 plots as 0."""
     height = F.when(F.col("pvalue") <= 0, 0.0).otherwise(-F.log10("pvalue"))
-    return results.select(position.alias("position"), "marker", height.alias("neg_log10"))
+    return numbered(results, "position", order).select("position", "marker", height.alias("neg_log10"))
 
 
 def pca_points(scores: DataFrame) -> DataFrame:

@@ -5,33 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admixture, cluster, gblup, gwas, pca, pheno, plotdata, qc
-from ..sources.files import array_columns, write_csv, write_parquet
+from ..operators import admixture, cluster, gblup, gwas, pca, plotdata, qc
+from ..sources.files import MATRIX_MARKERS, array_columns, check_calls, genotype_matrix, write_csv, write_parquet
+from ..storage import stored
 
 
 def run_qc(calls: DataFrame, out: str, maf: float = 0.01, call_rate: float = 0.95, hwe_p: float = 1e-6) -> DataFrame:
-    """Writes ``metrics`` (CSV) and ``genotypes`` (parquet, long) and returns the flags."""
-    flags = qc.filter_markers(calls, maf, call_rate, hwe_p)
+    """Writes ``metrics`` (CSV), ``genotypes`` (parquet, long) and ``matrix`` (CSV, ``id`` and a column for each kept
+    marker, where these are MATRIX_MARKERS at most) and returns the flags."""
+    calls = check_calls(calls)
+    flags = stored(qc.filter_markers(calls, maf, call_rate, hwe_p), "qc-flags")
     write_csv(flags.select("marker", "call_rate", "maf", "heterozygosity", "hwe_pvalue"), f"{out}/metrics")
-    write_parquet(qc.apply_filter(calls, flags), f"{out}/genotypes")
+    kept = qc.apply_filter(calls, flags)
+    write_parquet(kept, f"{out}/genotypes")
+    names = flags.where("keep").select("marker").orderBy("marker").limit(MATRIX_MARKERS + 1).collect()
+    if len(names) <= MATRIX_MARKERS:
+        everyone = calls.select(F.col("individual").alias("id")).distinct()  # also those without a kept call
+        matrix = genotype_matrix(qc.apply_filter(calls, flags), [r["marker"] for r in names])
+        write_csv(everyone.join(matrix, "id", "left"), f"{out}/matrix")
     return flags
 
 
 def run_gwas(calls: DataFrame, phenotypes: DataFrame, out: str, cov: DataFrame | None = None, min_call_rate: float = 0.9, impute: bool = True) -> DataFrame:
-    results = gwas.gwas(calls, phenotypes, cov, min_call_rate, impute)
+    results = gwas.gwas(check_calls(calls), phenotypes, cov, min_call_rate, impute)
     write_csv(results, f"{out}/gwas")
     write_csv(plotdata.manhattan(results.where("status = 'ok'")), f"{out}/manhattan")
     return results
 
 
 def run_pca(spark: SparkSession, calls: DataFrame, out: str, n_components: int = 10, scale: bool = True) -> DataFrame:
+    calls = check_calls(calls)
     model, points = pca.fit_transform(spark, calls, n_components, scale)
     write_csv(array_columns(points, "scores", [f"PC{i + 1}" for i in range(model.k)]), f"{out}/scores")
-    write_csv(pca.explained_variance(model.components), f"{out}/variance", single_file=True)
+    shares = pca.explained_variance(model.components).select("component", F.col("ratio").alias("explained_variance_ratio"))
+    write_csv(shares, f"{out}/variance", single_file=True)
     return points
 
 
 def run_gblup(calls: DataFrame, phenotypes: DataFrame, out: str, alpha: float = 1e-3, scale: bool = True, n_splits: int = 5, seed: int = 0) -> DataFrame:
+    calls = check_calls(calls)
     model = gblup.fit_gblup(calls, phenotypes, alpha, scale)
     predictions = gblup.predict(calls, model.markers, model.intercept)
     write_csv(predictions, f"{out}/predictions")
@@ -41,18 +53,16 @@ def run_gblup(calls: DataFrame, phenotypes: DataFrame, out: str, alpha: float =
 
 
 def run_dendrogram(calls: DataFrame, out: str, linkage: str = "average") -> DataFrame:
+    calls = check_calls(calls)
     merges = cluster.named_merges(cluster.dendrogram(calls, linkage), calls)
     write_csv(merges.orderBy("step"), f"{out}/merges", single_file=True)
     return merges
 
 
 def run_admixture(calls: DataFrame, out: str, n_populations: int, max_iter: int = 500, tol: float = 1e-4, seed: int = 0) -> DataFrame:
-    q, p, _ = admixture.fit_admixture(calls, n_populations, max_iter, tol, seed)
+    q, p, _ = admixture.fit_admixture(check_calls(calls), n_populations, max_iter, tol, seed)
     names = [f"cluster_{i + 1}" for i in range(n_populations)]
     write_csv(array_columns(q, "q", names), f"{out}/proportions")
     write_csv(array_columns(p, "p", names), f"{out}/alleles")
     return q
 
-
-def describe_phenotype(phenotypes: DataFrame) -> DataFrame:
-    return pheno.summary(phenotypes.select("individual", F.col("value")))

@@ -31,11 +31,11 @@ def _table(spark: SparkSession, path: str, header: list[str], delimiter: str) ->
     return spark.read.csv(path, schema=schema, header=True, sep=delimiter, maxColumns=max(20_480, len(header) + 1), quote='"', escape='"')
 
 
-def read_genotypes(spark: SparkSession, path: str, index_col: str | None = None, delimiter: str = ",") -> DataFrame:
+def read_genotypes(spark: SparkSession, path: str, index_col: str | None = None, delimiter: str = ",", wide: int = WIDE) -> DataFrame:
     """``calls(individual, marker, dosage)`` of a matrix file: a row per cell, missing cells null.
 
     The index column is the first unless named and may stand anywhere; all others are markers.  Repeated marker names
-    are an error.
+    are an error.  A file of more than ``wide`` columns is cut line by line; cells are read by the same rules.
     """
     header = _header(spark, path, delimiter)
     index = _index(header, index_col, path)
@@ -43,29 +43,31 @@ def read_genotypes(spark: SparkSession, path: str, index_col: str | None = None,
     markers = header[:at] + header[at + 1 :]
     if len(set(markers)) < len(markers):
         raise ValueError(f"{path} repeats a marker name")
-    if len(header) > WIDE:
-        return _wide(spark, path, header, at, delimiter)
-    table = _table(spark, path, header, delimiter)
-    quoted = [F.col(f"`{c.replace('`', '``')}`") for c in (index, *markers)]
-    long = table.unpivot(quoted[0], quoted[1:], "marker", "cell")
-    return long.select(quoted[0].alias("individual"), "marker", parse_value(F.col("cell")).alias("dosage"))
-
-
-def _wide(spark: SparkSession, path: str, header: list[str], at: int, delimiter: str) -> DataFrame:
-    names = spark.sparkContext.broadcast(header)
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = names.value
+    if len(header) > wide:
+        long = _cells(spark, path, header, at, delimiter)
+    else:
+        quoted = [F.col(f"`{c.replace('`', '``')}`") for c in (index, *markers)]
+        table = _table(spark, path, header, delimiter).select(quoted[0].alias("_id"), *quoted[1:])
+        long = table.unpivot("_id", quoted[1:], "marker", "cell").withColumnRenamed("_id", "individual")
+    return long.select("individual", "marker", parse_value(F.col("cell")).alias("dosage"))
+
+
+def _cells(spark: SparkSession, path: str, header: list[str], at: int, delimiter: str) -> DataFrame:
+    """(individual, marker, cell) of a file of very many columns; missing cells at a line's end are null."""
+    told = spark.sparkContext.broadcast(header)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        header = told.value
+        names = pa.array(header[:at] + header[at + 1 :])
         for batch in batches:
             for cells in csv.reader(batch.column("value").to_pylist(), delimiter=delimiter):
-                if not cells or cells == columns:
+                if not cells or cells == header:
                     continue
-                text = [c.strip() for i, c in enumerate(cells) if i != at]
-                dosage = [None if c.lower() in ("", "nan") else float(c) for c in text]
-                markers = [c for i, c in enumerate(columns) if i != at]
-                yield pa.record_batch([pa.array([cells[at]] * len(dosage)), pa.array(markers), pa.array(dosage, pa.float64())], names=["individual", "marker", "dosage"])
+                row = [c or None for c in cells[: len(header)]] + [None] * (len(header) - len(cells))
+                own = pa.array([row[at]] * len(names), pa.string())
+                yield pa.record_batch([own, names, pa.array(row[:at] + row[at + 1 :], pa.string())], names=["individual", "marker", "cell"])
 
-    return spark.read.text(path).mapInArrow(parse, "individual string, marker string, dosage double")
+    return spark.read.text(path).mapInArrow(cut, "individual string, marker string, cell string")
 
 
 def read_phenotypes(spark: SparkSession, path: str, trait: str, index_col: str | None = None, delimiter: str = ",") -> DataFrame:
@@ -90,12 +92,16 @@ def read_covariates(spark: SparkSession, path: str, index_col: str | None = None
     return table.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank", "_row")
 
 
-def read_calls(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with individual, marker and dosage; a repeated cell is an error when ``check_calls`` is applied."""
+def read_calls(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
+    """Parquet with individual, marker and dosage; a repeated cell fails the job.
+
+    The check shuffles every cell once; ``check=False`` leaves it out for tables that are known to be sound.
+    """
     table = spark.read.parquet(path)
     if missing := {"individual", "marker", "dosage"} - set(table.columns):
         raise ValueError(f"{path} lacks {sorted(missing)}")
-    return table.select("individual", "marker", F.col("dosage").cast("double").alias("dosage"))
+    table = table.select("individual", "marker", F.col("dosage").cast("double").alias("dosage"))
+    return check_calls(table) if check else table
 
 
 def check_calls(calls: DataFrame) -> DataFrame:
@@ -106,6 +112,10 @@ def check_calls(calls: DataFrame) -> DataFrame:
     return once.select("individual", "marker", F.when(F.col("n") > 1, repeated).otherwise(F.col("dosage")).alias("dosage"))
 
 
+#: Markers of a matrix that is written with a column for each.
+MATRIX_MARKERS = 5000
+
+
 def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
     """A folder of CSV with headers, overwritten; missing values are empty.  ``single_file`` is for small tables."""
     (df.coalesce(1) if single_file else df).write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
