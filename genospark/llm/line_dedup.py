@@ -1,19 +1,20 @@
 """Line dedup: lines are told apart by hash, in ranges of (hash, document) sorted by position.
 
-The texts don't shuffle with their lines: a line is two 64-bit hashes, its document's key and its position.  The
-result is a bitmap of dropped lines per document, from which ``apply_bitmaps`` makes the kept texts.
+The texts don't shuffle with their lines: a line is two 64-bit hashes, its document's key and its position.  The rows
+of a range stream in order, so the first place of a hash in a document is where the row before is another one's.  The
+result is a compressed bitmap of kept lines per document, from which ``apply_bitmaps`` makes the kept texts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, lower_ascii, shuffle_width, stored
+from .common import ASCII_SPACE, discard, lower_ascii, shuffle_width, stored
 
-#: Repeated lines up to this number are broadcast (two longs each); beyond it they meet the lines by a salted shuffle.
+#: Repeated lines that are broadcast at most (two longs each): the most frequent ones.  Others are each too rare to
+#: make a key of the shuffled join hot.
 BROADCAST_KEYS = 1 << 18
-SALTS = 16
 
 
 def lines_of(text: Column) -> Column:
@@ -33,12 +34,14 @@ def line_bitmaps(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Rows (doc_id, text_hash, drop_bits) for the documents that lose lines.
+    """Rows (doc_id, text_hash, keep_bits) for the documents that lose lines.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents loses its lines in all
-    documents, or in all places but the first by (id, position) with ``keep_first``.  ``drop_bits`` has a bit per
-    line, 64 to a long, up to the last dropped line.  A document is told by its id and its text's hash, so rows
-    that repeat both count as one document, and rows that share only the id count apart.
+    documents, or in all places but the first by (id, position) with ``keep_first``.  ``keep_bits`` is a bitmap of the
+    lines that stay in sorted pieces (word, bits): bit i of piece w is line 64 w + i.  Pieces whose lines all stay are
+    left out, so a document's bitmap is as long as what it loses; bits past its last line are set.  A document is told
+    by its id and its text's hash, so rows that repeat both count as one document, and rows that share only the id
+    count apart.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -48,45 +51,50 @@ def line_bitmaps(
         F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"),
     )
     key = line_key(F.col("line"))
-    lines = lines.where(F.length(key) >= min_chars).select(
-        F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"), "doc_id", "text_hash", "pos"
+    # Stored, so that finding the ranges' bounds reads a narrow table and no text.
+    lines = stored(
+        lines.where(F.length(key) >= min_chars).select(
+            F.xxhash64(key).alias("h1"), F.xxhash64(key, F.lit(1)).alias("h2"), "doc_id", "text_hash", "pos"
+        ),
+        "line-hashes",
     )
     # Ranges of (key, document): the lines of a very common key spread over many ranges, while the lines of one
-    # document with one key stay together, so the grouping below needs no further exchange.
-    ranged = lines.repartitionByRange(shuffle_width(spark), "h1", "h2", "doc_id", "text_hash")
+    # document with one key stay together, so the window below needs no further exchange or sort.
+    group = ["h1", "h2", "doc_id", "text_hash"]
+    ranged = lines.repartitionByRange(shuffle_width(spark), *group).sortWithinPartitions(*group, "pos")
+    before = F.lag("pos").over(Window.partitionBy(*group).orderBy("pos"))
     places = stored(
-        ranged.sortWithinPartitions("h1", "h2", "doc_id", "text_hash", "pos")
-        .groupBy("h1", "h2", "doc_id", "text_hash")
-        .agg(F.sort_array(F.collect_set("pos")).alias("places")),
+        ranged.withColumn("before", before)
+        .where(F.col("before").isNull() | (F.col("before") != F.col("pos")))  # repeated rows have one place
+        .select(*group, "pos", F.col("before").isNull().cast("long").alias("opens")),
         "line-places",
     )
+    discard(lines)
+    # A range gives at most one row for a key here, whatever its lines.
     repeated = stored(
         places.groupBy("h1", "h2")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
-        .where(F.col("n") >= min_docs)
-        .drop("n"),
+        .agg(F.sum("opens").alias("n"), F.min(F.struct("doc_id", "text_hash", "pos")).alias("first"))
+        .where(F.col("n") >= min_docs),
         "line-repeated",
     )
-    if repeated.count() <= BROADCAST_KEYS:
-        found = places.join(F.broadcast(repeated), ["h1", "h2"])
-    else:
-        salt = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).alias("salt")
-        salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        found = places.select("*", salt).join(salted, ["h1", "h2", "salt"])
+    told = repeated.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    # No more than n / t keys have t documents or more.
+    hot_from = 0 if told["keys"] <= BROADCAST_KEYS else told["n"] // max(BROADCAST_KEYS, 1) + 1
+    hot = repeated.where(F.col("n") >= hot_from).drop("n")
+    found = places.join(F.broadcast(hot), ["h1", "h2"])
+    if hot_from:
+        rest = repeated.where(F.col("n") < hot_from).drop("n")
+        found = found.unionByName(places.join(F.broadcast(hot), ["h1", "h2"], "left_anti").join(rest, ["h1", "h2"]))
     if keep_first:
-        is_first = F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))
-        found = found.withColumn("places", F.when(is_first, F.slice("places", 2, F.size("places"))).otherwise(F.col("places")))
+        found = found.where(~F.struct("doc_id", "text_hash", "pos").eqNullSafe(F.col("first")))
     # Whole longs are built before the last exchange: (document, long) then document.
     bits = (
-        found.select("doc_id", "text_hash", F.explode("places").alias("pos"))
-        .groupBy("doc_id", "text_hash", F.expr("pos div 64").cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+        found.groupBy("doc_id", "text_hash", F.expr("cast(pos div 64 as int)").alias("word"))
+        .agg(F.bitwise_not(F.bit_or(F.expr("shiftleft(1L, pos % 64)"))).alias("bits"))
         .groupBy("doc_id", "text_hash")
-        .agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))
+        .agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("keep_bits"))
     )
-    last = F.array_max(F.map_keys("words"))
-    dense = F.transform(F.sequence(F.lit(0), last), lambda w: F.coalesce(F.try_element_at(F.col("words"), w), F.lit(0).cast("long")))
-    return bits.select("doc_id", "text_hash", dense.alias("drop_bits"))
+    return bits
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,22 +103,25 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     Null and empty texts have one empty line, which stays.  Repeated rows get the same bitmap.  The id may be null.
     Columns that are called as the new ones are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "drop_bits", "_id", "_hash", "_text_hash", "_lines", "_kept")
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "drop_bits")
+    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_bits", "_id", "_hash", "_text_hash", "_lines", "_kept")
+    # All pieces in a row up to the last that is held; before the join, so that it is done once a document.
+    gap = "x.word - coalesce(get(keep_bits, i - 1).word, -1) - 1"
+    dense = F.expr(f"flatten(transform(keep_bits, (x, i) -> concat(array_repeat(-1L, {gap}), array(x.bits))))")
+    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), dense.alias("_bits"))
     text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.withColumn("_text_hash", text_hash).join(
         marks, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left"
     )
     lines = lines_of(F.col(text_col))
     stays = F.expr(
-        "filter(_lines, (x, i) -> coalesce((shiftright(get(drop_bits, cast(i div 64 as int)), i % 64) & 1L) = 0L, true))"
+        "filter(_lines, (x, i) -> coalesce((shiftright(get(_bits, cast(i div 64 as int)), i % 64) & 1L) = 1L, true))"
     )
     joined = joined.withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long"))
-    joined = joined.withColumn("_kept", F.when(F.col("drop_bits").isNull(), F.col("_lines")).otherwise(stays))
+    joined = joined.withColumn("_kept", F.when(F.col("_bits").isNull(), F.col("_lines")).otherwise(stays))
     return (
         joined.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
         .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_text_hash", "_hash", "_id", "_lines", "_kept", "drop_bits")
+        .drop("_text_hash", "_hash", "_id", "_lines", "_kept", "_bits")
     )
 
 
