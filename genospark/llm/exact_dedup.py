@@ -1,74 +1,73 @@
 """Exact dedup: two passes of Bloom filtering, after which only possibly repeated rows shuffle.  Pass 1 itself shuffles
-a narrow (slot, count) record for nearly every row.
+narrow (word, bit, count) records for nearly every row.
 
-The filter is a table of 64-bit words, one bit a slot.  Each pass hashes the rows to slots, counts the slots
-(partial sums on the map side) and keeps the slots that more than one row hit.  Rows that miss in either pass
-are surely unique and pass straight through.  The number of slots follows the rows up to ``max_slots``; beyond
-it more unique rows shuffle in vain, but the result stays exact, since digests decide.
+A filter is a table of 64-bit words.  Each pass hashes a row to one word and ``HASHES`` bits of it, counts how many rows
+hit each bit (partial sums on the map side) and keeps the bits that more than one row hit.  A row of which any bit is
+not kept is surely unique and passes straight through.  Where the rows are too many for one filter, their digests are
+dealt to ranges with a filter each, so no filter fills up and none is larger than ``max_slots`` bits.  Digests decide
+in the end: filters only spare work.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, shared_dir, stored
 
-#: Slots of a filter at most: 2^26 bits are a broadcast of at most 2^20 words.
-MAX_SLOTS = 1 << 26
-#: A group above this share of all rows is hot, so that at most 1 / HOT_SHARE groups are broadcast.
+#: Bits of a filter at most (a broadcast of at most 2^22 words), bits for each row, and bits that a row hits.
+MAX_SLOTS = 1 << 28
+SLOTS_PER_ROW, HASHES = 16, 2
+#: A group above this share of a range's rows is hot, so that at most 1 / HOT_SHARE groups are broadcast.
 HOT_SHARE = 0.001
 
 
-def _repeated_slots(rows: DataFrame, slot: Column) -> DataFrame:
-    """Words of a filter whose set bits are the slots hit by more than one row; ``word`` is unique."""
-    hit = rows.groupBy(slot.alias("slot")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return hit.groupBy(F.expr("slot div 64").alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")
-    )
+class _Filter:
+    """The word and the bits of a digest in one pass's filter of ``slots`` bits."""
 
+    def __init__(self, seed: int, slots: int):
+        self.word = F.pmod(F.xxhash64("text_sha256", F.lit(2 * seed)), F.lit(slots // 64))
+        h = F.xxhash64("text_sha256", F.lit(2 * seed + 1))
+        self.bits = [F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int") for i in range(HASHES)]
 
-def _pass_filter(rows: DataFrame, words: DataFrame, slot: Column, flag: str) -> DataFrame:
-    """``flag``: whether the row's bit is set.  The words are bounded by MAX_SLOTS / 64, so they are broadcast."""
-    rows = rows.withColumn("_slot", slot).withColumn("word", F.expr("_slot div 64"))
-    hit = F.coalesce(F.expr("shiftright(bits, cast(_slot % 64 as int)) & 1") == 1, F.lit(False))
-    return rows.join(F.broadcast(words), "word", "left").withColumn(flag, hit).drop("word", "bits", "_slot")
+    def mask(self) -> Column:
+        out = F.lit(0).cast("long")
+        for bit in self.bits:
+            out = out.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit))
+        return out
 
+    def build(self, rows: DataFrame) -> DataFrame:
+        """(word, kept): the bits that more than one row hit; ``word`` is unique."""
+        hits = rows.select(self.word.alias("word"), F.explode(F.array_distinct(F.array(*self.bits))).alias("bit"))
+        twice = hits.groupBy("word", "bit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        return twice.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("kept"))
 
-def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS
-) -> DataFrame:
-    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    def may_repeat(self, rows: DataFrame, words: DataFrame, flag: str) -> DataFrame:
+        """``flag``: whether all of the row's bits are kept.  The words are bounded, so they are broadcast."""
+        rows = rows.withColumn("word", self.word).withColumn("_mask", self.mask())
+        hit = F.coalesce(F.col("kept").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+        return rows.join(F.broadcast(words), "word", "left").withColumn(flag, hit).drop("word", "kept", "_mask")
 
-    Of rows with identical texts the largest id stays.  Null text counts as empty, so all null and empty texts
-    form one group.  Rows that repeat an id with the same text count in the group and are kept or dropped alike.
-    A null id is smaller than any other.  Other columns of the input are not read.  An empty table gives an
-    empty result.
-    """
-    # One scan of the texts; everything after it works on digests.
-    digests = stored(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"),
-        ),
-        "exact-digests",
-    )
-    n = digests.count()
-    slots = 1 << 16
-    while slots < 16 * n and slots < max_slots:
-        slots <<= 1
-    first = F.pmod(F.xxhash64("text_sha256"), F.lit(slots))
-    second = F.pmod(F.xxhash64("text_sha256", F.lit(1)), F.lit(slots))
 
+def possibly_repeated(digests: DataFrame, n: int, max_slots: int = MAX_SLOTS) -> DataFrame:
+    """``digests`` (n rows) with ``repeated``, false only for rows whose digest no other row has."""
+    slots = 1 << 12
+    while slots < SLOTS_PER_ROW * n and slots < max_slots:
+        slots <<= 1
+    first, second = _Filter(0, slots), _Filter(1, slots)
     # Pass 1 over all rows, pass 2 over those that pass 1 could not clear.
-    words1 = _repeated_slots(digests, first)
-    suspects = _pass_filter(digests, words1, first, "seen").where("seen").drop("seen")
-    words2 = stored(_repeated_slots(suspects, second), "exact-words2")
-    words1 = stored(words1, "exact-words1")
-    marked = _pass_filter(_pass_filter(digests, words1, first, "seen1"), words2, second, "seen2").withColumn(
-        "repeated", F.expr("seen1 and seen2")
-    )
+    words1 = stored(first.build(digests), "exact-words1")
+    suspects = first.may_repeat(digests, words1, "seen").where("seen").drop("seen")
+    words2 = stored(second.build(suspects), "exact-words2")
+    marked = second.may_repeat(first.may_repeat(digests, words1, "seen1"), words2, "seen2")
+    return marked.withColumn("repeated", F.expr("seen1 and seen2")).drop("seen1", "seen2")
 
+
+def _grouped(digests: DataFrame, n: int, max_slots: int) -> DataFrame:
+    """Rows (doc_id, keep_id, group_size, text_sha256) of one range of ``n`` digests."""
+    marked = possibly_repeated(digests, n, max_slots)
     unique = marked.where("not repeated").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256"
     )
@@ -90,7 +89,43 @@ def exact_dedup(
         .join(groups.where(F.col("group_size") < hot_from), "text_sha256")
     )
     names = ["doc_id", "keep_id", "group_size", "text_sha256"]
-    out = unique.select(names).unionByName(of_hot.select(names)).unionByName(of_rest.select(names))
+    return unique.select(names).unionByName(of_hot.select(names)).unionByName(of_rest.select(names))
+
+
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_slots: int = MAX_SLOTS
+) -> DataFrame:
+    """One row per input row: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+
+    Of rows with identical texts the largest id stays.  Null text counts as empty, so all null and empty texts
+    form one group.  Rows that repeat an id with the same text count in the group and are kept or dropped alike.
+    A null id is smaller than any other.  Other columns of the input are not read.  An empty table gives an
+    empty result.  ``max_slots`` bounds a filter; more rows than it holds are done range by range.
+    """
+    spark = docs.sparkSession
+    # One scan of the texts; everything after it works on digests.
+    digests = stored(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256"),
+        ),
+        "exact-digests",
+    )
+    n = digests.count()
+    ranges = max(1, -(-n * SLOTS_PER_ROW // max_slots))
+    if ranges == 1:
+        out = _grouped(digests, n, max_slots)
+    else:
+        # A folder for each range; copies of a text are in one range, and nothing shuffles.
+        range_ = F.shiftright(F.conv(F.substring("text_sha256", 1, 8), 16, 10).cast("long") * ranges, 32)
+        path = f"{shared_dir(spark)}/exact-ranges-{uuid.uuid4().hex}"
+        digests.withColumn("range", range_.cast("int")).write.partitionBy("range").parquet(f"{path}/in")
+        dealt = spark.read.schema("doc_id long, text_sha256 string, range int").parquet(f"{path}/in")
+        discard(digests)
+        for k in range(ranges):
+            own = dealt.where(F.col("range") == k).drop("range")
+            _grouped(own, own.count(), max_slots).write.mode("append").parquet(f"{path}/out")
+        out = spark.read.schema("doc_id long, keep_id long, group_size long, text_sha256 string").parquet(f"{path}/out")
     return out.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
