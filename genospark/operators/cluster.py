@@ -8,10 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, stored
-from .calls import individual_index, marker_index, standardized_entries
+from .calls import individual_index, individuals, marker_index, standardized_entries
 
 BLOCK = 256
 LINKAGES = ("average", "single", "complete")
+#: Individuals that distances and trees are made of at most: pairs grow with the square, and the driver keeps a row a merge.
+MAX_INDIVIDUALS = 50_000
+
+
+def _checked(n: int) -> int:
+    if n < 1:
+        raise ValueError("no individuals")
+    if n > MAX_INDIVIDUALS:
+        raise ValueError(f"{n} individuals are over {MAX_INDIVIDUALS}: their pairs are too many")
+    return n
 
 
 def pairwise_distances(calls: DataFrame) -> DataFrame:
@@ -21,7 +31,7 @@ def pairwise_distances(calls: DataFrame) -> DataFrame:
     """
     people = stored(individual_index(calls), "distance-individuals")
     markers = stored(marker_index(calls), "distance-markers")
-    n, m = people.count(), markers.count()
+    n, m = _checked(people.count()), markers.count()
     blocks = -(-n // BLOCK)
     rows = (
         standardized_entries(calls).join(markers, "marker").join(people, "individual")
@@ -68,8 +78,7 @@ def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}")
     spark = pairs.sparkSession
-    if n < 1:
-        raise ValueError("no individuals")
+    _checked(n)
     d = "distance"
     table = stored(pairs.select("a", "b", F.col(d).alias("sum"), F.lit(1).cast("long").alias("cnt"), F.col(d).alias("low"), F.col(d).alias("high")), "tree-pairs")
     value = {"average": F.col("sum") / F.col("cnt"), "single": F.col("low"), "complete": F.col("high")}[linkage]
@@ -106,10 +115,18 @@ def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
 
 
 def dendrogram(calls: DataFrame, linkage: str = "average") -> DataFrame:
-    people = individual_index(calls).count()
+    people = individuals(calls).count()
     return merge_tree(pairwise_distances(calls), people, linkage)
 
 
+def cophenetic(merges: DataFrame, n: int) -> DataFrame:
+    """(a, b, height) for leaves a < b: the distance of the merge that joins them.  n (n - 1) / 2 rows."""
+    inside = stored(members(merges, n), "tree-members")
+    left, right = (inside.select(F.col("id").alias(f"{s}_id"), F.col("leaf").alias(s)) for s in ("left", "right"))
+    both = merges.join(left, "left_id").join(right, "right_id")
+    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), F.col("distance").alias("height"))
+
+
 def members(merges: DataFrame, n: int) -> DataFrame:
     """(id, leaf): the leaves below each cluster, leaves included.
 

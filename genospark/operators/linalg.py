@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Sides above this are not brought to the driver.
-MAX_SIDE = 10_000
+#: Sides above this are not brought to the driver; a task holds one matrix of this side at most (128 MB).  Beyond it
+#: ``top_eigenpairs`` and ``solve_ridge`` work by passes over the rows.
+MAX_SIDE = 4096
 _BLOCK = 256
+#: Entries of sparse rows that a task works on at a time, and rows of a result that travel in one block.
+_ENTRIES, _PART = 1 << 20, 1 << 14
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -50,42 +53,119 @@ def _sum_blocks(table: pa.Table) -> pa.Table:
     return pa.table([*keys, pa.array([total], pa.list_(pa.float64()))], names=["key", "block", "v"])
 
 
-def gram(rows: DataFrame, width: int) -> DataFrame:
+def gram(rows: DataFrame, width: int, keyed: bool = False) -> DataFrame:
     """(key, block, v): the sums over rows of x x' by key, as flattened blocks of 256 rows of the Gram matrix.
 
     ``rows`` has (key int, idx array<int>, v array<double>, fill double), a sparse row each: what is absent is
-    ``fill``.  Each task keeps one matrix per key and emits its blocks once; Spark adds up the blocks.
+    ``fill``.  Each task keeps one matrix, so rows of several keys (``keyed``) are sorted by key; Spark adds up the
+    blocks.
     """
 
+    def blocks(key: int, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for block, first in enumerate(range(0, width, _BLOCK)):
+            flat = total[first : first + _BLOCK].reshape(-1)
+            yield pa.record_batch([pa.array([key], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], names=["key", "block", "v"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held, total = None, np.zeros((0, 0))
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            fill = batch.column("fill").to_numpy()
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
+                keys, fill = (part.column(c).to_numpy() for c in ("key", "fill"))
                 sizes = part.column("idx").value_lengths().to_numpy(zero_copy_only=False)
-                x = np.repeat(fill[at : at + len(sizes), None], width, 1)
+                x = np.repeat(fill[:, None], width, 1)
                 x[np.repeat(np.arange(len(sizes)), sizes), part.column("idx").flatten().to_numpy()] = part.column("v").flatten().to_numpy()
-                for key in np.unique(keys[at : at + len(sizes)]):
-                    own = x[keys[at : at + len(sizes)] == key]
-                    held[int(key)] = held.get(int(key), 0) + own.T @ own
-        for key, total in held.items():
-            for block, first in enumerate(range(0, width, _BLOCK)):
-                flat = total[first : first + _BLOCK].reshape(-1)
-                yield pa.record_batch([pa.array([key], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], names=["key", "block", "v"])
+                for key in np.unique(keys):
+                    own = x[keys == key]
+                    if key != held:
+                        if held is not None:
+                            yield from blocks(held, total)
+                        held, total = int(key), np.zeros((width, width))
+                    total += own.T @ own
+        if held is not None:
+            yield from blocks(held, total)
+
+    ordered = rows.sortWithinPartitions("key") if keyed else rows
+    return ordered.mapInArrow(partial, "key int, block int, v array<double>").groupBy("key", "block").applyInArrow(_sum_blocks, "key int, block int, v array<double>")
+
+
+def collect_gram(blocks: DataFrame, width: int) -> np.ndarray:
+    """The symmetric matrix of the only key; the side is checked before anything is collected."""
+    if width > MAX_SIDE:
+        raise ValueError(f"a side of {width} is over {MAX_SIDE}")
+    found = blocks.select("block", "v").toArrow().sort_by("block")
+    flat = found["v"].combine_chunks().flatten().to_numpy()
+    return flat.reshape(width, width) if len(flat) else np.zeros((width, width))
 
-    return rows.mapInArrow(partial, "key int, block int, v array<double>").groupBy("key", "block").applyInArrow(_sum_blocks, "key int, block int, v array<double>")
 
+def gram_times(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
+    """The sum over sparse rows x (absent entries 0) of x (x' V), by one pass.
 
-def collect_gram(blocks: DataFrame, width: int) -> dict[int, np.ndarray]:
-    """Key -> symmetric matrix; the side is checked before anything is collected."""
-    if width > MAX_SIDE:
-        raise ValueError(f"a side of {width} is over {MAX_SIDE}")
-    found: dict[int, dict[int, np.ndarray]] = {}
-    for row in blocks.collect():
-        found.setdefault(row["key"], {})[row["block"]] = np.array(row["v"]).reshape(-1, width)
-    return {k: np.concatenate([b[i] for i in sorted(b)]) for k, b in found.items()}
+    ``vectors`` has a row per index and few columns; it is broadcast, and each task sends one such matrix in parts.
+    """
+    told = rows.sparkSession.sparkContext.broadcast(vectors)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = told.value
+        total = np.zeros_like(v)
+        for batch in batches:
+            upto = np.cumsum(batch.column("idx").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _ENTRIES, "right")))
+                part = batch.slice(at, end - at)
+                idx, value = part.column("idx").flatten().to_numpy(), part.column("v").flatten().to_numpy()
+                row = np.repeat(np.arange(end - at), np.diff(np.concatenate([[upto[at - 1] if at else 0], upto[at:end]])))
+                for c in range(v.shape[1]):
+                    y = np.bincount(row, value * v[idx, c], end - at)
+                    total[:, c] += np.bincount(idx, value * y[row], len(v))
+                at = end
+        for block, first in enumerate(range(0, len(v), _PART)):
+            flat = total[first : first + _PART].reshape(-1)
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], names=["key", "block", "v"])
+
+    sums = rows.mapInArrow(partial, "key int, block int, v array<double>").groupBy("key", "block").applyInArrow(_sum_blocks, "key int, block int, v array<double>")
+    found = sums.select("block", "v").toArrow().sort_by("block")
+    flat = found["v"].combine_chunks().flatten().to_numpy()
+    return flat.reshape(vectors.shape) if len(flat) else np.zeros_like(vectors)
+
+
+def top_eigenpairs(rows: DataFrame, width: int, k: int, tolerance: float = 1e-10, most: int = 300) -> tuple[np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of the Gram matrix of sparse rows and their vectors (width, k), largest first.
+
+    The matrix itself for sides up to MAX_SIDE; beyond, subspace iteration from a random start with eight vectors to
+    spare, each step one pass over the (stored) rows, until the eigenvalues move by less than ``tolerance`` of
+    themselves.
+    """
+    if width <= MAX_SIDE:
+        values, vectors = np.linalg.eigh(collect_gram(gram(rows, width), width))
+        return values[::-1][:k], vectors[:, ::-1][:, :k]
+    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(width, min(k + 8, width))))[0]
+    before = np.zeros(basis.shape[1])
+    for _ in range(most):
+        moved = gram_times(rows, basis)
+        values, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
+        values, vectors = values[::-1], basis @ turn[:, ::-1]
+        if np.abs(values - before)[:k].max() <= tolerance * max(values[0], 1e-300):
+            break
+        before, basis = values, np.linalg.qr(moved)[0]
+    return values[:k], vectors[:, :k]
+
+
+def solve_ridge(times, right: np.ndarray, alpha: float, tolerance: float = 1e-10, most: int = 2000) -> np.ndarray:
+    """x of (G + alpha I) x = right by conjugate gradients; ``times`` is the product of G with a vector, one pass each."""
+    x, rest = np.zeros_like(right), right.copy()
+    way, size = rest.copy(), rest @ rest
+    enough = tolerance**2 * max(size, 1e-300)
+    for _ in range(most):
+        if size <= enough:
+            break
+        moved = times(way) + alpha * way
+        step = size / (way @ moved)
+        x, rest = x + step * way, rest - step * moved
+        size, old = rest @ rest, size
+        way = rest + size / old * way
+    return x
 
 
 def sparse_rows(entries: DataFrame, row: str, idx: str, value: str, key: str | None = None, fill: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import stored
 from .calls import column_statistics, individual_index, marker_index
-from .linalg import collect_gram, gram, sparse_rows
+from .linalg import sparse_rows, top_eigenpairs
 
 
 @dataclass
@@ -25,7 +25,8 @@ class PCAModel:
 def fit_pca(calls: DataFrame, n_components: int = 10, scale: bool = True) -> PCAModel:
     """The eigenvectors of the covariance of the standardised matrix (missing calls are the mean).
 
-    The Gram matrix of the smaller side is summed on the executors and decomposed on the driver, its size checked.
+    The Gram matrix of the smaller side is summed on the executors and decomposed on the driver, or, where that side is
+    too large, worked on by passes over the rows (``linalg.top_eigenpairs``).
     Each component's loadings sum to 0 or more.  Without ``scale`` the model stores mean 0 and std 1, so scores are
     not centred and a missing call scores 0, while the covariance is centred all the same.
     """
@@ -42,9 +43,8 @@ def fit_pca(calls: DataFrame, n_components: int = 10, scale: bool = True) -> PCA
     by_marker = m <= n
     rows = sparse_rows(entries, "row_idx", "marker_idx", "z") if by_marker else sparse_rows(entries, "marker_idx", "row_idx", "z")
     side = min(n, m)
-    matrix = collect_gram(gram(rows, side), side).get(0, np.zeros((side, side))) / max(n - 1, 1)
-    values, vectors = np.linalg.eigh(matrix)
-    values, vectors = np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
+    values, vectors = top_eigenpairs(stored(rows, "pca-rows"), side, min(k, side))
+    values = np.maximum(values, 0) / max(n - 1, 1)
     if by_marker:
         vectors = vectors * np.where(vectors.sum(0) < 0, -1, 1)
         loadings = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "marker_idx long, loadings array<double>")

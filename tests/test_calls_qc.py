@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from genospark.functions.parsing import parse_value
 from genospark.operators import calls as C
 from genospark.operators import pheno, qc
+from genospark.operators.ranks import numbered
 
 
 def table(df, key, *columns):
@@ -118,3 +119,24 @@ def test_correlation_of_a_constant_is_null(spark):
     df = spark.createDataFrame(rows, "k string, x double, y double")
     found = table(df.groupBy("k").agg(pheno.pearson("x", "y").alias("r")), "k", "r")
     assert found == {"flat": (None,), "one": (None,), "line": (pytest.approx(1.0),)}
+
+
+def test_numbered_positions(spark):
+    rows = spark.createDataFrame([(f"x{i * 37 % 100:03}", i) for i in range(100)], "name string, v int")
+    found = numbered(rows, "at", "name").collect()
+    assert sorted((r["at"], r["name"]) for r in found) == [(i, f"x{i:03}") for i in range(100)]
+    tied = numbered(rows.withColumn("same", F.lit(1)), "at", "same")
+    assert sorted(r["at"] for r in tied.collect()) == list(range(100))
+    assert numbered(rows.where("false"), "at", "name").count() == 0
+
+
+def test_phenotypes_align_to_genotypes(spark, calls, phenotypes):
+    more = phenotypes.union(spark.createDataFrame([("I9", 1.0, 7), ("I1", 99.0, 8)], phenotypes.schema))
+    found = {r["individual"]: r["value"] for r in pheno.align(more, calls).collect()}
+    assert found["I1"] == 99.0 and len(found) == 5 and "I9" not in found
+
+
+def test_a_grid_of_many_blocks_is_whole(calls, monkeypatch):
+    whole = {tuple(r) for r in C.imputed_calls(calls).collect()}
+    monkeypatch.setattr(C, "GRID_BLOCK", 2)
+    assert {tuple(r) for r in C.imputed_calls(calls).collect()} == whole and len(whole) == 20

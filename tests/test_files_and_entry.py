@@ -19,13 +19,24 @@ def path(tmp_path):
     return write
 
 
-def test_read_genotypes(spark, path, monkeypatch):
+def test_read_genotypes(spark, path):
     file = path("g.csv", GENOTYPES)
     expected = {("I1", "M1", 0.0), ("I1", "M2", 1.0), ("I1", "M3", None), (" I2 ", "M1", 1.0), (" I2 ", "M2", None), (" I2 ", "M3", 2.0),
                 ("I3", "M1", 2.0), ("I3", "M2", None), ("I3", "M3", 0.0)}
     assert {tuple(r) for r in files.read_genotypes(spark, file, "id").collect()} == expected
-    monkeypatch.setattr(files, "WIDE", 2)
-    assert {tuple(r) for r in files.read_genotypes(spark, file, "id").collect()} == expected
+    assert {tuple(r) for r in files.read_genotypes(spark, file, "id", wide=2).collect()} == expected
+
+
+@pytest.mark.parametrize("wide", [2, 4000])
+def test_both_ways_of_reading_agree(spark, path, wide):
+    file = path("odd.csv", 'id,M1,M2,M3\nI1,"1",\t,2\n\nI2, 0 ,NaN\nI3,1,2,0,9\n')
+    found = {(r["individual"], r["marker"]): r["dosage"] for r in files.read_genotypes(spark, file, wide=wide).collect()}
+    assert [found["I1", f"M{i}"] for i in (1, 2, 3)] == [1.0, None, 2.0]
+    assert [found["I2", f"M{i}"] for i in (1, 2, 3)] == [0.0, None, None]
+    assert [found["I3", f"M{i}"] for i in (1, 2, 3)] == [1.0, 2.0, 0.0]
+    for bad in ("1_0", "1.0d", "x"):
+        with pytest.raises(PySparkException):
+            files.read_genotypes(spark, path("bad.csv", f"id,M1,M2,M3\nI1,{bad},1,1\n"), wide=wide).collect()
 
 
 def test_reading_errors(spark, path):
@@ -55,8 +66,11 @@ def test_matrix_sink_and_jobs(spark, calls, phenotypes, covariates, tmp_path):
     assert rows["I3"]["M2"] == "" and rows["I3"]["M1"] == "2.0"
     jobs.run_qc(calls, str(tmp_path / "qc"))
     assert spark.read.parquet(str(tmp_path / "qc/genotypes")).count() == 15
+    matrix = spark.read.csv(str(tmp_path / "qc/matrix"), header=True)
+    assert matrix.columns == ["id", "M1", "M3", "M4"] and matrix.count() == 5
     assert jobs.run_gwas(calls, phenotypes, str(tmp_path / "gwas"), covariates).count() == 3
     jobs.run_pca(spark, calls, str(tmp_path / "pca"), 2)
+    assert spark.read.csv(str(tmp_path / "pca/variance"), header=True).columns == ["component", "explained_variance_ratio"]
     jobs.run_gblup(calls, phenotypes, str(tmp_path / "gblup"), n_splits=3)
     jobs.run_dendrogram(calls, str(tmp_path / "tree"))
     jobs.run_admixture(calls, str(tmp_path / "admixture"), 2, max_iter=3)

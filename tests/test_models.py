@@ -97,7 +97,7 @@ def test_block_gram_equals_join(spark):
     z = standardised(x)
     entries = spark.createDataFrame([(i, j, float(z[i, j])) for i in range(30) for j in range(7)], "r long, m int, z double")
     joined = {(r["mi"], r["mj"]): r["v"] for r in linalg.covariance(entries.withColumnRenamed("r", "individual"), 30).collect()}
-    block = linalg.collect_gram(linalg.gram(linalg.sparse_rows(entries, "r", "m", "z"), 7), 7)[0] / 29
+    block = linalg.collect_gram(linalg.gram(linalg.sparse_rows(entries, "r", "m", "z"), 7), 7) / 29
     for (i, j), v in joined.items():
         assert block[i, j] == pytest.approx(v)
 
@@ -131,6 +131,64 @@ def test_dual_ridge_equals_primal(spark):
     assert [r["effect"] for r in model.markers.orderBy("marker").collect()] == pytest.approx(beta)
 
 
+def random_pheno(spark, n):
+    return spark.createDataFrame([(f"I{i:03}", float(i * i % 7)) for i in range(n)], "individual string, value double")
+
+
+@pytest.mark.parametrize(("n", "m"), [(9, 6), (6, 9)])
+@pytest.mark.parametrize("scale", [True, False])
+def test_cross_validation_equals_refits(spark, monkeypatch, n, m, scale):
+    """By markers, by individuals and by conjugate gradients."""
+    x, calls = random_calls(spark, n, m, 31)
+    y = np.array([i * i % 7 for i in range(n)], float)
+    folds = spark.createDataFrame([(f"I{i:03}", i % 3) for i in range(n)], "individual string, fold int")
+    filled = np.where(np.isnan(x), np.nanmean(x, 0), x)
+    expected = np.zeros(n)
+    for f in range(3):
+        train = np.arange(n) % 3 != f
+        mean, std = (filled[train].mean(0), filled[train].std(0, ddof=1)) if scale else (np.zeros(m), np.ones(m))
+        z = (filled - mean) / np.where(std > 0, std, 1)
+        beta = np.linalg.solve(z[train].T @ z[train] + 0.5 * np.eye(m), z[train].T @ y[train])
+        expected[~train] = y[train].mean() + z[~train] @ beta
+    for side in (linalg.MAX_SIDE, 2):
+        monkeypatch.setattr(linalg, "MAX_SIDE", side)
+        _, predictions = gblup.cross_validate(calls, random_pheno(spark, n), 3, 0.5, scale, folds=folds)
+        found = [r["prediction"] for r in predictions.orderBy("individual").collect()]
+        assert found == pytest.approx(expected, abs=1e-6), side
+
+
+@pytest.mark.parametrize(("n", "m"), [(12, 7), (7, 12)])
+def test_large_sides_give_what_small_ones_do(spark, monkeypatch, n, m):
+    _, calls = random_calls(spark, n, m, 17)
+    small, points = pca.fit_transform(spark, calls, 3)
+    ridge = gblup.fit_gblup(calls, random_pheno(spark, n), 0.5)
+    monkeypatch.setattr(linalg, "MAX_SIDE", 4)
+    large, again = pca.fit_transform(spark, calls, 3)
+    values = lambda model: [r["eigenvalue"] for r in model.components.orderBy("component").collect()]
+    assert values(large) == pytest.approx(values(small))
+    scores = lambda df: np.array([r["scores"] for r in df.orderBy("individual").collect()])
+    assert scores(again) == pytest.approx(scores(points), abs=1e-4)
+    effects = lambda model: [r["effect"] for r in model.markers.orderBy("marker").collect()]
+    assert effects(gblup.fit_gblup(calls, random_pheno(spark, n), 0.5)) == pytest.approx(effects(ridge), abs=1e-7)
+    with pytest.raises(ValueError, match="over 4"):
+        linalg.collect_gram(spark.createDataFrame([], "block int, v array<double>"), 5)
+
+
+def test_too_many_individuals_for_a_tree_are_an_error(calls, monkeypatch):
+    monkeypatch.setattr(cluster, "MAX_INDIVIDUALS", 4)
+    with pytest.raises(ValueError, match="over 4"):
+        cluster.dendrogram(calls)
+
+
+def test_cophenetic_heights_are_minimax_paths(spark):
+    x, calls = random_calls(spark, 9, 6, 4)
+    d = np.sqrt(((standardised(x)[:, None] - standardised(x)[None]) ** 2).sum(2))
+    for _ in range(4):
+        d = np.minimum(d, np.maximum(d[:, :, None], d[None]).min(1))
+    found = {(r["a"], r["b"]): r["height"] for r in cluster.cophenetic(cluster.dendrogram(calls, "single"), 9).collect()}
+    assert len(found) == 36 and all(h == pytest.approx(d[a, b]) for (a, b), h in found.items())
+
+
 MERGES = {
     "average": [("I2", "I5", 1.71130694), ("I1", "I2;I5", 2.18648886), ("I1;I2;I5", "I3", 2.77177123), ("I1;I2;I3;I5", "I4", 3.05345308)],
     "single": [("I2", "I5", 1.71130694), ("I1", "I2;I5", 1.85164020), ("I1;I2;I5", "I3", 2.20389266), ("I1;I2;I3;I5", "I4", 2.93987366)],
