@@ -9,8 +9,10 @@ Jaccard similarity t share a token within their first ``n - ceil(t n) + 1`` ones
   regions may differ in no more tokens than the whole sets may; only pairs that pass all are verified.
 
 Sets that are equal are one class and are compared once.  Buckets of a few sets give pairs.  Larger ones, such as
-groups of near copies, don't: their sets are verified against one central leader, and only those that are not linked
-to it are compared with the rest, in blocks inside tasks that emit links, not pairs.
+groups of near copies, don't: their sets are verified against one central leader.  What is then still apart from most
+of its bucket is filtered again, under an order of the bucket's own: tokens that the leader lacks come first.  A set
+that the leader does not link has more of these than its prefix holds, so it meets only sets that share them; such
+sub-buckets give pairs of sets that no link connects so far, or are compared in blocks inside tasks.
 """
 
 from __future__ import annotations
@@ -23,25 +25,31 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, lower_ascii, slices, stored
+from .common import bound_batches, discard, slices, stored
 from .components import components
-from .exact_dedup import MAX_SLOTS
 
 SHINGLE = 5
+#: Bits of the tables that spare the shuffle rows that surely don't matter (a broadcast of 2^20 words).
+MAX_SLOTS = 1 << 26
 PERCENT = 80
 #: Sets that a bucket may hold to give pairs; larger ones go by a leader.
 COLD = 12
+#: Pairs that share a side are a hot key above this number and above 1 / HOT_KEYS of all pairs.
+HOT_PAIRS, HOT_KEYS = 2000, 512
 #: Tokens that a block of a large bucket holds at about most.
 BLOCK_TOKENS = 400_000
 #: The low hash region is a quarter of all hashes.
 _LOW = np.uint64(1 << 62)
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-_REMEMBER = 400_000
+#: Words that a worker remembers, and their bytes at most.
+_REMEMBER, _LONGEST = 400_000, 64
 
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= _LONGEST:
+            self[word] = found
         return found
 
 
@@ -79,7 +87,7 @@ def prefix_length(n: int, percent: int) -> int:
 def _sets(batch: pa.RecordBatch, hashes: _WordHashes, k: int) -> list[np.ndarray]:
     if len(hashes) > _REMEMBER:
         hashes.clear()
-    return [shingles(low.split(), hashes, k) for low in batch.column("low").to_pylist()]
+    return [shingles(raw.lower().split(), hashes, k) for raw in batch.column("raw").to_pylist()]  # A-Z alone become lower
 
 
 def _profiles(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -128,13 +136,24 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
     return full.select("*", lone).select("node", "n", "lone", F.explode(F.concat(of_low, beyond)).alias("token"))
 
 
+def _meet(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
+    """``pairs`` (stored) joined with ``table`` on ``side``.  A side that very many pairs share, such as the leader of a
+    large bucket, meets them by broadcast: there are HOT_KEYS of them at most."""
+    hot_from = max(HOT_PAIRS, pairs.count() // HOT_KEYS)
+    hot = stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_from).select(side), "join-hot")
+    if hot.isEmpty():
+        return pairs.join(table, side)
+    of_hot = pairs.join(F.broadcast(table.join(F.broadcast(hot), side)), side)
+    return of_hot.unionByName(pairs.join(F.broadcast(hot), side, "left_anti").join(table, side))
+
+
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) whose prefixes meet under orders 1 and 2 and whose low regions are near enough."""
     p = F.expr(f"cast(n - ceil({percent} * n / 100.0D) + 1 as int)")
     facts = reps.select("node", "n", "n_low", "low", "high", p.alias("p"))
     left = facts.select(*[F.col(c).alias(f"{c}_x") for c in facts.columns]).withColumnRenamed("node_x", "x")
     right = facts.select(*[F.col(c).alias(f"{c}_y") for c in facts.columns]).withColumnRenamed("node_y", "y")
-    both = pairs.join(left, "x").join(right, "y")
+    both = _meet(pairs, left, "x").join(right, "y")
     both = both.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
     both = both.where("arrays_overlap(slice(low_x, 1, p_x), slice(low_y, 1, p_y)) and arrays_overlap(high_x, high_y)")
     # |A xor B| <= (100 - t) / (100 + t) * (|A| + |B|) holds for the whole sets, so for their low regions too.
@@ -143,19 +162,19 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (x, y) among the pairs, by the whole sets."""
-    with_x = pairs.join(sets.select(F.col("node").alias("x"), F.col("tokens").alias("tokens_x")), "x")
+    """Links (x, y) among the pairs (stored), by the whole sets."""
+    with_x = _meet(pairs, sets.select(F.col("node").alias("x"), F.col("tokens").alias("tokens_x")), "x")
     both = with_x.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("tokens_y")), "y")
     common = F.size(F.array_intersect("tokens_x", "tokens_y"))
     return both.withColumn("i", common).where(f"100 * i >= {percent} * (n_x + n_y - i)").select("x", "y")
 
 
 def _block_links(percent: int):
-    """Links of one block of sets that no leader links with one block of the leader's bucket: a spanning forest."""
+    """Links of one block of a sub-bucket's sets with another: a spanning forest over what is connected so far."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        node, linked = table["node"].to_numpy(), table["linked"].to_numpy(zero_copy_only=False)
+        node, comp = table["node"].to_numpy(), table["comp"].to_numpy()
         tokens = table["tokens"].combine_chunks()
         sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         _, flat = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
@@ -164,7 +183,7 @@ def _block_links(percent: int):
         members = np.flatnonzero(side == 1)
         where = np.concatenate([np.arange(ends[m] - sizes[m], ends[m]) for m in members]) if len(members) else np.zeros(0, np.int64)
         flat_m, starts = flat[where], np.cumsum(sizes[members]) - sizes[members]
-        group = {int(n): int(n) for n in node}
+        group = {int(c): int(c) for c in comp}
 
         def root(n: int) -> int:
             while group[n] != n:
@@ -172,11 +191,6 @@ def _block_links(percent: int):
                 n = group[n]
             return n
 
-        # All that the leader links are one group already.
-        first = None
-        for n in node[linked]:
-            first = int(n) if first is None else first
-            group[root(int(n))] = root(first)
         out = []
         for u in np.flatnonzero(side == 0) if len(members) else []:
             own = flat[ends[u] - sizes[u] : ends[u]]
@@ -184,16 +198,68 @@ def _block_links(percent: int):
             common = np.add.reduceat(mark[flat_m].astype(np.int32), starts)
             mark[own] = False
             near = members[100 * common >= percent * (sizes[members] + sizes[u] - common)]
-            for other in node[near]:
-                a, b = root(int(node[u])), root(int(other))
+            for other in near:
+                a, b = root(int(comp[u])), root(int(comp[other]))
                 if a != b:
                     group[a] = b
-                    out.append((int(node[u]), int(other)))
+                    out.append((int(node[u]), int(node[other])))
         return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
 
+def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (x, y) of large buckets' sets that ``links`` do not yet connect with most of their bucket."""
+    nodes = clusters.select("node").distinct()
+    known = components(links, links.select(F.col("x").alias("node")).union(links.select("y")).distinct().withColumn("id", F.col("node")))
+    comp = nodes.join(known, "node", "left").select("node", F.coalesce("component_id", "node").alias("comp"))
+    placed = stored(clusters.join(comp, "node"), "join-placed-comp")
+    by_comp = placed.groupBy("leader", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = by_comp.groupBy("leader").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+    split = stored(split.drop("comps"), "join-split")
+    if split.isEmpty():
+        discard(placed, split)
+        return links.limit(0)
+    # The leader's tokens are those that come last; leaders of large buckets meet their members by broadcast.
+    told = split.join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("of_leader")), "leader")
+    members = _meet(placed, told, "leader").join(sets, "node")
+    p = F.expr(f"cast(size(tokens) - ceil({percent} * size(tokens) / 100.0D) + 1 as int)")
+    order = F.concat(F.array_except("tokens", "of_leader"), F.array_intersect("tokens", "of_leader"))
+    postings = members.select(
+        "leader", "node", "comp", (F.col("comp") != F.col("main")).alias("other"), F.size("tokens").cast("long").alias("n"),
+        F.explode(F.slice(order, F.lit(1), p)).alias("token"),
+    )
+    postings = stored(postings.select(F.xxhash64("leader", "token").alias("key"), "node", "comp", "other", "n").distinct(), "join-sub-postings")
+    keys = postings.groupBy("key").agg(
+        F.count_if("other").alias("others"), F.sum("n").alias("load"), F.sum(F.when(F.col("other"), F.col("n"))).alias("other_load"),
+        (F.min("comp") != F.max("comp")).alias("mixed"),
+    ).where("mixed")
+    keys = stored(keys.where("others > 0").drop("mixed"), "join-sub-keys")
+    # A few sets with all others of their sub-bucket: at most COLD times as many pairs as the sub-bucket has sets.
+    few = keys.where(F.col("others") <= COLD).select("key")
+    a = postings.where("other").join(few, "key").select("key", F.col("node").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_x"))
+    b = postings.select("key", F.col("node").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_y"))
+    near = a.join(b, "key").where(f"c_x != c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    pairs = stored(near.select("x", "y").distinct(), "join-sub-pairs")
+    pairs = stored(_filtered(pairs, reps, percent), "join-sub-near")
+    found = _verified(pairs, sets, percent)
+    # The rest of them, block by block.
+    blocks = lambda load: F.ceil(F.col(load) / BLOCK_TOKENS).cast("int")
+    many = stored(keys.where(F.col("others") > COLD).select("key", blocks("load").alias("blocks"), blocks("other_load").alias("other_blocks")), "join-sub-many")
+    if not many.isEmpty():
+        loaded = _meet(postings, many, "key").join(sets, "node")
+        block = lambda of: F.expr(f"cast(pmod(xxhash64(node), {of}) as int)")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        columns = ["key", "i", "j", "side", "node", "comp", "tokens"]
+        left = loaded.where("other").withColumn("i", block("other_blocks")).withColumn("j", every("blocks")).withColumn("side", F.lit(0))
+        all_ = loaded.withColumn("j", block("blocks")).withColumn("i", every("other_blocks")).withColumn("side", F.lit(1))
+        both = left.select(columns).unionByName(all_.select(columns))
+        found = found.union(both.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "x long, y long"))
+    found = stored(found, "join-sub-links")
+    discard(placed, split, postings, keys, pairs, many)
+    return found
+
+
 def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Links (x, y) between classes, enough of them to connect whatever is connected."""
     spark = docs.sparkSession
@@ -207,8 +273,11 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = a.join(b, "token").where(f"x < y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").select("x", "y")
     clusters = stored(placed.where(F.col("size") > COLD).select("leader", "node").distinct(), "join-clusters")
     stars = clusters.where("leader != node").select(F.col("leader").alias("x"), F.col("node").alias("y"))
+    stars = stored(stars, "join-star-candidates")
+    pairs = stored(pairs.distinct(), "join-cold-candidates")
     star_pairs = stored(_filtered(stars, reps, percent), "join-stars")
-    cold_pairs = stored(_filtered(pairs.distinct(), reps, percent), "join-pairs")
+    cold_pairs = stored(_filtered(pairs, reps, percent), "join-pairs")
+    discard(postings, placed, stars, pairs)
 
     # Whole sets of the documents that take part, by a second scan; a bounded bit table picks the documents.
     taking = (
@@ -221,7 +290,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     )
     picked = (
         docs.withColumn("_slot", F.pmod(F.xxhash64("doc_id"), F.lit(MAX_SLOTS))).withColumn("word", F.expr("_slot div 64"))
-        .join(F.broadcast(stored(bits, "join-doc-bits")), "word").where("shiftright(bits, cast(_slot % 64 as int)) & 1 = 1").select("low")
+        .join(F.broadcast(stored(bits, "join-doc-bits")), "word").where("shiftright(bits, cast(_slot % 64 as int)) & 1 = 1").select("raw")
     )
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,28 +304,10 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     sets = picked.mapInArrow(whole, "node long, tokens array<long>")
     sets = stored(sets.join(taking.select("node"), "node", "left_semi").dropDuplicates(["node"]), "join-sets")
 
-    cold_links = _verified(cold_pairs, sets, percent)
-    star_links = stored(_verified(star_pairs, sets, percent), "join-star-links")
-    # What its leader does not link is compared with the whole bucket, block by block.
-    linked = star_links.select(F.col("x").alias("leader"), F.col("y").alias("node"), F.lit(True).alias("linked"))
-    members = clusters.join(linked, ["leader", "node"], "left").withColumn(
-        "linked", F.coalesce("linked", F.col("leader") == F.col("node"))
-    )
-    members = members.join(sets, "node").withColumn("m", F.size("tokens"))
-    members = stored(members, "join-members")
-    loads = members.groupBy("leader").agg(
-        F.ceil(F.sum("m") / BLOCK_TOKENS).cast("int").alias("blocks"),
-        F.ceil(F.sum(F.when(~F.col("linked"), F.col("m"))) / BLOCK_TOKENS).cast("int").alias("left_blocks"),
-    ).where("left_blocks > 0")
-    loaded = members.join(loads, "leader")
-    block = lambda of: F.expr(f"cast(pmod(xxhash64(node), {of}) as int)")
-    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    columns = ["leader", "i", "j", "side", "node", "linked", "tokens"]
-    left = loaded.where("not linked").withColumn("i", block("left_blocks")).withColumn("j", every("blocks")).withColumn("side", F.lit(0))
-    all_ = loaded.withColumn("j", block("blocks")).withColumn("i", every("left_blocks")).withColumn("side", F.lit(1))
-    block_links = left.select(columns).unionByName(all_.select(columns)).groupBy("leader", "i", "j").applyInArrow(_block_links(percent), "x long, y long")
-    links = stored(cold_links.union(star_links).union(block_links).distinct(), "join-links")
-    discard(postings, placed, clusters, star_pairs, cold_pairs, taking, sets, members)
+    links = stored(_verified(cold_pairs, sets, percent).union(_verified(star_pairs, sets, percent)).distinct(), "join-first-links")
+    more = _apart(clusters, links, reps, sets, percent)
+    links = stored(links.union(more), "join-links")
+    discard(clusters, star_pairs, cold_pairs, taking, sets)
     return links
 
 
@@ -273,7 +324,7 @@ def ngram_join(
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), lower_ascii(F.coalesce(text_col, F.lit(""))).cast("binary").alias("low"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).cast("binary").alias("raw"))
     profiles = stored(_profiles(narrow, k, percent), "join-profiles")
     rows = stored(profiles.select("doc_id", "n", "node"), "join-rows")
     whole = profiles.where("n > 0")
