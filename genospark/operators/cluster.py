@@ -72,46 +72,93 @@ def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
     """(step, left_id, right_id, new_id, distance, size) from (a, b, distance) of ids 0 to n - 1.
 
     Each round merges every pair of clusters that are each other's nearest, ties going to the smaller ids: for these
-    linkages that gives the tree of one-by-one merging, ties aside.  Rounds work on a table of cluster pairs that
-    shrinks; steps are numbered by distance at the end.
+    linkages that gives the tree of one-by-one merging, ties aside.  Single linkage takes the minimum spanning tree
+    instead, in at most log2 n rounds.  Rounds work on a table of cluster pairs that shrinks; steps are numbered by
+    distance at the end.  The driver keeps a row for each merge, MAX_INDIVIDUALS at most.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}")
     spark = pairs.sparkSession
     _checked(n)
+    merged = _spanning_tree(pairs) if linkage == "single" else _mutual_merges(pairs, linkage)
+    # Numbered by distance; a cluster's current id is followed from merge to merge.
+    root, current, size, out = list(range(n)), list(range(n)), {i: 1 for i in range(n)}, []
+    for step, (dist, _, *pair) in enumerate(sorted(merged)):
+        a, b = sorted(_find(root, x) for x in pair)
+        left, right = sorted((current[a], current[b]))
+        size[n + step] = size[left] + size[right]
+        out.append((step, left, right, n + step, float(dist), size[n + step]))
+        root[b], current[a] = a, n + step
+    return spark.createDataFrame(out, "step long, left_id long, right_id long, new_id long, distance double, size long")
+
+
+def _find(root: list[int], at: int) -> int:
+    while root[at] != at:
+        root[at] = root[root[at]]
+        at = root[at]
+    return at
+
+
+def _moved(table: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
+    """``table`` with a and b replaced; there are as many moves as individuals at most."""
+    told = F.broadcast(table.sparkSession.createDataFrame(moves, "old long, new long"))
+    for side in "ab":
+        table = table.join(told.withColumnRenamed("old", side), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+    return table.where("a != b")
+
+
+def _spanning_tree(pairs: DataFrame) -> list[tuple[float, int, int, int]]:
+    """Edges (distance, 0, a, b) of the minimum spanning tree: each component takes its shortest edge, round by round."""
+    edge = F.struct(F.col("distance").alias("d"), F.col("a").alias("u"), F.col("b").alias("v")).alias("e")
+    table = stored(pairs.select("a", "b", edge), "tree-pairs")
+    root: dict[int, int] = {}
+    found: dict[tuple[int, int], float] = {}
+    while True:
+        both = table.select("a", "e").union(table.select(F.col("b").alias("a"), "e"))
+        nearest = both.groupBy("a").agg(F.min("e").alias("e")).select("a", "e.*").collect()  # a row per component
+        if not nearest:
+            discard(table)
+            return [(d, 0, u, v) for (u, v), d in found.items()]
+        found |= {(r["u"], r["v"]): r["d"] for r in nearest}
+        ids = {r["a"] for r in nearest}
+        names = {x: i for i, x in enumerate(sorted(ids))}
+        of_leaf = lambda leaf: root.get(leaf, leaf)
+        joined = list(range(len(names)))
+        for r in nearest:
+            a, b = sorted(_find(joined, names[of_leaf(x)]) for x in (r["u"], r["v"]))
+            joined[b] = a
+        back = sorted(ids)
+        moves = {x: back[_find(joined, i)] for x, i in names.items()}
+        root = {leaf: moves[r] for leaf, r in root.items()} | {x: y for x, y in moves.items() if x not in root}
+        following = _moved(table, list(moves.items())).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
+        following = stored(following, "tree-pairs")
+        discard(table)
+        table = following
+
+
+def _mutual_merges(pairs: DataFrame, linkage: str) -> list[tuple[float, int, int, int]]:
+    """Merges (distance, round, a, b) of clusters that go by the smallest of their ids."""
     d = "distance"
-    table = stored(pairs.select("a", "b", F.col(d).alias("sum"), F.lit(1).cast("long").alias("cnt"), F.col(d).alias("low"), F.col(d).alias("high")), "tree-pairs")
-    value = {"average": F.col("sum") / F.col("cnt"), "single": F.col("low"), "complete": F.col("high")}[linkage]
+    table = stored(pairs.select("a", "b", F.col(d).alias("sum"), F.lit(1).cast("long").alias("cnt"), F.col(d).alias("high")), "tree-pairs")
+    value = {"average": F.col("sum") / F.col("cnt"), "complete": F.col("high")}[linkage]
     merged: list[tuple[float, int, int, int]] = []
     rounds = 0
     while True:
         near = table.select(value.alias("d"), "a", "b")
         both = near.select("a", F.struct("d", "a", "b").alias("p")).union(near.select(F.col("b").alias("a"), F.struct("d", "a", "b").alias("p")))
         nearest = both.groupBy("a").agg(F.min("p").alias("p"))
-        mutual = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("p.d", "p.a", "p.b")
-        found = mutual.orderBy("d", "a", "b").collect()  # at most n / 2 rows; n (n - 1) / 2 pairs fit the cluster already
+        found = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("p.d", "p.a", "p.b").collect()
         if not found:
-            break
+            discard(table)
+            return merged
         merged += [(r["d"], rounds, r["a"], r["b"]) for r in found]
         # A merged cluster goes by the smaller of its two ids.
-        moves = spark.createDataFrame([(r["b"], r["a"]) for r in found], "old long, new long")
-        moved = table
-        for side in "ab":
-            moved = moved.join(F.broadcast(moves.withColumnRenamed("old", side)), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
         following = stored(
-            moved.where("a != b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.min("low").alias("low"), F.max("high").alias("high")), "tree-pairs",
+            _moved(table, [(r["b"], r["a"]) for r in found]).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            .agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.max("high").alias("high")), "tree-pairs",
         )
         discard(table)
         table, rounds = following, rounds + 1
-    # Numbered by distance; a cluster's current id is followed from merge to merge.
-    current, size, out = {i: i for i in range(n)}, {i: 1 for i in range(n)}, []
-    for step, (dist, _, a, b) in enumerate(sorted(merged)):
-        left, right = sorted((current[a], current[b]))
-        size[n + step] = size[left] + size[right]
-        out.append((step, left, right, n + step, float(dist), size[n + step]))
-        current[a] = n + step
-    return spark.createDataFrame(out, "step long, left_id long, right_id long, new_id long, distance double, size long")
 
 
 def dendrogram(calls: DataFrame, linkage: str = "average") -> DataFrame:
@@ -120,11 +167,11 @@ def dendrogram(calls: DataFrame, linkage: str = "average") -> DataFrame:
 
 
 def cophenetic(merges: DataFrame, n: int) -> DataFrame:
-    """(a, b, height) for leaves a < b: the distance of the merge that joins them.  n (n - 1) / 2 rows."""
+    """(a, b, step, height) for leaves a < b: the merge that joins them.  n (n - 1) / 2 rows."""
     inside = stored(members(merges, n), "tree-members")
     left, right = (inside.select(F.col("id").alias(f"{s}_id"), F.col("leaf").alias(s)) for s in ("left", "right"))
     both = merges.join(left, "left_id").join(right, "right_id")
-    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), F.col("distance").alias("height"))
+    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "step", F.col("distance").alias("height"))
 
 
 def members(merges: DataFrame, n: int) -> DataFrame:

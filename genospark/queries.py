@@ -304,35 +304,6 @@ register("dendrogram_merges")(lambda s, d: cluster.named_merges(cluster.dendrogr
 register("dendrogram_complete")(lambda s, d: cluster.dendrogram(calls_l(s, d), "complete"))
 
 
-def _fixed_tree(s: SparkSession, d: str) -> tuple[DataFrame, int]:
-    """A balanced tree over the individuals: step k merges clusters 2k and 2k + 1."""
-    n = calls_l(s, d).select("individual").distinct().count()
-    k = F.col("id")
-    bare = s.range(n - 1).select(
-        k.alias("step"), (2 * k).alias("left_id"), (2 * k + 1).alias("right_id"), (k + n).alias("new_id"), ((k + 1) * 0.5).cast("double").alias("distance")
-    )
-    sizes = cluster.members(bare, n).groupBy("id").agg(F.count(F.lit(1)).alias("size"))
-    return bare.join(sizes, bare.new_id == sizes.id).drop("id"), n
-
-
-_TREE = f"""with recursive {L}, {RIDX}, nn as (select count(*) n from ri),
-mem(id, leaf) as (select r, r from ri union all select n + id // 2, leaf from mem, nn where id < 2 * n - 2),
-sz as (select id, count(*) size from mem group by id),
-down(id, pos) as (select 2 * n - 2, 0 from nn union all
-  select 2 * (d.id - n) + side, d.pos + case when side = 1 then l.size else 0 end
-  from down d, nn, (select unnest([0, 1]) side) s, sz l where d.id >= n and l.id = 2 * (d.id - n)),
-sp as (select m.id, min(pos) lo, max(pos) hi, avg(pos) mid, case when m.id < max(n) then 0.0 else (m.id - max(n) + 1) * 0.5 end h
-  from mem m join down p on p.id = m.leaf, nn group by m.id),
-b as (select y.id - n step, l.lo ll, l.hi lh, l.mid lm, l.h ld, r.lo rl, r.hi rh, r.mid rm, r.h rd, y.h dd
-  from sp y, nn, sp l, sp r where y.id >= n and l.id = 2 * (y.id - n) and r.id = 2 * (y.id - n) + 1)"""
-register("dendrogram_members", f"{_TREE} select id, leaf from mem")(lambda s, d: cluster.members(*_fixed_tree(s, d)))
-register("dendrogram_leaf_order", f"{_TREE} select id leaf, cast(pos as bigint) as position from down, nn where id < n")(lambda s, d: cluster.leaf_order(*_fixed_tree(s, d)))
-register("dendrogram_segments", f"""{_TREE}, g as (select step, 0 segment, ll x1, ld y1, lh x2, ld y2 from b union all select step, 1, rl, rd, rh, rd from b union all select step, 2, lm, dd, rm, dd from b
-    union all select step, 3, lm, ld, lm, dd from b union all select step, 4, rm, rd, rm, dd from b)
-  select step, cast(segment as int) segment, cast(x1 as double) x1, cast(y1 as double) y1, cast(x2 as double) x2, cast(y2 as double) y2 from g""")(
-    lambda s, d: cluster.segments(*_fixed_tree(s, d))
-)
-
 # Admixture -----------------------------------------------------------------------------------------------------------
 
 _U = "(({i} * 7919 + {j} * 104729 + {s} * 31) % 10007) / 10007.0 + 1e-3"
@@ -368,12 +339,16 @@ register("admixture_transform", f"{_TRANSFORM} select individual, {_r('qa / (qa
 )
 register("admixture_bars", f"""{_TRANSFORM} select individual, 'Cluster 1' as cluster, {_r('qa / (qa + qb)')} proportion from t
   union all select individual, 'Cluster 2', {_r('qb / (qa + qb)')} from t""")(lambda s, d: plotdata.admixture_bars(admixture.transform(calls_e(s, d), _given_p(s, d), 2)))
-register("admixture_fit")(lambda s, d: plotdata.admixture_bars(admixture.fit_admixture(calls_e(s, d), 3, max_iter=10)[0]))
+register("admixture_fit")(lambda s, d: plotdata.admixture_bars(admixture.fit_admixture(calls_e(s, d), 3)[0]))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import result_queries  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import result_queries  # noqa: F401
+
     return dict(SQL)
