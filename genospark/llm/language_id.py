@@ -18,17 +18,28 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, id_hash, slices, texts_of
 
-#: A run of letters.
+#: A run of letters and of number signs that are no digits; ``words_of`` takes the latter out.
 _WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
-#: Labelled documents per language that the model is fitted on, at most (by hash of the id).
+#: Labelled documents per language that the model is fitted on, at about most (by hash of the id).  The model has all
+#: words and n-grams that they hold twice or more, so this also bounds what is broadcast.
 MAX_DOCS = 4000
-#: Words and n-grams that the model keeps at most, the most frequent ones, so that it may be broadcast.
-MAX_WORDS, MAX_GRAMS = 120_000, 120_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Words that the posterior weighs at most: more of them add no certainty.
 CERTAIN_WORDS = 25
-_REMEMBER = 150_000
+#: Unseen words whose scores a worker remembers, and letters of such a word at most.
+_REMEMBER, _LONGEST = 100_000, 40
+
+
+def words_of(text: str) -> Counter:
+    """The runs of letters of a text, lower-cased, and how often each occurs."""
+    found = Counter(_WORD.findall(text.lower()))
+    if not text.isascii():
+        for word in [w for w in found if not w.isalpha()]:  # ½, ², Ⅷ and their like
+            n = found.pop(word)
+            for part in "".join(c if c.isalpha() else " " for c in word).split():
+                found[part] += n
+    return found
 
 
 @dataclass
@@ -60,7 +71,8 @@ def _counts(docs: DataFrame) -> DataFrame:
 
         for batch in slices(batches):
             for text, lang in zip(texts_of(batch), batch.column("lang").to_pylist(), strict=True):
-                held.update((lang, w) for w in _WORD.findall(text.lower()))
+                for word, n in words_of(text).items():
+                    held[lang, word] += n
             if len(held) > 300_000:
                 yield flush()
                 held.clear()
@@ -83,21 +95,16 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return grams.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _table(counts: DataFrame, most: int, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Rows of log frequencies of the ``most`` most frequent entries; unseen pairs get half a count."""
+def _table(counts: DataFrame, languages: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Rows of log frequencies of the entries that occur twice or more; unseen pairs get half a count."""
     per = counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()  # a row per language
     totals = {r["lang"]: r["n"] for r in per}
-    wide = counts.groupBy("word").agg(
-        F.sum("n").alias("all"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
-    )
-    top = wide.where("all > 1").orderBy(F.desc("all"), "word").limit(most).collect()  # bounded by `most`
-    table = np.full((len(top), len(languages)), 0.5)
-    at = {lang: i for i, lang in enumerate(languages)}
-    for i, row in enumerate(top):
-        for lang, n in row["by"].items():
-            table[i, at[lang]] += n
-    size = np.array([totals.get(lang, 0) for lang in languages]) + 0.5 * (len(top) + 1)
-    return {r["word"]: i for i, r in enumerate(top)}, np.log(table / size).astype(np.float32)
+    by_language = [F.coalesce(F.sum(F.when(F.col("lang") == k, F.col("n"))), F.lit(0)).alias(f"n{i}") for i, k in enumerate(languages)]
+    found = counts.groupBy("word").agg(F.sum("n").alias("all"), *by_language).where("all > 1").drop("all").toArrow()
+    found = found.sort_by("word")
+    table = np.stack([found[f"n{i}"].to_numpy() for i in range(len(languages))], 1) + 0.5
+    size = np.array([totals.get(lang, 0) for lang in languages]) + 0.5 * (len(table) + 1)
+    return {w: i for i, w in enumerate(found["word"].to_pylist())}, np.log(table / size).astype(np.float32)
 
 
 def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
@@ -111,8 +118,8 @@ def fit(labelled: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     share = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(min(1.0, max_docs / per[k]) * scale))])
     sample = there.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < F.element_at(share, F.col("lang")))
     words = _counts(sample).persist()
-    word_row, word_table = _table(words, MAX_WORDS, languages)
-    gram_row, gram_table = _table(_gram_counts(words), MAX_GRAMS, languages)
+    word_row, word_table = _table(words, languages)
+    gram_row, gram_table = _table(_gram_counts(words), languages)
     words.unpersist()
     return Model(languages, word_row, word_table, gram_row, gram_table)
 
@@ -132,7 +139,7 @@ class Scorer:
         return self.flat
 
     def score(self, text: str) -> tuple[str, float]:
-        words = Counter(_WORD.findall(text.lower()))
+        words = words_of(text)
         if not words or not self.m.languages:
             return UNDETERMINED, 0.0
         known, known_n, total, n = [], [], np.zeros(len(self.m.languages)), 0
@@ -144,9 +151,11 @@ class Scorer:
                 known_n.append(k)
                 continue
             if (found := self.unseen.get(word)) is None:
-                if len(self.unseen) >= _REMEMBER:
-                    self.unseen.clear()
-                found = self.unseen[word] = self.back_off(word)
+                found = self.back_off(word)
+                if len(word) <= _LONGEST:
+                    if len(self.unseen) >= _REMEMBER:
+                        self.unseen.clear()
+                    self.unseen[word] = found
             total += k * found
         if known:
             total += np.asarray(known_n, np.float32) @ self.m.words[known]
