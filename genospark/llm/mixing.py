@@ -1,9 +1,9 @@
 """Mixing sources to target weights: Efraimidis-Spirakis sampling by exponential keys.
 
 A source's target is some whole epochs and a fraction.  The whole epochs take every document; the fraction takes
-documents in ascending order of ``-ln(u) / weight`` until their sizes reach the budget.  The order is found without
-sorting a source: keys are dealt to fine buckets, bucket sums are prefix-summed, and only the bucket in which the
-budget ends is sorted.
+documents in ascending order of ``-ln(u) / weight`` until their sizes reach the budget; weights are quality scores.
+The order is found without sorting a source: keys are dealt to fine buckets of their logarithm, bucket sums are
+prefix-summed, and only the bucket in which the budget ends is sorted.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from .common import ASCII_SPACE, shuffle_width, stored
 
 #: Weight of the n-th source in order of its name, repeating.
 WEIGHT_CYCLE = (5.0, 2.0, 1.0)
+#: Weight of a document at least, so that a fraction may reach all of them.
+LEAST_WEIGHT = 0.05
 
 
 def word_count(text: Column) -> Column:
@@ -23,13 +25,6 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(spaced, " "), lambda w: w != "")).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """0.25 to 1: the share of characters that are none of the symbols of junk text; empty text weighs 1."""
-    n = F.length(F.coalesce(text, F.lit("")))
-    symbols = n - F.length(F.translate(F.coalesce(text, F.lit("")), "#*$%&|<>!", ""))
-    return F.when(n > 0, 1.0 - 0.75 * symbols / n).otherwise(1.0)
-
-
 def source_targets(sources: DataFrame, budget_share: float, max_epochs: float) -> DataFrame:
     """Adds ``target`` to (source, source_size): shares by weight, none above max_epochs times its size.
 
@@ -72,6 +67,8 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     keep: tuple[str, ...] = (),
+    weight_col: str | None = None,
+    size_col: str | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, source, size, source_size, target, epochs, fractional, copies, taken.
 
@@ -80,27 +77,31 @@ def mix(
     own and comes last.  Ties of keys fall to the smaller id, then to the text's hash; equal rows have equal keys
     and any of them may be the one that the fraction takes.  Reruns agree, as keys are hashes of the id, the text
     and the seed.  Sources of no words have target 0 and take nothing.  An empty table gives an empty result.
-    ``keep`` names further input columns to pass through the narrow table.
+    ``weight_col`` has the documents' weights, LEAST_WEIGHT at least; without it, or where it is null, they are 1.
+    ``size_col`` has the sizes, if they are counted already.  ``keep`` names further columns to pass through.
     """
     spark = docs.sparkSession
     text = F.col(text_col)
     # 53 random bits in (0, 1]
     u = (F.shiftrightunsigned(F.xxhash64(F.col(id_col), text, F.lit(seed)), 11) + 1) / F.lit(float(1 << 53))
+    weight = F.greatest(F.coalesce(F.col(weight_col), F.lit(1.0)), F.lit(LEAST_WEIGHT)) if weight_col else F.lit(1.0)
     rows = stored(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).alias("source"),
-            word_count(text).alias("size"),
-            (-F.log(u) / quality_weight(text)).alias("key"),
+            (F.col(size_col).cast("long") if size_col else word_count(text)).alias("size"),
+            (-F.log(u) / weight).alias("key"),
             F.xxhash64(text).alias("tie"),
             *keep,
         ),
         "mix-rows",
     )
-    # Keys are about exponential, so 1 - exp(-key) is about even: buckets of it hold about equal counts.
+    # Nearly all keys of one weight lie within four octaves, so a fine scale of octaves spreads them, whatever the
+    # weights are.
     n = rows.count()
-    buckets = max(64, min(1 << 20, n // 256))
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key"))) * buckets), F.lit(buckets - 1)).alias("bucket")
+    steps = max(64, min(1 << 16, n >> 12))
+    octave = F.log2(F.greatest(F.col("key"), F.lit(1e-15)))
+    bucket = F.floor(octave * steps).alias("bucket")
     sums = stored(
         rows.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "mix-sums"
     )

@@ -14,7 +14,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, id_hash, slices, texts_of
@@ -45,10 +45,15 @@ _CLASS = _classes()
 
 def statistics(text: str) -> list[float]:
     """The values of FEATURES; an empty text has zeros."""
+    return _measured(text)[0]
+
+
+def _measured(text: str) -> tuple[list[float], int]:
+    """The values of FEATURES and the number of words."""
     raw = text.encode("utf-8", "replace")
     n = len(raw)
     if not n:
-        return [0.0] * len(FEATURES)
+        return [0.0] * len(FEATURES), 0
     by_byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     share = np.bincount(_CLASS, by_byte, 12) / n
     p = by_byte[by_byte > 0] / n
@@ -65,7 +70,7 @@ def statistics(text: str) -> list[float]:
         share[11], len(counts) / per, max(counts.values(), default=0) / per,
         sum(map(operator.eq, words, islice(words, 1, None))) / per, np.log1p(len(lines)),
         1 - len(set(lines)) / max(len(lines), 1), n / max(len(lines), 1), float(-(p * np.log(p)).sum()), marked / per,
-    ]
+    ], k
 
 
 _MARKS = np.frombuffer(b"#*$%&|<>!", np.uint8)
@@ -141,9 +146,13 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``max_rows`` labelled documents; the ids are bounded, so they are broadcast."""
+    """(doc_id, text, label) of at most ``max_rows`` labelled documents; the ids are bounded, so they are broadcast.
+
+    Of documents that share an id one text counts, that of the least hash.
+    """
     some = labels.where("label is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "label")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
@@ -164,26 +173,37 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     return boost(x[order], y[order])
 
 
-def score(docs: DataFrame, trees: Trees, keep_from: float = KEEP_FROM, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``keep_from``).
+def score(docs: DataFrame, trees: Trees, keep_from: float = KEEP_FROM, text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1), ``predicted`` (1 from ``keep_from``) and ``n_words``.
 
     Null counts as empty, and empty texts are scored by their zero statistics.  Repeated rows are scored alike.
-    Other columns pass through; columns already called score or predicted are replaced.
+    Other columns pass through, the text too if ``with_text``; columns already called as the new ones are replaced.
     """
     bound_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(trees)
-    docs = docs.drop("score", "predicted")
-    names = [c for c in docs.columns if c != text_col]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text_col)
+    docs = docs.drop("score", "predicted", "n_words")
+    names = [c for c in docs.columns if with_text or c != text_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            x = np.array([statistics(t) for t in texts_of(batch, text_col)]).reshape(-1, len(FEATURES))
+            found = [_measured(t) for t in texts_of(batch, text_col)]
+            x = np.array([f for f, _ in found]).reshape(-1, len(FEATURES))
             p = 1 / (1 + np.exp(-told.value.log_odds(x)))
-            more = [pa.array(p), pa.array((p >= keep_from).astype(np.int32))]
-            yield pa.record_batch([*[batch.column(c) for c in names], *more], names=[*names, "score", "predicted"])
+            more = [pa.array(p), pa.array((p >= keep_from).astype(np.int32)), pa.array([k for _, k in found], pa.int64())]
+            yield pa.record_batch([*[batch.column(c) for c in names], *more], names=[*names, "score", "predicted", "n_words"])
+
+    return docs.mapInArrow(run, f"{schema}, score double, predicted int, n_words long")
+
+
+def _held_out(c: str) -> Column:
+    return F.coalesce(F.pmod(id_hash(F.col(c)), F.lit(4)) == 2, F.lit(False))
+
 
-    return docs.mapInArrow(run, f"{schema}, score double, predicted int")
+def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
+    """Trees for ``labels.quality`` outside the held-out quarter: crc32 of the id as text leaves 2 modulo 4."""
+    known = labels.where(~_held_out("doc_id")).select("doc_id", F.col("quality").cast("double").alias("label"))
+    return fit(docs, known, max_rows)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
@@ -191,7 +211,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Da
 
     Held out: crc32 of the id as text leaves 2 modulo 4.  Null ids are not held out and have no labels.
     """
-    out_of = lambda c: F.coalesce(F.pmod(id_hash(F.col(c)), F.lit(4)) == 2, F.lit(False))
-    known = labels.where(~out_of("doc_id")).select("doc_id", F.col("quality").cast("double").alias("label"))
-    trees = fit(docs, known, max_rows)
-    return score(docs.select("doc_id", out_of("doc_id").alias("held_out"), "text"), trees)
+    trees = fit_quality(docs, labels, max_rows)
+    return score(docs.select("doc_id", _held_out("doc_id").alias("held_out"), "text"), trees).drop("n_words")

@@ -60,7 +60,10 @@ from documents window g as (partition by coalesce(text, ''))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    trees = quality_trees.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_trees.score(docs.withColumn("tie", F.xxhash64("text")), trees)
+    out = mix(scored, text_col="tie", weight_col="score", size_col="n_words")
     return out.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken", "source", "copies")
 
 
