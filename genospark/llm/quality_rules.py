@@ -29,7 +29,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW, KEEP_FROM = 20, 30, 8, 0.5
 SYMBOLS = "#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _FEATURE_SCALE = np.float32(32.0)
-_INTERN = 400_000
+#: Bytes that a worker's word numbers take at most before it starts anew; a word costs ``_ENTRY`` beside its own.
+_INTERN_BYTES, _ENTRY = 64 << 20, 160
 
 
 class Words(dict):
@@ -37,13 +38,14 @@ class Words(dict):
 
     def __init__(self):
         super().__init__()
-        self.hashes = np.zeros(1 << 16, np.uint64)
+        self.hashes, self.bytes = np.zeros(1 << 16, np.uint64), 0
 
     def __missing__(self, word: bytes) -> int:
         at = self[word] = len(self)
         if at >= len(self.hashes):
             self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
         self.hashes[at] = zlib.crc32(word)
+        self.bytes += len(word) + _ENTRY
         return at
 
     def ids(self, words: list[bytes]) -> np.ndarray:
@@ -239,7 +241,7 @@ def apply_rules(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, tex
         for batch in slices(batches):
             rows, odds = [], []
             for text in texts_of(batch, text_col):
-                if len(words) > _INTERN:
+                if words.bytes > _INTERN_BYTES:
                     words = Words()
                 raw = text.encode("utf-8", "replace")
                 ids = words.ids(raw.split())

@@ -7,11 +7,12 @@ import pytest
 from genospark.llm import line_dedup as lines_module
 from genospark.llm import ngram_join as join_module
 from genospark.llm.components import components
-from genospark.llm.exact_dedup import exact_dedup
+from genospark.llm.common import stored
+from genospark.llm.exact_dedup import exact_dedup, possibly_repeated
 from genospark.llm.line_dedup import line_bitmaps, line_dedup
 from genospark.llm.ngram_join import ngram_join
 
-SCHEMA = "doc_id long, text string, group_size long, n_lines string, kept_text int, drop_bits int"
+SCHEMA = "doc_id long, text string, group_size long, n_lines string, kept_text int, keep_bits int"
 TEXTS = ["a b c", "A b c", None, "", " ", "one\n two \nTWO", "x\n" * 700 + "end", "one\n\n\nTwo", "a b c"]
 
 
@@ -42,11 +43,25 @@ def test_exact_dedup_equals_brute_force(spark):
 
 def test_exact_dedup_with_few_slots_and_hot_groups(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"t{i // 2}") for i in range(3000)]
-    found = exact_dedup(frame(spark, rows), max_slots=64)
+    found = exact_dedup(frame(spark, rows), max_slots=1 << 15)
     assert found.where("kept").count() == len({t for _, t in rows})
     assert {r["group_size"] for r in found.where("doc_id % 3 = 0").collect()} == {1000}
 
 
+@pytest.mark.parametrize("n", [2_000, 20_000])
+def test_few_unique_rows_pass_for_repeated_ones(spark, n):
+    rows = spark.range(n).selectExpr("id as doc_id", "sha2(cast(if(id % 10 = 0, id div 20, id) as string), 256) as text_sha256")
+    marked = possibly_repeated(stored(rows, "test-digests"), n)
+    truly = marked.groupBy("text_sha256").count().where("count > 1").agg({"count": "sum"}).first()[0]
+    assert truly <= marked.where("repeated").count() <= truly + n // 200
+
+
+def test_exact_dedup_by_ranges_equals_one_range(spark):
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"t{i // 2}") for i in range(2000)]
+    one, many = (Counter(tuple(r) for r in exact_dedup(frame(spark, rows), max_slots=m).collect()) for m in (1 << 28, 1 << 13))
+    assert one == many and sum(one.values()) == len(rows)
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup(none).count() == 0
@@ -78,14 +93,21 @@ def test_line_dedup_equals_brute_force(spark, monkeypatch, keep_first, broadcast
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_text"]) for r in out.collect()} == brute_lines(rows, 2, keep_first)
 
 
-def test_line_bitmaps_are_sparse_longs_and_repeats_count_once(spark):
-    rows = [(1, "x\n" * 130 + "tail"), (1, "x\n" * 130 + "tail"), (2, "x")]
-    found = {r["doc_id"]: r["drop_bits"] for r in line_bitmaps(frame(spark, rows), min_docs=2).collect()}
-    assert found == {1: [-1, -1, 3], 2: [1]}
-    assert line_dedup(frame(spark, rows), min_docs=2).count() == 3
+def test_line_bitmaps_hold_only_pieces_that_lose_lines(spark):
+    rows = [(1, "x\n" * 130 + "tail"), (1, "x\n" * 130 + "tail"), (2, "x"), (3, "own\n" * 5 + "\n".join(f"l{i}" for i in range(9000)) + "\nx")]
+    found = {r["doc_id"]: [tuple(x) for x in r["keep_bits"]] for r in line_bitmaps(frame(spark, rows), min_docs=2).collect()}
+    assert found == {1: [(0, 0), (1, 0), (2, ~3)], 2: [(0, ~1)], 3: [(9005 // 64, ~(1 << 9005 % 64))]}
+    out = {r["doc_id"]: r["kept_text"] for r in line_dedup(frame(spark, rows), min_docs=2).collect()}
+    assert (out[1], out[2], out[3]) == ("tail", "", rows[3][1][:-2])
     assert line_bitmaps(frame(spark, [(1, "x"), (1, "x")]), min_docs=2).count() == 0
 
 
+def test_line_keys_lower_ascii_letters_only(spark):
+    rows = [(1, "ÀB"), (2, "Àb"), (3, "àb"), (4, "QR İ"), (5, "qr İ")]
+    out = {r["doc_id"]: r["n_dropped"] for r in line_dedup(frame(spark, rows), min_docs=2).collect()}
+    assert out == {1: 1, 2: 1, 3: 0, 4: 1, 5: 1}
+
+
 def brute_join(rows, k, percent):
     sets = {}
     for i, t in rows:

@@ -32,7 +32,7 @@ def labelled(n, seed=0):
 
 def test_language_id_held_out_and_edges(spark):
     rows = labelled(240)
-    extra = [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !!", "bb"), (1003, "xyzzy " * 20_000, None), (None, "abcab", None), (1003, "xyzzy", None)]
+    extra = [(1000, None, "aa"), (1001, "", "aa"), (1002, "123 !!", "bb"), (1004, "½ ² Ⅷ 2½ ①", "bb"), (1003, "xyzzy " * 20_000, None), (None, "abcab", None), (1003, "xyzzy", None)]
     docs = spark.createDataFrame([(*r, 1, "x") for r in rows + extra], "doc_id long, text string, lang string, score int, lang_pred string")
     out = language_id.identify(docs).collect()
     assert len(out) == len(rows) + len(extra)
@@ -42,7 +42,7 @@ def test_language_id_held_out_and_edges(spark):
         assert r["held_out"] == (crc(i) % 4 == 2) and 0 <= r["score"] <= 1
         if r["held_out"]:
             assert r["lang_pred"] == lang
-    for i, text, _ in extra[:3]:
+    for i, text, _ in extra[:4]:
         assert (found[i, text]["lang_pred"], found[i, text]["score"]) == ("und", 0.0)
     assert found[1003, "xyzzy"]["lang_pred"] == "cc" and found[1003, "xyzzy " * 20_000]["lang_pred"] == "cc"
     assert found[None, "abcab"]["lang_pred"] in ("aa", "bb")
@@ -54,6 +54,10 @@ def test_language_id_without_labels_or_rows(spark):
     assert language_id.identify(docs.where("false")).count() == 0
 
 
+def test_words_are_runs_of_letters():
+    assert language_id.words_of("Ab½c aⅧB x² x\u0301y ñÑ 3rd_go") == {"ab": 1, "c": 1, "a": 1, "b": 1, "x": 2, "y": 1, "ññ": 1, "rd": 1, "go": 1}
+
+
 def test_backoff_uses_the_longest_known_order():
     model = language_id.Model(["a", "b"], {"known": 0}, np.array([[0.0, -9.0]]), {"<qx": 0, "q": 1}, np.array([[-9.0, 0.0], [0.0, -9.0]]))
     scorer = language_id.Scorer(model)
@@ -219,7 +223,7 @@ def brute_tree(texts, depth):
 
 def test_tree_equals_the_recursion(spark):
     texts = [b"abracadabra", b"abra cad", b"", b"zz top"]
-    df = spark.createDataFrame([(t,) for t in texts], "low binary")
+    df = spark.createDataFrame([(t,) for t in texts], "raw binary")
     tree = lm_scoring.fit_tree(df)
     score = brute_tree(texts, lm_scoring.DEPTH)
     probes = [*texts, b"abrac", b"q", b"cadab top", "é".encode()]
@@ -227,7 +231,7 @@ def test_tree_equals_the_recursion(spark):
 
 
 def test_tree_with_few_contexts_is_still_a_distribution(spark):
-    df = spark.createDataFrame([(b"the cat sat on the mat " * 3,), (b"a dog",)], "low binary")
+    df = spark.createDataFrame([(b"the cat sat on the mat " * 3,), (b"a dog",)], "raw binary")
     tree = lm_scoring.fit_tree(df, max_contexts=6)
     assert np.exp(tree.logs.astype(float)).sum(1) == pytest.approx(1, abs=1e-4)
     assert np.isfinite(tree.log_probability([b"the", b"unseen \xc3\xa9", b""])).all()
@@ -250,7 +254,7 @@ def test_scores_use_every_context(spark):
     texts = [" ".join(rng.permutation(words)[:n]) for n in (4000, 4000, 2000, 500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(docs, docs.where("doc_id < 3")).collect()}
-    tree = lm_scoring.fit_tree(spark.createDataFrame([(t.encode(),) for t in texts[:3]], "low binary"), max_contexts=1 << 30)
+    tree = lm_scoring.fit_tree(spark.createDataFrame([(t.encode(),) for t in texts[:3]], "raw binary"), max_contexts=1 << 30)
     assert len(tree.logs) > 1 << 15
     whole = tree.log_probability([t.encode() for t in texts]) / math.log(10)
     assert [found[i] for i in range(4)] == pytest.approx(whole, rel=1e-5)
@@ -279,3 +283,19 @@ def test_lm_scores_equal_brute_force(spark, monkeypatch):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(own), sum(counts[w] > 0 for w in own), n)
         assert r["held_out"] == (r["doc_id"] is not None and crc(r["doc_id"]) % 7 == 2) and r["score"] < 0
     assert lm_scoring.score_held_out(docs.where("false")).count() == 0
+
+
+def test_long_texts_are_scored_in_segments(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HOT_PAIRS", 20)
+    rows = [(i, f"the cat sat {i} on the Mat\n" * i) for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {r["doc_id"]: (r["n_tokens"], r["base_score"], r["score"]) for r in lm_scoring.score_held_out(docs).collect()}
+    for size in (6, 7, 64):
+        lows = [t.lower().encode() for _, t in rows]
+        monkeypatch.setattr(lm_scoring, "SEGMENT", size)
+        parts = [np.concatenate(c) for c in zip(*lm_scoring._segments(lows), strict=True)]
+        assert (parts[0] == lm_scoring._contexts(*lm_scoring._codes(lows))).all()
+        assert (parts[1] == np.repeat(np.arange(9), [len(t) + 1 for t in lows])).all()
+    code, at = zip(*lm_scoring._segments([b"", b"x" * 100]), strict=True)
+    assert len(code) > 1 and np.concatenate(at).tolist() == [0] + [1] * 101
+    assert whole[0][0] == 1 and whole[8][2] < whole[1][2] < 0

@@ -192,10 +192,19 @@ def test_mixing_meets_its_targets(spark):
 
 
 def test_mixing_prefers_heavier_documents(spark):
-    rows = [(i, ("### " if i % 2 else "abc ") * 10, s) for s in ("a", "b") for i in range(s == "b" and 4000 or 0, s == "b" and 5000 or 2000)]
-    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), budget_share=0.5, max_epochs=1.0)
-    b = {r["doc_id"] % 2: r["taken"] for r in out.where("source = 'a' and epochs = 0").selectExpr("doc_id % 2 as doc_id", "taken").groupBy("doc_id").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "taken").collect()}
-    assert not b or b[0] > 1.5 * b[1]
+    rows = [(i, "abc " * 10, "a", 1.0 if i % 2 else 0.25) for i in range(4000)] + [(9000, "z", "b", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, weight double")
+    out = mix(docs, budget_share=0.5, max_epochs=1.0, weight_col="weight").where("source = 'a'").toPandas()
+    assert (out["epochs"] == 0).all() and abs(out["taken"].sum() - out["target"].iloc[0]) <= 10
+    heavy, light = (int((out["taken"] > 0)[out["doc_id"] % 2 == k].sum()) for k in (1, 0))
+    # P(key < t) is 1 - exp(-weight t): with half of all taken, a heavy one is taken 2.7 times as often as a light one.
+    assert light > 300 and 2.3 < heavy / light < 3.2
+
+
+def test_mixing_takes_sizes_that_are_given(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "s", i % 7) for i in range(500)], "doc_id long, text string, source string, n int")
+    one, two = (mix(docs, size_col=c).select("doc_id", "size", "taken").orderBy("doc_id").collect() for c in (None, "n"))
+    assert one == two
 
 
 def test_fit_is_the_non_negative_least_squares():
