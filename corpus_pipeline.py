@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genospark.llm import language_id
+from genospark.llm import language_id, quality_trees
 from genospark.llm.common import bound_batches, documents, stored
 from genospark.llm.line_dedup import line_dedup
 from genospark.llm.mixing import mix, word_count
@@ -51,8 +51,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: 150% of all words, at most two epochs of a source."""
-    mixed = mix(docs.select(COLUMNS), budget_share=1.5, max_epochs=2.0, keep=("text", "lang", "n_chars"))
+    """Each document as often as the mix takes it: 150% of all words, at most two epochs of a source.
+
+    Weights are the quality classifier's scores, learned from ``labels``.
+    """
+    docs = docs.select(COLUMNS)
+    trees = quality_trees.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_trees.score(docs, trees, with_text=True)
+    mixed = mix(scored, budget_share=1.5, max_epochs=2.0, keep=("text", "lang", "n_chars"), weight_col="score", size_col="n_words")
     copies = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_")
     return mixed.select(*COLUMNS, copies).select(COLUMNS)
 
