@@ -124,6 +124,11 @@ class Model:
     slope: float  # of the calibration
     offset: float
 
+    @classmethod
+    def blank(cls) -> Model:
+        """One that knows nothing: every text has a probability of a half."""
+        return cls(np.zeros(BLOCKS * SLOTS, np.float32), 0.0, 1.0, 0.0)
+
     def probability(self, odds: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -40, 40)))
 
@@ -217,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     rows = training_rows(docs, labels, max_rows).mapInArrow(extract, "doc_id long, y double, slots array<int>, values array<float>")
     found = rows.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(train, "weights binary, rest array<double>").collect()
     if not found:
-        return Model(np.zeros(BLOCKS * SLOTS, np.float32), 0.0, 1.0, 0.0)
+        return Model.blank()
     weights = np.frombuffer(found[0]["weights"], "<f4") if found[0]["weights"] else np.zeros(BLOCKS * SLOTS, np.float32)
     return Model(weights, *found[0]["rest"])
 

@@ -96,6 +96,77 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_held_out(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+# Views of what SQL can say of operators that it cannot express as a whole ------------------------------------------------
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each source's size and target."""
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    found = mix(docs).select("source", "source_size", "target").distinct()
+    return found.withColumn("target", F.round(F.col("target").cast("double"), 3))
+
+
+def quality_rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9's base columns."""
+    out = quality_rules.apply_rules(documents(spark, sf_dir).select("doc_id", "text"), quality_rules.Model.blank())
+    return out.drop("probability", "kept")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op10's base columns."""
+    out = op10_lm_scoring(spark, sf_dir).withColumn("base_score", F.round("base_score", 3))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
+
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+#: crc32 of an id as text, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, range(0, 8 * length({0}))),
+  lambda c, i: case when (case when i % 8 = 0 then xor(c, ascii(substr({0}, i // 8 + 1, 1))) else c end) & 1 = 1
+    then xor((case when i % 8 = 0 then xor(c, ascii(substr({0}, i // 8 + 1, 1))) else c end) >> 1, 3988292384)
+    else (case when i % 8 = 0 then xor(c, ascii(substr({0}, i // 8 + 1, 1))) else c end) >> 1 end))"""
+OP2_SQL = f"""
+with recursive w as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+  else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end t from w),
+u as (select doc_id, len(t) n, unnest(t) x from s),
+p as (select a.doc_id a, b.doc_id b, any_value(a.n) na, any_value(b.n) nb, count(*) i from u a join u b on a.x = b.x and a.doc_id != b.doc_id group by 1, 2),
+l as (select a, b from p where 100 * i >= 90 * (na + nb - i)),
+r(a, b) as (select doc_id, doc_id from s union select r.a, l.b from r join l on l.a = r.b)
+select s.doc_id, len(t) n_shingles, min(r.b) component_id from s join r on r.a = s.doc_id group by 1, 2
+"""
+TARGETS_SQL = f"""
+with d as (select source, sum(len({_WORDS.format("coalesce(text, '')")})) z from documents group by 1),
+k as (select *, row_number() over (order by source nulls last) - 1 k from d),
+c as (select *, [5.0, 2.0, 1.0][k % 3 + 1] w, 2.0 * z cap, 1.5 * sum(z) over () budget from k),
+o as (select *, (budget - coalesce(sum(cap) over (order by cap / w, k rows between unbounded preceding and 1 preceding), 0))
+  / sum(w) over (order by cap / w, k rows between current row and unbounded following) level from c),
+f as (select min_by(level, cap / w) filter (where level * w <= cap) level from o)
+select source, cast(z as bigint) source_size, round(least(cap, coalesce(f.level * w, cap)), 3) target from o, f
+"""
+RULES_SQL = f"""
+with d as (select doc_id, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} w from documents),
+win as (select doc_id, i, count(*) over (partition by doc_id, x) n from (
+  select doc_id, unnest(range(1, len(w) - 6)) i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i : i + 7], ' '))) x from d where len(w) >= 8)),
+rep as (select doc_id, count(distinct i + k) n from win, range(0, 8) r(k) where n >= 2 group by 1),
+dup as (select doc_id, count(*) - count(distinct line) n from (select doc_id, unnest(string_split(t, chr(10))) line from d) where len({_WORDS.format('line')}) > 0 group by 1)
+select d.doc_id, len(w) n_words, cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) word_chars,
+  length(t) - length(translate(t, '#*$%&|<>', '')) n_symbols, coalesce(dup.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words,
+  len(w) < 20 or 100 * coalesce(rep.n, 0) > 30 * len(w) base_failed
+from d left join rep using (doc_id) left join dup using (doc_id)
+"""
+LM_SQL = f"""
+with d as (select doc_id, {_CRC.format('cast(doc_id as varchar)')} % 7 = 2 held_out, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} w from documents),
+u as (select doc_id, held_out, unnest(w) x from d),
+c as (select x, count(*) c from u where not held_out group by 1),
+f as (select (select count(*) from d where not held_out) ends, (select coalesce(sum(c), 0) from c) + (select count(*) from d where not held_out) n,
+  (select count(*) from c) + 1 v),
+s as (select doc_id, count(c.c) known, sum(log10(coalesce(c.c, 0) + 1)) logs from u left join c using (x) group by 1)
+select d.doc_id, held_out, len(w) + 1 n_tokens, coalesce(known, 0) + 1 n_known, cast(f.n as bigint) train_tokens,
+  round(coalesce(logs, 0) + log10(f.ends + 1) - (len(w) + 1) * log10(f.n + f.v + 1), 3) base_score
+from d left join s using (doc_id), f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_ngram_join": op2_ngram_join,
@@ -107,8 +178,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "mixing_targets": mixing_targets,
+    "quality_rule_counts": quality_rule_counts,
+    "lm_base_scores": lm_base_scores,
+}
+ORACLES: dict[str, str] = {
+    "op2_ngram_join": OP2_SQL,
+    "op4_line_dedup": OP4_SQL,
+    "op5_exact_dedup": OP5_SQL,
+    "mixing_targets": TARGETS_SQL,
+    "quality_rule_counts": RULES_SQL,
+    "lm_base_scores": LM_SQL,
 }
-ORACLES: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op5_exact_dedup": OP5_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
