@@ -121,7 +121,7 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
     return shares.agg(F.count("component").alias("components"), F.sum("explained_variance_ratio").alias("total")).select("*", F.lit(points.count()).cast("long").alias("individuals"), names)
 
 
-register("sink_pca", f"with {E} select count(*) components, 1.0 total, (select n from ni) individuals, 'individual,' || string_agg('PC' || k, ',' order by k) heading from range(1, 11) r(k)")(_pca)
+register("sink_pca", f"with {E} select count(*) components, 1.0::double total, (select n from ni) individuals, 'individual,' || string_agg('PC' || k, ',' order by k) heading from range(1, 11) r(k)")(_pca)
 
 
 def _gblup(s: SparkSession, d: str) -> DataFrame:
@@ -202,7 +202,7 @@ def _pca_residual(s: SparkSession, d: str) -> DataFrame:
     return found.join(spread, "c").select((F.col("c") + 1).cast("long").alias("component"), "residual", "norm", (F.col("var") / F.col("eigenvalue")).alias("score_variance"))
 
 
-register("pca_residual", "select k as component, 0.0 residual, 1.0 norm, 1.0 score_variance from range(1, 11) r(k)")(_pca_residual)
+register("pca_residual", "select k as component, 0.0::double residual, 1.0::double norm, 1.0::double score_variance from range(1, 11) r(k)")(_pca_residual)
 
 # Prediction ----------------------------------------------------------------------------------------------------------
 
@@ -220,7 +220,7 @@ def _ridge_residual(s: SparkSession, d: str) -> DataFrame:
     return told.select("marker", (F.col("xb") + 0.1 * F.col("effect") - F.col("v")).alias("residual"), F.lit(model.intercept).alias("intercept"))
 
 
-register("gblup_residual", f"with {E} select distinct marker, 0.0 residual, (select {_r('avg(value)')} from pheno where individual in (select individual from calls)) intercept from calls")(_ridge_residual)
+register("gblup_residual", f"with {E} select distinct marker, 0.0::double residual, (select {_r('avg(value)')} from pheno where individual in (select individual from calls)) intercept from calls")(_ridge_residual)
 
 
 def _refits(s: SparkSession, d: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _refits(s: SparkSession, d: str) -> DataFrame:
 
 
 register("gblup_cv_refits", f"""with {E}, f as (select ntile(2) over (order by md5('7:' || individual), individual) - 1 fold from pheno)
-  select fold, count(*) n, 0.0 difference from f group by 1""")(_refits)
+  select fold, count(*) n, 0.0::double difference from f group by 1""")(_refits)
 
 # Trees ---------------------------------------------------------------------------------------------------------------
 
@@ -300,6 +300,6 @@ def _heights(s: SparkSession, d: str, linkage: str, of) -> DataFrame:
 
 
 for _name, _of in (("average", F.avg), ("complete", F.max)):
-    register(f"dendrogram_{_name}_heights", f"with {L}, {RIDX} select count(*) - 1 merges, cast(count(*) * (count(*) - 1) / 2 as bigint) pairs, 0.0 difference, 0 falls from ri")(
+    register(f"dendrogram_{_name}_heights", f"with {L}, {RIDX} select count(*) - 1 merges, cast(count(*) * (count(*) - 1) / 2 as bigint) pairs, 0.0::double difference, 0::bigint falls from ri")(
         lambda s, d, name=_name, of=_of: _heights(s, d, name, of)
     )
