@@ -1,9 +1,13 @@
 """The pipeline's stages on a small corpus, each against what its own input asks for."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from genospark.llm import queries as llm_queries
@@ -41,11 +45,19 @@ def rows():
 
 
 @pytest.fixture(scope="module")
-def stages(spark):
+def sf_dir(spark, tmp_path_factory):
+    where = str(tmp_path_factory.mktemp("tables"))
+    labels = [(i, int(i % 3 > 0), 0) for i in range(0, 120, 2)] + [(5, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    return where
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
     docs = spark.createDataFrame(rows(), "doc_id long, text string, lang string, source string, n_chars long")
     out = {"input": docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema if name != "packing" else None)
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), docs.schema if name != "packing" else None)
         out[name] = docs.collect()
         if name != "packing":
             assert docs.columns == corpus_pipeline.COLUMNS
@@ -106,7 +118,21 @@ def test_packing_stage_holds_every_copy(stages):
     assert max(fill.values()) <= 1024 and len(fill) <= -(-sum(fill.values()) // 1024) + 1
 
 
+def test_packing_stage_has_the_ids_of_plain_encoding(stages):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, 2] for r in stages["mixing"]}
+    for r in stages["packing"]:
+        own = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert len(own) == r["length"] and zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"]
+
+
+def test_stages_of_nothing(spark, sf_dir):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0
+
+
 def test_registry_names_every_operator():
-    numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in llm_queries.queries())
+    numbers = sorted(int(m[1]) for n in llm_queries.queries() if (m := re.match(r"op(\d+)_", n)))
     assert numbers == list(range(1, 11))
     assert set(llm_queries.oracle_sql()) <= set(llm_queries.queries())
