@@ -162,8 +162,8 @@ register("pheno_summary", f"""with {_REP}, o as (select value, row_number() over
 register("pheno_normalize", f"with {_REP} select individual, {_r('(value - (select avg(value) from lastv)) / (select stddev_samp(value) from lastv)')} z from lastv")(
     lambda s, d: pheno.normalize(pheno.last_values(_repeated_pheno(s, d)))
 )
-register("pheno_moments", f"with {_REP} select {_r('avg(value)')} mean, {_r('var_samp(value)')} variance, {_r('stddev_samp(value)')} std from lastv")(
-    lambda s, d: pheno.moments(pheno.last_values(_repeated_pheno(s, d)), "value")
+register("pheno_moments", f"with {_REP} select {_r('avg(value)')} mean, round(var_samp(value), 2) + 0.0 variance, {_r('stddev_samp(value)')} std from lastv")(
+    lambda s, d: pheno.moments(pheno.last_values(_repeated_pheno(s, d)), "value").withColumn("variance", F.round("variance", 2))  # about 1e10: a double's last places
 )
 register("marker_pheno_corr", f"with {L} select marker, {_r('case when var_pop(dosage) > 0 and count(dosage) > 1 then corr(dosage, value) end')} r from calls join pheno using (individual) group by marker")(
     lambda s, d: pheno.marker_correlations(calls_l(s, d), pheno_l(s, d))
