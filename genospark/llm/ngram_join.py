@@ -231,8 +231,7 @@ def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
     )
     postings = stored(postings.select(F.xxhash64("leader", "token").alias("key"), "node", "comp", "other", "n").distinct(), "join-sub-postings")
     keys = postings.groupBy("key").agg(
-        F.count_if("other").alias("others"), F.sum("n").alias("load"), F.sum(F.when(F.col("other"), F.col("n"))).alias("other_load"),
-        (F.min("comp") != F.max("comp")).alias("mixed"),
+        F.count_if("other").alias("others"), F.min("node").alias("least"), (F.min("comp") != F.max("comp")).alias("mixed"),
     ).where("mixed")
     keys = stored(keys.where("others > 0").drop("mixed"), "join-sub-keys")
     # A few sets with all others of their sub-bucket: at most COLD times as many pairs as the sub-bucket has sets.
@@ -243,20 +242,23 @@ def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
     pairs = stored(near.select("x", "y").distinct(), "join-sub-pairs")
     pairs = stored(_filtered(pairs, reps, percent), "join-sub-near")
     found = _verified(pairs, sets, percent)
-    # The rest of them, block by block.
-    blocks = lambda load: F.ceil(F.col(load) / BLOCK_TOKENS).cast("int")
-    many = stored(keys.where(F.col("others") > COLD).select("key", blocks("load").alias("blocks"), blocks("other_load").alias("other_blocks")), "join-sub-many")
-    if not many.isEmpty():
-        loaded = _meet(postings, many, "key").join(sets, "node")
+    # The rest of them, block by block.  Sub-buckets with one least set are one group, so the tokens of a passage that
+    # the same sets share make a group once.
+    crowded = keys.where(F.col("others") > COLD).select("key", F.col("least").alias("group"))
+    if not crowded.isEmpty():
+        grouped = stored(_meet(postings, crowded, "key").select("group", "node", "comp", "other", "n").distinct(), "join-sub-groups")
+        blocks = lambda load: F.ceil(F.sum(load) / BLOCK_TOKENS).cast("int")
+        loads = grouped.groupBy("group").agg(blocks("n").alias("blocks"), blocks(F.when(F.col("other"), F.col("n"))).alias("other_blocks"))
+        loaded = _meet(grouped, loads, "group").join(sets, "node")
         block = lambda of: F.expr(f"cast(pmod(xxhash64(node), {of}) as int)")
         every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-        columns = ["key", "i", "j", "side", "node", "comp", "tokens"]
+        columns = ["group", "i", "j", "side", "node", "comp", "tokens"]
         left = loaded.where("other").withColumn("i", block("other_blocks")).withColumn("j", every("blocks")).withColumn("side", F.lit(0))
         all_ = loaded.withColumn("j", block("blocks")).withColumn("i", every("other_blocks")).withColumn("side", F.lit(1))
         both = left.select(columns).unionByName(all_.select(columns))
-        found = found.union(both.groupBy("key", "i", "j").applyInArrow(_block_links(percent), "x long, y long"))
+        found = found.union(both.groupBy("group", "i", "j").applyInArrow(_block_links(percent), "x long, y long"))
     found = stored(found, "join-sub-links")
-    discard(placed, split, postings, keys, pairs, many)
+    discard(placed, split, postings, keys, pairs)
     return found
 
 
