@@ -47,7 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", stand_in).alias("_key"))
     found = ngram_join(keyed, k=5, percent=80, id_col="_key")
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(stay, "_key", "left_semi").dropDuplicates(["_key", "text"]).select(COLUMNS)
+    kept = keyed.join(stay, "_key", "left_semi").withColumn("_text", F.sha2(F.col("text").cast("binary"), 256))
+    return kept.dropDuplicates(["_key", "_text"]).select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
