@@ -234,6 +234,8 @@ def write_block(block: Block, vocabulary: int) -> bytes:
     there = np.array([d is not None for d in block.doc_ids], bool)
     table = zlib.compress(ids.tobytes() + there.tobytes() + np.asarray(block.lengths).astype("<u8").tobytes(), 1)
     fields = (MAGIC, VERSION, len(block.doc_ids), block.part, block.start, len(block.ids), vocabulary, len(table))
+    if not 0 < vocabulary < 1 << ZERO_BITS:
+        raise ValueError(f"a vocabulary of {vocabulary} ids leaves some without a slot")
     coded = encode_ids(block.ids, vocabulary)
     return struct.pack(_HEAD, *fields, _checksum(fields, table + coded, block.ids)) + table + coded
 
