@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, lm_scoring, quality_rules, quality_trees
+from . import filter_audit, importance, language_id, lm_scoring, quality_rules, quality_trees
 from .common import bound_batches, documents
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -96,6 +96,17 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_held_out(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    return filter_audit.audit(filter_audit.failure_counts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = importance.resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 # Views of what SQL can say of operators that it cannot express as a whole ------------------------------------------------
 
 
@@ -166,6 +177,52 @@ select d.doc_id, held_out, len(w) + 1 n_tokens, coalesce(known, 0) + 1 n_known,
   round(coalesce(logs, 0) + log10(f.ends + 1) - (len(w) + 1) * log10(f.n + f.v + 1), 3) base_score
 from d left join s using (doc_id), f
 """
+#: Each filter, each order and each step by itself.
+OP11_SQL = f"""
+with recursive d as (select doc_id, coalesce(source, '') part, coalesce(text, '') t, {_WORDS.format("coalesce(text, '')")} w from documents),
+least as (select t, min(doc_id) m from d group by 1),
+lb as (select doc_id, max(quality = 1) good, max(toxic = 1) toxic from labels group by 1),
+f as (select part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(d.doc_id > m, false)] x, coalesce(good, false) good, coalesce(toxic, false) toxic
+  from d join least using (t) left join lb using (doc_id)),
+s as (select part, x, count(*) n, count(*) filter (where good) good, count(*) filter (where toxic) toxic from f group by 1, 2),
+o(filter_order) as (select '' union all select filter_order || c from o, unnest(['A', 'B', 'C', 'D', 'E']) u(c) where not contains(filter_order, c)),
+st as (select filter_order, cast(k as int) step, [ascii(c) - 64 for c in string_split(left(filter_order, k - 1), '') if c != ''] past, ascii(substr(filter_order, k, 1)) - 64 own
+  from o, range(1, 6) r(k) where length(filter_order) = 5),
+e as (select part, filter_order, step, own, x[own] fails, len([i for i in past if x[i]]) > 0 gone, len([y for y in x if y]) = 1 alone, n, good, toxic from s, st),
+q as (select part, filter_order, step, own, coalesce(sum(n) filter (where not gone and not fails), 0) kept, coalesce(sum(n) filter (where not gone and fails), 0) removed,
+  coalesce(sum(n) filter (where gone and fails), 0) redundant, coalesce(sum(n) filter (where fails and alone), 0) unique_fails,
+  coalesce(sum(good) filter (where not gone and fails), 0) good_lost, coalesce(sum(toxic) filter (where not gone and fails), 0) toxic_lost from e group by 1, 2, 3, 4)
+select part, filter_order, step, {", ".join(f"cast({c} as bigint) {c}" for c in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+  cast(sum(removed) over (partition by part, own) as bigint) shapley from q
+"""
+#: crc32 byte by byte, of the UTF-8 bytes of {0}.
+_TABLE = []
+for _byte in range(256):
+    for _ in range(8):
+        _byte = _byte >> 1 ^ (0xEDB88320 if _byte & 1 else 0)
+    _TABLE.append(_byte)
+OP12_SQL = f"""
+with tb as (select {_TABLE}::bigint[] tb),
+w as (select doc_id, 0 kind, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents
+  union all select item_id, 1, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') from benchmark),
+g as (select doc_id, kind, unnest(w) x from w union all select doc_id, kind, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from w
+  union all select doc_id, kind, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from w),
+c as (select x, doc_id, kind, count(*) n from g group by 1, 2, 3),
+h as (select x, hex(encode(x)) hx from (select distinct x from c)),
+b as (select x, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(0, cast(length(hx) / 2 as bigint)), lambda i: cast('0x' || substr(hx, 2 * i + 1, 2) as bigint))),
+  lambda a, v: xor(a >> 8, list_extract(tb, (xor(a, v) & 255) + 1)))) % 10000 bucket from h, tb),
+n as (select doc_id, kind, bucket, sum(n) n from c join b using (x) group by 1, 2, 3),
+t as (select bucket, sum(n) filter (where kind = 0) s, sum(n) filter (where kind = 1) t from n group by 1),
+k as (select sum(s) s, sum(t) t from t),
+gn as (select bucket, cast(floor(1000 * ln((coalesce(t.t, 0) + 1.0::double) * (k.s + 10000) / ((coalesce(t.s, 0) + 1.0::double) * (coalesce(k.t, 0) + 10000)))) as bigint) gain from t, k),
+d as (select doc_id, cast(sum(n) as bigint) n_features, cast(sum(n * gain) as bigint) weight from n join gn using (bucket) where kind = 0 group by 1),
+e as (select w.doc_id, len(w) words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight, coalesce(weight, 0)
+    + cast(floor(-1000 * ln(-ln((cast('0x' || left(sha256('42:' || w.doc_id), 8) as bigint) + 0.5::double) / 4294967296))) as bigint) score
+  from w left join d using (doc_id) where kind = 0),
+r as (select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () n from e where words >= 20)
+select e.doc_id, n_features, weight, score, case when rank <= 5 * n // 100 then rank end rank from e left join r using (doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -178,6 +235,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_importance_resampling": op12_importance_resampling,
     "mixing_targets": mixing_targets,
     "quality_rule_counts": quality_rule_counts,
     "lm_base_scores": lm_base_scores,
@@ -186,6 +245,8 @@ ORACLES: dict[str, str] = {
     "op2_ngram_join": OP2_SQL,
     "op4_line_dedup": OP4_SQL,
     "op5_exact_dedup": OP5_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
     "mixing_targets": TARGETS_SQL,
     "quality_rule_counts": RULES_SQL,
     "lm_base_scores": LM_SQL,
