@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import filter_audit, importance, language_id, lm_scoring, quality_rules, quality_trees
+from . import filter_audit, importance, language_id, lm_scoring, quality_rules, quality_trees, secrets
 from .common import bound_batches, documents
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
@@ -107,6 +107,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.digests(secrets.secret_scan(documents(spark, sf_dir).select("doc_id", "text")))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 # Views of what SQL can say of operators that it cannot express as a whole ------------------------------------------------
 
 
@@ -129,6 +134,11 @@ def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score")
 
 
+def secret_base_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op13's base columns, with the spans that they digest."""
+    return secrets.digests(secrets.scan(documents(spark, sf_dir).select("doc_id", "text"), None))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 #: crc32 of an id as text, bit by bit.
@@ -223,6 +233,19 @@ e as (select w.doc_id, len(w) words, coalesce(n_features, 0) n_features, coalesc
 r as (select doc_id, row_number() over (order by score desc, doc_id) rank, count(*) over () n from e where words >= 20)
 select e.doc_id, n_features, weight, score, case when rank <= 5 * n // 100 then rank end rank from e left join r using (doc_id)
 """
+#: (Longer runs alone are the same as all runs without the short ones.)  A match starts after the pieces that stand between the earlier ones, and those.
+_FOUND = """select doc_id, {k} k, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'s': cast(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint),
+    'm': m[i], 'v': v[i]}})) f from (select doc_id, regexp_extract_all(t, {r}) m, regexp_extract_all(t, {r}, {g}) v, string_split_regex(t, {r}) p from d)"""
+_ASSIGN = """'(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'"""
+SECRETS_SQL = f"""
+with d as (select doc_id, coalesce(text, '') t from documents),
+f as ({_FOUND.format(k=0, g=1, r=_ASSIGN)} union all {_FOUND.format(k=1, g=0, r="'AKIA[A-Z0-9]{12,}'")} union all {_FOUND.format(k=2, g=0, r="'[0-9a-f]{32,}'")}),
+g as (select doc_id, k, f.s s, f.s + length(f.m) e from f where length(f.v) >= [8, 16, 32][k + 1]),
+j as (select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex,
+  string_agg(['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || e, ',' order by s, k) spans from g group by 1)
+select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access, coalesce(n_hex, 0) n_hex, coalesce(spans, '') spans, sha256(coalesce(spans, '')) base_sha256
+from d left join j using (doc_id)
+"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
@@ -237,6 +260,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_filter_audit": op11_filter_audit,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_secret_scan": op13_secret_scan,
+    "secret_base_findings": secret_base_findings,
     "mixing_targets": mixing_targets,
     "quality_rule_counts": quality_rule_counts,
     "lm_base_scores": lm_base_scores,
@@ -247,6 +272,7 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": OP5_SQL,
     "op11_filter_audit": OP11_SQL,
     "op12_importance_resampling": OP12_SQL,
+    "secret_base_findings": SECRETS_SQL,
     "mixing_targets": TARGETS_SQL,
     "quality_rule_counts": RULES_SQL,
     "lm_base_scores": LM_SQL,
