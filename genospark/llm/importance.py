@@ -178,7 +178,7 @@ def gain_planes(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = planes(np.maximum(gain, 0)[None]), planes(np.maximum(-gain, 0)[None])
     rows = [p[0] for p in (*up, *down)]
     power = [1 << i for i in range(len(up))] + [-(1 << i) for i in range(len(down))]
-    return np.array(rows, np.uint64).reshape(len(rows), -1), np.array(power, np.int64)
+    return np.array(rows, np.uint64), np.array(power, np.int64)
 
 
 def weights(counts: np.ndarray, rows: np.ndarray, power: np.ndarray) -> np.ndarray:
