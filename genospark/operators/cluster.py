@@ -1,18 +1,24 @@
-"""Genetic distances and agglomerative clustering."""
+"""Genetic distances and agglomerative clustering.
+
+Trees are tables: merges, links and leaf intervals of at most MAX_INDIVIDUALS rows or twice that, which is what broadcasts
+here are bounded by.  Paths upwards are followed by pointer jumping: each round replaces a node's pointer by its pointer's
+pointer, so a tree of depth d takes log2 d rounds, a chain too.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import discard, stored
 from .calls import individual_index, individuals, marker_index, standardized_entries
+from .linalg import pair_blocks, pairs_of
+from .ranks import numbered
 
-BLOCK = 256
 LINKAGES = ("average", "single", "complete")
-#: Individuals that distances and trees are made of at most: pairs grow with the square, and the driver keeps a row a merge.
+#: Individuals that distances and trees are made of at most: pairs grow with the square.
 MAX_INDIVIDUALS = 50_000
 
 
@@ -27,45 +33,15 @@ def _checked(n: int) -> int:
 def pairwise_distances(calls: DataFrame) -> DataFrame:
     """(a, b, distance) for row_idx a < b: Euclidean, on standardised calls, missing ones being 0.
 
-    Individuals are dealt to blocks; each pair of blocks is one group.  The result has n (n - 1) / 2 rows.
+    Differences are squared and added up, which stays exact near 0.  The result has n (n - 1) / 2 rows.
     """
     people = stored(individual_index(calls), "distance-individuals")
     markers = stored(marker_index(calls), "distance-markers")
-    n, m = _checked(people.count()), markers.count()
-    blocks = -(-n // BLOCK)
-    rows = (
-        standardized_entries(calls).join(markers, "marker").join(people, "individual")
-        .groupBy("row_idx").agg(F.collect_list(F.struct(F.col("marker_idx").cast("int").alias("i"), "z")).alias("e"))
-    )
-    rows = people.select("row_idx").join(rows, "row_idx", "left")
-    rows = rows.select("row_idx", F.coalesce("e.i", F.array().cast("array<int>")).alias("i"), F.coalesce("e.z", F.array().cast("array<double>")).alias("z"))
-    own = F.expr(f"cast(row_idx div {BLOCK} as int)")
-    partner = F.explode(F.sequence(F.lit(0), F.lit(max(blocks - 1, 0)))).alias("partner")
-    dealt = rows.withColumn("own", own).select("*", partner).select(
-        F.least("own", "partner").alias("p"), F.greatest("own", "partner").alias("q"), "own", "row_idx", "i", "z"
-    )
-
-    def measure(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        idx, side = table["row_idx"].to_numpy(), table["own"].to_numpy()
-        x = np.zeros((len(idx), m))
-        sizes = table["i"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
-        x[np.repeat(np.arange(len(idx)), sizes), table["i"].combine_chunks().flatten().to_numpy()] = table["z"].combine_chunks().flatten().to_numpy()
-        p, q = table["p"][0].as_py(), table["q"][0].as_py()
-        left, right = np.flatnonzero(side == p), np.flatnonzero(side == q)
-        out_a, out_b, out_d = [], [], []
-        for at in left:  # by differences, which stay exact near 0
-            later = right[idx[right] > idx[at]] if p == q else right
-            gap = x[later] - x[at]
-            out_a.append(np.full(len(later), idx[at]))
-            out_b.append(idx[later])
-            out_d.append(np.sqrt(np.einsum("ij,ij->i", gap, gap)))
-        a, b = np.concatenate(out_a or [[]]).astype(np.int64), np.concatenate(out_b or [[]]).astype(np.int64)
-        swap = a > b
-        d = np.concatenate(out_d or [[]])
-        return pa.table({"a": pa.array(np.where(swap, b, a), pa.int64()), "b": pa.array(np.where(swap, a, b), pa.int64()), "distance": pa.array(d, pa.float64())})
-
-    return dealt.groupBy("p", "q").applyInArrow(measure, "a long, b long, distance double")
+    n = _checked(people.count())
+    entries = standardized_entries(calls).join(markers, "marker").join(F.broadcast(people), "individual")
+    entries = entries.select(F.col("row_idx").alias("i"), F.col("marker_idx").alias("j"), F.col("z").alias("v"))
+    found = pairs_of(pair_blocks(entries, n, "distance"), n).where("a < b")
+    return found.select("a", "b", F.sqrt("v").alias("distance"))
 
 
 def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
@@ -74,91 +50,148 @@ def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
     Each round merges every pair of clusters that are each other's nearest, ties going to the smaller ids: for these
     linkages that gives the tree of one-by-one merging, ties aside.  Single linkage takes the minimum spanning tree
     instead, in at most log2 n rounds.  Rounds work on a table of cluster pairs that shrinks; steps are numbered by
-    distance at the end.  The driver keeps a row for each merge, MAX_INDIVIDUALS at most.
+    distance at the end, and children are found by windows over the numbered merges.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}")
-    spark = pairs.sparkSession
     _checked(n)
-    merged = _spanning_tree(pairs) if linkage == "single" else _mutual_merges(pairs, linkage)
-    # Numbered by distance; a cluster's current id is followed from merge to merge.
-    root, current, size, out = list(range(n)), list(range(n)), {i: 1 for i in range(n)}, []
-    for step, (dist, _, *pair) in enumerate(sorted(merged)):
-        a, b = sorted(_find(root, x) for x in pair)
-        left, right = sorted((current[a], current[b]))
-        size[n + step] = size[left] + size[right]
-        out.append((step, left, right, n + step, float(dist), size[n + step]))
-        root[b], current[a] = a, n + step
-    return spark.createDataFrame(out, "step long, left_id long, right_id long, new_id long, distance double, size long")
-
-
-def _find(root: list[int], at: int) -> int:
-    while root[at] != at:
-        root[at] = root[root[at]]
-        at = root[at]
-    return at
-
-
-def _moved(table: DataFrame, moves: list[tuple[int, int]]) -> DataFrame:
-    """``table`` with a and b replaced; there are as many moves as individuals at most."""
-    told = F.broadcast(table.sparkSession.createDataFrame(moves, "old long, new long"))
+    kids = _spanning_tree(pairs, n) if linkage == "single" else _mutual_merges(pairs, n, linkage)
+    kids = stored(kids, "tree-kids")
+    return stored(_sized(kids, n), "tree-merges").select("step", "left_id", "right_id", "new_id", "distance", "size")
+
+
+def _relabelled(table: DataFrame, told: DataFrame) -> DataFrame:
+    """``table`` with a and b replaced by ``told(old, new)``, which has a row an individual at most."""
     for side in "ab":
-        table = table.join(told.withColumnRenamed("old", side), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
+        table = table.join(F.broadcast(told.withColumnRenamed("old", side)), side, "left").withColumn(side, F.coalesce("new", side)).drop("new")
     return table.where("a != b")
 
 
-def _spanning_tree(pairs: DataFrame) -> list[tuple[float, int, int, int]]:
-    """Edges (distance, 0, a, b) of the minimum spanning tree: each component takes its shortest edge, round by round."""
+def _to_roots(links: DataFrame) -> DataFrame:
+    """(id, up, off) with ``up`` the root and ``off`` the sum on the path to it, from links whose roots point at themselves.
+
+    Two doublings are one job.
+    """
+
+    def doubled(t: DataFrame) -> DataFrame:
+        far = F.broadcast(t.select(F.col("id").alias("up"), F.col("up").alias("further"), F.col("off").alias("more")))
+        return t.join(far, "up").select("id", F.col("further").alias("up"), (F.col("off") + F.col("more")).alias("off"), (F.col("further") != F.col("up")).alias("moved"))
+
+    table = stored(links.select("id", "up", "off"), "tree-links")
+    while True:
+        longer = stored(doubled(doubled(table)), "tree-links")
+        discard(table)
+        if longer.where("moved").isEmpty():
+            return longer.drop("moved")
+        table = longer
+
+
+def _spanning_tree(pairs: DataFrame, n: int) -> DataFrame:
+    """(step, distance, left_id, right_id) of single linkage.
+
+    Round by round each component takes its shortest edge (by distance, then ids) to another and all that hang together
+    become one component, until one is left: the minimum spanning tree, whose edges in order are the merges.  What a
+    component of a round has merged before its own edge comes is a chain of merges, its *core*: a merge adds to the core
+    of its round's component, or of a larger component if the smaller one's edge came before it.
+    """
     edge = F.struct(F.col("distance").alias("d"), F.col("a").alias("u"), F.col("b").alias("v")).alias("e")
     table = stored(pairs.select("a", "b", edge), "tree-pairs")
-    root: dict[int, int] = {}
-    found: dict[tuple[int, int], float] = {}
+    rounds = []
     while True:
-        both = table.select("a", "e").union(table.select(F.col("b").alias("a"), "e"))
-        nearest = both.groupBy("a").agg(F.min("e").alias("e")).select("a", "e.*").collect()  # a row per component
-        if not nearest:
-            discard(table)
-            return [(d, 0, u, v) for (u, v), d in found.items()]
-        found |= {(r["u"], r["v"]): r["d"] for r in nearest}
-        ids = {r["a"] for r in nearest}
-        names = {x: i for i, x in enumerate(sorted(ids))}
-        of_leaf = lambda leaf: root.get(leaf, leaf)
-        joined = list(range(len(names)))
-        for r in nearest:
-            a, b = sorted(_find(joined, names[of_leaf(x)]) for x in (r["u"], r["v"]))
-            joined[b] = a
-        back = sorted(ids)
-        moves = {x: back[_find(joined, i)] for x, i in names.items()}
-        root = {leaf: moves[r] for leaf, r in root.items()} | {x: y for x, y in moves.items() if x not in root}
-        following = _moved(table, list(moves.items())).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e"))
-        following = stored(following, "tree-pairs")
-        discard(table)
+        both = table.select("a", "b", "e").union(table.select(F.col("b").alias("a"), F.col("a").alias("b"), "e"))
+        near = stored(both.groupBy("a").agg(F.min(F.struct("e", "b")).alias("p")).select("a", "p.b", "p.e.*"), "tree-nearest")
+        if near.isEmpty():
+            discard(table, near)
+            break
+        # Of two components that take the same edge the smaller one is the root; all others hang on what they took.
+        back = near.select(F.col("a").alias("b"), F.col("b").alias("again"))
+        root = (F.col("again") == F.col("a")) & (F.col("a") < F.col("b"))
+        links = near.join(F.broadcast(back), "b").select(F.col("a").alias("id"), F.when(root, F.col("a")).otherwise(F.col("b")).alias("up"), F.lit(0).cast("long").alias("off"))
+        roots = _to_roots(links).select(F.col("id").alias("a"), F.col("up").alias("root"))
+        taken = stored(near.join(F.broadcast(roots), "a").select(F.lit(len(rounds) + 1).alias("level"), "a", "root", "d", "u", "v"), "tree-taken")
+        rounds.append(taken)
+        told = taken.select(F.col("a").alias("old"), F.col("root").alias("new"))
+        following = stored(_relabelled(table, told).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("e").alias("e")), "tree-pairs")
+        discard(table, near)
         table = following
+    if not rounds:
+        return pairs.sparkSession.createDataFrame([], "step long, distance double, left_id long, right_id long")
+    taken = reduce(DataFrame.union, rounds)
+    edges = numbered(taken.select("d", "u", "v").distinct(), "step", "d", "u", "v")
+    taken = stored(taken.join(F.broadcast(edges), ["d", "u", "v"]), "tree-edges")
+    # Each merge climbs to the core that it adds to.
+    at = taken.groupBy("step", "d").agg((F.min("level") + 1).alias("in_level"), F.min("root").alias("core"))
+    for level in range(2, len(rounds) + 1):
+        own = taken.where(F.col("level") == level).select(F.col("a").alias("core"), F.col("root").alias("wider"), F.col("step").alias("leaves"))
+        climbs = (F.col("in_level") == level) & (F.col("leaves") < F.col("step"))
+        at = at.join(F.broadcast(own), "core", "left").select(
+            "step", "d", F.when(climbs, F.lit(level + 1)).otherwise(F.col("in_level")).alias("in_level"), F.when(climbs, F.col("wider")).otherwise(F.col("core")).alias("core")
+        )
+    at = stored(at, "tree-cores")
+    # A merge joins what its core was to the whole core of the component that took its edge (or of both that did).
+    last = at.groupBy(F.col("in_level").alias("level"), F.col("core").alias("a")).agg(F.max("step").alias("last"))
+    joins = taken.join(F.broadcast(last), ["level", "a"], "left").groupBy("step").agg(
+        F.min(F.coalesce(F.col("last") + n, F.col("a"))).alias("x"), F.max(F.coalesce(F.col("last") + n, F.col("a"))).alias("y"), F.count(F.lit(1)).alias("k")
+    )
+    before = F.lag("step").over(Window.partitionBy("in_level", "core").orderBy("step")) + n
+    both = at.withColumn("before", before).join(joins, "step").withColumn("z", F.when(F.col("k") == 2, F.col("y")).otherwise(F.col("before")))
+    return both.select("step", F.col("d").alias("distance"), F.least("x", "z").alias("left_id"), F.greatest("x", "z").alias("right_id"))
 
 
-def _mutual_merges(pairs: DataFrame, linkage: str) -> list[tuple[float, int, int, int]]:
-    """Merges (distance, round, a, b) of clusters that go by the smallest of their ids."""
+def _mutual_merges(pairs: DataFrame, n: int, linkage: str) -> DataFrame:
+    """(step, distance, left_id, right_id) of average or complete linkage; clusters go by the smallest of their ids."""
     d = "distance"
     table = stored(pairs.select("a", "b", F.col(d).alias("sum"), F.lit(1).cast("long").alias("cnt"), F.col(d).alias("high")), "tree-pairs")
     value = {"average": F.col("sum") / F.col("cnt"), "complete": F.col("high")}[linkage]
-    merged: list[tuple[float, int, int, int]] = []
-    rounds = 0
+    rounds = []
     while True:
         near = table.select(value.alias("d"), "a", "b")
         both = near.select("a", F.struct("d", "a", "b").alias("p")).union(near.select(F.col("b").alias("a"), F.struct("d", "a", "b").alias("p")))
         nearest = both.groupBy("a").agg(F.min("p").alias("p"))
-        found = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k = 2").select("p.d", "p.a", "p.b").collect()
-        if not found:
-            discard(table)
-            return merged
-        merged += [(r["d"], rounds, r["a"], r["b"]) for r in found]
+        mutual = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
+        found = stored(mutual.select("p.d", F.lit(len(rounds)).alias("round"), "p.a", "p.b"), "tree-merged")
+        if found.isEmpty():
+            discard(table, found)
+            break
+        rounds.append(found)
         # A merged cluster goes by the smaller of its two ids.
         following = stored(
-            _moved(table, [(r["b"], r["a"]) for r in found]).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            _relabelled(table, found.select(F.col("b").alias("old"), F.col("a").alias("new"))).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
             .agg(F.sum("sum").alias("sum"), F.sum("cnt").alias("cnt"), F.max("high").alias("high")), "tree-pairs",
         )
         discard(table)
-        table, rounds = following, rounds + 1
+        table = following
+    if not rounds:
+        return pairs.sparkSession.createDataFrame([], "step long, distance double, left_id long, right_id long")
+    merges = numbered(reduce(DataFrame.union, rounds), "step", "d", "round", "a", "b")
+    # The name a lives on, so its part is the last merge under that name; b's name ends, so its part is the last of all.
+    before = F.lag("step").over(Window.partitionBy("a").orderBy("round"))
+    last = merges.groupBy(F.col("a").alias("b")).agg(F.max_by("step", "round").alias("last"))
+    parts = merges.withColumn("x", F.coalesce(before + n, F.col("a"))).join(F.broadcast(last), "b", "left").withColumn("z", F.coalesce(F.col("last") + n, F.col("b")))
+    return parts.select("step", F.col("d").alias("distance"), F.least("x", "z").alias("left_id"), F.greatest("x", "z").alias("right_id"))
+
+
+def _links(kids: DataFrame) -> DataFrame:
+    """(id, above) of every child."""
+    above = (F.col("new_id")).alias("above")
+    return kids.select(F.col("left_id").alias("id"), above).union(kids.select(F.col("right_id").alias("id"), above))
+
+
+def _sized(kids: DataFrame, n: int) -> DataFrame:
+    """``kids`` with new_id and size: leaves less than 2^k steps below, and each node's 2^k-th ancestor, doubled."""
+    kids = kids.withColumn("new_id", F.col("step") + n)
+    up = stored(_links(kids), "tree-up")
+    # A merge's own leaves: those of its children that are leaves.
+    leaf = lambda c: (F.col(c) < n).cast("long")
+    size = stored(kids.select(F.col("new_id").alias("id"), (leaf("left_id") + leaf("right_id")).alias("size")), "tree-sizes")
+    while not up.isEmpty():
+        below = size.join(F.broadcast(up), "id").groupBy(F.col("above").alias("id")).agg(F.sum("size").alias("more"))
+        larger = stored(size.join(F.broadcast(below), "id", "left").select("id", (F.col("size") + F.coalesce("more", F.lit(0))).alias("size")), "tree-sizes")
+        further = stored(up.join(F.broadcast(up.select(F.col("id").alias("above"), F.col("above").alias("beyond"))), "above").select("id", F.col("beyond").alias("above")), "tree-up")
+        discard(up, size)
+        up, size = further, larger
+    discard(up)
+    return kids.join(F.broadcast(size.withColumnRenamed("id", "new_id")), "new_id")
 
 
 def dendrogram(calls: DataFrame, linkage: str = "average") -> DataFrame:
@@ -166,64 +199,75 @@ def dendrogram(calls: DataFrame, linkage: str = "average") -> DataFrame:
     return merge_tree(pairwise_distances(calls), people, linkage)
 
 
+def spans(merges: DataFrame, n: int) -> DataFrame:
+    """(id, low, high): the places of each node's leaves in the order of leaves, which are next to each other.
+
+    The left side of a merge comes before its right side, so a right child starts where its left sibling ends: its first
+    place is the sum of those sizes on its path to the root.
+    """
+    spark = merges.sparkSession
+    size = merges.select(F.col("new_id").alias("left_id"), F.col("size").alias("before"))
+    told = merges.join(F.broadcast(size), "left_id", "left").withColumn("before", F.coalesce("before", F.lit(1).cast("long")))
+    kids = told.select(F.col("left_id").alias("id"), F.col("new_id").alias("up"), F.lit(0).cast("long").alias("off")).union(
+        told.select(F.col("right_id").alias("id"), F.col("new_id").alias("up"), F.col("before").alias("off"))
+    )
+    nodes = spark.range(n).select("id", F.lit(1).cast("long").alias("size")).union(merges.select("new_id", "size"))
+    links = nodes.join(F.broadcast(kids), "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.coalesce("off", F.lit(0)).alias("off"))
+    placed = _to_roots(links).select("id", F.col("off").alias("low"))
+    return stored(placed.join(F.broadcast(nodes), "id").select("id", "low", (F.col("low") + F.col("size") - 1).alias("high")), "tree-spans")
+
+
+def _leaves(found: DataFrame, n: int, leaf: str = "leaf", at: str = "at") -> DataFrame:
+    """(at, leaf): a row an individual."""
+    return F.broadcast(found.where(F.col("id") < n).select(F.col("low").alias(at), F.col("id").alias(leaf)))
+
+
+def _spread(table: DataFrame) -> DataFrame:
+    """Rows dealt evenly before they are multiplied."""
+    return table.repartition(int(table.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cophenetic(merges: DataFrame, n: int) -> DataFrame:
     """(a, b, step, height) for leaves a < b: the merge that joins them.  n (n - 1) / 2 rows."""
-    inside = stored(members(merges, n), "tree-members")
-    left, right = (inside.select(F.col("id").alias(f"{s}_id"), F.col("leaf").alias(s)) for s in ("left", "right"))
-    both = merges.join(left, "left_id").join(right, "right_id")
-    return both.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "step", F.col("distance").alias("height"))
+    found = spans(merges, n)
+    side = lambda s: F.broadcast(found.select(F.col("id").alias(f"{s}_id"), F.col("low").alias(f"{s}_low"), F.col("high").alias(f"{s}_high")))
+    both = merges.join(side("left"), "left_id").join(side("right"), "right_id")
+    # One row a left leaf first, so that a merge of many pairs is not one task's.
+    one = _spread(both.withColumn("x", F.explode(F.sequence("left_low", "left_high"))))
+    pairs = one.select("step", "distance", "x", F.explode(F.sequence("right_low", "right_high")).alias("y"))
+    named = pairs.join(_leaves(found, n, "left", "x"), "x").join(_leaves(found, n, "right", "y"), "y")
+    return named.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b"), "step", F.col("distance").alias("height"))
 
 
 def members(merges: DataFrame, n: int) -> DataFrame:
-    """(id, leaf): the leaves below each cluster, leaves included.
-
-    Steps upwards are doubled each round, so the rounds are the logarithm of the tree's depth.
-    """
-    spark = merges.sparkSession
-    up = merges.select(F.col("left_id").alias("id"), F.col("new_id").alias("above")).union(merges.select(F.col("right_id").alias("id"), F.col("new_id").alias("above")))
-    own = spark.range(n).select("id", F.col("id").alias("above")).union(merges.select(F.col("new_id").alias("id"), F.col("new_id").alias("above")))
-    reach = stored(up.union(own), "tree-reach")
-    while True:
-        beyond = reach.select(F.col("id").alias("above"), F.col("above").alias("further"))
-        longer = stored(reach.join(beyond, "above").select("id", F.col("further").alias("above")).distinct(), "tree-reach")
-        done = longer.count() == reach.count()
-        discard(reach)
-        reach = longer
-        if done:
-            break
-    return reach.where(f"id < {n}").select(F.col("above").alias("id"), F.col("id").alias("leaf"))
+    """(id, leaf): the leaves below each cluster, leaves included; as many rows as the tree's leaves have ancestors."""
+    found = spans(merges, n)
+    inside = _spread(found).select("id", F.explode(F.sequence("low", "high")).alias("at"))
+    return inside.join(_leaves(found, n), "at").select("id", "leaf")
 
 
 def named_merges(merges: DataFrame, calls: DataFrame) -> DataFrame:
     """(step, left, right, distance) with each side's members sorted and joined by semicolons."""
     people = individual_index(calls)
-    inside = members(merges, people.count()).join(people, F.col("leaf") == F.col("row_idx"))
+    inside = members(merges, people.count()).join(F.broadcast(people), F.col("leaf") == F.col("row_idx"))
     names = stored(inside.groupBy("id").agg(F.array_join(F.array_sort(F.collect_list("individual")), ";").alias("names")), "tree-names")
     left = names.select(F.col("id").alias("left_id"), F.col("names").alias("left"))
     right = names.select(F.col("id").alias("right_id"), F.col("names").alias("right"))
     return merges.join(left, "left_id").join(right, "right_id").select("step", "left", "right", "distance")
 
 
-def _positions(inside: DataFrame, merges: DataFrame) -> DataFrame:
-    """(leaf, position) from (id, leaf): a leaf stands after all left siblings of the right children on its path."""
-    sizes = inside.groupBy("id").agg(F.count(F.lit(1)).alias("before"))
-    right = merges.join(sizes, merges.left_id == sizes.id).select(F.col("right_id").alias("id"), "before")
-    return inside.join(right, "id", "left").groupBy("leaf").agg(F.coalesce(F.sum("before"), F.lit(0)).alias("position"))
-
-
 def leaf_order(merges: DataFrame, n: int) -> DataFrame:
     """(leaf, position): the left side of every merge before its right side."""
-    return _positions(members(merges, n), merges)
+    return spans(merges, n).where(F.col("id") < n).select(F.col("id").alias("leaf"), F.col("low").alias("position"))
 
 
 def segments(merges: DataFrame, n: int) -> DataFrame:
     """(step, segment, x1, y1, x2, y2): the five lines of each merge of a drawn tree."""
-    inside = members(merges, n)
-    placed = inside.join(_positions(inside, merges), "leaf")
-    height = merges.select(F.col("new_id").alias("id"), "distance").union(merges.sparkSession.range(n).select("id", F.lit(0.0)))
-    spans = placed.groupBy("id").agg(F.min("position").alias("low"), F.max("position").alias("high"), F.avg("position").alias("mid")).join(height, "id")
-    spans = stored(spans, "tree-spans")
-    side = lambda s: spans.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "low", "high", "mid", "distance")])
+    height = merges.select(F.col("new_id").alias("id"), "distance")
+    drawn = spans(merges, n).join(F.broadcast(height), "id", "left").select(
+        "id", "low", "high", ((F.col("low") + F.col("high")) / 2).alias("mid"), F.coalesce("distance", F.lit(0.0)).alias("distance")
+    )
+    side = lambda s: F.broadcast(drawn.select(*[F.col(c).alias(f"{s}_{c}") for c in ("id", "low", "high", "mid", "distance")]))
     both = merges.join(side("left"), "left_id").join(side("right"), "right_id")
     line = lambda k, x1, y1, x2, y2: F.struct(F.lit(k).alias("segment"), *[F.col(c).cast("double").alias(a) for a, c in (("x1", x1), ("y1", y1), ("x2", x2), ("y2", y2))])
     lines = F.array(

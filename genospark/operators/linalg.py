@@ -9,20 +9,50 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 #: Sides above this are not brought to the driver; a task holds one matrix of this side at most (128 MB).  Beyond it
 #: ``top_eigenpairs`` and ``solve_ridge`` work by passes over the rows.
 MAX_SIDE = 4096
 _BLOCK = 256
 #: Entries of sparse rows that a task works on at a time, and rows of a result that travel in one block.
 _ENTRIES, _PART = 1 << 20, 1 << 14
+#: An inner index of over 1 / HEAVY of a table's entries is split, into SALTS parts of each table.
+HEAVY, SALTS = 200, 8
+#: Bytes of an Arrow batch where rows are whole tiles.
+_BATCH_BYTES = 16 << 20
+_EMPTY = np.zeros((_BLOCK, _BLOCK))
 
 
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v) of a times b; zeros take no part."""
+    return dealt_products(a, b).groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+
+
+def dealt_products(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of entries whose products make a times b, met by the inner index j and two salts x and y.
+
+    An inner index that holds over 1 / HEAVY of either table's entries would be one task's: its entries of a are dealt
+    to SALTS parts by their row and its entries of b, by their column, to as many, so that its products meet in
+    SALTS x SALTS tasks, each entry being copied SALTS times.  There are 2 HEAVY such indices at most.
+    """
     left, right = (m.where("v != 0").select("i", "j", "v") for m in (a, b))
-    right = right.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w"))
-    joined = left.join(right, left.j == right.k)
-    return joined.groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    right = right.select(F.col("i").alias("j"), F.col("j").alias("c"), F.col("v").alias("w"))
+    counts = left.groupBy("j").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("m")).union(right.groupBy("j").agg(F.lit(0).cast("long").alias("n"), F.count(F.lit(1)).alias("m")))
+    counts = counts.groupBy("j").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    shares = stored(counts, "product-counts")
+    whole = shares.agg(F.sum("n").alias("n"), F.sum("m").alias("m")).first()
+    heavy = shares.where((F.col("n") * HEAVY > (whole["n"] or 0)) | (F.col("m") * HEAVY > (whole["m"] or 0))).where("n > 0 and m > 0")
+    heavy = F.broadcast(heavy.select("j", F.lit(True).alias("heavy")))
+    all_salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+
+    def dealt(t: DataFrame, own: str, mine: str, other: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")
+        marked = t.join(heavy, "j", "left")
+        copied = marked.withColumn(mine, F.when(F.col("heavy"), part).otherwise(0))
+        return copied.withColumn(other, F.explode(F.when(F.col("heavy"), all_salts).otherwise(F.array(F.lit(0))))).drop("heavy")
+
+    return dealt(left, "i", "x", "y").join(dealt(right, "c", "y", "x"), ["j", "x", "y"])
 
 
 def transpose(a: DataFrame) -> DataFrame:
@@ -37,7 +67,7 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
 def covariance(entries: DataFrame, n: int) -> DataFrame:
     """(mi, mj, v) for mi <= mj from centred entries (individual, m, z), absent entries being 0.
 
-    The plain form, for few markers; ``gram`` is the form for many.
+    The plain form, for few markers, by a join; ``covariance_blocks`` is the form for many.
     """
     a = entries.select("individual", F.col("m").alias("mi"), F.col("z").alias("zi"))
     b = entries.select("individual", F.col("m").alias("mj"), F.col("z").alias("zj"))
@@ -45,6 +75,86 @@ def covariance(entries: DataFrame, n: int) -> DataFrame:
     return joined.groupBy("mi", "mj").agg((F.sum(F.col("zi") * F.col("zj")) / (n - 1)).alias("v"))
 
 
+def covariance_blocks(entries: DataFrame, n: int, markers: int) -> DataFrame:
+    """(p, q, v) for blocks p <= q of 256 markers: the covariance of centred entries (individual long, m, z), by tiles.
+
+    No task holds more than a block; ``pairs_of`` makes (a, b, v) of it.
+    """
+    z = F.col("z") / F.sqrt(F.lit(float(n - 1)))
+    return pair_blocks(entries.select(F.col("m").alias("i"), F.col("individual").alias("j"), z.alias("v")), markers, "product")
+
+
+def pair_blocks(entries: DataFrame, n: int, kind: str) -> DataFrame:
+    """(p, q, v) for blocks p <= q of 256 rows: by pair of rows the sum over columns of products or squared differences.
+
+    ``entries(i, j, v)`` has rows 0 to n - 1 and any long columns; absent entries are 0.  A block of rows is cut into
+    tiles of 256 columns; each tile goes to every pair that its block is in, and a task streams the sorted tiles of a
+    pair into one block of sums.  So a task holds two tiles and that block, whatever n and the number of columns.  A tile
+    has at most 65,536 entries and is copied once for each block of rows: n / 256 times.
+    """
+    if kind not in ("product", "distance"):
+        raise ValueError(f"no kind {kind!r}")
+    spark = entries.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    blocks, width = max(1, -(-n // _BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cell = lambda c: F.pmod(F.col(c), F.lit(_BLOCK)).cast("short")
+    part = lambda c: F.floor(F.col(c) / _BLOCK).cast("long")
+    tiles = entries.groupBy(part("i").cast("int").alias("own"), part("j").alias("tile")).agg(F.collect_list(F.struct(cell("i").alias("r"), cell("j").alias("c"), F.col("v").cast("double").alias("v"))).alias("e"))
+    tiles = tiles.select("own", "tile", F.col("e.r").alias("r"), F.col("e.c").alias("c"), F.col("e.v").alias("v"))
+    dealt = tiles.withColumn("partner", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select(F.least("own", "partner").alias("p"), F.greatest("own", "partner").alias("q"), "tile", "own", "r", "c", "v")
+    # Every pair has a row, also one without an entry.
+    none = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("r", "smallint"), ("c", "smallint"), ("v", "double"))]
+    every = spark.range(blocks).select(F.col("id").cast("int").alias("p"), F.explode(F.sequence(F.col("id").cast("int"), F.lit(blocks - 1))).alias("q"))
+    dealt = dealt.union(every.select("p", "q", F.lit(-1).cast("long").alias("tile"), F.col("p").alias("own"), *none))
+    ordered = dealt.repartition(width, "p", "q").sortWithinPartitions("p", "q", "tile")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, tile, total, sides = None, None, None, {}
+
+        def add() -> None:
+            left, right = (sides.get(k, _EMPTY) for k in held)
+            if kind == "product":
+                total[:] += left @ right.T
+            else:  # by differences, which stay exact near 0
+                for k in range(_BLOCK):
+                    gap = right - left[k]
+                    total[k] += np.einsum("ij,ij->i", gap, gap)
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([total.reshape(-1)], pa.list_(pa.float64()))]
+            return pa.record_batch(columns, names=["p", "q", "v"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                key, at, own = (batch.column("p")[k].as_py(), batch.column("q")[k].as_py()), batch.column("tile")[k].as_py(), batch.column("own")[k].as_py()
+                if (key, at) != (held, tile) and sides:
+                    add()
+                    sides = {}
+                if key != held:
+                    if held is not None:
+                        yield out()
+                    held, total = key, np.zeros((_BLOCK, _BLOCK))
+                tile = at
+                r, c, v = (batch.column(x)[k].values.to_numpy(zero_copy_only=False) for x in ("r", "c", "v"))
+                if len(v):
+                    sides[own] = np.zeros((_BLOCK, _BLOCK))
+                    sides[own][r, c] = v
+        if held is not None:
+            if sides:
+                add()
+            yield out()
+
+    return ordered.mapInArrow(run, "p int, q int, v array<double>")
+
+
+def pairs_of(blocks: DataFrame, n: int) -> DataFrame:
+    """(a, b, v) for rows a <= b below n, from ``pair_blocks``."""
+    long = blocks.select("p", "q", F.posexplode("v").alias("at", "v"))
+    a, b = (F.col("p") * F.lit(_BLOCK).cast("long") + F.expr(f"at div {_BLOCK}")), (F.col("q") * F.lit(_BLOCK).cast("long") + F.col("at") % _BLOCK)
+    return long.select(a.alias("a"), b.alias("b"), "v").where((F.col("a") <= F.col("b")) & (F.col("b") < n))
+
+
 def _sum_blocks(table: pa.Table) -> pa.Table:
     values = table["v"].combine_chunks()
     width = len(values[0])

@@ -244,3 +244,101 @@ def test_manhattan(spark):
     df = spark.createDataFrame([("M1", 0.05), ("M2", 1e-4), ("M3", 0.0)], "marker string, pvalue double")
     found = [tuple(r) for r in plotdata.manhattan(df).orderBy("position").collect()]
     assert [(a, b, pytest.approx(c)) for a, b, c in found] == [(0, "M1", 1.3010299957), (1, "M2", 4.0), (2, "M3", 0.0)]
+
+
+def chain(spark, n):
+    """The merges of a chain: each step adds the next leaf."""
+    rows = [(k, k + 1 if k else 0, n + k - 1 if k else 1, n + k, float(k + 1), k + 2) for k in range(n - 1)]
+    return spark.createDataFrame(rows, "step long, left_id long, right_id long, new_id long, distance double, size long")
+
+
+def test_long_chain_is_walked_by_doubling(spark):
+    n = 5000
+    merges = chain(spark, n)
+    found = {r["leaf"]: r["position"] for r in cluster.leaf_order(merges, n).collect()}
+    # The last leaf to join stands first; the two of the first merge stand last.
+    assert found == {0: n - 2, 1: n - 1} | {leaf: n - 1 - leaf for leaf in range(2, n)}
+    inside = cluster.members(merges, n)
+    assert inside.count() == n + sum(range(2, n + 1))
+    top = cluster.segments(merges, n).where(f"step = {n - 2}").orderBy("segment").collect()
+    assert tuple(top[1])[2:] == (1.0, n - 2.0, n - 1.0, n - 2.0) and tuple(top[2])[2:] == (0.0, n - 1.0, n / 2, n - 1.0)
+
+
+@pytest.mark.parametrize("linkage", ["average", "single", "complete"])
+@pytest.mark.parametrize("shape", ["random", "line", "growing", "stars"])
+def test_merges_equal_one_by_one_merging(spark, linkage, shape):
+    rng = np.random.default_rng(len(shape))
+    n = 30
+    x = {
+        "random": rng.random((n, 3)), "line": np.cumsum(rng.random(n))[:, None], "growing": np.cumsum(1 + np.arange(n) ** 1.5 / 9)[:, None],
+        "stars": np.repeat(rng.random((6, 2)) * 9, 5, 0) + rng.random((n, 2)) / 9,
+    }[shape]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    pairs = spark.createDataFrame([(i, j, float(d[i, j])) for i in range(n) for j in range(i + 1, n)], "a long, b long, distance double")
+    value = {"average": np.mean, "single": np.min, "complete": np.max}[linkage]
+    live, expected = {i: [i] for i in range(n)}, []
+    for step in range(n - 1):
+        height, a, b = min((value(d[np.ix_(live[a], live[b])]), a, b) for a in live for b in live if a < b)
+        live[n + step] = live.pop(a) + live.pop(b)
+        expected.append((step, a, b, n + step, pytest.approx(height), len(live[n + step])))
+    assert [tuple(r) for r in cluster.merge_tree(pairs, n, linkage).orderBy("step").collect()] == expected
+
+
+def test_trees_of_one_and_two(spark):
+    none = spark.createDataFrame([], "a long, b long, distance double")
+    for linkage in cluster.LINKAGES:
+        assert cluster.merge_tree(none, 1, linkage).count() == 0
+        two = spark.createDataFrame([(0, 1, 0.0)], "a long, b long, distance double")
+        assert [tuple(r) for r in cluster.merge_tree(two, 2, linkage).collect()] == [(0, 0, 1, 2, 0.0, 2)]
+    assert [tuple(r) for r in cluster.leaf_order(cluster.merge_tree(none, 1), 1).collect()] == [(0, 0)]
+
+
+def test_ties_give_a_whole_tree(spark):
+    n = 12
+    pairs = spark.createDataFrame([(i, j, float((i + j) % 2)) for i in range(n) for j in range(i + 1, n)], "a long, b long, distance double")
+    for linkage in cluster.LINKAGES:
+        merges = cluster.merge_tree(pairs, n, linkage)
+        assert sorted(r["position"] for r in cluster.leaf_order(merges, n).collect()) == list(range(n))
+        assert merges.where("size = 12").count() == 1 and merges.where("left_id >= new_id or right_id >= new_id").count() == 0
+
+
+def test_pair_blocks_equal_numpy(spark):
+    rng = np.random.default_rng(4)
+    n, m = 300, 700  # two blocks of rows, three tiles of columns; some rows and blocks of columns are empty
+    x = rng.random((n, m)) * (rng.random((n, m)) < 0.02)
+    x[260:, :256] = 0
+    i, j = np.nonzero(x)
+    entries = spark.createDataFrame([(int(a), int(b), float(x[a, b])) for a, b in zip(i, j, strict=True)], "i long, j long, v double")
+    for kind, expected in (("product", x @ x.T), ("distance", ((x[:, None] - x[None]) ** 2).sum(2))):
+        found = linalg.pairs_of(linalg.pair_blocks(entries, n, kind), n).toArrow()
+        assert found.num_rows == n * (n + 1) // 2
+        assert np.allclose(found["v"].to_numpy(), expected[found["a"].to_numpy(), found["b"].to_numpy()])
+    assert linalg.pairs_of(linalg.pair_blocks(entries.where("false"), 3, "distance"), 3).count() == 6
+
+
+def test_covariance_of_many_markers_by_tiles(spark):
+    """20,000 markers of 12 individuals: the squares of all covariances add up to those of the individuals' products."""
+    n, m = 12, 20_000
+    z = spark.range(n * m).selectExpr(f"id div {m} as individual", f"id % {m} as m", f"cast((id * 7919) % 101 - 50 as double) / 50 as z")
+    blocks = linalg.covariance_blocks(z, n, m)
+    own = "aggregate(v, 0D, (s, x) -> s + x * x)"
+    found = blocks.selectExpr(f"if(p = q, 1, 2) * {own} as s", "p").agg({"s": "sum", "p": "count"}).first()
+    x = ((np.arange(n * m) * 7919) % 101 - 50).reshape(n, m) / 50
+    assert found["count(p)"] == 79 * 80 // 2 and found["sum(s)"] == pytest.approx((((x @ x.T) / (n - 1)) ** 2).sum())
+
+
+def test_heavy_inner_index_is_dealt_out(spark):
+    rng = np.random.default_rng(2)
+    a = {(int(i), 0): 1.0 + i % 3 for i in range(400)} | {(int(i), int(j)): 2.0 for i, j in rng.integers(1, 300, (400, 2))}
+    b = {(0, int(j)): 1.0 + j % 5 for j in range(400)} | {(int(i), int(j)): 3.0 for i, j in rng.integers(1, 300, (400, 2))}
+    table = lambda t: spark.createDataFrame([(*k, v) for k, v in t.items()], "i long, j long, v double")
+    x, y = np.zeros((400, 300)), np.zeros((300, 400))
+    for t, into in ((a, x), (b, y)):
+        for k, v in t.items():
+            into[k] = v
+    found = {(r["i"], r["j"]): r["v"] for r in linalg.matmul(table(a), table(b)).collect()}
+    whole = x @ y
+    assert found == {(int(i), int(j)): pytest.approx(whole[i, j]) for i, j in zip(*np.nonzero(whole), strict=True)}
+    # The index of half of both tables makes 160,000 products; no key of the join has over a thirty-second of them, twice the mean.
+    keys = linalg.dealt_products(table(a), table(b)).groupBy("j", "x", "y").count().where("j = 0").toPandas()["count"]
+    assert keys.sum() == 160_000 and keys.max() < 160_000 / 32
