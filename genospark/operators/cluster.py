@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ from .ranks import numbered
 LINKAGES = ("average", "single", "complete")
 #: Individuals that distances and trees are made of at most: pairs grow with the square.
 MAX_INDIVIDUALS = 50_000
+#: Clusters whose last merges are one small task's: 32,640 pairs at most.
+FINISH = 256
 
 
 def _checked(n: int) -> int:
@@ -50,14 +54,15 @@ def merge_tree(pairs: DataFrame, n: int, linkage: str = "average") -> DataFrame:
     Each round merges every pair of clusters that are each other's nearest, ties going to the smaller ids: for these
     linkages that gives the tree of one-by-one merging, ties aside.  Single linkage takes the minimum spanning tree
     instead, in at most log2 n rounds.  Rounds work on a table of cluster pairs that shrinks; steps are numbered by
-    distance at the end, and children are found by windows over the numbered merges.
+    distance at the end, and children are found by windows over the numbered merges.  The last FINISH clusters of average
+    and complete linkage are merged by the same rounds in one task.
     """
     if linkage not in LINKAGES:
         raise ValueError(f"linkage must be one of {LINKAGES}")
     _checked(n)
-    kids = _spanning_tree(pairs, n) if linkage == "single" else _mutual_merges(pairs, n, linkage)
-    kids = stored(kids, "tree-kids")
-    return stored(_sized(kids, n), "tree-merges").select("step", "left_id", "right_id", "new_id", "distance", "size")
+    kids = _spanning_tree(pairs, n) if linkage == "single" else _sized(stored(_mutual_merges(pairs, n, linkage), "tree-kids"), n)
+    kids = kids.withColumn("new_id", F.col("step") + n)
+    return stored(kids.select("step", "left_id", "right_id", "new_id", "distance", "size"), "tree-merges")
 
 
 def _relabelled(table: DataFrame, told: DataFrame) -> DataFrame:
@@ -70,7 +75,7 @@ def _relabelled(table: DataFrame, told: DataFrame) -> DataFrame:
 def _to_roots(links: DataFrame) -> DataFrame:
     """(id, up, off) with ``up`` the root and ``off`` the sum on the path to it, from links whose roots point at themselves.
 
-    Two doublings are one job.
+    Three doublings are one job.
     """
 
     def doubled(t: DataFrame) -> DataFrame:
@@ -79,7 +84,7 @@ def _to_roots(links: DataFrame) -> DataFrame:
 
     table = stored(links.select("id", "up", "off"), "tree-links")
     while True:
-        longer = stored(doubled(doubled(table)), "tree-links")
+        longer = stored(doubled(doubled(doubled(table))), "tree-links")
         discard(table)
         if longer.where("moved").isEmpty():
             return longer.drop("moved")
@@ -87,7 +92,7 @@ def _to_roots(links: DataFrame) -> DataFrame:
 
 
 def _spanning_tree(pairs: DataFrame, n: int) -> DataFrame:
-    """(step, distance, left_id, right_id) of single linkage.
+    """(step, distance, left_id, right_id, size) of single linkage.
 
     Round by round each component takes its shortest edge (by distance, then ids) to another and all that hang together
     become one component, until one is left: the minimum spanning tree, whose edges in order are the merges.  What a
@@ -115,7 +120,7 @@ def _spanning_tree(pairs: DataFrame, n: int) -> DataFrame:
         discard(table, near)
         table = following
     if not rounds:
-        return pairs.sparkSession.createDataFrame([], "step long, distance double, left_id long, right_id long")
+        return pairs.sparkSession.createDataFrame([], "step long, distance double, left_id long, right_id long, size long")
     taken = reduce(DataFrame.union, rounds)
     edges = numbered(taken.select("d", "u", "v").distinct(), "step", "d", "u", "v")
     taken = stored(taken.join(F.broadcast(edges), ["d", "u", "v"]), "tree-edges")
@@ -128,6 +133,17 @@ def _spanning_tree(pairs: DataFrame, n: int) -> DataFrame:
             "step", "d", F.when(climbs, F.lit(level + 1)).otherwise(F.col("in_level")).alias("in_level"), F.when(climbs, F.col("wider")).otherwise(F.col("core")).alias("core")
         )
     at = stored(at, "tree-cores")
+    # Cores grow by the whole cores of those that join them, level by level.
+    grown: list[DataFrame] = []
+    for level in range(2, len(rounds) + 2):
+        joining = at.where(F.col("in_level") == level).join(F.broadcast(taken.select("step", "level", "a")), "step")
+        joining = joining.withColumn("brings", F.lit(1).cast("long"))
+        if grown:
+            whole = reduce(DataFrame.union, grown).groupBy(F.col("in_level").alias("level"), F.col("core").alias("a")).agg(F.max("size").alias("whole"))
+            joining = joining.join(F.broadcast(whole), ["level", "a"], "left").withColumn("brings", F.coalesce("whole", "brings"))
+        brought = joining.groupBy("step", "in_level", "core").agg(F.sum("brings").alias("brings"))
+        size = F.sum("brings").over(Window.partitionBy("core").orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+        grown.append(stored(brought.select("step", "in_level", "core", size.alias("size")), "tree-sizes"))
     # A merge joins what its core was to the whole core of the component that took its edge (or of both that did).
     last = at.groupBy(F.col("in_level").alias("level"), F.col("core").alias("a")).agg(F.max("step").alias("last"))
     joins = taken.join(F.broadcast(last), ["level", "a"], "left").groupBy("step").agg(
@@ -135,7 +151,8 @@ def _spanning_tree(pairs: DataFrame, n: int) -> DataFrame:
     )
     before = F.lag("step").over(Window.partitionBy("in_level", "core").orderBy("step")) + n
     both = at.withColumn("before", before).join(joins, "step").withColumn("z", F.when(F.col("k") == 2, F.col("y")).otherwise(F.col("before")))
-    return both.select("step", F.col("d").alias("distance"), F.least("x", "z").alias("left_id"), F.greatest("x", "z").alias("right_id"))
+    both = both.join(F.broadcast(reduce(DataFrame.union, grown).select("step", "size")), "step")
+    return both.select("step", F.col("d").alias("distance"), F.least("x", "z").alias("left_id"), F.greatest("x", "z").alias("right_id"), "size")
 
 
 def _mutual_merges(pairs: DataFrame, n: int, linkage: str) -> DataFrame:
@@ -143,16 +160,14 @@ def _mutual_merges(pairs: DataFrame, n: int, linkage: str) -> DataFrame:
     d = "distance"
     table = stored(pairs.select("a", "b", F.col(d).alias("sum"), F.lit(1).cast("long").alias("cnt"), F.col(d).alias("high")), "tree-pairs")
     value = {"average": F.col("sum") / F.col("cnt"), "complete": F.col("high")}[linkage]
-    rounds = []
-    while True:
+    rounds, live = [], n
+    while live > max(FINISH, 1):
         near = table.select(value.alias("d"), "a", "b")
         both = near.select("a", F.struct("d", "a", "b").alias("p")).union(near.select(F.col("b").alias("a"), F.struct("d", "a", "b").alias("p")))
         nearest = both.groupBy("a").agg(F.min("p").alias("p"))
         mutual = nearest.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where("k = 2")
         found = stored(mutual.select("p.d", F.lit(len(rounds)).alias("round"), "p.a", "p.b"), "tree-merged")
-        if found.isEmpty():
-            discard(table, found)
-            break
+        live -= found.count()
         rounds.append(found)
         # A merged cluster goes by the smaller of its two ids.
         following = stored(
@@ -161,6 +176,10 @@ def _mutual_merges(pairs: DataFrame, n: int, linkage: str) -> DataFrame:
         )
         discard(table)
         table = following
+    if live > 1:  # FINISH (FINISH - 1) / 2 pairs at most
+        first = len(rounds)
+        rounds.append(stored(table.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(lambda t: _last_merges(t, linkage, first), "d double, round int, a long, b long"), "tree-merged"))
+        discard(table)
     if not rounds:
         return pairs.sparkSession.createDataFrame([], "step long, distance double, left_id long, right_id long")
     merges = numbered(reduce(DataFrame.union, rounds), "step", "d", "round", "a", "b")
@@ -171,6 +190,40 @@ def _mutual_merges(pairs: DataFrame, n: int, linkage: str) -> DataFrame:
     return parts.select("step", F.col("d").alias("distance"), F.least("x", "z").alias("left_id"), F.greatest("x", "z").alias("right_id"))
 
 
+def _last_merges(table: pa.Table, linkage: str, first: int) -> pa.Table:
+    """The same rounds over a table of few pairs, as matrices."""
+    a, b = (table[c].to_numpy() for c in "ab")
+    names = np.unique(np.concatenate([a, b]))
+    i, j = np.searchsorted(names, a), np.searchsorted(names, b)
+    total, count, high = (np.zeros((len(names), len(names))) for _ in range(3))
+    for matrix, c in ((total, "sum"), (count, "cnt"), (high, "high")):
+        matrix[i, j] = matrix[j, i] = table[c].to_numpy()
+    out, live = [], np.arange(len(names))
+    while len(live) > 1:
+        at = np.ix_(live, live)
+        d = total[at] / np.maximum(count[at], 1) if linkage == "average" else high[at].copy()
+        np.fill_diagonal(d, np.inf)
+        # The nearest by (distance, smaller id, larger id).
+        low = d.min(1)
+        near = []
+        for x in range(len(live)):
+            ties = np.flatnonzero(d[x] == low[x])
+            near.append(min((min(x, y), max(x, y)) for y in ties))
+        pairs = sorted({p for x, p in enumerate(near) if p[0] == x and near[p[1]] == p})
+        for x, y in pairs:
+            out.append((float(d[x, y]), first, int(names[live[x]]), int(names[live[y]])))
+        for x, y in pairs:
+            k, gone = live[x], live[y]
+            for matrix in (total, count):
+                matrix[k] += matrix[gone]
+                matrix[:, k] += matrix[:, gone]
+            high[k] = np.maximum(high[k], high[gone])
+            high[:, k] = np.maximum(high[:, k], high[:, gone])
+        live, first = np.delete(live, [y for _, y in pairs]), first + 1
+    columns = zip(*out, strict=True)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.float64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["d", "round", "a", "b"])
+
+
 def _links(kids: DataFrame) -> DataFrame:
     """(id, above) of every child."""
     above = (F.col("new_id")).alias("above")

@@ -264,13 +264,14 @@ def test_long_chain_is_walked_by_doubling(spark):
     assert tuple(top[1])[2:] == (1.0, n - 2.0, n - 1.0, n - 2.0) and tuple(top[2])[2:] == (0.0, n - 1.0, n / 2, n - 1.0)
 
 
-@pytest.mark.parametrize("linkage", ["average", "single", "complete"])
-@pytest.mark.parametrize("shape", ["random", "line", "growing", "stars"])
-def test_merges_equal_one_by_one_merging(spark, linkage, shape):
+@pytest.mark.parametrize(("linkage", "finish"), [("average", 256), ("average", 9), ("single", 256), ("complete", 256), ("complete", 9)])
+@pytest.mark.parametrize("shape", ["random", "line", "stars"])
+def test_merges_equal_one_by_one_merging(spark, monkeypatch, linkage, finish, shape):
+    monkeypatch.setattr(cluster, "FINISH", finish)
     rng = np.random.default_rng(len(shape))
     n = 30
     x = {
-        "random": rng.random((n, 3)), "line": np.cumsum(rng.random(n))[:, None], "growing": np.cumsum(1 + np.arange(n) ** 1.5 / 9)[:, None],
+        "random": rng.random((n, 3)), "line": np.cumsum(1 + np.arange(n) ** 1.5 / 9)[:, None] if linkage == "single" else np.cumsum(rng.random(n))[:, None],
         "stars": np.repeat(rng.random((6, 2)) * 9, 5, 0) + rng.random((n, 2)) / 9,
     }[shape]
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
