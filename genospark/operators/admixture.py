@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import discard, stored
-from .calls import column_statistics, individual_index, marker_index
+from .calls import cells, column_statistics, individual_index, marker_index
+from .linalg import MAX_BROADCAST, add_blocks, bound_batches, sparse_parts
 
 FLOOR = 1e-9
 #: Iterations between writes of Q to the shared folder.
 STORE_EVERY = 10
 #: Bytes of all tasks' sums that the driver may add up itself, which spares a stage an iteration.
 FEW_BYTES = 16 << 20
+#: Bytes of the H that wait for the next write of Q, and columns of a block of sums.
+PENDING_BYTES, _COLUMNS = 64 << 20, 2048
 
 
 def start_value(i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
@@ -25,31 +28,32 @@ def start_value(i: np.ndarray, j: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _matrix(calls: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Sparse rows (row_idx, idx, v), markers with their index, and the means that fill missing cells."""
+    """Sparse rows (row_idx, idx, v), markers with their index, and the means that fill missing cells.
+
+    ``v`` is a call less its marker's mean, so the matrix is a row of means, the same for all, plus sparse rows.
+    """
     people = individual_index(calls)
     markers = stored(column_statistics(calls).select("marker", "mean").join(marker_index(calls), "marker"), "admixture-markers")
-    entries = calls.where("dosage is not null").join(markers, "marker").groupBy("individual").agg(
-        F.collect_list(F.struct(F.col("marker_idx").cast("int").alias("i"), F.col("dosage").alias("v"))).alias("e")
+    entries = cells(calls).where("dosage is not null").join(markers, "marker").groupBy("individual").agg(
+        F.collect_list(F.struct(F.col("marker_idx").cast("int").alias("i"), (F.col("dosage") - F.col("mean")).alias("v"))).alias("e")
     )
     empty = F.array()
     rows = people.join(entries, "individual", "left").select(
         "individual", F.col("row_idx").cast("long").alias("row_idx"), F.coalesce("e.i", empty.cast("array<int>")).alias("idx"), F.coalesce("e.v", empty.cast("array<double>")).alias("v")
     )
-    fill = np.zeros(markers.count())
-    for r in markers.collect():
-        fill[r["marker_idx"]] = r["mean"]
+    found = markers.select("marker_idx", "mean").toArrow()
+    fill = np.zeros(found.num_rows)
+    fill[found["marker_idx"].to_numpy()] = found["mean"].to_numpy()
     return rows, markers, fill
 
 
-def _dense(batch: pa.RecordBatch, fill: np.ndarray) -> np.ndarray:
-    x = np.repeat(fill[None, :], batch.num_rows, 0)
-    sizes = batch.column("idx").value_lengths().to_numpy(zero_copy_only=False)
-    x[np.repeat(np.arange(batch.num_rows), sizes), batch.column("idx").flatten().to_numpy()] = batch.column("v").flatten().to_numpy()
-    return x
+def times_h(idx: np.ndarray, v: np.ndarray, row: np.ndarray, n: int, h: np.ndarray, fill: np.ndarray) -> np.ndarray:
+    """X H' of n rows: the means' part is one row."""
+    return (h @ fill)[None] + np.stack([np.bincount(row, v * part[idx], n) for part in h], 1)
 
 
-def update_q(q: np.ndarray, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-    q = np.maximum(FLOOR, q * (x @ h.T) / np.maximum(q @ (h @ h.T), FLOOR))
+def update_q(q: np.ndarray, xh: np.ndarray, h: np.ndarray) -> np.ndarray:
+    q = np.maximum(FLOOR, q * xh / np.maximum(q @ (h @ h.T), FLOOR))
     return q / q.sum(1, keepdims=True)
 
 
@@ -57,36 +61,52 @@ def update_h(h: np.ndarray, qtx: np.ndarray, qtq: np.ndarray) -> np.ndarray:
     return np.maximum(FLOOR, h * qtx / np.maximum(qtq @ h, FLOOR))
 
 
+def squared_error(idx: np.ndarray, v: np.ndarray, row: np.ndarray, q: np.ndarray, h: np.ndarray, fill: np.ndarray) -> float:
+    """|X - Q H|^2: that of the means against Q H, by products of k, and what the observed cells add to it."""
+    means = len(q) * (fill @ fill) - 2 * (q @ (h @ fill)).sum() + ((q @ (h @ h.T)) * q).sum()
+    gap = fill[idx] - sum(q[row, c] * part[idx] for c, part in enumerate(h))
+    return float(means + (v * (v + 2 * gap)).sum())
+
+
+def _q_of(part: pa.RecordBatch, k: int) -> np.ndarray:
+    return part.column("q").flatten().to_numpy().reshape(-1, k)
+
+
 def _pass(rows: DataFrame, hs: list[np.ndarray], fill: np.ndarray, k: int, few: bool) -> tuple[np.ndarray, np.ndarray, float]:
     """Q'X, Q'Q and the squared error under the last of ``hs``, for Q brought up to date by all of them.
 
-    Each task adds up its rows and sends one block; Spark adds up the blocks, or the driver if they are ``few``.
+    Each task adds up its rows and sends its sums in blocks of columns; Spark adds up each block, or the driver all if
+    they are ``few``.
     """
     told = rows.sparkSession.sparkContext.broadcast((hs, fill))
     m = len(fill)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, fill = told.value
-        total = np.zeros(k * m + k * k + 1)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x, q = _dense(part, fill), np.array(part.column("q").to_pylist()).reshape(-1, k)
-                for h in hs:
-                    q = update_q(q, x, h)
-                error = ((x - q @ hs[-1]) ** 2).sum() if hs else 0.0
-                total += np.concatenate([(q.T @ x).reshape(-1), (q.T @ q).reshape(-1), [error]])
-        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["key", "v"])
-
-    def add(table: pa.Table) -> pa.Table:
-        flat = table["v"].combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
-        return pa.table({"v": pa.array([flat], pa.list_(pa.float64()))})
-
-    sums = rows.mapInArrow(partial, "key int, v array<double>")
-    if not few:
-        sums = sums.groupBy("key").applyInArrow(add, "v array<double>")
-    flat = add(sums.toArrow())["v"].combine_chunks().flatten().to_numpy()
-    return flat[: k * m].reshape(k, m), flat[k * m : -1].reshape(k, k), float(flat[-1])
+        qtx, qtq, ones, error = np.zeros((k, m)), np.zeros((k, k)), np.zeros(k), 0.0
+        for part, idx, v, row in sparse_parts(batches):
+            q = _q_of(part, k)
+            for h in hs:
+                q = update_q(q, times_h(idx, v, row, len(q), h, fill), h)
+            if hs:
+                error += squared_error(idx, v, row, q, hs[-1], fill)
+            for c in range(k):
+                qtx[c] += np.bincount(idx, v * q[row, c], m)
+            qtq += q.T @ q
+            ones += q.sum(0)
+        small = np.concatenate([qtq.reshape(-1), ones, [error]])
+        for block, flat in enumerate([small, *(qtx[:, at : at + _COLUMNS].reshape(-1) for at in range(0, m, _COLUMNS))]):
+            yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], names=["key", "block", "v"])
+
+    sums = rows.mapInArrow(partial, "key int, block int, v array<double>")
+    found = (sums if few else add_blocks(sums)).toArrow()
+    total: dict[int, np.ndarray] = {}
+    for block, flat in zip(found["block"].to_pylist(), found["v"], strict=True):
+        value = flat.values.to_numpy()
+        total[block] = total[block] + value if block in total else value
+    small, ones = total[0], total[0][k * k : k * k + k]
+    qtx = np.concatenate([total[b].reshape(k, -1) for b in range(1, len(total))], 1) + np.outer(ones, fill)
+    return qtx, small[: k * k].reshape(k, k), float(small[-1])
 
 
 def _advance(rows: DataFrame, hs: list[np.ndarray], fill: np.ndarray, k: int) -> DataFrame:
@@ -94,14 +114,12 @@ def _advance(rows: DataFrame, hs: list[np.ndarray], fill: np.ndarray, k: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, fill = told.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                x, q = _dense(part, fill), np.array(part.column("q").to_pylist()).reshape(-1, k)
-                for h in hs:
-                    q = update_q(q, x, h)
-                at_q = part.schema.get_field_index("q")
-                yield part.set_column(at_q, "q", pa.array(list(q), pa.list_(pa.float64())))
+        for part, idx, v, row in sparse_parts(batches):
+            q = _q_of(part, k)
+            for h in hs:
+                q = update_q(q, times_h(idx, v, row, len(q), h, fill), h)
+            at = part.schema.get_field_index("q")
+            yield part.set_column(at, "q", pa.array(list(q), pa.list_(pa.float64())))
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -112,7 +130,8 @@ def fit_admixture(
     """``q(individual, q)``, ``p(marker, p)`` and the squared error by iteration.
 
     Each iteration updates H, then Q with the new H, normalises Q's rows and measures the error; it ends when the
-    error moves by less than ``tol``.  ``start`` (Q by row_idx, H) replaces the hashed start.
+    error moves by less than ``tol``.  ``start`` (Q by row_idx, H) replaces the hashed start.  The driver and each task hold
+    H, k numbers a marker, which must fit ``linalg.MAX_BROADCAST``; no task holds a dense row of calls.
     """
     if n_populations < 1:
         raise ValueError("n_populations must be at least 1")
@@ -121,6 +140,10 @@ def fit_admixture(
     m = len(fill)
     if not m:
         raise ValueError("there are no calls")
+    if 8 * k * m > MAX_BROADCAST:
+        raise ValueError(f"{k} populations of {m} markers are over {MAX_BROADCAST} bytes")
+    bound_batches(calls.sparkSession)
+    most = max(1, min(STORE_EVERY, PENDING_BYTES // (8 * k * m)))
     if start is None:
         # row_idx * 7919 etc. on the executors; each row normalised
         u = [F.expr(f"((row_idx * 7919L + {j} * 104729L + {seed} * 31L) % 10007) / 10007.0D + 1e-3D") for j in range(k)]
@@ -144,12 +167,11 @@ def fit_admixture(
         errors.append(error)
         if len(errors) > 1 and abs(errors[-2] - error) < tol:
             break
-        if len(pending) == STORE_EVERY:
+        if len(pending) == most:
             old, rows, pending = rows, stored(_advance(rows, pending, fill, k), "admixture-rows"), []
             discard(old)
-            pending = []
     q = _advance(rows, pending, fill, k).select("individual", "q")
-    p = rows.sparkSession.createDataFrame([(i, h[:, i].tolist()) for i in range(m)], "marker_idx long, p array<double>")
+    p = rows.sparkSession.createDataFrame(pa.table({"marker_idx": pa.array(np.arange(m)), "p": pa.array(list(h.T), pa.list_(pa.float64()))}))
     return q, markers.join(p, "marker_idx").select("marker", "p"), errors
 
 

@@ -1,7 +1,8 @@
 """Joins, reshaping and per-marker statistics of ``calls(individual, marker, dosage)``.
 
 A missing call is a null dosage or an absent row; denominators count distinct individuals, never rows.  Undefined
-statistics are null, not NaN.
+statistics are null, not NaN.  Calls may also have ``row_idx`` and ``marker_idx``, the places of individuals and markers in
+their file: indices follow these, and the names where they are not there.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ def individuals(calls: DataFrame) -> DataFrame:
     return calls.select("individual").distinct()
 
 
+def cells(calls: DataFrame) -> DataFrame:
+    """The calls without places."""
+    return calls.select("individual", "marker", "dosage")
+
+
 def n_individuals(calls: DataFrame) -> Column:
     """The number of individuals, as a scalar subquery: no join and no action."""
     return calls.agg(F.countDistinct("individual").alias("n")).scalar()
@@ -100,7 +106,7 @@ def standardized_calls(calls: DataFrame, impute: bool = True) -> DataFrame:
 def standardized_entries(calls: DataFrame) -> DataFrame:
     """(individual, marker, z) of observed calls only: what is absent is 0."""
     stats = column_statistics(calls)
-    observed = calls.where("dosage is not null")
+    observed = cells(calls).where("dosage is not null")
     return observed.join(stats, "marker").select("individual", "marker", ((F.col("dosage") - F.col("mean")) / F.col("std")).alias("z"))
 
 
@@ -109,11 +115,18 @@ def reorder_markers(calls: DataFrame, markers: DataFrame) -> DataFrame:
     return _grid(calls.select("individual", "marker", "dosage"), markers.select("marker_idx", "marker")).select("individual", "marker_idx", "marker", "dosage")
 
 
+def _index(calls: DataFrame, name: str, index: str) -> DataFrame:
+    if index not in calls.columns:
+        return numbered(calls.select(name).distinct(), index, name)
+    first = calls.groupBy(name).agg(F.min(index).alias("_place"))
+    return numbered(first, index, "_place", name).select(name, index)
+
+
 def marker_index(calls: DataFrame) -> DataFrame:
-    """(marker, marker_idx): markers in order of their names, from 0."""
-    return numbered(calls.select("marker").distinct(), "marker_idx", "marker")
+    """(marker, marker_idx): markers in order of their places in the file, or else of their names, from 0."""
+    return _index(calls, "marker", "marker_idx")
 
 
 def individual_index(calls: DataFrame) -> DataFrame:
-    """(individual, row_idx): individuals in order of their names, from 0."""
-    return numbered(individuals(calls), "row_idx", "individual")
+    """(individual, row_idx): individuals in order of their places in the file, or else of their names, from 0."""
+    return _index(calls, "individual", "row_idx")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..storage import discard, stored
 from . import linalg
-from .calls import imputed_calls, individual_index, marker_index
+from .calls import cells, imputed_calls, individual_index, marker_index
 from .linalg import collect_gram, gram, gram_times, solve_ridge, sparse_rows
 from .pheno import assign_folds, pearson, rmse
 
@@ -54,7 +54,7 @@ def normal_equations(calls: DataFrame, pheno: DataFrame, scale: bool = True) ->
     own, samples = _aligned(calls, pheno)
     markers = _marker_table(own, scale)
     z = (
-        own.where("dosage is not null").join(markers, "marker").join(samples, "individual")
+        cells(own).where("dosage is not null").join(markers, "marker").join(samples, "individual")
         .select("individual", "y", F.col("marker_idx").alias("m"), ((F.col("dosage") - F.col("mean")) / F.col("scale")).alias("z"))
     )
     a, b = (z.select("individual", F.col("m").alias(f"m{s}"), F.col("z").alias(f"z{s}")) for s in "ij")
@@ -77,7 +77,7 @@ def fit_gblup(calls: DataFrame, pheno: DataFrame, alpha: float = 1e-3, scale: bo
     if not n or not m:
         raise ValueError("no individual has both calls and a phenotype")
     shift = F.col("mean") if scale else F.lit(0.0)
-    joined = own.where("dosage is not null").join(markers, "marker").join(samples, "individual")
+    joined = cells(own).where("dosage is not null").join(markers, "marker").join(samples, "individual")
     entries = joined.select("row_idx", "marker_idx", "y", ((F.col("dosage") - shift) / F.col("scale")).alias("z"))
     if not scale:  # missing calls are means, which are not 0 here: the grid is written out
         every = imputed_calls(own).join(markers.select("marker", "marker_idx"), "marker")
@@ -94,7 +94,7 @@ def fit_gblup(calls: DataFrame, pheno: DataFrame, alpha: float = 1e-3, scale: bo
     if side <= linalg.MAX_SIDE:
         solved = np.linalg.solve(collect_gram(gram(rows, side), side) + alpha * np.eye(side), right)
     else:
-        solved = solve_ridge(lambda x: gram_times(rows, x[:, None])[:, 0], right, alpha)
+        solved = solve_ridge(lambda x: gram_times(rows, x), right[:, None], alpha)[:, 0]
     discard(rows)
     if m <= n:
         effects = _table(spark, solved, "marker_idx", "effect")
@@ -132,7 +132,8 @@ def cross_validate(
     Means for imputation come from all folds; standardisation comes from the training folds.  ``folds(individual,
     fold)`` replaces the hash.  With fewer markers than individuals, one pass sums moments by fold and training moments
     are the totals without a fold's own; with fewer individuals, one pass sums their products under each fold's
-    standardisation.  Where both sides are over ``linalg.MAX_SIDE``, each fold is solved by conjugate gradients.
+    standardisation.  Where both sides are over ``linalg.MAX_SIDE``, all folds are solved
+    together by conjugate gradients, a pass each step.
     """
     own, samples = _aligned(calls, pheno)
     given = assign_folds(samples, n_splits, seed) if folds is None else samples.join(folds.select("individual", "fold"), "individual")
@@ -140,7 +141,7 @@ def cross_validate(
     markers = stored(_marker_table(own, scale), "cv-markers")
     n, m = placed.count(), markers.count()
     centred = stored(
-        own.where("dosage is not null").join(markers, "marker").join(placed, "individual")
+        cells(own).where("dosage is not null").join(markers, "marker").join(placed, "individual")
         .select("individual", "row_idx", "fold", "y", "marker_idx", (F.col("dosage") - F.col("mean")).alias("c")), "cv-entries",
     )
     dual = n < m and n <= linalg.MAX_SIDE
@@ -169,7 +170,7 @@ def _by_markers(centred: DataFrame, placed: DataFrame, markers: DataFrame, m: in
     small = m <= linalg.MAX_SIDE
     grams = stored(gram(rows, m, keyed=True), "cv-grams") if small else None
     whole = sum((collect_gram(grams.where(F.col("key") == f), m) for f in sizes), np.zeros((m, m))) if small else None
-    none, out = np.zeros(m), []
+    none, solved, large = np.zeros(m), {}, {}
     for fold, (own_n, own_y) in sizes.items():
         n, y_sum = sum(v[0] for v in sizes.values()) - own_n, sum(v[1] for v in sizes.values()) - own_y
         if not n:
@@ -184,19 +185,25 @@ def _by_markers(centred: DataFrame, placed: DataFrame, markers: DataFrame, m: in
         if small:
             g = whole - collect_gram(grams.where(F.col("key") == fold), m)
             xtx = g - np.outer(s, shift) - np.outer(shift, s) + n * np.outer(shift, shift)
-            beta = np.linalg.solve(xtx / np.outer(std, std) + alpha * np.eye(m), right)
+            solved[fold] = (np.linalg.solve(xtx / np.outer(std, std) + alpha * np.eye(m), right), std, shift, y_sum / n)
         else:
-            train = rows.where(F.col("key") != fold)
-
-            def times(p: np.ndarray) -> np.ndarray:
-                q = p / std  # noqa: B023
-                sq, hq = s @ q, shift @ q  # noqa: B023
-                return (gram_times(train, q[:, None])[:, 0] - s * hq - shift * sq + n * shift * hq) / std  # noqa: B023
-
-            beta = solve_ridge(times, right, alpha)
+            large[fold] = (s, shift, std, right, n, y_sum / n)
+    if large:  # all folds together: a column each, which leaves out the fold's own rows
+        folds = np.array(list(large))
+        s, shift, std, right, n, _ = (np.array(x).T for x in zip(*large.values(), strict=True))
+
+        def times(p: np.ndarray) -> np.ndarray:
+            q = p / std
+            sq, hq = (s * q).sum(0), (shift * q).sum(0)
+            return (gram_times(rows, q, skip=folds) - s * hq - shift * sq + n * shift * hq) / std
+
+        beta = solve_ridge(times, right, alpha)
+        solved = {f: (beta[:, c], large[f][2], large[f][1], large[f][5]) for c, f in enumerate(large)}
+    out = []
+    for fold, (beta, std, shift, y_mean) in solved.items():
         w = _table(spark, beta / std, "marker_idx", "w")
         moved = centred.where(F.col("fold") == fold).join(w, "marker_idx").groupBy("individual").agg(F.sum(F.col("c") * F.col("w")).alias("d"))
-        base = float(y_sum / n - (shift * beta / std).sum())
+        base = float(y_mean - (shift * beta / std).sum())
         tested = placed.where(F.col("fold") == fold).select("individual").join(moved, "individual", "left")
         out.append(tested.select("individual", (F.lit(base) + F.coalesce("d", F.lit(0.0))).alias("prediction")))
     return reduce(DataFrame.union, out)

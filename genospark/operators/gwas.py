@@ -52,7 +52,7 @@ def gwas(calls: DataFrame, pheno: DataFrame, cov: DataFrame | None = None, min_c
     totals = samples.agg(
         F.struct(F.count(F.lit(1)).alias("n"), *[product(a, b).alias(f"{a}_{b}") for a, b in pairs]).alias("t")
     ).scalar()
-    observed = calls.where("dosage is not null").join(samples, "individual").withColumn("g", F.col("dosage"))
+    observed = calls.select("individual", "marker", "dosage").where("dosage is not null").join(samples, "individual").withColumn("g", F.col("dosage"))
     sums = [F.count("g").alias("n"), F.sum("g").alias("g"), product("g", "g").alias("gg")]
     sums += [product("g", c).alias(f"g_{c}") for c in all_z] + [F.sum(c).alias(f"s_{c}") for c in all_z]
     if not impute:  # then the products of y and covariates depend on the called rows

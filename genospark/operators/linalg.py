@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import stored
@@ -16,14 +16,21 @@ from ..storage import stored
 MAX_SIDE = 4096
 _BLOCK = 256
 #: Entries of sparse rows that a task works on at a time, and rows of a result that travel in one block.
-_ENTRIES, _PART = 1 << 20, 1 << 14
+_ENTRIES, _PART = 1 << 20, 1 << 12
 #: An inner index of over 1 / HEAVY of a table's entries is split, into SALTS parts of each table.
 HEAVY, SALTS = 200, 8
+#: Bytes of vectors that a pass broadcasts at most.
+MAX_BROADCAST = 1 << 30
 #: Bytes of an Arrow batch where rows are whole tiles.
 _BATCH_BYTES = 16 << 20
 _EMPTY = np.zeros((_BLOCK, _BLOCK))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keeps an Arrow batch of rows with arrays within bounds."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+
+
 def matmul(a: DataFrame, b: DataFrame) -> DataFrame:
     """(i, j, v) of a times b; zeros take no part."""
     return dealt_products(a, b).groupBy("i", F.col("c").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
@@ -95,7 +102,7 @@ def pair_blocks(entries: DataFrame, n: int, kind: str) -> DataFrame:
     if kind not in ("product", "distance"):
         raise ValueError(f"no kind {kind!r}")
     spark = entries.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(_BATCH_BYTES))
+    bound_batches(spark)
     blocks, width = max(1, -(-n // _BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))
     cell = lambda c: F.pmod(F.col(c), F.lit(_BLOCK)).cast("short")
     part = lambda c: F.floor(F.col(c) / _BLOCK).cast("long")
@@ -155,12 +162,45 @@ def pairs_of(blocks: DataFrame, n: int) -> DataFrame:
     return long.select(a.alias("a"), b.alias("b"), "v").where((F.col("a") <= F.col("b")) & (F.col("b") < n))
 
 
-def _sum_blocks(table: pa.Table) -> pa.Table:
-    values = table["v"].combine_chunks()
-    width = len(values[0])
-    total = values.flatten().to_numpy().reshape(-1, width).sum(0)
-    keys = [table[c].slice(0, 1).combine_chunks() for c in ("key", "block")]
-    return pa.table([*keys, pa.array([total], pa.list_(pa.float64()))], names=["key", "block", "v"])
+class NotConverged(ArithmeticError):
+    """An iterative solver used up its passes."""
+
+
+def add_blocks(parts: DataFrame) -> DataFrame:
+    """(key, block, v): arrays of the same key and block added up; a task streams sorted parts and holds one sum."""
+    width = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = None, None
+        out = lambda: pa.record_batch([pa.array([held[0]], pa.int32()), pa.array([held[1]], pa.int32()), pa.array([total], pa.list_(pa.float64()))], names=["key", "block", "v"])
+        for batch in batches:
+            for key, block, v in zip(batch.column("key").to_pylist(), batch.column("block").to_pylist(), batch.column("v"), strict=True):
+                value = v.values.to_numpy()
+                if (key, block) == held:
+                    total += value
+                    continue
+                if held is not None:
+                    yield out()
+                held, total = (key, block), value.copy()
+        if held is not None:
+            yield out()
+
+    ordered = parts.repartition(width, "key", "block").sortWithinPartitions("key", "block")
+    return ordered.mapInArrow(run, "key int, block int, v array<double>")
+
+
+def sparse_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of sparse rows of about _ENTRIES entries, with the index, value and row of each entry."""
+    for batch in batches:
+        upto = np.cumsum(batch.column("idx").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = upto[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(upto, before + _ENTRIES, "right")))
+            part = batch.slice(at, end - at)
+            row = np.repeat(np.arange(end - at), np.diff(np.concatenate([[before], upto[at:end]])))
+            yield part, part.column("idx").flatten().to_numpy(), part.column("v").flatten().to_numpy(), row
+            at = end
 
 
 def gram(rows: DataFrame, width: int, keyed: bool = False) -> DataFrame:
@@ -196,7 +236,7 @@ def gram(rows: DataFrame, width: int, keyed: bool = False) -> DataFrame:
             yield from blocks(held, total)
 
     ordered = rows.sortWithinPartitions("key") if keyed else rows
-    return ordered.mapInArrow(partial, "key int, block int, v array<double>").groupBy("key", "block").applyInArrow(_sum_blocks, "key int, block int, v array<double>")
+    return add_blocks(ordered.mapInArrow(partial, "key int, block int, v array<double>"))
 
 
 def collect_gram(blocks: DataFrame, width: int) -> np.ndarray:
@@ -208,74 +248,93 @@ def collect_gram(blocks: DataFrame, width: int) -> np.ndarray:
     return flat.reshape(width, width) if len(flat) else np.zeros((width, width))
 
 
-def gram_times(rows: DataFrame, vectors: np.ndarray) -> np.ndarray:
+def gram_times(rows: DataFrame, vectors: np.ndarray, skip: np.ndarray | None = None) -> np.ndarray:
     """The sum over sparse rows x (absent entries 0) of x (x' V), by one pass.
 
-    ``vectors`` has a row per index and few columns; it is broadcast, and each task sends one such matrix in parts.
+    ``vectors`` has a row per index and few columns; it is broadcast, so its size is checked, and each task sends one
+    such matrix in parts.  With ``skip``, a key a column, a column's sum leaves out the rows of that key.
     """
+    if vectors.nbytes > MAX_BROADCAST:
+        raise ValueError(f"{vectors.nbytes} bytes of vectors are over {MAX_BROADCAST}")
+    bound_batches(rows.sparkSession)
     told = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = told.value
         total = np.zeros_like(v)
-        for batch in batches:
-            upto = np.cumsum(batch.column("idx").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _ENTRIES, "right")))
-                part = batch.slice(at, end - at)
-                idx, value = part.column("idx").flatten().to_numpy(), part.column("v").flatten().to_numpy()
-                row = np.repeat(np.arange(end - at), np.diff(np.concatenate([[upto[at - 1] if at else 0], upto[at:end]])))
-                for c in range(v.shape[1]):
-                    y = np.bincount(row, value * v[idx, c], end - at)
-                    total[:, c] += np.bincount(idx, value * y[row], len(v))
-                at = end
+        for part, idx, value, row in sparse_parts(batches):
+            keys = part.column("key").to_numpy()
+            for c in range(v.shape[1]):
+                y = np.bincount(row, value * v[idx, c], part.num_rows)
+                if skip is not None:
+                    y[keys == skip[c]] = 0
+                total[:, c] += np.bincount(idx, value * y[row], len(v))
         for block, first in enumerate(range(0, len(v), _PART)):
             flat = total[first : first + _PART].reshape(-1)
             yield pa.record_batch([pa.array([0], pa.int32()), pa.array([block], pa.int32()), pa.array([flat], pa.list_(pa.float64()))], names=["key", "block", "v"])
 
-    sums = rows.mapInArrow(partial, "key int, block int, v array<double>").groupBy("key", "block").applyInArrow(_sum_blocks, "key int, block int, v array<double>")
-    found = sums.select("block", "v").toArrow().sort_by("block")
+    found = add_blocks(rows.mapInArrow(partial, "key int, block int, v array<double>")).select("block", "v").toArrow().sort_by("block")
     flat = found["v"].combine_chunks().flatten().to_numpy()
     return flat.reshape(vectors.shape) if len(flat) else np.zeros_like(vectors)
 
 
-def top_eigenpairs(rows: DataFrame, width: int, k: int, tolerance: float = 1e-10, most: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """The k largest eigenvalues of the Gram matrix of sparse rows and their vectors (width, k), largest first.
+def top_eigenpairs(rows: DataFrame, width: int, k: int, tolerance: float = 1e-8, most: int = 100, depth: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k largest eigenvalues of the Gram matrix of sparse rows, their vectors (width, k), largest first, and residuals:
+    the norm of G v - l v as a share of the largest eigenvalue.
 
-    The matrix itself for sides up to MAX_SIDE; beyond, subspace iteration from a random start with eight vectors to
-    spare, each step one pass over the (stored) rows, until the eigenvalues move by less than ``tolerance`` of
-    themselves.
+    The matrix itself for sides up to MAX_SIDE.  Beyond, a block Krylov space: each pass over the (stored) rows multiplies
+    the residuals of the best k + 8 vectors and widens the space by them, which is cut to its best half when it has
+    ``depth`` times that width.  It ends when all k residuals are below ``tolerance``; after ``most`` passes it raises
+    NotConverged.
     """
     if width <= MAX_SIDE:
-        values, vectors = np.linalg.eigh(collect_gram(gram(rows, width), width))
-        return values[::-1][:k], vectors[:, ::-1][:, :k]
-    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(width, min(k + 8, width))))[0]
-    before = np.zeros(basis.shape[1])
+        g = collect_gram(gram(rows, width), width)
+        values, vectors = np.linalg.eigh(g)
+        values, vectors = values[::-1][:k], vectors[:, ::-1][:, :k]
+        return values, vectors, np.linalg.norm(g @ vectors - vectors * values, axis=0) / max(values.max(initial=0), 1e-300)
+    wide = min(k + 8, width)
+    space = np.linalg.qr(np.random.default_rng(0).normal(size=(width, wide)))[0]
+    images = gram_times(rows, space)
     for _ in range(most):
-        moved = gram_times(rows, basis)
-        values, turn = np.linalg.eigh((basis.T @ moved + moved.T @ basis) / 2)
-        values, vectors = values[::-1], basis @ turn[:, ::-1]
-        if np.abs(values - before)[:k].max() <= tolerance * max(values[0], 1e-300):
-            break
-        before, basis = values, np.linalg.qr(moved)[0]
-    return values[:k], vectors[:, :k]
+        values, turn = np.linalg.eigh((space.T @ images + images.T @ space) / 2)
+        values, turn = values[::-1], turn[:, ::-1]
+        best, moved = space @ turn[:, :wide], images @ turn[:, :wide]
+        rest = moved - best * values[:wide]
+        gap = np.linalg.norm(rest, axis=0) / max(values[0], 1e-300)
+        if (gap[:k] <= tolerance).all():
+            return values[:k], best[:, :k], gap[:k]
+        if space.shape[1] + wide > min(depth * wide, width):
+            space, images = space @ turn[:, : 2 * wide], images @ turn[:, : 2 * wide]
+        for _ in range(2):  # once leaves parts of the space in what is small
+            rest = rest - space @ (space.T @ rest)
+        left, size, _ = np.linalg.svd(rest, full_matrices=False)
+        fresh = left[:, size > 1e-12 * max(values[0], 1e-300)]
+        if not fresh.shape[1]:  # the space is closed
+            return values[:k], best[:, :k], gap[:k]
+        fresh = np.linalg.qr(fresh - space @ (space.T @ fresh))[0]
+        space, images = np.concatenate([space, fresh], 1), np.concatenate([images, gram_times(rows, fresh)], 1)
+    raise NotConverged(f"eigenvectors: residuals {gap[:k].max():.1e} after {most} passes, wanted {tolerance:.0e}")
 
 
 def solve_ridge(times, right: np.ndarray, alpha: float, tolerance: float = 1e-10, most: int = 2000) -> np.ndarray:
-    """x of (G + alpha I) x = right by conjugate gradients; ``times`` is the product of G with a vector, one pass each."""
+    """x of (G + alpha I) x = right by conjugate gradients, for each column of ``right`` with a G of its own.
+
+    ``times`` gives all columns' products with their G in one pass, so passes do not grow with the columns.  Raises
+    NotConverged after ``most`` passes.
+    """
     x, rest = np.zeros_like(right), right.copy()
-    way, size = rest.copy(), rest @ rest
-    enough = tolerance**2 * max(size, 1e-300)
+    way, size = rest.copy(), (rest * rest).sum(0)
+    enough = tolerance**2 * np.maximum(size, 1e-300)
     for _ in range(most):
-        if size <= enough:
-            break
+        going = size > enough
+        if not going.any():
+            return x
         moved = times(way) + alpha * way
-        step = size / (way @ moved)
+        step = np.where(going, size / np.where(going, (way * moved).sum(0), 1), 0)
         x, rest = x + step * way, rest - step * moved
-        size, old = rest @ rest, size
-        way = rest + size / old * way
-    return x
+        old, size = size, np.where(going, (rest * rest).sum(0), size)
+        way = np.where(going, rest + size / np.where(old > 0, old, 1) * way, way)
+    raise NotConverged(f"ridge: a residual of {np.sqrt((size / np.maximum(enough, 1e-300)).max()) * tolerance:.1e} after {most} passes, wanted {tolerance:.0e}")
 
 
 def sparse_rows(entries: DataFrame, row: str, idx: str, value: str, key: str | None = None, fill: str | None = None) -> DataFrame:

@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from .ranks import numbered
 
 
-def manhattan(results: DataFrame, order: str = "marker") -> DataFrame:
-    """(position, marker, neg_log10): p <= 0 plots as 0."""
+def manhattan(results: DataFrame, markers: DataFrame | None = None) -> DataFrame:
+    """(position, marker, neg_log10): p <= 0 plots as 0.  Positions count the results in the order of
+    ``markers(marker, marker_idx)``, or of their names without it."""
     height = F.when(F.col("pvalue") <= 0, 0.0).otherwise(-F.log10("pvalue"))
-    return numbered(results, "position", order).select("position", "marker", height.alias("neg_log10"))
+    points = results.select("marker", height.alias("neg_log10"))
+    if markers is not None:
+        points = points.join(markers.select("marker", "marker_idx"), "marker")
+    return numbered(points, "position", "marker" if markers is None else "marker_idx").select("position", "marker", "neg_log10")
 
 
 def pca_points(scores: DataFrame) -> DataFrame:

@@ -52,4 +52,5 @@ def failing_markers(flags: DataFrame) -> DataFrame:
 
 def apply_filter(calls: DataFrame, flags: DataFrame) -> DataFrame:
     """The calls of kept markers; individuals are never filtered."""
-    return calls.join(flags.where("keep").select("marker"), "marker", "left_semi").select("individual", "marker", "dosage")
+    kept = calls.join(flags.where("keep").select("marker"), "marker", "left_semi")
+    return kept.select(*calls.columns)

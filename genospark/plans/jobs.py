@@ -5,31 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import admixture, cluster, gblup, gwas, pca, plotdata, qc
-from ..sources.files import MATRIX_MARKERS, array_columns, check_calls, genotype_matrix, write_csv, write_parquet
+from ..operators import admixture, calls as C, cluster, gblup, gwas, pca, plotdata, qc
+from ..sources.files import array_columns, check_calls, write_csv, write_matrix, write_parquet
 from ..storage import stored
 
 
 def run_qc(calls: DataFrame, out: str, maf: float = 0.01, call_rate: float = 0.95, hwe_p: float = 1e-6) -> DataFrame:
-    """Writes ``metrics`` (CSV), ``genotypes`` (parquet, long) and ``matrix`` (CSV, ``id`` and a column for each kept
-    marker, where these are MATRIX_MARKERS at most) and returns the flags."""
+    """Writes ``metrics`` (CSV), ``genotypes`` (parquet, long) and ``matrix`` (text, ``id`` and the kept markers, all
+    individuals; both in their order) and returns the flags."""
     calls = check_calls(calls)
     flags = stored(qc.filter_markers(calls, maf, call_rate, hwe_p), "qc-flags")
     write_csv(flags.select("marker", "call_rate", "maf", "heterozygosity", "hwe_pvalue"), f"{out}/metrics")
     kept = qc.apply_filter(calls, flags)
     write_parquet(kept, f"{out}/genotypes")
-    names = flags.where("keep").select("marker").orderBy("marker").limit(MATRIX_MARKERS + 1).collect()
-    if len(names) <= MATRIX_MARKERS:
-        everyone = calls.select(F.col("individual").alias("id")).distinct()  # also those without a kept call
-        matrix = genotype_matrix(qc.apply_filter(calls, flags), [r["marker"] for r in names])
-        write_csv(everyone.join(matrix, "id", "left"), f"{out}/matrix")
+    write_matrix(kept, f"{out}/matrix", everyone=calls)
     return flags
 
 
 def run_gwas(calls: DataFrame, phenotypes: DataFrame, out: str, cov: DataFrame | None = None, min_call_rate: float = 0.9, impute: bool = True) -> DataFrame:
     results = gwas.gwas(check_calls(calls), phenotypes, cov, min_call_rate, impute)
     write_csv(results, f"{out}/gwas")
-    write_csv(plotdata.manhattan(results.where("status = 'ok'")), f"{out}/manhattan")
+    order = C.marker_index(calls) if "marker_idx" in calls.columns else None
+    write_csv(plotdata.manhattan(results.where("status = 'ok'"), order), f"{out}/manhattan")
     return results
 
 

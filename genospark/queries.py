@@ -68,6 +68,12 @@ def _r(c: str) -> str:
     return f"round({c}, 6) + 0.0"
 
 
+def numeric_order(calls: DataFrame) -> DataFrame:
+    """Calls with places by the numbers in their names, which is not the order of the names: M2 comes before M10."""
+    place = lambda c: F.substring(c, 2, 9).cast("long")
+    return calls.withColumns({"row_idx": place("individual"), "marker_idx": place("marker")})
+
+
 # Quality control -----------------------------------------------------------------------------------------------------
 
 register("qc_allele_freq", f"with {L} select marker, {_r('sum(dosage) / (2.0 * count(dosage))')} frequency from calls group by 1")(
@@ -212,8 +218,8 @@ _COV_OUT = f"select marker, {_r('effect')} effect, {_r('se')} se, {_r('t')} t, {
 register("gwas_cov", f"with {L}, {_COV_FULL} {_COV_FIT} {_COV_OUT}")(lambda s, d: gwas(calls_l(s, d), pheno_l(s, d), cov_l(s, d), min_call_rate=0.8))
 register("gwas_cov_noimpute", f"with {L}, {_COV_SEEN} {_COV_FIT} {_COV_OUT}")(lambda s, d: gwas(calls_l(s, d), pheno_l(s, d), cov_l(s, d), min_call_rate=0.8, impute=False))
 register("manhattan", f"""with {L}, {_IMPUTED}, pv as (select marker, {TTAIL.format(t='t', df='df')} p from res where effect is not null)
-  select row_number() over (order by marker) - 1 as position, marker, {_r('case when p <= 0 then 0 else -log10(p) end')} neg_log10 from pv""")(
-    lambda s, d: plotdata.manhattan(gwas(calls_l(s, d), pheno_l(s, d), min_call_rate=0.8).where("status = 'ok'"))
+  select row_number() over (order by cast(substr(marker, 2) as bigint)) - 1 as position, marker, {_r('case when p <= 0 then 0 else -log10(p) end')} neg_log10 from pv""")(
+    lambda s, d: plotdata.manhattan(gwas(calls_l(s, d), pheno_l(s, d), min_call_rate=0.8).where("status = 'ok'"), C.marker_index(numeric_order(calls_l(s, d))))
 )
 
 # Matrices ------------------------------------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.parsing import parse_value
 from .operators import calls as C, cluster, gblup, linalg, pca, pheno
 from .plans import jobs
-from .queries import E, L, MIDX, RIDX, SQL, STATS, _FLAGS, _GWAS_OUT, _IMPUTED, _METRICS, _ROUNDED_METRICS, _Z, _r, register
+from .queries import E, L, MIDX, RIDX, SQL, STATS, _FLAGS, _GWAS_OUT, _IMPUTED, _METRICS, _ROUNDED_METRICS, _Z, _r, numeric_order, register
 from .sources import files
 from .sources.tables import calls_e, calls_l, cov_l, pheno_e, pheno_l
 from .storage import shared_dir, stored
@@ -36,7 +36,7 @@ def _matrix(s: SparkSession, d: str, wide: int) -> DataFrame:
     calls, path = stored(calls_l(s, d), "matrix-calls"), _place(s)
     names = [r["marker"] for r in calls.select("marker").distinct().orderBy("marker").collect()]  # 200 of them
     files.write_csv(files.genotype_matrix(calls, names), path)
-    return files.read_genotypes(s, path, "id", wide=wide)
+    return files.read_genotypes(s, path, "id", wide=wide).drop("row_idx", "marker_idx")
 
 
 _GRID = f"with {L}, {STATS} select individual, marker, dosage from grid"
@@ -100,8 +100,20 @@ def _qc(s: SparkSession, d: str) -> str:
 
 
 register("sink_qc", f"with {L}, {_METRICS} select marker, {_ROUNDED_METRICS} from metrics")(lambda s, d: _csv(s, f"{_qc(s, d)}/metrics", _METRIC_COLUMNS))
-register("sink_matrix", f"""with {L}, {STATS}, {_METRICS}, {_FLAGS} select individual, marker, dosage from grid
-  where marker in (select marker from flags where not (fail_call_rate or fail_maf or fail_hwe))""")(lambda s, d: files.read_genotypes(s, f"{_qc(s, d)}/matrix", "id"))
+
+
+def _sink_matrix(s: SparkSession, d: str) -> DataFrame:
+    """The kept genotypes as written and read back, with the places of individuals and markers in the file."""
+    path = _place(s)
+    jobs.run_qc(numeric_order(calls_l(s, d)), path, maf=0.05, hwe_p=1e-3)
+    back = stored(files.read_genotypes(s, f"{path}/matrix", "id"), "matrix-back")
+    return C.cells(back).join(C.individual_index(back), "individual").join(C.marker_index(back), "marker")
+
+
+register("sink_matrix", f"""with {L}, {STATS}, {_METRICS}, {_FLAGS},
+  ip as (select individual, row_number() over (order by cast(substr(individual, 2) as bigint)) - 1 row_idx from (select distinct individual from calls)),
+  mp as (select marker, row_number() over (order by cast(substr(marker, 2) as bigint)) - 1 marker_idx from flags where not (fail_call_rate or fail_maf or fail_hwe))
+  select individual, marker, dosage, row_idx, marker_idx from grid join ip using (individual) join mp using (marker)""")(_sink_matrix)
 
 
 def _gwas(s: SparkSession, d: str) -> DataFrame:
