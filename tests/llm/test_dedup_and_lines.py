@@ -62,6 +62,15 @@ def test_exact_dedup_by_ranges_equals_one_range(spark):
     assert one == many and sum(one.values()) == len(rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "int", "long", "decimal(20, 0)"])
+def test_exact_dedup_keeps_the_type_of_ids_at_any_size(spark, kind):
+    rows = frame(spark, [(i, "hot" if i % 3 == 0 else f"t{i // 2}") for i in range(2000)] + [(None, "hot")])
+    rows = rows.withColumn("doc_id", rows.doc_id.cast(kind))
+    one, many = (exact_dedup(rows, max_slots=m) for m in (1 << 28, 1 << 13))
+    assert one.schema["doc_id"].dataType == many.schema["keep_id"].dataType == rows.schema["doc_id"].dataType
+    assert Counter(tuple(r) for r in one.collect()) == Counter(tuple(r) for r in many.collect())
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert exact_dedup(none).count() == 0
