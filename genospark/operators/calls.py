@@ -70,22 +70,31 @@ def align(calls: DataFrame, wanted: DataFrame) -> DataFrame:
     return calls.join(wanted.select("individual"), "individual", "left_semi")
 
 
-#: Markers that meet an individual in one row before they are spread out.
-GRID_BLOCK = 1024
+#: Markers that meet an individual in one row before they are spread out; markers up to which these rows are broadcast
+#: (some 20 MB), and parts that each block's individuals are dealt to beyond.
+GRID_BLOCK, GRID_BROADCAST, GRID_PARTS = 1024, 1 << 18, 16
 
 
 def _grid(calls: DataFrame, per_marker: DataFrame) -> DataFrame:
     """A row per individual and marker with the marker's columns.  The result itself has that many rows.
 
-    Markers are dealt to blocks by hash; individuals meet each block once, and the calls join by the cell's key.
+    Markers are dealt to blocks by hash; individuals meet each block once, and the calls join by the cell's key.  Beyond
+    GRID_BROADCAST markers each block is copied to GRID_PARTS parts of the individuals, so that no block is one task's.
     """
     columns = per_marker.columns
-    blocks = max(1, -(-per_marker.count() // GRID_BLOCK))
+    n = per_marker.count()
+    blocks = max(1, -(-n // GRID_BLOCK))
     block = F.pmod(F.xxhash64("marker"), F.lit(blocks)).cast("int").alias("_block")
     markers = per_marker.groupBy(block).agg(F.collect_list(F.struct(*columns)).alias("m"))
     people = individuals(calls).select("individual", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    cells = people.join(markers, "_block").select("individual", F.explode("m").alias("m")).select("individual", *[F.col(f"m.{c}") for c in columns])
-    return cells.join(calls.select("individual", "marker", "dosage"), ["individual", "marker"], "left")
+    if n <= GRID_BROADCAST:
+        met = people.join(F.broadcast(markers), "_block")
+    else:
+        people = people.withColumn("_part", F.pmod(F.xxhash64("individual"), F.lit(GRID_PARTS)).cast("int"))
+        copied = markers.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(GRID_PARTS - 1))))
+        met = people.join(copied, ["_block", "_part"])
+    grid = met.select("individual", F.explode("m").alias("m")).select("individual", *[F.col(f"m.{c}") for c in columns])
+    return grid.join(cells(calls), ["individual", "marker"], "left")
 
 
 def imputed_calls(calls: DataFrame, impute: bool = True) -> DataFrame:

@@ -136,6 +136,17 @@ def _pca(s: SparkSession, d: str) -> DataFrame:
 register("sink_pca", f"with {E} select count(*) components, 1.0::double total, (select n from ni) individuals, 'individual,' || string_agg('PC' || k, ',' order by k) heading from range(1, 11) r(k)")(_pca)
 
 
+def _pca_norms(s: SparkSession, d: str) -> DataFrame:
+    """With all components, each individual's written scores have the length of its standardised calls."""
+    path = _place(s)
+    jobs.run_pca(s, calls_e(s, d), path, 1000)
+    points, shares = _csv(s, f"{path}/scores"), _csv(s, f"{path}/variance", ("explained_variance_ratio",))
+    names = [F.col(c).cast("double") for c in points.columns if c != "individual"]
+    share = lambda k: F.round(F.sum(F.pow("explained_variance_ratio", F.lit(k))), 6).alias(f"share_{k}")
+    told = points.select("individual", sum((c * c for c in names[1:]), names[0] * names[0]).alias("square"))
+    return told.crossJoin(F.broadcast(shares.agg(share(1), share(2))))  # one row
+
+
 def _gblup(s: SparkSession, d: str) -> DataFrame:
     path = _place(s)
     jobs.run_gblup(calls_e(s, d), pheno_e(s, d), path, alpha=0.1, n_splits=5, seed=3)
@@ -148,6 +159,29 @@ register("sink_gblup", f"""with {E}, f as (select ntile(5) over (order by md5('3
   select fold, count(*) n_test, (select n from ni) predictions from f group by 1""")(_gblup)
 
 
+def _gblup_values(s: SparkSession, d: str) -> DataFrame:
+    """Of written predictions f + mean(y): (X X' (y - f) - alpha f) / n, which is 0 for ridge effects."""
+    path, calls, y = _place(s), stored(calls_e(s, d), "gblup-calls"), pheno_e(s, d)
+    jobs.run_gblup(calls, y, path, alpha=0.1, n_splits=2, seed=3)
+    n = C.individuals(calls).count()
+    f = _csv(s, f"{path}/predictions", ("prediction",)).join(y, "individual").withColumn("f", F.col("prediction") - y.agg(F.avg("value").alias("m")).scalar())
+    std = F.sqrt(F.var_pop("dosage") * F.count("dosage") / (n - 1))
+    stats = calls.groupBy("marker").agg(F.avg("dosage").alias("mean"), F.when(std > 0, std).otherwise(1.0).alias("scale"))
+    z = stored(calls.where("dosage is not null").join(stats, "marker").select("individual", "marker", ((F.col("dosage") - F.col("mean")) / F.col("scale")).alias("z")), "gblup-z")
+    moved = z.join(f, "individual").groupBy("marker").agg(F.sum(F.col("z") * (F.col("value") - F.col("f"))).alias("t"))
+    back = z.join(moved, "marker").groupBy("individual").agg(F.sum(F.col("z") * F.col("t")).alias("b"))
+    return f.join(back, "individual").select("individual", F.round((F.col("b") - 0.1 * F.col("f")) / n, 5).alias("residual"))
+
+
+register("sink_gblup_values", f"with {E} select distinct individual, 0.0::double residual from calls")(_gblup_values)
+
+
+def _merge_lines(s: SparkSession, d: str) -> DataFrame:
+    path = _place(s)
+    jobs.run_dendrogram(calls_l(s, d), path, "single")
+    return _csv(s, f"{path}/merges", ("distance",)).withColumn("step", F.col("step").cast("long"))
+
+
 def _merges(s: SparkSession, d: str) -> DataFrame:
     path = _place(s)
     jobs.run_dendrogram(calls_l(s, d), path, "single")
@@ -190,6 +224,11 @@ _BOTH = f"""{STATS}, {MIDX}, {_Z}, up as (select a.m i, b.m j, sum(a.z * b.z) /
 cv as (select i, j, v from up union all select j, i, v from up where i < j)"""
 
 
+register("sink_pca_values", f"""with {E}, {_BOTH}, tr as (select sum(v) t from cv where i = j)
+  select individual, {_r('sum(coalesce(z, 0.0) ** 2)')} square, 1.0::double share_1, (select round(sum(v * v) / max(tr.t) ** 2, 6) from cv, tr) share_2
+  from (select distinct individual from calls) left join z using (individual) group by 1""")(_pca_norms)
+
+
 def _spectrum(s: SparkSession, d: str) -> DataFrame:
     model = pca.fit_pca(calls_e(s, d), 1000)
     power = lambda k: F.round(F.sum(F.pow("eigenvalue", F.lit(k))), 4).alias(f"power_{k}")
@@ -298,6 +337,9 @@ _SEGMENTS = [("ll", "ld", "lh", "ld"), ("rl", "rd", "rh", "rd"), ("lm", "dd", "r
 _LINES = " union all ".join(
     f"select step, cast({k} as int) segment, {', '.join(f'{_r(f"cast({c} as double)")} {name}' for c, name in zip(line, ('x1', 'y1', 'x2', 'y2'), strict=True))} from b" for k, line in enumerate(_SEGMENTS)
 )
+register("sink_merges_values", f"""{_SINGLE}, nm as (select h, id, string_agg(individual, ';' order by individual) names from kid join ri on ri.r = kid.leaf group by 1, 2)
+  select hs.step, l.names as left, r.names as right, {_r('hs.h')} distance from hs join side s0 on s0.h = hs.h and s0.k = 0 join side s1 on s1.h = hs.h and s1.k = 1
+  join nm l on l.h = hs.h and l.id = s0.id join nm r on r.h = hs.h and r.id = s1.id""")(_merge_lines)
 register("dendrogram_segments", f"{_SINGLE} {_LINES}")(lambda s, d: cluster.segments(*_tree(s, d)))
 
 
@@ -315,3 +357,24 @@ for _name, _of in (("average", F.avg), ("complete", F.max)):
     register(f"dendrogram_{_name}_heights", f"with {L}, {RIDX} select count(*) - 1 merges, cast(count(*) * (count(*) - 1) / 2 as bigint) pairs, 0.0::double difference, 0::bigint falls from ri")(
         lambda s, d, name=_name, of=_of: _heights(s, d, name, of)
     )
+
+
+def _nearest(s: SparkSession, d: str, linkage: str, of) -> DataFrame:
+    """The steps, and the most by which a merge's height differs from the least linkage of all clusters then alive."""
+    merges, n = _tree(s, d, linkage)
+    ends = merges.select(F.col("left_id").alias("id"), "step").union(merges.select(F.col("right_id").alias("id"), "step"))
+    inside = cluster.members(merges, n).join(ends, "id")  # the root never ends
+    alive = inside.select("leaf", "id", F.explode(F.sequence(F.greatest(F.col("id") - n + 1, F.lit(0)), "step")).alias("step"))
+    alive = stored(alive, "tree-alive")
+    pairs = cluster.pairwise_distances(calls_l(s, d))
+    x, y = (alive.select(F.col("leaf").alias(c), F.col("id").alias(f"{c}_id"), "step") for c in "ab")
+    apart = pairs.join(x, "a").join(y, ["b", "step"]).where("a_id != b_id")
+    linked = apart.groupBy("step", F.least("a_id", "b_id").alias("x"), F.greatest("a_id", "b_id").alias("y")).agg(of("distance").alias("d"))
+    least = linked.groupBy("step").agg(F.min("d").alias("least")).join(merges.select("step", "distance"), "step")
+    return least.agg(F.count(F.lit(1)).alias("merges"), F.max(F.abs(F.col("least") - F.col("distance"))).alias("difference"))
+
+
+for _name, _of in (("average", F.avg), ("complete", F.max)):
+    register(f"dendrogram_{_name}_nearest", f"with {L}, {RIDX} select count(*) - 1 merges, 0.0::double difference from ri")(
+        lambda s, d, name=_name, of=_of: _nearest(s, d, name, of)
+    )

@@ -140,3 +140,5 @@ def test_a_grid_of_many_blocks_is_whole(calls, monkeypatch):
     whole = {tuple(r) for r in C.imputed_calls(calls).collect()}
     monkeypatch.setattr(C, "GRID_BLOCK", 2)
     assert {tuple(r) for r in C.imputed_calls(calls).collect()} == whole and len(whole) == 20
+    monkeypatch.setattr(C, "GRID_BROADCAST", 1)  # blocks met by parts of the individuals
+    assert {tuple(r) for r in C.imputed_calls(calls).collect()} == whole
