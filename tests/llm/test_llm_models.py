@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import whole_tree
 
 from genospark.llm import language_id, lm_scoring, quality_rules, quality_trees
 from genospark.llm.quality_rules import Words, measures, repeated_words
@@ -224,7 +225,7 @@ def brute_tree(texts, depth):
 def test_tree_equals_the_recursion(spark):
     texts = [b"abracadabra", b"abra cad", b"", b"zz top"]
     df = spark.createDataFrame([(t,) for t in texts], "raw binary")
-    tree = lm_scoring.fit_tree(df)
+    tree = whole_tree.fit_tree(df)
     score = brute_tree(texts, lm_scoring.DEPTH)
     probes = [*texts, b"abrac", b"q", b"cadab top", "é".encode()]
     assert tree.log_probability(probes) == pytest.approx([score(t) for t in probes], rel=1e-4)
@@ -232,7 +233,7 @@ def test_tree_equals_the_recursion(spark):
 
 def test_tree_with_few_contexts_is_still_a_distribution(spark):
     df = spark.createDataFrame([(b"the cat sat on the mat " * 3,), (b"a dog",)], "raw binary")
-    tree = lm_scoring.fit_tree(df, max_contexts=6)
+    tree = whole_tree.fit_tree(df, max_contexts=6)
     assert np.exp(tree.logs.astype(float)).sum(1) == pytest.approx(1, abs=1e-4)
     assert np.isfinite(tree.log_probability([b"the", b"unseen \xc3\xa9", b""])).all()
 
@@ -254,7 +255,7 @@ def test_scores_use_every_context(spark):
     texts = [" ".join(rng.permutation(words)[:n]) for n in (4000, 4000, 2000, 500)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["score"] for r in lm_scoring.lm_score(docs, docs.where("doc_id < 3")).collect()}
-    tree = lm_scoring.fit_tree(spark.createDataFrame([(t.encode(),) for t in texts[:3]], "raw binary"), max_contexts=1 << 30)
+    tree = whole_tree.fit_tree(spark.createDataFrame([(t.encode(),) for t in texts[:3]], "raw binary"), max_contexts=1 << 30)
     assert len(tree.logs) > 1 << 15
     whole = tree.log_probability([t.encode() for t in texts]) / math.log(10)
     assert [found[i] for i in range(4)] == pytest.approx(whole, rel=1e-5)
