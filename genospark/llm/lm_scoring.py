@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, id_hash, shuffle_width, slices, stored
 
 #: Bytes of context at most.
-DEPTH = 6
+DEPTH = 5
 #: Bytes of the suffix whose subtree is weighted in one group; shorter contexts are the driver's.
 CUT = 3
 #: The pairs of context and byte met most, whose predictions are broadcast; all others meet theirs in a join.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genospark.llm.common import stored
-from genospark.llm.lm_scoring import DEPTH, _codes, _kt, count_pairs
+from genospark.llm.lm_scoring import DEPTH, END, _codes, _contexts, _kt, count_pairs
 
 #: Contexts that are kept at most (a row of 256 floats each).
 MAX_CONTEXTS = 1 << 15
