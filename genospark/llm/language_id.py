@@ -191,7 +191,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def identify(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     """Learns from the labelled rows of ``docs`` outside the held-out quarter and predicts all rows.
 
-    Adds ``held_out``: crc32 of the id as text leaves 2 modulo 4.
+    Adds ``held_out``: crc32 of the id as text leaves 2 modulo 4; null ids are not held out.  Texts that are null or have
+    no letter are ``und``, as is every text where nothing is labelled.  Whole texts are read; repeated rows get the same
+    prediction; of languages that score alike the first by name is taken.  An empty table gives an empty result.
     """
     held_out = F.coalesce(F.pmod(id_hash(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     model = fit(docs.where(~held_out).select("doc_id", "text", "lang"), max_docs)

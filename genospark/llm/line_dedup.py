@@ -101,7 +101,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``: the lines that stay, joined by newlines.
 
     Null and empty texts have one empty line, which stays.  Repeated rows get the same bitmap.  The id may be null.
-    Columns that are called as the new ones are replaced.
+    Columns that are called as the new ones are replaced.  Whole texts are read; one row holds all its lines.  An empty
+    table gives an empty result, and without bitmaps every line stays.
     """
     docs = docs.drop("n_lines", "n_dropped", "kept_text", "_bits", "_id", "_hash", "_text_hash", "_lines", "_kept")
     # All pieces in a row up to the last that is held; before the join, so that it is done once a document.

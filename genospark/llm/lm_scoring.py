@@ -343,6 +343,7 @@ def lm_score(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_
     a byte, the end included).  Null text is empty: its one token is the end.  Words meet their counts by a 64-bit
     hash.  Rows that repeat an id and a text are scored once and given back as often as they came.  Without training
     rows every token is unknown (N = V = 0, so each word and end scores log10(1 / 1)) and every bit costs one bit.
+    Long texts are worked on by segments.  An empty table gives an empty result.
     """
     texts = _texts(docs, F.lit(True), F.lit(False), text_col).unionByName(_texts(training, F.lit(False), F.lit(True), text_col))
     return _scored(docs, training, texts, id_col, text_col)

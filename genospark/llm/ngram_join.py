@@ -322,7 +322,7 @@ def ngram_join(
     common shingles is at least ``percent`` times all shingles.  Null and empty texts and texts without words have no
     shingles and link with nothing.  Repeated rows are equal sets.  Rows that share only the id count apart.  Null ids
     link as others do but never name a component: one of null ids alone has a null id.  Shingles and sets are told
-    apart by 64-bit hashes.
+    apart by 64-bit hashes.  Whole texts are read, however long.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bound_batches(spark)

@@ -262,7 +262,11 @@ def apply_rules(docs: DataFrame, model: Model, keep_from: float = KEEP_FROM, tex
 
 
 def judge(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Fits on labelled rows outside the held-out quarter (crc32 of the id leaves 2 modulo 4) and judges all."""
+    """Fits on labelled rows outside the held-out quarter (crc32 of the id leaves 2 modulo 4) and judges all.
+
+    Null texts are empty and fail; whole texts are read; a probability of exactly KEEP_FROM keeps.  Without labels of both
+    kinds every text has the prior's probability.  An empty table gives an empty result.
+    """
     held_out = F.coalesce(F.pmod(id_hash(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     known = labels.where(~held_out).select("doc_id", F.col("quality").cast("double").alias("label"))
     return apply_rules(docs.select("doc_id", "text"), fit(docs, known, max_rows))

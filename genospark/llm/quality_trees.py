@@ -209,7 +209,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
 def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Learns ``quality`` outside the held-out quarter and scores all documents: doc_id, held_out, score, predicted.
 
-    Held out: crc32 of the id as text leaves 2 modulo 4.  Null ids are not held out and have no labels.
+    Held out: crc32 of the id as text leaves 2 modulo 4.  Null ids are not held out and have no labels.  Null and empty
+    texts are scored by their zero statistics; whole texts are read; repeated rows are scored alike, and a score of exactly
+    KEEP_FROM is predicted 1.  An empty table gives an empty result.
     """
     trees = fit_quality(docs, labels, max_rows)
     return score(docs.select("doc_id", _held_out("doc_id").alias("held_out"), "text"), trees).drop("n_words")

@@ -271,7 +271,8 @@ def write_token_files(
 
     ``part`` is a range of ids and ``block`` its place there.  A payload is a whole block with its documents' ids and
     its own place; the other columns only spare readers a look into it.  Null text is empty; each document ends with
-    ``end_id``.  Null ids come first; rows with one id are in order of their texts' hashes and texts.
+    ``end_id``.  Null ids come first; rows with one id are in order of their texts' hashes and texts, and repeated rows
+    are written each.  A text of any length is encoded piece by piece.  An empty table gives no blocks.
     """
     spark = docs.sparkSession
     bound_batches(spark)
