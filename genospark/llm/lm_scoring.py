@@ -33,7 +33,8 @@ HOT_WORDS = 1 << 17
 #: Bits of a context and its byte, which leave room for the number of one of 256 texts in 64 bits.
 _PAIR_BITS = np.uint64(8 * (DEPTH + 1))
 END = 0xFF  # ends a text; UTF-8 has no such byte
-_FLUSH = 2_000_000
+#: Pairs and words that a counting worker holds at most before it sends them on, and words that a scoring one remembers.
+_FLUSH, _HELD_WORDS, _SEEN_WORDS = 1_000_000, 200_000, 150_000
 
 
 #: Bytes of text whose positions are worked on at a time; longer texts come in several segments.
@@ -115,7 +116,7 @@ def count_texts(texts: DataFrame) -> DataFrame:
             for low, use in zip(lows, learn, strict=True):
                 if use:
                     words.update(_words(low))
-                    if len(words) > 400_000:
+                    if len(words) > _HELD_WORDS:
                         yield all_words()
                         words.clear()
             for code, at in _segments(lows):
@@ -375,7 +376,7 @@ def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str
         log_of = dict(zip(hot_words.tolist(), hot_logs.tolist(), strict=True))
         digest = xxhash.xxh3_64_intdigest
         seen: dict[bytes, tuple[int, float]] = {}
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 256, 1 << 20):
             ids, lows = batch.column("doc_id").to_pylist(), [t.lower() for t in batch.column("raw").to_pylist()]
             logs, lacking = np.zeros(len(lows)), []
             for code, at in _segments(lows):
@@ -391,7 +392,7 @@ def _scored(docs: DataFrame, training: DataFrame, texts: DataFrame, id_col: str
                 for word, k in tokens.items():
                     entry = seen.get(word)
                     if entry is None:
-                        if len(seen) > 300_000:
+                        if len(seen) > _SEEN_WORDS:
                             seen.clear()
                         h = digest(word)
                         entry = h, log_of.get(h, -1.0)
