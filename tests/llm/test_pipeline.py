@@ -134,5 +134,5 @@ def test_stages_of_nothing(spark, sf_dir):
 
 def test_registry_names_every_operator():
     numbers = sorted(int(m[1]) for n in llm_queries.queries() if (m := re.match(r"op(\d+)_", n)))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(llm_queries.oracle_sql()) <= set(llm_queries.queries())
