@@ -126,6 +126,27 @@ def test_packing_stage_has_the_ids_of_plain_encoding(stages):
         assert len(own) == r["length"] and zlib.crc32(np.array(own, "<u4").tobytes()) == r["ids_crc32"]
 
 
+def test_run_gives_what_its_stages_give_one_after_the_other(spark, sf_dir, stages):
+    """``run`` reads documents, and each stage's rows as its predecessor wrote them."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(*r, "more") for r in rows()], f"{schema}, extra string").write.parquet(f"{sf_dir}/documents.parquet")
+    found = corpus_pipeline.run(spark, sf_dir)
+    names = [c for c in found.columns if c not in ("sequence_id", "offset")]
+    count = lambda got: Counter(tuple(r[c] for c in names) for r in got)
+    got = found.collect()
+    assert count(got) == count(stages["packing"])
+    # Sequences are gapless, and as many as in the stage by itself.
+    ends = defaultdict(list)
+    for r in got:
+        ends[r["sequence_id"]].append((r["offset"], r["length"]))
+    for places in ends.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+    assert len(ends) == len({r["sequence_id"] for r in stages["packing"]})
+
+
 def test_stages_of_nothing(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
