@@ -76,7 +76,8 @@ class Mixer:
 
     def _weigh(self) -> None:
         share = self.seen[:, 1:] / self.seen[:, :1]
-        self.weight_a, self.weight_b = (share * _MIX_ROOM).astype(np.int64).T.copy()
+        # One slot at least, however seldom a guess came true: it still may.
+        self.weight_a, self.weight_b = 1 + (share * (_MIX_ROOM - 2)).astype(np.int64).T.copy()
 
     def look(self) -> tuple[np.ndarray, ...]:
         """Guesses A and B and their weights: A has the slots [0, a), B [a, a + b), order 0 the rest."""

@@ -252,3 +252,13 @@ def test_packed_pieces_have_the_ids_of_plain_encoding(spark):
             expected.append((len(expected), at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())))
             at += n
         assert sorted(found[i]) == expected
+
+
+def test_a_guess_that_never_came_true_keeps_a_slot():
+    mixer = token_files.Mixer(100, 4, decodes=False)
+    mixer.seen[:, 0] = 1e12  # as after very many misses
+    mixer._weigh()
+    assert mixer.weight_a.min() == mixer.weight_b.min() == 1
+    mixer.seen[:, 1] = mixer.seen[:, 0] - 1
+    mixer._weigh()
+    assert (mixer.weight_a + mixer.weight_b).max() <= token_files._MIX_ROOM
