@@ -9,7 +9,7 @@ from .common import discard, stored
 
 
 #: Edges of a node that make it a hub; with more than 2^18 times as many edges in all, the number is larger.
-HUB = 2000
+HUB = 256
 
 
 def _told(edges: DataFrame, least: DataFrame, node: str) -> DataFrame:

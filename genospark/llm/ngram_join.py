@@ -34,8 +34,9 @@ MAX_SLOTS = 1 << 26
 PERCENT = 80
 #: Sets that a bucket may hold to give pairs; larger ones go by a leader.
 COLD = 12
-#: Pairs that share a side are a hot key above this number and above 1 / HOT_KEYS of all pairs.
-HOT_PAIRS, HOT_KEYS = 2000, 512
+#: Rows that share a key of a join are dealt anew in pieces of this many; in large tables of one 2^HOT_BITS-th of all rows,
+#: so that no more than 2^HOT_BITS keys (of two longs) are broadcast to say which are hot.
+HOT_ROWS, HOT_BITS = 256, 17
 #: Tokens that a block of a large bucket holds at about most.
 BLOCK_TOKENS = 400_000
 #: The low hash region is a quarter of all hashes.
@@ -127,7 +128,8 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
         low.withColumn("_slot", slot).withColumn("word", F.expr("_slot div 64"))
         .join(F.broadcast(stored(words, "join-bits")), "word").where(hit).select("node", "token")
     )
-    shared = likely.join(df, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    met = _meet(likely, df, "token", df.withColumnRenamed("df", "n"), "node")
+    shared = met.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     p = F.expr(f"cast(n - ceil({percent} * n / 100.0D) + 1 as int)")
     full = reps.select("node", "n", "n_low", "low", p.alias("p")).join(shared, "node", "left")
     lone = (F.col("n_low") - F.coalesce(F.size("shared"), F.lit(0))).alias("lone")
@@ -136,15 +138,33 @@ def _postings(reps: DataFrame, percent: int) -> DataFrame:
     return full.select("*", lone).select("node", "n", "lone", F.explode(F.concat(of_low, beyond)).alias("token"))
 
 
-def _meet(pairs: DataFrame, table: DataFrame, side: str) -> DataFrame:
-    """``pairs`` (stored) joined with ``table`` on ``side``.  A side that very many pairs share, such as the leader of a
-    large bucket, meets them by broadcast: there are HOT_KEYS of them at most."""
-    hot_from = max(HOT_PAIRS, pairs.count() // HOT_KEYS)
-    hot = stored(pairs.groupBy(side).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_from).select(side), "join-hot")
-    if hot.isEmpty():
-        return pairs.join(table, side)
-    of_hot = pairs.join(F.broadcast(table.join(F.broadcast(hot), side)), side)
-    return of_hot.unionByName(pairs.join(F.broadcast(hot), side, "left_anti").join(table, side))
+def _hot(counts: DataFrame, key: str) -> DataFrame | None:
+    """(key, pieces) of ``counts`` (key, n; stored): the keys that so many rows share that they are dealt in pieces."""
+    many = counts.where(F.col("n") > HOT_ROWS)
+    total = many.agg(F.sum("n").alias("n")).first()["n"]
+    if not total:
+        return None
+    hot_from = max(HOT_ROWS, total >> HOT_BITS)
+    return many.where(F.col("n") > hot_from).select(key, F.ceil(F.col("n") / hot_from).cast("int").alias("_pieces"))
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """(key, n): how many of ``rows`` have a key, for those of more than HOT_ROWS; narrow, and told once."""
+    return stored(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS), "join-counts")
+
+
+def _meet(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, by: str) -> DataFrame:
+    """``rows`` joined with ``table`` on ``key``.  A key that very many rows share, such as the leader of a large bucket, is
+    split: its rows are dealt to pieces by ``by``, and its side of ``table`` goes to each piece."""
+    hot = _hot(counts, key)
+    if hot is None:
+        return rows.join(table, key)
+    hot = F.broadcast(hot)
+    piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("_pieces")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1))
+    many = rows.join(hot, key, "left").withColumn("_piece", piece).drop("_pieces")
+    few = table.join(hot, key, "left").withColumn("_piece", every).drop("_pieces")
+    return many.join(few, [key, "_piece"]).drop("_piece")
 
 
 def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -153,7 +173,7 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     facts = reps.select("node", "n", "n_low", "low", "high", p.alias("p"))
     left = facts.select(*[F.col(c).alias(f"{c}_x") for c in facts.columns]).withColumnRenamed("node_x", "x")
     right = facts.select(*[F.col(c).alias(f"{c}_y") for c in facts.columns]).withColumnRenamed("node_y", "y")
-    both = _meet(pairs, left, "x").join(right, "y")
+    both = _meet(_meet(pairs, left, "x", _shared(pairs, "x"), "y"), right, "y", _shared(pairs, "y"), "x")
     both = both.where(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
     both = both.where("arrays_overlap(slice(low_x, 1, p_x), slice(low_y, 1, p_y)) and arrays_overlap(high_x, high_y)")
     # |A xor B| <= (100 - t) / (100 + t) * (|A| + |B|) holds for the whole sets, so for their low regions too.
@@ -163,8 +183,8 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (x, y) among the pairs (stored), by the whole sets."""
-    with_x = _meet(pairs, sets.select(F.col("node").alias("x"), F.col("tokens").alias("tokens_x")), "x")
-    both = with_x.join(sets.select(F.col("node").alias("y"), F.col("tokens").alias("tokens_y")), "y")
+    of_x, of_y = (sets.select(F.col("node").alias(c), F.col("tokens").alias(f"tokens_{c}")) for c in "xy")
+    both = _meet(_meet(pairs, of_x, "x", _shared(pairs, "x"), "y"), of_y, "y", _shared(pairs, "y"), "x")
     common = F.size(F.array_intersect("tokens_x", "tokens_y"))
     return both.withColumn("i", common).where(f"100 * i >= {percent} * (n_x + n_y - i)").select("x", "y")
 
@@ -220,9 +240,9 @@ def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
     if split.isEmpty():
         discard(placed, split)
         return links.limit(0)
-    # The leader's tokens are those that come last; leaders of large buckets meet their members by broadcast.
+    # The leader's tokens are those that come last.
     told = split.join(sets.select(F.col("node").alias("leader"), F.col("tokens").alias("of_leader")), "leader")
-    members = _meet(placed, told, "leader").join(sets, "node")
+    members = _meet(placed, told, "leader", _shared(placed, "leader"), "node").join(sets, "node")
     p = F.expr(f"cast(size(tokens) - ceil({percent} * size(tokens) / 100.0D) + 1 as int)")
     order = F.concat(F.array_except("tokens", "of_leader"), F.array_intersect("tokens", "of_leader"))
     postings = members.select(
@@ -238,7 +258,8 @@ def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
     few = keys.where(F.col("others") <= COLD).select("key")
     a = postings.where("other").join(few, "key").select("key", F.col("node").alias("x"), F.col("comp").alias("c_x"), F.col("n").alias("n_x"))
     b = postings.select("key", F.col("node").alias("y"), F.col("comp").alias("c_y"), F.col("n").alias("n_y"))
-    near = a.join(b, "key").where(f"c_x != c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
+    met = _meet(b, a, "key", _shared(postings.select("key"), "key"), "y")
+    near = met.where(f"c_x != c_y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)")
     pairs = stored(near.select("x", "y").distinct(), "join-sub-pairs")
     pairs = stored(_filtered(pairs, reps, percent), "join-sub-near")
     found = _verified(pairs, sets, percent)
@@ -246,10 +267,10 @@ def _apart(clusters: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
     # the same sets share make a group once.
     crowded = keys.where(F.col("others") > COLD).select("key", F.col("least").alias("group"))
     if not crowded.isEmpty():
-        grouped = stored(_meet(postings, crowded, "key").select("group", "node", "comp", "other", "n").distinct(), "join-sub-groups")
+        grouped = stored(_meet(postings, crowded, "key", _shared(postings, "key"), "node").select("group", "node", "comp", "other", "n").distinct(), "join-sub-groups")
         blocks = lambda load: F.ceil(F.sum(load) / BLOCK_TOKENS).cast("int")
         loads = grouped.groupBy("group").agg(blocks("n").alias("blocks"), blocks(F.when(F.col("other"), F.col("n"))).alias("other_blocks"))
-        loaded = _meet(grouped, loads, "group").join(sets, "node")
+        loaded = _meet(grouped, loads, "group", _shared(grouped, "group"), "node").join(sets, "node")
         block = lambda of: F.expr(f"cast(pmod(xxhash64(node), {of}) as int)")
         every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
         columns = ["group", "i", "j", "side", "node", "comp", "tokens"]
@@ -269,7 +290,9 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     # The leader has the smallest share of tokens of its own: a near copy's edits are such tokens, its origin has none.
     central = F.struct((F.col("lone") / F.col("n")).alias("share"), "node")
     buckets = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min(central)["node"].alias("leader")).where("size > 1")
-    placed = stored(postings.join(buckets, "token").select("token", "node", "n", "size", "leader"), "join-placed")
+    buckets = stored(buckets, "join-buckets")
+    met = _meet(postings, buckets, "token", buckets.select("token", F.col("size").alias("n")), "node")
+    placed = stored(met.select("token", "node", "n", "size", "leader"), "join-placed")
     cold = placed.where(F.col("size") <= COLD).select("token", "node", "n")
     a, b = (cold.select("token", F.col("node").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
     pairs = a.join(b, "token").where(f"x < y and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)").select("x", "y")
@@ -279,7 +302,7 @@ def _links(docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     pairs = stored(pairs.distinct(), "join-cold-candidates")
     star_pairs = stored(_filtered(stars, reps, percent), "join-stars")
     cold_pairs = stored(_filtered(pairs, reps, percent), "join-pairs")
-    discard(postings, placed, stars, pairs)
+    discard(postings, buckets, placed, stars, pairs)
 
     # Whole sets of the documents that take part, by a second scan; a bounded bit table picks the documents.
     taking = (
