@@ -15,6 +15,9 @@ from .common import ASCII_SPACE, discard, lower_ascii, shuffle_width, stored
 #: Repeated lines that are broadcast at most (two longs each): the most frequent ones.  Others are each too rare to
 #: make a key of the shuffled join hot.
 BROADCAST_KEYS = 1 << 18
+#: Bits of the broadcast table that lets texts which lose nothing by (2^22 words at most; it spares less and less beyond
+#: some 10^8 texts that lose lines).
+MAX_SLOTS = 1 << 28
 
 
 def lines_of(text: Column) -> Column:
@@ -103,27 +106,40 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     Null and empty texts have one empty line, which stays.  Repeated rows get the same bitmap.  The id may be null.
     Columns that are called as the new ones are replaced.  Whole texts are read; one row holds all its lines.  An empty
     table gives an empty result, and without bitmaps every line stays.
+
+    A bit table of the bitmaps' text hashes is broadcast: texts that it does not hold pass straight through, and only
+    the others meet their bitmaps in a shuffle.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text", "_bits", "_id", "_hash", "_text_hash", "_lines", "_kept")
+    made = ["n_lines", "n_dropped", "kept_text", "_bits", "_id", "_hash", "_text_hash", "_lines", "_kept", "_word", "_set"]
+    docs = docs.drop(*made)
+    names = [*docs.columns, "n_lines", "n_dropped", "kept_text"]
+    bitmaps = stored(bitmaps, "line-bitmaps")
+    word, bit = (f"pmod({{}}, {MAX_SLOTS}) div 64", f"cast(pmod({{}}, {MAX_SLOTS}) % 64 as int)")
+    losing = bitmaps.groupBy(F.expr(word.format("text_hash")).alias("_word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, {bit.format('text_hash')})")).alias("_set")
+    )
+    losing = F.broadcast(stored(losing, "line-losing"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    told = docs.withColumn("_text_hash", F.xxhash64(text)).withColumn("_word", F.expr(word.format("_text_hash")))
+    hit = F.expr(f"(shiftright(_set, {bit.format('_text_hash')}) & 1L) = 1L")
+    lines = lines_of(F.col(text_col))
+    whole = told.join(losing, "_word", "left").where(~F.coalesce(hit, F.lit(False)))
+    whole = whole.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_dropped", F.lit(0).cast("long"))
+    whole = whole.withColumn("kept_text", text).select(names)
     # All pieces in a row up to the last that is held; before the join, so that it is done once a document.
     gap = "x.word - coalesce(get(keep_bits, i - 1).word, -1) - 1"
     dense = F.expr(f"flatten(transform(keep_bits, (x, i) -> concat(array_repeat(-1L, {gap}), array(x.bits))))")
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), dense.alias("_bits"))
-    text_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    joined = docs.withColumn("_text_hash", text_hash).join(
+    joined = told.join(losing, "_word").where(hit).join(
         marks, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left"
     )
-    lines = lines_of(F.col(text_col))
     stays = F.expr(
         "filter(_lines, (x, i) -> coalesce((shiftright(get(_bits, cast(i div 64 as int)), i % 64) & 1L) = 1L, true))"
     )
     joined = joined.withColumn("_lines", lines).withColumn("n_lines", F.size("_lines").cast("long"))
     joined = joined.withColumn("_kept", F.when(F.col("_bits").isNull(), F.col("_lines")).otherwise(stays))
-    return (
-        joined.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
-        .withColumn("kept_text", F.array_join("_kept", "\n"))
-        .drop("_text_hash", "_hash", "_id", "_lines", "_kept", "_bits")
-    )
+    joined = joined.withColumn("n_dropped", F.col("n_lines") - F.size("_kept"))
+    return whole.unionByName(joined.withColumn("kept_text", F.array_join("_kept", "\n")).select(names))
 
 
 def line_dedup(docs: DataFrame, **options) -> DataFrame:

@@ -94,8 +94,9 @@ def brute_lines(rows, least, keep_first):
 
 
 @pytest.mark.parametrize("keep_first", [False, True])
-@pytest.mark.parametrize("broadcast", [1 << 18, 0])
-def test_line_dedup_equals_brute_force(spark, monkeypatch, keep_first, broadcast):
+@pytest.mark.parametrize(("broadcast", "slots"), [(1 << 18, 1 << 28), (0, 64)])
+def test_line_dedup_equals_brute_force(spark, monkeypatch, keep_first, broadcast, slots):
+    monkeypatch.setattr(lines_module, "MAX_SLOTS", slots)
     monkeypatch.setattr(lines_module, "BROADCAST_KEYS", broadcast)
     rows = list(enumerate(TEXTS))
     out = line_dedup(frame(spark, rows), min_docs=2, keep_first=keep_first)
@@ -149,9 +150,10 @@ def near_copies(n, words, edits, start=0):
     return out
 
 
-@pytest.mark.parametrize(("cold", "block"), [(12, 400_000), (2, 300)])
+@pytest.mark.parametrize(("cold", "block", "hot"), [(12, 400_000, 256), (2, 300, 3)])
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
-def test_ngram_join_equals_brute_force(spark, monkeypatch, cold, block, k, percent):
+def test_ngram_join_equals_brute_force(spark, monkeypatch, cold, block, hot, k, percent):
+    monkeypatch.setattr(join_module, "HOT_ROWS", hot)
     monkeypatch.setattr(join_module, "COLD", cold)
     monkeypatch.setattr(join_module, "BLOCK_TOKENS", block)
     shared = " ".join(f"s{i}" for i in range(60))
@@ -161,6 +163,18 @@ def test_ngram_join_equals_brute_force(spark, monkeypatch, cold, block, k, perce
     assert found == brute_join(rows, k, percent)
 
 
+def test_hot_keys_are_dealt_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(join_module, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(0, n) for n in range(95)] + [(n, n) for n in range(1, 6)], "x long, y long").coalesce(1)
+    rows = stored(rows, "test-rows")
+    table = spark.createDataFrame([(n, f"t{n}") for n in range(4)] + [(0, "again")], "x long, told string")
+    joined = join_module._meet(rows, table, "x", join_module._shared(rows, "x"), "y")
+    found = Counter((r["x"], r["y"], r["told"]) for r in joined.collect())
+    assert found == Counter([(0, n, t) for n in range(95) for t in ("t0", "again")] + [(n, n, f"t{n}") for n in range(1, 4)])
+    hot = join_module._hot(join_module._shared(rows, "x"), "x").collect()
+    assert [tuple(r) for r in hot] == [(0, 10)]
+
+
 def test_ngram_join_handles_repeats_and_missing_ids(spark):
     rows = [(5, "a b c d"), (5, "a b c d"), (7, "a b c d"), (None, "a b c d"), (None, "z z z z")]
     found = Counter((r["doc_id"], r["component_id"]) for r in ngram_join(frame(spark, rows)).collect())
