@@ -130,8 +130,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     gap = "x.word - coalesce(get(keep_bits, i - 1).word, -1) - 1"
     dense = F.expr(f"flatten(transform(keep_bits, (x, i) -> concat(array_repeat(-1L, {gap}), array(x.bits))))")
     marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), dense.alias("_bits"))
+    # A sort-merge join at every size: the bitmaps grow with the texts.
     joined = told.join(losing, "_word").where(hit).join(
-        marks, (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left"
+        marks.hint("merge"), (F.col("_text_hash") == F.col("_hash")) & F.col(id_col).eqNullSafe(F.col("_id")), "left"
     )
     stays = F.expr(
         "filter(_lines, (x, i) -> coalesce((shiftright(get(_bits, cast(i div 64 as int)), i % 64) & 1L) = 1L, true))"
