@@ -5,13 +5,14 @@ place and a checksum of all that.  Its token ids are cut into up to ``LANES`` eq
 one id of each lane at a time, so a step is a few array operations.  Three models predict each id:
 
 * order 2: the id that last followed this pair of ids, with a level of trust: how often in a row it came true;
-* order 1: the two ids that followed this id most recently, likewise; the older one serves where order 2 agrees with
-  the newer one;
-* order 0: adaptive counts over the whole vocabulary.
-
-Their mixture is ``wA [id = guess of order 2] + wB [id = guess of order 1] + w0 P0(id)``.  The weights are learned: for
-each joint state of trust and agreement, how often either guess came true so far.  The mixture drives a carry-less
-range coder; the decoder repeats the same steps, so it knows the same models and weights.
+* order 1: counts of all ids that followed this id so far;
+* order 0: counts over the whole vocabulary.
+
+An id is coded by the first of them that has it, so the mixture is ``wA [id = guess of order 2] + w1 P1(id) + w0 P0(id)``
+in slots of their own.  The weights are learned: for each joint state of the guess's trust and of what order 1 has seen
+(how often this id came, how often each of its followers), how often either coded an id so far.  Counts are taken over at
+steps that grow by a tenth, which keeps this work in proportion to the block.  The mixture drives a carry-less range coder;
+the decoder repeats the same steps, so it knows the same models and weights.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from .common import bound_batches, shuffle_width, slices, stored
 from .tokens import PieceTokenizer
 
 MAGIC = b"TIDB"
-VERSION = 3
+VERSION = 4
 LANES = 8192
 #: Ids after which a block is closed; a longer document makes a longer block.
 BLOCK_IDS = 1 << 21
@@ -39,27 +40,36 @@ BLOCK_IDS = 1 << 21
 LEAST_RUN = 64
 TOTAL_BITS = 26  # the coder's frequencies add up to 2^26
 ZERO_BITS = 20  # those of order 0 to 2^20; the mixture leaves order 0 that much at least, so each id has a slot
-PAIR_BITS = 18  # slots of the order-2 table
+PAIR_BITS = 20  # slots of the order-2 table
 TRUST = 16  # levels of trust of a guess; level 0 is that of no guess or of one that failed last
-#: Order 0 is counted anew after steps 1, 2, 3, 4, 6, 8, 12, ..., and every so many steps in the end.
-LONGEST_WAIT = 64
+LEVELS = 64  # of what order 1 has seen after an id; level 0 is nothing
+SCALE_BITS = 16  # the counts after one id add up to 2^16 and one for each of these ids at most
+#: Orders 0 and 1 are counted anew each time that the steps have grown by a WAIT_SHARE-th.
+WAIT_SHARE = 10
 _U = np.uint64
-_TOTAL, _MIX_ROOM = 1 << TOTAL_BITS, (1 << TOTAL_BITS) - (1 << ZERO_BITS)
+_TOTAL = 1 << TOTAL_BITS
 _LOW32, _32 = _U((1 << 32) - 1), _U(32)
 
 
 class Mixer:
-    """The adaptive models that coder and decoder share; ``look`` predicts for all lanes, ``learn`` updates."""
+    """The adaptive models that coder and decoder share; ``look`` predicts for all lanes, ``learn`` updates.
+
+    Slots [0, a) are those of guess A, [a, a + b) those of order 1, the rest those of order 0.
+    """
 
     def __init__(self, vocabulary: int, lanes: int, decodes: bool):
         self.vocabulary, self.decodes = vocabulary, decodes
-        # The newer and the older guess, as id * TRUST + trust.
+        # The guess of order 2, as id * TRUST + trust.
         self.table2 = np.full(1 << PAIR_BITS, -TRUST, np.int32)
-        self.table1, self.older1 = np.full(vocabulary + 1, -TRUST, np.int32), np.full(vocabulary + 1, -1, np.int32)
-        self.seen = np.tile(np.array([2.0, 0.5, 0.3]), (2 * TRUST * TRUST, 1))  # of each state: all, A and B true
+        self.seen = np.tile(np.array([2.0, 0.5, 0.8]), (TRUST * LEVELS, 1))  # of each state: all, by A and by order 1
         self.last, self.before = (np.full(lanes, vocabulary, np.int32) for _ in range(2))
         self.counts, self.waiting, self.step, self.due = np.zeros(vocabulary, np.int64), [], 0, 1
+        # Order 1: id before * vocabulary + id, ascending, and how often that was.
+        self.pairs, self.times, self.waiting_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        # What the weights share, so that each id of order 1 and of order 0 has a slot beside them.
+        self.room = _TOTAL - (1 << ZERO_BITS) - (1 << SCALE_BITS) - vocabulary - 1
         self._count()
+        self._count_pairs()
         self._weigh()
 
     def _count(self) -> None:
@@ -74,39 +84,59 @@ class Mixer:
         if self.decodes:
             self.id_at = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.size0)
 
+    def _count_pairs(self) -> None:
+        """Order 1: the parts of the ids that followed each id, one at least for each; those of one id that were over
+        2^SCALE_BITS are scaled down to that."""
+        if self.waiting_pairs:
+            new, times = np.unique(np.concatenate(self.waiting_pairs), return_counts=True)
+            self.waiting_pairs = []
+            at = np.searchsorted(self.pairs, new)
+            old = np.append(self.pairs, -1)[at] == new
+            self.times[at[old]] += times[old]
+            self.pairs, self.times = (np.insert(c, at[~old], x[~old]) for c, x in ((self.pairs, new), (self.times, times)))
+        context = self.pairs // self.vocabulary
+        kinds = np.bincount(context, minlength=self.vocabulary + 1)
+        total = np.bincount(context, self.times, self.vocabulary + 1).astype(np.int64)
+        # A context's level: how often it was there, and how often each of its ids on average.
+        spread = np.clip(np.frexp(total / np.maximum(kinds, 1))[1], 1, 4) - 1
+        self.level1 = (np.minimum(np.frexp(total)[1], LEVELS // 4 - 1) * 4 + spread).astype(np.int32)
+        self.size1 = self.times
+        if total.max() > 1 << SCALE_BITS:
+            scaled = np.maximum(1, (self.times << SCALE_BITS) // np.maximum(total[context], 1))
+            self.size1 = np.where(total[context] > 1 << SCALE_BITS, scaled, self.times)
+            total = np.bincount(context, self.size1, self.vocabulary + 1).astype(np.int64)
+        self.total1, self.base1 = total, np.cumsum(total) - total
+        self.start1 = np.cumsum(self.size1) - self.size1
+
     def _weigh(self) -> None:
         share = self.seen[:, 1:] / self.seen[:, :1]
         # One slot at least, however seldom a guess came true: it still may.
-        self.weight_a, self.weight_b = 1 + (share * (_MIX_ROOM - 2)).astype(np.int64).T.copy()
+        self.weight_a, self.weight_b = 1 + (share * (self.room - 2)).astype(np.int64).T.copy()
 
     def look(self) -> tuple[np.ndarray, ...]:
-        """Guesses A and B and their weights: A has the slots [0, a), B [a, a + b), order 0 the rest."""
+        """Guess A, its weight a, and b of order 1, whose parts add up to ``all1``; b is 0 after an id not seen so far."""
         self.pair = (self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
-        two, one, older = self.table2[self.pair], self.table1[self.last], self.older1[self.last]
-        self.trust2, self.trust1 = two & (TRUST - 1), one & (TRUST - 1)
-        self.guess_a, self.newer1, self.before1 = two >> 4, one >> 4, older
-        agree = self.guess_a == self.newer1
-        self.guess_b = np.where(agree, older, self.newer1)
-        self.state = (self.trust2 << 5) | (self.trust1 << 1) | agree
-        return self.guess_a, self.guess_b, self.weight_a[self.state], self.weight_b[self.state]
-
-    def learn(self, ids: np.ndarray) -> None:
-        """``ids`` (int32) are what came."""
-        hit_a, hit_b, hit1 = ids == self.guess_a, ids == self.guess_b, ids == self.newer1
-        came = np.bincount(self.state * 4 + (hit_a + 2 * hit_b), minlength=8 * TRUST * TRUST).reshape(-1, 4)
+        two = self.table2[self.pair]
+        self.trust2, self.guess_a = two & (TRUST - 1), two >> 4
+        self.state = self.trust2 * LEVELS + self.level1[self.last]
+        self.all1 = self.total1[self.last]
+        return self.guess_a, self.weight_a[self.state], np.where(self.all1 > 0, self.all1 + self.weight_b[self.state], 0)
+
+    def learn(self, ids: np.ndarray, by: np.ndarray) -> None:
+        """``ids`` (int32) are what came, ``by`` what coded them: 0 order 0, 1 guess A, 2 order 1."""
+        came = np.bincount(self.state * 4 + by, minlength=4 * TRUST * LEVELS).reshape(-1, 4)
         self.seen[:, 0] += came.sum(1)
-        self.seen[:, 1] += came[:, 1] + came[:, 3]
-        self.seen[:, 2] += came[:, 2]
+        self.seen[:, 1:] += came[:, 1:3]
         self._weigh()
-        self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * hit_a
-        self.table1[self.last] = (ids << 4) + np.minimum(self.trust1 + 1, TRUST - 1) * hit1
-        self.older1[self.last] = np.where(hit1, self.before1, self.newer1)
-        self.before, self.last = self.last, ids
+        self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * (by == 1)
         self.waiting.append(ids)
+        self.waiting_pairs.append(self.last * np.int64(self.vocabulary) + ids)
+        self.before, self.last = self.last, ids
         self.step += 1
         if self.step == self.due:
             self._count()
-            self.due += min(max(1, 1 << max(0, self.step.bit_length() - 2)), LONGEST_WAIT)
+            self._count_pairs()
+            self.due += 1 + self.step // WAIT_SHARE
 
 
 def _lanes_of(n: int, longest: int) -> tuple[int, int]:
@@ -138,16 +168,21 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
     out, first = np.zeros(lanes * room, np.uint32), np.arange(lanes) * room
     end = first.copy()
     for now in grid:
-        guess_a, guess_b, a, b = model.look()
-        guessed = a + b
-        rest = _TOTAL - guessed
-        start = model.start0[now]
-        below = start * rest >> ZERO_BITS
-        size = ((start + model.size0[now]) * rest >> ZERO_BITS) - below
-        below += guessed
-        by_b, by_a = np.flatnonzero(now == guess_b), np.flatnonzero(now == guess_a)
-        below[by_b], size[by_b] = a[by_b], b[by_b]
-        below[by_a], size[by_a] = 0, a[by_a]
+        guess_a, a, b = model.look()
+        by = (now == guess_a).astype(np.int64)
+        pairs = model.last * np.int64(vocabulary) + now
+        place = np.searchsorted(model.pairs, pairs)
+        by[(np.append(model.pairs, -1)[place] == pairs) & (by == 0)] = 2
+        by_0, by_a, by_1 = (np.flatnonzero(by == k) for k in range(3))
+        below, size = np.zeros(lanes, np.int64), a.copy()
+        ids, guessed = now[by_0], a[by_0] + b[by_0]
+        start, rest = model.start0[ids], _TOTAL - guessed
+        below[by_0] = (start * rest >> ZERO_BITS) + guessed
+        size[by_0] = ((start + model.size0[ids]) * rest >> ZERO_BITS) + guessed - below[by_0]
+        place, b1, all1 = place[by_1], b[by_1], model.all1[by_1]
+        start = model.start1[place] - model.base1[model.last[by_1]]
+        below[by_1] = start * b1 // all1 + a[by_1]
+        size[by_1] = (start + model.size1[place]) * b1 // all1 + a[by_1] - below[by_1]
         part = wide >> _U(TOTAL_BITS)
         low += part * below.view(_U)
         wide = part * size.view(_U)
@@ -155,7 +190,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
         out[end[at]] = low[at] >> _32
         low[at] <<= _32
         end[at] += 1
-        model.learn(now)
+        model.learn(now, by)
     out[end] = low + _LOW32 >> _32  # the interval is wider than a word: with zeros after it, this one lies inside
     used = end + 1 - first
     table = zlib.compress(used.astype("<u4").tobytes(), 1)
@@ -180,22 +215,29 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
     end += 2
     grid = np.empty((steps, lanes), np.int32)
     for step in range(steps):
-        guess_a, guess_b, a, b = model.look()
-        guessed = a + b
-        rest = _TOTAL - guessed
+        guess_a, a, b = model.look()
         part = wide >> _U(TOTAL_BITS)
         slot = np.minimum(ahead // part, _U(_TOTAL - 1)).view(np.int64)
+        by = np.where(slot < a, 1, np.where(slot < a + b, 2, 0))
+        by_0, by_1 = np.flatnonzero(by == 0), np.flatnonzero(by == 2)
+        now, below, size = guess_a.copy(), np.zeros(lanes, np.int64), a.copy()
         # The part of order 0 whose slots hold this one.  The quotient is below 2^20 and its denominator below 2^26, so
         # a double's floor is exact.
-        inside = np.maximum(slot - guessed, 0)
-        now = model.id_at[np.minimum((((inside + 1 << ZERO_BITS) - 1) / rest).astype(np.int64), (1 << ZERO_BITS) - 1)]
-        start = model.start0[now]
-        below = start * rest >> ZERO_BITS
-        size = ((start + model.size0[now]) * rest >> ZERO_BITS) - below
-        below += guessed
-        by_a, by_b = np.flatnonzero(slot < a), np.flatnonzero((slot < guessed) & (slot >= a))
-        now[by_b], below[by_b], size[by_b] = guess_b[by_b], a[by_b], b[by_b]
-        now[by_a], below[by_a], size[by_a] = guess_a[by_a], 0, a[by_a]
+        guessed = a[by_0] + b[by_0]
+        rest = _TOTAL - guessed
+        ids = model.id_at[np.minimum((((slot[by_0] - guessed + 1 << ZERO_BITS) - 1) / rest).astype(np.int64), (1 << ZERO_BITS) - 1)]
+        start = model.start0[ids]
+        below[by_0] = (start * rest >> ZERO_BITS) + guessed
+        size[by_0] = ((start + model.size0[ids]) * rest >> ZERO_BITS) + guessed - below[by_0]
+        now[by_0] = ids
+        # The part of order 1, likewise.
+        last, b1, all1 = model.last[by_1], b[by_1], model.all1[by_1]
+        inside = ((slot[by_1] - a[by_1] + 1) * all1 - 1) // b1
+        place = np.searchsorted(model.start1, model.base1[last] + inside, "right") - 1
+        start = model.start1[place] - model.base1[last]
+        below[by_1] = start * b1 // all1 + a[by_1]
+        size[by_1] = (start + model.size1[place]) * b1 // all1 + a[by_1] - below[by_1]
+        now[by_1] = model.pairs[place] - last * np.int64(vocabulary)
         past = part * below.view(_U)
         low += past
         ahead -= past
@@ -205,7 +247,7 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
         place = end[at]
         ahead[at] = ahead[at] << _32 | np.where(place < stop[at], words[np.minimum(place, len(words) - 1)], 0)
         end[at] += 1
-        model.learn(now)
+        model.learn(now, by)
         grid[step] = now
     return grid.T.reshape(-1)[:n].astype(np.int64)
 
