@@ -40,8 +40,9 @@ BLOCK_IDS = 1 << 21
 LEAST_RUN = 64
 TOTAL_BITS = 26  # the coder's frequencies add up to 2^26
 ZERO_BITS = 20  # those of order 0 to 2^20; the mixture leaves order 0 that much at least, so each id has a slot
-PAIR_BITS = 20  # slots of the order-2 table
+PAIR_BITS = 18  # slots of the order-2 table
 TRUST = 16  # levels of trust of a guess; level 0 is that of no guess or of one that failed last
+PLACE_BITS = 20  # slots of the encoder's table of places in order 1
 LEVELS = 64  # of what order 1 has seen after an id; level 0 is nothing
 SCALE_BITS = 16  # the counts after one id add up to 2^16 and one for each of these ids at most
 #: Orders 0 and 1 are counted anew each time that the steps have grown by a WAIT_SHARE-th.
@@ -66,6 +67,7 @@ class Mixer:
         self.counts, self.waiting, self.step, self.due = np.zeros(vocabulary, np.int64), [], 0, 1
         # Order 1: id before * vocabulary + id, ascending, and how often that was.
         self.pairs, self.times, self.waiting_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.place_of = np.zeros(0 if decodes else 1 << PLACE_BITS, np.int32)
         # What the weights share, so that each id of order 1 and of order 0 has a slot beside them.
         self.room = _TOTAL - (1 << ZERO_BITS) - (1 << SCALE_BITS) - vocabulary - 1
         self._count()
@@ -107,6 +109,25 @@ class Mixer:
             total = np.bincount(context, self.size1, self.vocabulary + 1).astype(np.int64)
         self.total1, self.base1 = total, np.cumsum(total) - total
         self.start1 = np.cumsum(self.size1) - self.size1
+        if self.decodes:
+            self.place_at = np.repeat(np.arange(len(self.pairs), dtype=np.int32), self.size1)
+        else:
+            self.place_of[self._slot(self.pairs)] = np.arange(len(self.pairs))
+            self.ended_pairs = np.append(self.pairs, -1)
+
+    def _slot(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs.view(_U) * _U(0x9E3779B97F4A7C15) >> _U(64 - PLACE_BITS)).view(np.int64)
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of ``ids`` in order 1, and whether they have one."""
+        pairs = self.last * np.int64(self.vocabulary) + ids
+        place = self.place_of[self._slot(pairs)]
+        there = self.ended_pairs[place] == pairs
+        # Two pairs may meet in a slot; the one that is not in it, and pairs that never were, are searched.
+        at = np.flatnonzero(~there)
+        place[at] = np.searchsorted(self.pairs, pairs[at])
+        there[at] = self.ended_pairs[place[at]] == pairs[at]
+        return place, there
 
     def _weigh(self) -> None:
         share = self.seen[:, 1:] / self.seen[:, :1]
@@ -170,9 +191,8 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
     for now in grid:
         guess_a, a, b = model.look()
         by = (now == guess_a).astype(np.int64)
-        pairs = model.last * np.int64(vocabulary) + now
-        place = np.searchsorted(model.pairs, pairs)
-        by[(np.append(model.pairs, -1)[place] == pairs) & (by == 0)] = 2
+        place, there = model.places(now)
+        by[there & (by == 0)] = 2
         by_0, by_a, by_1 = (np.flatnonzero(by == k) for k in range(3))
         below, size = np.zeros(lanes, np.int64), a.copy()
         ids, guessed = now[by_0], a[by_0] + b[by_0]
@@ -233,7 +253,7 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
         # The part of order 1, likewise.
         last, b1, all1 = model.last[by_1], b[by_1], model.all1[by_1]
         inside = ((slot[by_1] - a[by_1] + 1) * all1 - 1) // b1
-        place = np.searchsorted(model.start1, model.base1[last] + inside, "right") - 1
+        place = model.place_at[model.base1[last] + inside]
         start = model.start1[place] - model.base1[last]
         below[by_1] = start * b1 // all1 + a[by_1]
         size[by_1] = (start + model.size1[place]) * b1 // all1 + a[by_1] - below[by_1]
