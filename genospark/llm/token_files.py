@@ -11,7 +11,7 @@ one id of each lane at a time, so a step is a few array operations.  Three model
 An id is coded by the first of them that has it, so the mixture is ``wA [id = guess of order 2] + w1 P1(id) + w0 P0(id)``
 in slots of their own.  The weights are learned: for each joint state of the guess's trust and of what order 1 has seen
 (how often this id came, how often each of its followers), how often either coded an id so far.  Counts are taken over at
-steps that grow by a tenth, which keeps this work in proportion to the block.  The mixture drives a carry-less range coder;
+steps that grow by half, which keeps this work in proportion to the block.  The mixture drives a carry-less range coder;
 the decoder repeats the same steps, so it knows the same models and weights.
 """
 
@@ -46,7 +46,7 @@ PLACE_BITS = 20  # slots of the encoder's table of places in order 1
 LEVELS = 64  # of what order 1 has seen after an id; level 0 is nothing
 SCALE_BITS = 16  # the counts after one id add up to 2^16 and one for each of these ids at most
 #: Orders 0 and 1 are counted anew each time that the steps have grown by a WAIT_SHARE-th.
-WAIT_SHARE = 10
+WAIT_SHARE = 2
 _U = np.uint64
 _TOTAL = 1 << TOTAL_BITS
 _LOW32, _32 = _U((1 << 32) - 1), _U(32)

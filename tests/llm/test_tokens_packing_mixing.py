@@ -261,4 +261,41 @@ def test_a_guess_that_never_came_true_keeps_a_slot():
     assert mixer.weight_a.min() == mixer.weight_b.min() == 1
     mixer.seen[:, 1] = mixer.seen[:, 0] - 1
     mixer._weigh()
-    assert (mixer.weight_a + mixer.weight_b).max() <= token_files._MIX_ROOM
+    # Order 0 keeps its slots beside the most that order 1's parts add up to.
+    assert (mixer.weight_a + mixer.weight_b).max() + (1 << token_files.SCALE_BITS) + 100 <= token_files._TOTAL - (1 << token_files.ZERO_BITS)
+
+
+def test_order_1_counts_what_followed_each_id():
+    rng = np.random.default_rng(4)
+    mixer = token_files.Mixer(50, 16, decodes=False)
+    steps = [np.minimum(rng.geometric(0.1, 16), 49).astype(np.int32) for _ in range(40)]
+    for ids in steps:
+        mixer.look()
+        mixer.learn(ids, np.zeros(16, np.int64))
+    mixer._count_pairs()
+    plain = Counter((a, b) for x, y in zip([np.full(16, 50), *steps], steps) for a, b in zip(x.tolist(), y.tolist()))
+    assert dict(zip(mixer.pairs.tolist(), mixer.times.tolist())) == {a * 50 + b: n for (a, b), n in plain.items()}
+    for a in range(51):
+        assert mixer.total1[a] == sum(n for (x, _), n in plain.items() if x == a)
+    place, there = mixer.places(np.arange(16, dtype=np.int32))
+    for last, i, at, known in zip(mixer.last.tolist(), range(16), place, there):
+        assert known == ((last, i) in plain) and (not known or mixer.pairs[at] == last * 50 + i)
+
+
+def test_counts_of_order_1_are_scaled_and_pairs_that_share_a_slot_are_found(monkeypatch):
+    monkeypatch.setattr(token_files, "SCALE_BITS", 4)
+    monkeypatch.setattr(token_files, "PLACE_BITS", 3)
+    rng = np.random.default_rng(8)
+    for ids in (np.minimum(rng.geometric(0.05, 50_000), 199), np.arange(50_000) % 3):
+        assert (token_files.decode_ids(token_files.encode_ids(ids, 200), len(ids), 200) == ids).all()
+
+
+def test_followers_of_equal_chance_cost_their_logarithm():
+    # Eight followers of each of 4,096 ids, equally likely: 3 bits of 12; no single guess is right more than 1 in 8 times.
+    rng = np.random.default_rng(10)
+    n = 1 << 20
+    choice = rng.integers(0, 8, n)
+    ids = np.zeros(n, np.int64)
+    for i in range(1, n):
+        ids[i] = (ids[i - 1] * 5 + 1 + choice[i] * 511) % 4096
+    assert 8 * len(token_files.encode_ids(ids, 4096)) < 4.2 * n
