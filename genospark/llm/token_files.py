@@ -120,9 +120,9 @@ class Mixer:
 
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ``ids`` in order 1, and whether they have one."""
-        pairs = self.last * np.int64(self.vocabulary) + ids
-        place = self.place_of[self._slot(pairs)]
-        there = self.ended_pairs[place] == pairs
+        pairs = self.at * self.vocabulary + ids
+        place = self.place_of.take(self._slot(pairs)).astype(np.intp)
+        there = self.ended_pairs.take(place) == pairs
         # Two pairs may meet in a slot; the one that is not in it, and pairs that never were, are searched.
         at = np.flatnonzero(~there)
         place[at] = np.searchsorted(self.pairs, pairs[at])
@@ -137,11 +137,34 @@ class Mixer:
     def look(self) -> tuple[np.ndarray, ...]:
         """Guess A, its weight a, and b of order 1, whose parts add up to ``all1``; b is 0 after an id not seen so far."""
         self.pair = (self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
-        two = self.table2[self.pair]
+        self.pair, self.at = self.pair.astype(np.intp), self.last.astype(np.intp)
+        two = self.table2.take(self.pair)
         self.trust2, self.guess_a = two & (TRUST - 1), two >> 4
-        self.state = self.trust2 * LEVELS + self.level1[self.last]
-        self.all1 = self.total1[self.last]
-        return self.guess_a, self.weight_a[self.state], np.where(self.all1 > 0, self.all1 + self.weight_b[self.state], 0)
+        self.state = (self.trust2 * LEVELS + self.level1.take(self.at)).astype(np.intp)
+        self.all1 = self.total1.take(self.at)
+        return self.guess_a, self.weight_a.take(self.state), (self.all1 + self.weight_b.take(self.state)) * (self.all1 > 0)
+
+    def slots0(self, ids: np.ndarray, guessed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the slots of ``ids`` by order 0 begin and how many they are, after those ``guessed``."""
+        start, rest = self.start0.take(ids), _TOTAL - guessed
+        below = start * rest >> ZERO_BITS
+        return below + guessed, ((start + self.size0.take(ids)) * rest >> ZERO_BITS) - below
+
+    def ids0(self, slot: np.ndarray, guessed: np.ndarray) -> np.ndarray:
+        """The ids that have these slots."""
+        inside = _parts((slot - guessed + 1 << ZERO_BITS) - 1, _TOTAL - guessed)
+        return self.id_at.take(np.minimum(inside, (1 << ZERO_BITS) - 1))
+
+    def slots1(self, place: np.ndarray, lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Likewise by order 1, of the ids at ``place`` in some lanes with their weights."""
+        start, all1 = self.start1.take(place) - self.base1.take(self.at.take(lane)), self.all1.take(lane)
+        below = _parts(start * b, all1)
+        return below + a, _parts((start + self.size1.take(place)) * b, all1) - below
+
+    def places1(self, slot: np.ndarray, lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places in order 1 that have these slots."""
+        inside = _parts((slot - a + 1) * self.all1.take(lane) - 1, b)
+        return self.place_at.take(self.base1.take(self.at.take(lane)) + inside).astype(np.intp)
 
     def learn(self, ids: np.ndarray, by: np.ndarray) -> None:
         """``ids`` (int32) are what came, ``by`` what coded them: 0 order 0, 1 guess A, 2 order 1."""
@@ -151,7 +174,7 @@ class Mixer:
         self._weigh()
         self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * (by == 1)
         self.waiting.append(ids)
-        self.waiting_pairs.append(self.last * np.int64(self.vocabulary) + ids)
+        self.waiting_pairs.append(self.at * self.vocabulary + ids)
         self.before, self.last = self.last, ids
         self.step += 1
         if self.step == self.due:
@@ -160,6 +183,11 @@ class Mixer:
             self.due += 1 + self.step // WAIT_SHARE
 
 
+def _parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x // y of x below 2^53 and y above 0: a double's floor is exact there, and faster."""
+    return (x / y).astype(np.int64)
+
+
 def _lanes_of(n: int, longest: int) -> tuple[int, int]:
     lanes = max(1, min(longest, n // LEAST_RUN))
     return lanes, -(-n // lanes)
@@ -193,16 +221,11 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
         by = (now == guess_a).astype(np.int64)
         place, there = model.places(now)
         by[there & (by == 0)] = 2
-        by_0, by_a, by_1 = (np.flatnonzero(by == k) for k in range(3))
         below, size = np.zeros(lanes, np.int64), a.copy()
-        ids, guessed = now[by_0], a[by_0] + b[by_0]
-        start, rest = model.start0[ids], _TOTAL - guessed
-        below[by_0] = (start * rest >> ZERO_BITS) + guessed
-        size[by_0] = ((start + model.size0[ids]) * rest >> ZERO_BITS) + guessed - below[by_0]
-        place, b1, all1 = place[by_1], b[by_1], model.all1[by_1]
-        start = model.start1[place] - model.base1[model.last[by_1]]
-        below[by_1] = start * b1 // all1 + a[by_1]
-        size[by_1] = (start + model.size1[place]) * b1 // all1 + a[by_1] - below[by_1]
+        at = np.flatnonzero(by == 0)
+        below[at], size[at] = model.slots0(now[at], a[at] + b[at])
+        at = np.flatnonzero(by == 2)
+        below[at], size[at] = model.slots1(place[at], at, a[at], b[at])
         part = wide >> _U(TOTAL_BITS)
         low += part * below.view(_U)
         wide = part * size.view(_U)
@@ -239,25 +262,15 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
         part = wide >> _U(TOTAL_BITS)
         slot = np.minimum(ahead // part, _U(_TOTAL - 1)).view(np.int64)
         by = np.where(slot < a, 1, np.where(slot < a + b, 2, 0))
-        by_0, by_1 = np.flatnonzero(by == 0), np.flatnonzero(by == 2)
         now, below, size = guess_a.copy(), np.zeros(lanes, np.int64), a.copy()
-        # The part of order 0 whose slots hold this one.  The quotient is below 2^20 and its denominator below 2^26, so
-        # a double's floor is exact.
-        guessed = a[by_0] + b[by_0]
-        rest = _TOTAL - guessed
-        ids = model.id_at[np.minimum((((slot[by_0] - guessed + 1 << ZERO_BITS) - 1) / rest).astype(np.int64), (1 << ZERO_BITS) - 1)]
-        start = model.start0[ids]
-        below[by_0] = (start * rest >> ZERO_BITS) + guessed
-        size[by_0] = ((start + model.size0[ids]) * rest >> ZERO_BITS) + guessed - below[by_0]
-        now[by_0] = ids
-        # The part of order 1, likewise.
-        last, b1, all1 = model.last[by_1], b[by_1], model.all1[by_1]
-        inside = ((slot[by_1] - a[by_1] + 1) * all1 - 1) // b1
-        place = model.place_at[model.base1[last] + inside]
-        start = model.start1[place] - model.base1[last]
-        below[by_1] = start * b1 // all1 + a[by_1]
-        size[by_1] = (start + model.size1[place]) * b1 // all1 + a[by_1] - below[by_1]
-        now[by_1] = model.pairs[place] - last * np.int64(vocabulary)
+        at = np.flatnonzero(by == 0)
+        guessed = a[at] + b[at]
+        now[at] = ids = model.ids0(slot[at], guessed)
+        below[at], size[at] = model.slots0(ids, guessed)
+        at = np.flatnonzero(by == 2)
+        place = model.places1(slot[at], at, a[at], b[at])
+        now[at] = model.pairs.take(place) - model.at.take(at) * vocabulary
+        below[at], size[at] = model.slots1(place, at, a[at], b[at])
         past = part * below.view(_U)
         low += past
         ahead -= past
