@@ -11,7 +11,7 @@ one id of each lane at a time, so a step is a few array operations.  Three model
 An id is coded by the first of them that has it, so the mixture is ``wA [id = guess of order 2] + w1 P1(id) + w0 P0(id)``
 in slots of their own.  The weights are learned: for each joint state of the guess's trust and of what order 1 has seen
 (how often this id came, how often each of its followers), how often either coded an id so far.  Counts are taken over at
-steps that grow by half, which keeps this work in proportion to the block.  The mixture drives a carry-less range coder;
+steps that grow by two thirds, which keeps this work in proportion to the block.  The mixture drives a carry-less range coder;
 the decoder repeats the same steps, so it knows the same models and weights.
 """
 
@@ -45,8 +45,6 @@ TRUST = 16  # levels of trust of a guess; level 0 is that of no guess or of one
 PLACE_BITS = 20  # slots of the encoder's table of places in order 1
 LEVELS = 64  # of what order 1 has seen after an id; level 0 is nothing
 SCALE_BITS = 16  # the counts after one id add up to 2^16 and one for each of these ids at most
-#: Orders 0 and 1 are counted anew each time that the steps have grown by a WAIT_SHARE-th.
-WAIT_SHARE = 2
 _U = np.uint64
 _TOTAL = 1 << TOTAL_BITS
 _LOW32, _32 = _U((1 << 32) - 1), _U(32)
@@ -64,6 +62,7 @@ class Mixer:
         self.table2 = np.full(1 << PAIR_BITS, -TRUST, np.int32)
         self.seen = np.tile(np.array([2.0, 0.5, 0.8]), (TRUST * LEVELS, 1))  # of each state: all, by A and by order 1
         self.last, self.before = (np.full(lanes, vocabulary, np.int32) for _ in range(2))
+        self.at = self.last.astype(np.intp)
         self.counts, self.waiting, self.step, self.due = np.zeros(vocabulary, np.int64), [], 0, 1
         # Order 1: id before * vocabulary + id, ascending, and how often that was.
         self.pairs, self.times, self.waiting_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
@@ -137,7 +136,7 @@ class Mixer:
     def look(self) -> tuple[np.ndarray, ...]:
         """Guess A, its weight a, and b of order 1, whose parts add up to ``all1``; b is 0 after an id not seen so far."""
         self.pair = (self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
-        self.pair, self.at = self.pair.astype(np.intp), self.last.astype(np.intp)
+        self.pair = self.pair.astype(np.intp)
         two = self.table2.take(self.pair)
         self.trust2, self.guess_a = two & (TRUST - 1), two >> 4
         self.state = (self.trust2 * LEVELS + self.level1.take(self.at)).astype(np.intp)
@@ -175,12 +174,12 @@ class Mixer:
         self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * (by == 1)
         self.waiting.append(ids)
         self.waiting_pairs.append(self.at * self.vocabulary + ids)
-        self.before, self.last = self.last, ids
+        self.before, self.last, self.at = self.last, ids, ids.astype(np.intp)
         self.step += 1
         if self.step == self.due:
             self._count()
             self._count_pairs()
-            self.due += 1 + self.step // WAIT_SHARE
+            self.due += 1 + 2 * self.step // 3  # the last time is at step 171 of the 256 of a usual block
 
 
 def _parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
