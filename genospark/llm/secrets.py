@@ -2,9 +2,10 @@
 
 A candidate is a run of 8 or more characters of the value alphabet that holds a digit or an equals sign, follows an
 assignment mark, or overlaps a pattern's finding.  A small convolutional network, in numpy, reads every candidate with
-the characters around it, window by window if it is long.  It is fitted on candidates that the patterns labelled, one
-output for each pattern, calibrated on windows left aside; each output's threshold is the most precise that still finds
-``MIN_RECALL`` of the labelled windows there.  Findings of the patterns always stay.
+the characters around it, window by window if it is long.  It is fitted on all distinct windows of candidates, which the
+patterns label, one output for each pattern: parts of the windows are learned side by side and their networks averaged,
+round by round.  A share of the windows is left aside for the calibration; each output's threshold is the most precise
+that still finds ``MIN_RECALL`` of the labelled windows there.  Findings of the patterns always stay.
 """
 
 from __future__ import annotations
@@ -16,10 +17,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bound_batches, slices
+from .common import bound_batches, discard, shuffle_width, slices, stored
 
 KINDS = ("assign", "access", "hex")
 #: What the network adds.
@@ -34,8 +35,9 @@ _HEX_BYTES = bytes(104 if b in b"0123456789abcdef" else 32 for b in range(256))
 #: A window: characters before, of the candidate, and after it.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
-#: Distinct windows of the fit at most, labelled and others, by hash; every ASIDE-th is left for the calibration.
-MAX_WINDOWS, ASIDE = 4096, 4
+#: Distinct windows of a part of the fit, labelled and others each, at about most; of each set of kinds a part has
+#: LEAST_SHOWN, or all there are, so rare ones are in several parts.  Every ASIDE-th is left for the calibration.
+PART_WINDOWS, LEAST_SHOWN, ASIDE = 4096, 256, 4
 #: Of the labelled windows left aside, the share that a threshold must find; and the share of what it finds there that
 #: must be labelled, else that output adds nothing.
 MIN_RECALL, MIN_PRECISION = 0.95, 0.9
@@ -137,14 +139,12 @@ class Network:
                 embed[:, c] += np.bincount(codes, onward[:, :, c, k].reshape(-1), _CODES)
         return g | {"embed": embed.astype(np.float32)}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 0) -> None:
-        """Adam over shuffled batches, for _EPOCHS and at least _STEPS; findings and others weigh the same for each kind."""
-        rng, share = np.random.default_rng(seed), y.mean(0).clip(1e-6, 1 - 1e-6)
+    def learn(self, x: np.ndarray, y: np.ndarray, epochs: int, state: State, rng: np.random.Generator) -> State:
+        """Adam over shuffled batches, from ``state`` on; findings and others weigh the same for each kind."""
+        share = y.mean(0).clip(1e-6, 1 - 1e-6)
         weigh = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-        m = {n: np.zeros_like(v) for n, v in self.p.items()}
-        v = {n: np.zeros_like(w) for n, w in self.p.items()}
-        t = 0
-        for _ in range(max(_EPOCHS, -(-_STEPS * _BATCH // max(len(x), _BATCH)))):
+        self.p, m, v, t = dict(state.p), dict(state.m), dict(state.v), state.t
+        for _ in range(epochs):
             order = rng.permutation(len(x))
             for at in range(0, len(x), _BATCH):
                 rows, t = order[at : at + _BATCH], t + 1
@@ -152,6 +152,34 @@ class Network:
                     m[n] = 0.9 * m[n] + 0.1 * g
                     v[n] = 0.999 * v[n] + 0.001 * g * g
                     self.p[n] = self.p[n] - (_RATE * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        return State(self.p, m, v, t)
+
+
+@dataclass
+class State:
+    """A network's parameters, Adam's moments of them and its steps so far."""
+
+    p: dict[str, np.ndarray]
+    m: dict[str, np.ndarray]
+    v: dict[str, np.ndarray]
+    t: int
+
+    @classmethod
+    def of(cls, network: Network) -> State:
+        return cls(dict(network.p), *({n: np.zeros_like(w) for n, w in network.p.items()} for _ in range(2)), 0)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([d[n].reshape(-1) for d in (self.p, self.m, self.v) for n in self.p]).astype(np.float64)
+
+    def filled(self, flat: np.ndarray, t: int) -> State:
+        """One of these shapes with the numbers of ``flat``."""
+        at, made = 0, []
+        for d in (self.p, self.m, self.v):
+            made.append({})
+            for n, w in d.items():
+                made[-1][n] = flat[at : at + w.size].reshape(w.shape).astype(np.float32)
+                at += w.size
+        return State(*made, t)
 
 
 @dataclass
@@ -165,64 +193,31 @@ class Model:
     threshold: np.ndarray
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.network.logits(x) + self.offset, -40, 40)))
+        return _probability(self.network.logits(x), self.slope, self.offset)
 
 
-def calibrated(logit: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Platt's slope and offset by Newton steps, and a threshold: of those that find MIN_RECALL of the labelled, the most
-    precise, and of equals the one nearest to a half."""
-    ones = int(y.sum())
-    if not 0 < ones < len(y):
-        return 1.0, 0.0, 2.0
-    target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
-    a, b = 1.0, 0.0
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
-        w, e = np.maximum(p * (1 - p), 1e-9), p - target
-        hessian = np.array([[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-3]])
-        step = np.linalg.solve(hessian, [(e * logit).sum(), e.sum()]).clip(-1, 1)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
-            break
-    p = 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    last = np.append(p[order][1:] < p[order][:-1], True)  # of those that share a probability
-    precision = np.where(last & (hits >= MIN_RECALL * ones), hits / np.arange(1, len(p) + 1), 0)
-    if precision.max() < MIN_PRECISION:
-        return float(a), float(b), 2.0
-    found = np.flatnonzero(precision == precision.max())
-    first, end = found[0], found[-1]
-    low = p[order[end + 1]] if end + 1 < len(p) else 0.0
-    return float(a), float(b), float(np.clip(0.5, (low + p[order[end]]) / 2, p[order[first]]))
-
-
-def fit_windows(rows: list[tuple[str, int]], seed: int = 0) -> Model | None:
-    """A model from (window, bits of the kinds that found it); None where either sort is lacking.
+def _probability(logit: np.ndarray, slope: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(slope * logit + offset, -40, 40)))
+
+
+def _bits(kinds: np.ndarray) -> np.ndarray:
+    return ((kinds.astype(np.int64)[:, None] >> np.arange(len(KINDS))) & 1).astype(np.float32)
+
+
+def shown(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """What a part learns of its (window, bits of the kinds that found it).
 
     Findings are also shown with what stands around other candidates, so in upper case, and so cut short: the value itself
     counts.
     """
-    rows = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))
-    aside = [zlib.crc32(w.encode("utf-8", "surrogatepass")) // 7 % ASIDE == 0 for w, _ in rows]
-    use = [r for r, a in zip(rows, aside, strict=True) if not a]
-    others = [w for w, k in use if not k]
-    own = [(w, k) for w, k in use if k]
-    if not own or not others:
-        return None
+    others = [w for w, k in rows if not k]
+    own = [(w, k) for w, k in rows if k]
     value = slice(BEFORE, BEFORE + INSIDE)
-    elsewhere = [others[i % len(others)] for i in range(len(own))]
+    elsewhere = [others[i % len(others)] for i in range(len(own))] if others else [w for w, _ in own]
     moved = [(o[:BEFORE] + w[value] + o[BEFORE + INSIDE :], k) for o, (w, k) in zip(elsewhere, own, strict=True)]
     upper = [(w[:BEFORE] + "".join(c.upper() if c.isascii() else c for c in w[value]) + w[BEFORE + INSIDE :], k) for w, k in moved]
     short = [(w[:BEFORE] + w[value].rstrip("\0")[: INSIDE * 2 // 3 - i % 8].ljust(INSIDE, "\0") + w[BEFORE + INSIDE :], k) for i, (w, k) in enumerate(moved)]
-    shown = [*own, *moved, *upper, *short, *((w, 0) for w in others)]
-    bits = lambda r: ((np.array([k for _, k in r], np.int64)[:, None] >> np.arange(len(KINDS))) & 1).astype(np.float32)
-    network = Network(seed)
-    network.fit(encoded([w for w, _ in shown]), bits(shown), seed)
-    left = [r for r, a in zip(rows, aside, strict=True) if a]
-    logit, y = network.logits(encoded([w for w, _ in left])), bits(left).reshape(-1, len(KINDS))
-    found = np.array([calibrated(logit[:, k].astype(float), y[:, k]) for k in range(len(KINDS))])
-    return Model(network, *found.T)
+    return [*own, *moved, *upper, *short, *((w, 0) for w in others)]
 
 
 def _text(raw: bytes | None) -> tuple[str, bytes]:
@@ -256,12 +251,153 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "window string, kinds int").groupBy("window").agg(F.bit_or("kinds").alias("kinds"))
 
 
-def fit(docs: DataFrame, max_windows: int = MAX_WINDOWS) -> Model | None:
-    """A model from at most ``max_windows`` labelled windows and as many others, those of the smallest hashes."""
-    found = labelled_windows(docs)
-    sort = F.xxhash64("window")
-    own, others = (found.where(w).orderBy(sort, "window").limit(max_windows) for w in ("kinds != 0", "kinds = 0"))
-    return fit_windows([(r["window"], r["kinds"]) for r in own.union(others).collect()])
+def _dealt(found: DataFrame, counts: dict[tuple[bool, int], int], parts: int) -> DataFrame:
+    """A row per part: the codes and kinds of what it learns (x, y), and of its windows left aside (aside_x, aside_y)."""
+    copies = F.lit(1)
+    for (aside, kinds), n in counts.items():
+        if not aside:
+            times = min(parts, -(-parts * LEAST_SHOWN // n))
+            copies = F.when(~F.col("aside") & (F.col("kinds") == kinds), times).otherwise(copies)
+    first = F.pmod(F.xxhash64("window"), F.lit(parts))
+    part = F.explode(F.transform(F.sequence(F.lit(0), copies - 1), lambda i: F.pmod(first + i, F.lit(parts)).cast("int")))
+
+    def packed(table: pa.Table) -> pa.Table:
+        rows = zip(*(table[c].to_pylist() for c in ("window", "kinds", "aside")), strict=True)
+        rows = sorted(rows, key=lambda r: (zlib.crc32(r[0].encode("utf-8", "surrogatepass")), r[0]))
+        out = {"part": pa.array(table["part"].to_pylist()[:1], pa.int32())}
+        for name, some in (("", shown([r[:2] for r in rows if not r[2]])), ("aside_", [r[:2] for r in rows if r[2]])):
+            out[f"{name}x"] = pa.array([encoded([w for w, _ in some]).tobytes()], pa.binary())
+            out[f"{name}y"] = pa.array([np.array([k for _, k in some], np.uint8).tobytes()], pa.binary())
+        return pa.table(out)
+
+    rows = found.select("window", "kinds", "aside", part.alias("part")).repartition(parts, "part")
+    return stored(rows.groupBy("part").applyInArrow(packed, "part int, x binary, y binary, aside_x binary, aside_y binary"), "secret-parts")
+
+
+def _learned(dealt: DataFrame, parts: int, epochs: int, seed: int) -> Network:
+    """All parts learn from the same network, which then becomes the average of theirs; one part learns in one round."""
+    network = Network(seed)
+    state, rounds = State.of(network), 1 if parts == 1 else _EPOCHS
+    for turn in range(rounds):
+        now = state
+
+        def run(batches: Iterator[pa.RecordBatch], now: State = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
+            total, n, steps = 0.0, 0, 0
+            for batch in slices(batches, 1):
+                part, x, y = (batch.column(c)[0].as_py() for c in ("part", "x", "y"))
+                if x:
+                    x, y = np.frombuffer(x, np.uint8).reshape(-1, WIDTH), _bits(np.frombuffer(y, np.uint8))
+                    done = Network(seed).learn(x, y, -(-epochs // rounds), now, np.random.default_rng([seed, turn, part]))
+                    total, n, steps = total + done.flat(), n + 1, max(steps, done.t)
+            if n:
+                yield pa.record_batch([pa.array([total.tobytes()], pa.binary()), pa.array([n]), pa.array([steps])], names=["total", "n", "steps"])
+
+        # A row per task: the sum of its parts' networks.
+        told = dealt.select("part", "x", "y").mapInArrow(run, "total binary, n long, steps long").collect()
+        total = np.sum([np.frombuffer(r["total"]) for r in told], axis=0)
+        state = state.filled(total / sum(r["n"] for r in told), max(r["steps"] for r in told))
+    network.p = state.p
+    return network
+
+
+def _calibrated(dealt: DataFrame, network: Network, ones: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Platt's slopes and offsets by Newton steps, and thresholds, from all windows left aside, ``n`` of which ``ones`` are
+    labelled.
+
+    A threshold is, of those that find MIN_RECALL of the labelled, the most precise, and of equals the one nearest to a
+    half; above 1 if that is under MIN_PRECISION or if only one sort is there.
+    """
+    kinds = len(KINDS)
+    slope, offset, threshold = np.ones(kinds), np.zeros(kinds), np.full(kinds, 2.0)
+    both = (ones > 0) & (ones < n)
+    if not both.any():
+        return slope, offset, threshold
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            logit = network.logits(np.frombuffer(batch.column("aside_x")[0].as_py(), np.uint8).reshape(-1, WIDTH))
+            yield pa.record_batch([batch.column("part"), pa.array([logit.astype(np.float64).tobytes()], pa.binary()), batch.column("aside_y")], names=["part", "logit", "y"])
+
+    logits = stored(dealt.select("part", "aside_x", "aside_y").mapInArrow(read, "part int, logit binary, y binary"), "secret-logits")
+
+    def of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(batch.column("logit")[0].as_py()).reshape(-1, kinds), _bits(np.frombuffer(batch.column("y")[0].as_py(), np.uint8))
+
+    low, high = 1 / (n - ones + 2), (ones + 1) / (ones + 2)
+    for _ in range(50):
+
+        def sums(batches: Iterator[pa.RecordBatch], slope: np.ndarray = slope, offset: np.ndarray = offset) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 1):
+                logit, y = of(batch)
+                p = _probability(logit, slope, offset)
+                w, e = np.maximum(p * (1 - p), 1e-9), p - np.where(y > 0, high, low)
+                found = np.stack([(w * logit * logit).sum(0), (w * logit).sum(0), w.sum(0), (e * logit).sum(0), e.sum(0)])
+                yield pa.record_batch([batch.column("part"), pa.array([found.tobytes()], pa.binary())], names=["part", "sums"])
+
+        told = sorted(logits.mapInArrow(sums, "part int, sums binary").collect(), key=lambda r: r["part"])
+        of_all = np.sum([np.frombuffer(r["sums"]).reshape(5, kinds) for r in told], axis=0)
+        steps = np.zeros((2, kinds))
+        for k in np.flatnonzero(both):
+            ll, l1, ww, el, ee = of_all[:, k]
+            steps[:, k] = np.linalg.solve([[ll + 1e-3, l1], [l1, ww + 1e-3]], [el, ee]).clip(-1, 1)
+        slope, offset = slope - steps[0], offset - steps[1]
+        if np.abs(steps).max() < 1e-8:
+            break
+
+    def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            logit, y = of(batch)
+            p = _probability(logit, slope, offset)
+            for k in np.flatnonzero(both):
+                value, at = np.unique(p[:, k], return_inverse=True)
+                columns = [np.full(len(value), k), value, np.bincount(at, minlength=len(value)), np.bincount(at, y[:, k], len(value)).astype(np.int64)]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["kind", "p", "n", "hits"])
+
+    # What is found from each probability on: within ranges of them, and by a row per range what stands before it.
+    order, width = [F.col("kind"), F.desc("p")], shuffle_width(dealt.sparkSession)
+    tally = logits.mapInArrow(tallied, "kind long, p double, n long, hits long").groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    ranged = stored(tally.repartitionByRange(width, *order).withColumn("range", F.spark_partition_id()), "secret-ranges")
+    before = Window.partitionBy("kind").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = ranged.groupBy("kind", "range").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    bases = bases.select("kind", "range", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "hits")])
+    upto = Window.partitionBy("kind", "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    up = ranged.select("kind", "range", "p", *[F.sum(c).over(upto).alias(c) for c in ("n", "hits")]).join(F.broadcast(bases), ["kind", "range"])
+    up = up.select("kind", "p", (F.col("n") + F.col("n_before")).alias("n"), (F.col("hits") + F.col("hits_before")).alias("hits"))
+    needed = F.element_at(F.array(*[F.lit(float(x)) for x in MIN_RECALL * ones]), (F.col("kind") + 1).cast("int"))
+    enough = up.where(F.col("hits") >= needed).withColumn("precision", F.col("hits") / F.col("n"))
+    best = enough.groupBy("kind", "precision").agg(F.max("p").alias("first"), F.min("p").alias("end"))
+    best = best.groupBy("kind").agg(F.max_by(F.struct("precision", "first", "end"), "precision").alias("best")).select("kind", "best.*")
+    below = ranged.join(F.broadcast(best), "kind").groupBy("kind", "precision", "first", "end").agg(F.max(F.when(F.col("p") < F.col("end"), F.col("p"))).alias("low"))
+    for r in below.collect():
+        if r["precision"] >= MIN_PRECISION:
+            threshold[r["kind"]] = np.clip(0.5, ((r["low"] or 0.0) + r["end"]) / 2, r["first"])
+    discard(logits, ranged)
+    return slope, offset, threshold
+
+
+def fit(docs: DataFrame, part_windows: int = PART_WINDOWS, seed: int = 0) -> Model | None:
+    """A model from all distinct windows; None where labelled ones or others are lacking.
+
+    Parts have about ``part_windows`` labelled windows and as many others; a part's networks and sums are all that
+    reaches the driver.
+    """
+    aside = F.expr(f"crc32(cast(window as binary)) div 7 % {ASIDE} = 0")
+    found = stored(labelled_windows(docs).withColumn("aside", aside), "secret-windows")
+    counts = {(r["aside"], r["kinds"]): r["count"] for r in found.groupBy("aside", "kinds").count().collect()}
+    own = sum(n for (a, k), n in counts.items() if k and not a)
+    others = counts.get((False, 0), 0)
+    if not own or not others:
+        discard(found)
+        return None
+    parts = -(-max(own, others) // part_windows)
+    dealt = _dealt(found, counts, parts)
+    # Findings are shown in four ways.
+    each = sum(min(n * parts, max(n, parts * LEAST_SHOWN)) * (4 if k else 1) for (a, k), n in counts.items() if not a) // parts
+    network = _learned(dealt, parts, max(_EPOCHS, -(-_STEPS * _BATCH // max(each, _BATCH))), seed)
+    ones = np.array([sum(n for (a, k), n in counts.items() if a and k >> b & 1) for b in range(len(KINDS))])
+    model = Model(network, *_calibrated(dealt, network, ones, sum(n for (a, _), n in counts.items() if a)))
+    discard(found, dealt)
+    return model
 
 
 def scan(docs: DataFrame, model: Model | None, text_col: str = "text", redact: str | None = None) -> DataFrame:
@@ -331,9 +467,9 @@ def scan(docs: DataFrame, model: Model | None, text_col: str = "text", redact: s
     return docs.mapInArrow(run, f"{schema}spans array<struct<kind: string, start: bigint, end: bigint, probability: double>>{more}")
 
 
-def secret_scan(docs: DataFrame, max_windows: int = MAX_WINDOWS, redact: str | None = None) -> DataFrame:
+def secret_scan(docs: DataFrame, part_windows: int = PART_WINDOWS, redact: str | None = None) -> DataFrame:
     """Fits on the documents' own labelled candidates and scans all of them: see ``scan``."""
-    return scan(docs, fit(docs, max_windows), redact=redact)
+    return scan(docs, fit(docs, part_windows), redact=redact)
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -223,6 +223,54 @@ def test_network_finds_what_the_patterns_miss(spark, marked):
         assert own == brute_findings(text)
 
 
+def platt(logit, y):
+    """Slope, offset and threshold of one kind by plain Newton steps and a sorted list."""
+    ones, (a, b) = int(y.sum()), (1.0, 0.0)
+    target = np.where(y > 0, (ones + 1) / (ones + 2), 1 / (len(y) - ones + 2))
+    chance = lambda: 1 / (1 + np.exp(-np.clip(a * logit + b, -40, 40)))
+    for _ in range(50):
+        p = chance()
+        w, e = np.maximum(p * (1 - p), 1e-9), p - target
+        hessian = [[(w * logit * logit).sum() + 1e-3, (w * logit).sum()], [(w * logit).sum(), w.sum() + 1e-3]]
+        step = np.linalg.solve(hessian, [(e * logit).sum(), e.sum()]).clip(-1, 1)
+        a, b = a - step[0], b - step[1]
+    p = chance()
+    each = np.unique(p)[::-1]
+    precision = np.array([y[p >= t].mean() if y[p >= t].sum() >= secrets.MIN_RECALL * ones else 0 for t in each])
+    found = np.flatnonzero(precision == precision.max())
+    low = each[found[-1] + 1] if found[-1] + 1 < len(each) else 0.0
+    return a, b, np.clip(0.5, (low + each[found[-1]]) / 2, each[found[0]])
+
+
+def test_network_learns_from_all_windows(spark, marked):
+    """Parts of 150 windows, of which a kind has more: all of those left aside calibrate, and what is found is the same."""
+    docs = spark.createDataFrame(marked, "doc_id long, text string").repartition(3)
+    model = secrets.fit(docs, 150)
+    rows = sorted((r["window"], r["kinds"]) for r in secrets.labelled_windows(docs).collect())
+    aside = [r for r in rows if zlib.crc32(r[0].encode()) // 7 % secrets.ASIDE == 0]
+    assert len(aside) > 250
+    logit = model.network.logits(secrets.encoded([w for w, _ in aside])).astype(float)
+    for k in range(2):
+        expected = platt(logit[:, k], np.array([kinds >> k & 1 for _, kinds in aside]))
+        assert np.allclose([model.slope[k], model.offset[k], model.threshold[k]], expected, rtol=1e-6)
+    rng = random.Random(9)
+    hidden = [f'pwd "{noise(rng, 40).upper()}" lorem' for _ in range(50)]
+    clean = [f"lorem card {noise(rng, 16, '0123456789')} and 555-{noise(rng, 4, '0123456789')} mail7.example.com sit" for _ in range(50)]
+    found = secrets.scan(spark.createDataFrame(list(enumerate([*hidden, *clean])), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert sum(len(r["spans"]) for r in found[:50]) >= 45 and not any(r["spans"] for r in found[50:])
+
+
+def test_rare_windows_are_in_several_parts(spark):
+    """Each part has all of the few labelled windows; other windows are in one part each."""
+    rows = [(f"{i}".rjust(secrets.WIDTH, "x"), 1 << i % 3 if i < 30 else 0, i % 10 == 9) for i in range(3000)]
+    found = spark.createDataFrame(rows, "window string, kinds int, aside boolean")
+    counts = Counter((a, k) for _, k, a in rows)
+    parts = secrets._dealt(found, counts, 4).collect()
+    labels = [np.frombuffer(r["y"], np.uint8) for r in parts]
+    assert len(parts) == 4 and all((y > 0).sum() == 4 * sum(n for (a, k), n in counts.items() if k and not a) for y in labels)
+    assert sum((y == 0).sum() for y in labels) == counts[False, 0] and sum(len(r["aside_y"]) for r in parts) == 300
+
+
 def test_digests_of_findings(spark):
     rows = [(i, t) for i, t in enumerate(TRICKY)] + [(None, "AKIA" + "Q" * 20), (1, TRICKY[1])]
     found = secrets.digests(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), None)).collect()
