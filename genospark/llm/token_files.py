@@ -45,6 +45,9 @@ TRUST = 16  # levels of trust of a guess; level 0 is that of no guess or of one
 PLACE_BITS = 20  # slots of the encoder's table of places in order 1
 LEVELS = 64  # of what order 1 has seen after an id; level 0 is nothing
 SCALE_BITS = 16  # the counts after one id add up to 2^16 and one for each of these ids at most
+_LEVEL_BITS = LEVELS.bit_length() - 1
+_PART_BITS = 21  # of a start or a size of order 1, which are below 2^SCALE_BITS + 2^ZERO_BITS
+_PART = (1 << _PART_BITS) - 1
 _U = np.uint64
 _TOTAL = 1 << TOTAL_BITS
 _LOW32, _32 = _U((1 << 32) - 1), _U(32)
@@ -60,12 +63,14 @@ class Mixer:
         self.vocabulary, self.decodes = vocabulary, decodes
         # The guess of order 2, as id * TRUST + trust.
         self.table2 = np.full(1 << PAIR_BITS, -TRUST, np.int32)
-        self.seen = np.tile(np.array([2.0, 0.5, 0.8]), (TRUST * LEVELS, 1))  # of each state: all, by A and by order 1
+        self.seen = np.tile(np.array([[2.0], [0.5], [0.8]]), TRUST * LEVELS).T  # of each state: all, by A and by order 1
         self.last, self.before = (np.full(lanes, vocabulary, np.int32) for _ in range(2))
-        self.at = self.last.astype(np.intp)
+        self.at, self.counted = self.last.astype(np.intp), self.last  # the ids up to which pairs are counted
         self.counts, self.waiting, self.step, self.due = np.zeros(vocabulary, np.int64), [], 0, 1
         # Order 1: id before * vocabulary + id, ascending, and how often that was.
-        self.pairs, self.times, self.waiting_pairs = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.kind = np.uint32 if (vocabulary + 1) ** 2 < 1 << 32 else np.int64  # holds a pair; narrow ones are sorted faster
+        # A slot's place and, in its lowest bit, whether other pairs meet there.
         self.place_of = np.zeros(0 if decodes else 1 << PLACE_BITS, np.int32)
         # What the weights share, so that each id of order 1 and of order 0 has a slot beside them.
         self.room = _TOTAL - (1 << ZERO_BITS) - (1 << SCALE_BITS) - vocabulary - 1
@@ -77,7 +82,6 @@ class Mixer:
         """Order 0 in 2^ZERO_BITS parts, one at least for each id."""
         if self.waiting:
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.vocabulary)
-            self.waiting = []
         room = (1 << ZERO_BITS) - self.vocabulary
         self.size0 = 1 + (self.counts * (room / max(int(self.counts.sum()), 1))).astype(np.int64)
         self.size0[int(self.size0.argmax())] += (1 << ZERO_BITS) - int(self.size0.sum())
@@ -88,30 +92,47 @@ class Mixer:
     def _count_pairs(self) -> None:
         """Order 1: the parts of the ids that followed each id, one at least for each; those of one id that were over
         2^SCALE_BITS are scaled down to that."""
-        if self.waiting_pairs:
-            new, times = np.unique(np.concatenate(self.waiting_pairs), return_counts=True)
-            self.waiting_pairs = []
+        if self.waiting:
+            came = np.concatenate([self.counted, *self.waiting]).astype(self.kind)
+            lanes, self.counted, self.waiting = len(self.counted), self.waiting[-1], []
+            new = came[:-lanes] * self.kind(self.vocabulary) + came[lanes:]
+            new.sort()
+            upto = np.append(np.flatnonzero(new[1:] != new[:-1]), len(new) - 1)
+            new, times = new.take(upto).astype(np.int64), np.diff(upto, prepend=-1)
             at = np.searchsorted(self.pairs, new)
-            old = np.append(self.pairs, -1)[at] == new
-            self.times[at[old]] += times[old]
-            self.pairs, self.times = (np.insert(c, at[~old], x[~old]) for c, x in ((self.pairs, new), (self.times, times)))
+            old = np.append(self.pairs, -1).take(at) == new
+            again = np.flatnonzero(old)
+            self.times[at.take(again)] += times.take(again)
+            fresh = np.flatnonzero(~old)
+            place = at.take(fresh) + np.arange(len(fresh))
+            stays = np.ones(len(self.pairs) + len(fresh), bool)
+            stays[place] = False
+            stays = np.flatnonzero(stays)
+            self.pairs, self.times = (_merged(c, stays, x.take(fresh), place) for c, x in ((self.pairs, new), (self.times, times)))
         context = self.pairs // self.vocabulary
         kinds = np.bincount(context, minlength=self.vocabulary + 1)
-        total = np.bincount(context, self.times, self.vocabulary + 1).astype(np.int64)
+        bounds = np.cumsum(kinds)
+        total = _sums(self.times, bounds)
         # A context's level: how often it was there, and how often each of its ids on average.
         spread = np.clip(np.frexp(total / np.maximum(kinds, 1))[1], 1, 4) - 1
-        self.level1 = (np.minimum(np.frexp(total)[1], LEVELS // 4 - 1) * 4 + spread).astype(np.int32)
-        self.size1 = self.times
+        self.level1 = np.minimum(np.frexp(total)[1], LEVELS // 4 - 1).astype(np.int64) * 4 + spread
+        size = self.times
         if total.max() > 1 << SCALE_BITS:
-            scaled = np.maximum(1, (self.times << SCALE_BITS) // np.maximum(total[context], 1))
-            self.size1 = np.where(total[context] > 1 << SCALE_BITS, scaled, self.times)
-            total = np.bincount(context, self.size1, self.vocabulary + 1).astype(np.int64)
+            all1 = np.repeat(total, kinds)
+            size = np.where(all1 > 1 << SCALE_BITS, np.maximum(1, (size << SCALE_BITS) // all1), size)
+            total = _sums(size, bounds)
         self.total1, self.base1 = total, np.cumsum(total) - total
-        self.start1 = np.cumsum(self.size1) - self.size1
+        start = np.cumsum(size) - size - np.repeat(self.base1, kinds)
+        # What is looked up together lies together.
+        self.context1 = total << _LEVEL_BITS | self.level1
+        self.part1 = start << _PART_BITS | size
         if self.decodes:
-            self.place_at = np.repeat(np.arange(len(self.pairs), dtype=np.int32), self.size1)
+            self.part1 |= self.pairs - context * self.vocabulary << 2 * _PART_BITS
+            self.place_at = np.repeat(np.arange(len(self.pairs), dtype=np.int32), size)
         else:
-            self.place_of[self._slot(self.pairs)] = np.arange(len(self.pairs))
+            slot, place = self._slot(self.pairs), np.arange(len(self.pairs), dtype=np.int32) << 1
+            self.place_of[slot] = place
+            self.place_of[slot[self.place_of.take(slot) >> 1 << 1 != place]] |= 1
             self.ended_pairs = np.append(self.pairs, -1)
 
     def _slot(self, pairs: np.ndarray) -> np.ndarray:
@@ -120,28 +141,33 @@ class Mixer:
     def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places of ``ids`` in order 1, and whether they have one."""
         pairs = self.at * self.vocabulary + ids
-        place = self.place_of.take(self._slot(pairs)).astype(np.intp)
+        held = self.place_of.take(self._slot(pairs))
+        place = (held >> 1).astype(np.intp)
         there = self.ended_pairs.take(place) == pairs
-        # Two pairs may meet in a slot; the one that is not in it, and pairs that never were, are searched.
-        at = np.flatnonzero(~there)
-        place[at] = np.searchsorted(self.pairs, pairs[at])
-        there[at] = self.ended_pairs[place[at]] == pairs[at]
+        # Pairs may meet in a slot; those that could be in it but are not are searched.
+        at = np.flatnonzero((held & 1).astype(bool) & ~there)
+        if len(at):
+            searched = pairs.take(at)
+            place[at] = found = np.searchsorted(self.pairs, searched)
+            there[at] = self.ended_pairs.take(found) == searched
         return place, there
 
     def _weigh(self) -> None:
-        share = self.seen[:, 1:] / self.seen[:, :1]
+        seen = self.seen.T
         # One slot at least, however seldom a guess came true: it still may.
-        self.weight_a, self.weight_b = 1 + (share * (self.room - 2)).astype(np.int64).T.copy()
+        self.weight_a, self.weight_b = 1 + (seen[1:] / seen[0] * (self.room - 2)).astype(np.int64)
+        self.after_b = self.weight_b.copy()
+        self.after_b[::LEVELS] = 0  # where order 1 has seen nothing
 
     def look(self) -> tuple[np.ndarray, ...]:
         """Guess A, its weight a, and b of order 1, whose parts add up to ``all1``; b is 0 after an id not seen so far."""
         self.pair = (self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - PAIR_BITS)
         self.pair = self.pair.astype(np.intp)
-        two = self.table2.take(self.pair)
+        two, one = self.table2.take(self.pair), self.context1.take(self.at)
         self.trust2, self.guess_a = two & (TRUST - 1), two >> 4
-        self.state = (self.trust2 * LEVELS + self.level1.take(self.at)).astype(np.intp)
-        self.all1 = self.total1.take(self.at)
-        return self.guess_a, self.weight_a.take(self.state), (self.all1 + self.weight_b.take(self.state)) * (self.all1 > 0)
+        self.all1 = one >> _LEVEL_BITS
+        self.state = (self.trust2 << _LEVEL_BITS) + (one & (LEVELS - 1))
+        return self.guess_a, self.weight_a.take(self.state), self.all1 + self.after_b.take(self.state)
 
     def slots0(self, ids: np.ndarray, guessed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the slots of ``ids`` by order 0 begin and how many they are, after those ``guessed``."""
@@ -154,26 +180,26 @@ class Mixer:
         inside = _parts((slot - guessed + 1 << ZERO_BITS) - 1, _TOTAL - guessed)
         return self.id_at.take(np.minimum(inside, (1 << ZERO_BITS) - 1))
 
-    def slots1(self, place: np.ndarray, lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Likewise by order 1, of the ids at ``place`` in some lanes with their weights."""
-        start, all1 = self.start1.take(place) - self.base1.take(self.at.take(lane)), self.all1.take(lane)
+    def slots1(self, part: np.ndarray, all1: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Likewise by order 1, of the ids that have these of its parts, in lanes with these weights."""
+        start, size = part >> _PART_BITS & _PART, part & _PART
         below = _parts(start * b, all1)
-        return below + a, _parts((start + self.size1.take(place)) * b, all1) - below
+        return below + a, _parts((start + size) * b, all1) - below
 
-    def places1(self, slot: np.ndarray, lane: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The places in order 1 that have these slots."""
-        inside = _parts((slot - a + 1) * self.all1.take(lane) - 1, b)
-        return self.place_at.take(self.base1.take(self.at.take(lane)) + inside).astype(np.intp)
+    def parts1(self, slot: np.ndarray, lane: np.ndarray, all1: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The parts in order 1 that have these slots, with their ids above them."""
+        inside = _parts((slot - a + 1) * all1 - 1, b)
+        return self.part1.take(self.place_at.take(self.base1.take(self.at.take(lane)) + inside))
 
     def learn(self, ids: np.ndarray, by: np.ndarray) -> None:
         """``ids`` (int32) are what came, ``by`` what coded them: 0 order 0, 1 guess A, 2 order 1."""
-        came = np.bincount(self.state * 4 + by, minlength=4 * TRUST * LEVELS).reshape(-1, 4)
-        self.seen[:, 0] += came.sum(1)
-        self.seen[:, 1:] += came[:, 1:3]
+        states = TRUST * LEVELS
+        came = np.bincount(self.state + by * np.int64(states), minlength=3 * states).reshape(3, states)
+        came[0] += came[1] + came[2]
+        self.seen += came.T
         self._weigh()
         self.table2[self.pair] = (ids << 4) + np.minimum(self.trust2 + 1, TRUST - 1) * (by == 1)
         self.waiting.append(ids)
-        self.waiting_pairs.append(self.at * self.vocabulary + ids)
         self.before, self.last, self.at = self.last, ids, ids.astype(np.intp)
         self.step += 1
         if self.step == self.due:
@@ -182,6 +208,26 @@ class Mixer:
             self.due += 1 + 2 * self.step // 3  # the last time is at step 171 of the 256 of a usual block
 
 
+def _merged(x: np.ndarray, to_x: np.ndarray, y: np.ndarray, to_y: np.ndarray) -> np.ndarray:
+    out = np.empty(len(x) + len(y), x.dtype)
+    out[to_x], out[to_y] = x, y
+    return out
+
+
+def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``x`` that end before ``bounds``."""
+    upto = np.append(0, np.cumsum(x)).take(bounds)
+    return np.diff(upto, prepend=0)
+
+
+def _turned(grid: np.ndarray) -> np.ndarray:
+    """The transpose, copied in strips that stay in the processor's cache."""
+    out = np.empty(grid.shape[::-1], grid.dtype)
+    for at in range(0, len(grid), 64):
+        out[:, at : at + 64] = grid[at : at + 64].T
+    return out
+
+
 def _parts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """x // y of x below 2^53 and y above 0: a double's floor is exact there, and faster."""
     return (x / y).astype(np.int64)
@@ -196,8 +242,8 @@ def _full(low: np.ndarray, wide: np.ndarray) -> np.ndarray:
     """Lanes whose interval is under 2^32 wide: their highest 32 bits are settled.  One that straddles two such words
     is cut to the lower one."""
     at = np.flatnonzero(wide <= _LOW32)
-    room = (_LOW32 - (low[at] & _LOW32)) + _U(1)
-    wide[at] = np.minimum(wide[at], room) << _32
+    room = (_LOW32 - (low.take(at) & _LOW32)) + _U(1)
+    wide[at] = np.minimum(wide.take(at), room) << _32
     return at
 
 
@@ -209,7 +255,7 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
     lanes, steps = _lanes_of(n, most_lanes)
     grid = np.zeros(lanes * steps, np.int32)
     grid[:n] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
+    grid = _turned(grid.reshape(lanes, steps))
     model = Mixer(vocabulary, lanes, False)
     low, wide = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
     room = steps + 2
@@ -217,21 +263,22 @@ def encode_ids(ids: np.ndarray, vocabulary: int, most_lanes: int = LANES) -> byt
     end = first.copy()
     for now in grid:
         guess_a, a, b = model.look()
-        by = (now == guess_a).astype(np.int64)
         place, there = model.places(now)
-        by[there & (by == 0)] = 2
+        by = there.view(np.int8) << 1
+        np.copyto(by, 1, where=now == guess_a)
         below, size = np.zeros(lanes, np.int64), a.copy()
         at = np.flatnonzero(by == 0)
-        below[at], size[at] = model.slots0(now[at], a[at] + b[at])
+        below[at], size[at] = model.slots0(now.take(at), a.take(at) + b.take(at))
         at = np.flatnonzero(by == 2)
-        below[at], size[at] = model.slots1(place[at], at, a[at], b[at])
+        below[at], size[at] = model.slots1(model.part1.take(place.take(at)), *(x.take(at) for x in (model.all1, a, b)))
         part = wide >> _U(TOTAL_BITS)
         low += part * below.view(_U)
         wide = part * size.view(_U)
         at = _full(low, wide)
-        out[end[at]] = low[at] >> _32
-        low[at] <<= _32
-        end[at] += 1
+        full, place = low.take(at), end.take(at)
+        out[place] = full >> _32
+        low[at] = full << _32
+        end[at] = place + 1
         model.learn(now, by)
     out[end] = low + _LOW32 >> _32  # the interval is wider than a word: with zeros after it, this one lies inside
     used = end + 1 - first
@@ -260,28 +307,31 @@ def decode_ids(data: bytes, n: int, vocabulary: int, most_lanes: int = LANES) ->
         guess_a, a, b = model.look()
         part = wide >> _U(TOTAL_BITS)
         slot = np.minimum(ahead // part, _U(_TOTAL - 1)).view(np.int64)
-        by = np.where(slot < a, 1, np.where(slot < a + b, 2, 0))
+        guessed = a + b
+        by = (slot < guessed).view(np.int8) << 1
+        np.copyto(by, 1, where=slot < a)
         now, below, size = guess_a.copy(), np.zeros(lanes, np.int64), a.copy()
         at = np.flatnonzero(by == 0)
-        guessed = a[at] + b[at]
-        now[at] = ids = model.ids0(slot[at], guessed)
+        guessed = guessed.take(at)
+        now[at] = ids = model.ids0(slot.take(at), guessed)
         below[at], size[at] = model.slots0(ids, guessed)
         at = np.flatnonzero(by == 2)
-        place = model.places1(slot[at], at, a[at], b[at])
-        now[at] = model.pairs.take(place) - model.at.take(at) * vocabulary
-        below[at], size[at] = model.slots1(place, at, a[at], b[at])
+        all1, of_a, of_b = (x.take(at) for x in (model.all1, a, b))
+        held = model.parts1(slot.take(at), at, all1, of_a, of_b)
+        now[at] = held >> 2 * _PART_BITS
+        below[at], size[at] = model.slots1(held, all1, of_a, of_b)
         past = part * below.view(_U)
         low += past
         ahead -= past
         wide = part * size.view(_U)
         at = _full(low, wide)
-        low[at] <<= _32
-        place = end[at]
-        ahead[at] = ahead[at] << _32 | np.where(place < stop[at], words[np.minimum(place, len(words) - 1)], 0)
-        end[at] += 1
+        low[at] = low.take(at) << _32
+        place = end.take(at)
+        ahead[at] = ahead.take(at) << _32 | np.where(place < stop.take(at), words.take(place, mode="clip"), 0)
+        end[at] = place + 1
         model.learn(now, by)
         grid[step] = now
-    return grid.T.reshape(-1)[:n].astype(np.int64)
+    return _turned(grid).reshape(-1)[:n].astype(np.int64)
 
 
 @dataclass

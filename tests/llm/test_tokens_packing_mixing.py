@@ -1,3 +1,4 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from genospark.llm import packing, token_files
+from genospark.llm import packing, token_files, tokens
 from genospark.llm.mixing import mix
 from genospark.llm.tokens import PieceTokenizer
 
@@ -299,3 +300,43 @@ def test_followers_of_equal_chance_cost_their_logarithm():
     for i in range(1, n):
         ids[i] = (ids[i - 1] * 5 + 1 + choice[i] * 511) % 4096
     assert 8 * len(token_files.encode_ids(ids, 4096)) < 4.2 * n
+
+
+def test_plain_words_are_tokenized_together_and_other_pieces_on_their_own():
+    tokenizer = PieceTokenizer(open(public_tokenizers.path(NAMES[1])).read())
+    letters = [chr(x) for x in range(0x180) if chr(x).isalpha()]
+    plain = [c for c in letters if c != "\u0130"]
+    texts = [f"{c} x{c}y\n{c}{c}Z {c}" for c in letters] + ["It's nine o'clock; don't 12 a\u0301\u0300 H\u0331 \u03a3\u03a3 \u4e2d"]
+    alone, tokenize = [], tokenizer._tokenize
+    tokenizer._tokenize = lambda pieces, together: (None if together else alone.extend(pieces), tokenize(pieces, together))[1]
+    ids, bounds = tokenizer.encode(pa.array(texts))
+    for text, own in zip(texts, np.split(ids, bounds[1:-1]), strict=True):
+        assert own.tolist() == PLAIN[NAMES[1]].encode(text, add_special_tokens=False).ids
+    assert not any(p.decode().strip() in plain for p in alone) and {"'s", "\u0130"} <= {p.decode().strip() for p in alone}
+    assert PIECES[NAMES[0]].words is None
+
+
+def test_words_without_an_end_in_the_vocabulary_are_tokenized_on_their_own():
+    spec = json.loads(open(public_tokenizers.path(NAMES[1])).read())
+    spec["model"]["vocab"] = {t: i for t, i in spec["model"]["vocab"].items() if t not in ("z</w>",)}
+    spec["model"]["merges"] = [m for m in spec["model"]["merges"] if "z</w>" not in (m if isinstance(m, list) else m.split())]
+    ids, bounds = PieceTokenizer(json.dumps(spec)).encode(pa.array(["jazz band", "z", "a z b"]))
+    whole = Tokenizer.from_str(json.dumps(spec))
+    for text, own in zip(["jazz band", "z", "a z b"], np.split(ids, bounds[1:-1]), strict=True):
+        assert own.tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_end_before_marks_that_follow_letters_of_latin_1():
+    texts = [f"x{chr(c)}{mark} {chr(c)}{mark}s{mark}{mark}" for c in range(0xA0, 0x180) for mark in ",'<-"]
+    for name in NAMES:
+        ids, bounds = PIECES[name].encode(pa.array(texts))
+        for text, own in zip(texts, np.split(ids, bounds[1:-1]), strict=True):
+            assert own.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
+    assert b" dor\xc3\xa9" in tokens._pieces(pa.array([" doré, dor×,"], pa.large_string()))[0].dictionary.to_pylist()
+
+
+def test_blocks_of_version_4_keep_their_bytes():
+    x = np.arange(300_000)
+    for ids, vocabulary, crc in (((x * x // 7) % 3001 % (1 + x % 97 * 31), 3001, 1963208351), ((x % 5000) ** 3 % 60_013 % (1 + x // 100), 70_000, 2257570665)):
+        data = token_files.encode_ids(ids, vocabulary)
+        assert zlib.crc32(data) == crc and (token_files.decode_ids(data, len(ids), vocabulary) == ids).all()
