@@ -24,14 +24,22 @@ def _told(edges: DataFrame, least: DataFrame, node: str) -> DataFrame:
     return edges.join(hubs, node).unionByName(others)
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has at most one smaller neighbour, and that one has none; further steps would change nothing."""
+    if not edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return False
+    return edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty()
+
+
 def components(links: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, component_id) for the nodes of ``links`` (x, y); component_id is the smallest ``id`` of the component.
 
     ``ids`` has (node, id).  Each step joins the edges with the smallest neighbour of their nodes; a node of very
-    many edges meets it by broadcast.  The steps end after about log of the largest component.
+    many edges meets it by broadcast.  The steps end, after about log of the largest component, as soon as all
+    components are stars; links that are stars from the start take none.
     """
     edges = stored(links.select(F.least("x", "y").alias("v"), F.greatest("x", "y").alias("u")).where("u != v").distinct(), "cc-edges")
-    while True:
+    while not _stars(edges):
         # Large star: every larger neighbour of a node moves to the node's smallest neighbour.
         both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))  # v -> neighbour u
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -41,11 +49,8 @@ def components(links: DataFrame, ids: DataFrame) -> DataFrame:
         moved = _told(large, least, "u")
         small = moved.where("v != m").select(F.col("m").alias("v"), F.col("v").alias("u")).union(moved.select(F.col("m").alias("v"), "u"))
         new = stored(small.where("u != v").distinct(), "cc-edges")
-        same = new.count() == edges.count() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
         discard(edges, large)
         edges = new
-        if same:
-            break
     named = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
     named = stored(named.join(ids, "node").select("node", "root", "id"), "cc-named")
     smallest = named.groupBy("root").agg(F.min("id").alias("component_id"))

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import sys
 from collections import Counter, defaultdict
 
 import pytest
@@ -189,6 +191,55 @@ def test_components_of_chains_and_stars(spark):
     assert found == {n: 980 if n <= 20 else 861 if n < 200 else 699 for n in nodes}
 
 
+def counted(monkeypatch, *modules):
+    """The names of the tables that the modules store from now on."""
+    names = []
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, name: names.append(name) or stored(df, name))
+    return names
+
+
+def test_components_of_stars_take_no_step(spark, monkeypatch):
+    """Every file written starts processes on an executor's machine, so a step that changes nothing is left out."""
+    names = counted(monkeypatch, sys.modules["genospark.llm.components"])
+    links = [(1, 2), (3, 1), (1, 1), (2, 1), (10, 12), (11, 10)]
+    ids = spark.createDataFrame([(n, -n) for n in (1, 2, 3, 10, 11, 12)], "node long, id long")
+    found = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(links, "x long, y long"), ids).collect()}
+    assert found == {1: -3, 2: -3, 3: -3, 10: -12, 11: -12, 12: -12}
+    assert names == ["cc-edges", "cc-named"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_equal_union_find(spark, seed):
+    rng = random.Random(seed)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range((20, 45, 80)[seed])]
+    root = list(range(60))
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    linked = {n for a, b in links if a != b for n in (a, b)}
+    ids = spark.createDataFrame([(n, n) for n in range(60)], "node long, id long")
+    found = {r["node"]: r["component_id"] for r in components(spark.createDataFrame(links, "x long, y long"), ids).collect()}
+    assert found == {n: find(n) for n in linked}
+
+
+def test_join_stores_what_several_steps_read(spark, monkeypatch):
+    """The bit tables and the links are each read by one plan, so they are parts of it."""
+    names = counted(monkeypatch, join_module, sys.modules["genospark.llm.components"])
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[:k], f"own{k}", *base[k + 1 :]])) for k in range(0, 60, 3)] + [(100 + k, f"x{k} y z") for k in range(5)]
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join(frame(spark, rows), k=1).collect()}
+    assert found == {i: 0 if i < 100 else i for i, _ in rows}
+    assert not {"join-bits", "join-node-bits", "join-doc-bits", "join-links"} & set(names)
+    assert len(names) <= 33, names
+
+
 def test_join_filter_shuffles_only_rows_of_pairs(spark):
     """Wide rows of sets without a candidate pair stay, and equal upper halves of tokens lose no pair."""
     near = [(5 << 32) + i for i in range(10)]
