@@ -45,6 +45,21 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: What an operator keeps in a worker from one task to the next, by its name.
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What this worker keeps for ``owner`` from task to task.  Executors reuse their workers, so whatever other operators
+    left in this one goes: else a pipeline's stages would add up."""
+    others = [k for k in _kept if k != owner]
+    for k in others:
+        del _kept[k]
+    if others:
+        pa.default_memory_pool().release_unused()
+    return _kept.setdefault(owner, {})
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

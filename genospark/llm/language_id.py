@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_hash, slices, texts_of
+from .common import bound_batches, id_hash, kept, slices, texts_of
 
 #: A run of letters and of number signs that are no digits; ``words_of`` takes the latter out.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,6 +62,7 @@ def _counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n) of ``docs``, summed within a partition before they shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language_id")
         held: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -178,6 +179,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("language_id")
         scorer = Scorer(told.value)
         for batch in slices(batches):
             found = [scorer.score(t) for t in texts_of(batch, text_col)]

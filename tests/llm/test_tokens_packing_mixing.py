@@ -1,4 +1,5 @@
 import json
+import weakref
 import zlib
 from collections import Counter, defaultdict
 
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from genospark.llm import packing, token_files, tokens
+from genospark.llm import language_id, packing, token_files, tokens
 from genospark.llm.mixing import mix
 from genospark.llm.tokens import PieceTokenizer
 
@@ -340,3 +341,32 @@ def test_blocks_of_version_4_keep_their_bytes():
     for ids, vocabulary, crc in (((x * x // 7) % 3001 % (1 + x % 97 * 31), 3001, 1963208351), ((x % 5000) ** 3 % 60_013 % (1 + x // 100), 70_000, 2257570665)):
         data = token_files.encode_ids(ids, vocabulary)
         assert zlib.crc32(data) == crc and (token_files.decode_ids(data, len(ids), vocabulary) == ids).all()
+
+
+def test_a_worker_drops_what_other_operators_left(spark):
+    """Tokens of texts outlive a task of their own operators, but not the start of another one's."""
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        spec = f.read()
+    own = PieceTokenizer.get(spec)
+    assert PieceTokenizer.get(spec) is own
+    left = weakref.ref(own)
+    del own
+    no_rows = pa.record_batch([pa.array([], pa.string())] * 2, names=["text", "lang"])
+    docs = Recorded()
+    language_id._counts(docs)
+    assert left() is not None
+    list(docs.task(iter([no_rows])))
+    assert left() is None
+
+
+class Recorded:
+    """Stands for a DataFrame; keeps the function that its tasks would run."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, task, schema):
+        self.task = task
+        return self
+
+    groupBy = agg = select
