@@ -28,6 +28,9 @@ FIT_TOLERANCE, FIT_AT_ONCE = 1e-3, 64
 #: Shares of the fitted patterns, the least certain ones, that are tried for a joint best fit with the residual.
 DISSOLVE = (0.0, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0)
 log = logging.getLogger(__name__)
+#: Bytes of pieces that a worker remembers, and of text that it takes at a time.  Two workers share an executor's memory with a
+#: JVM that grows to its full heap, so both are kept small.
+REMEMBERED, SLICE = 64 << 20, 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -215,8 +218,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     spec = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path).read())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = PieceTokenizer.get(spec.value)
-        for batch in slices(batches, 1 << 14, 8 << 20):
+        tokenizer = PieceTokenizer.get(spec.value, REMEMBERED)
+        for batch in slices(batches, 1 << 14, SLICE):
             ids, bounds = tokenizer.encode(batch.column("text"), end_id)
             raw = ids.astype("<u4", copy=False).data.cast("B")
             n = np.diff(bounds)
@@ -255,19 +258,19 @@ def pack(
     # Salted by hash: as many groups to a length as there are shuffle partitions, however common the length is.
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_width(spark))).alias("salt")
     pieces = stored(token_pieces(narrow, tokenizer_path, capacity, end_id).select("*", salt), "pack-pieces")
-    groups = stored(pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "pack-groups")
-
     histogram = np.zeros(capacity + 1, np.int64)
-    for row in groups.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most `capacity` rows
+    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `capacity` rows
         histogram[row["length"]] = row["n"]
     found = spark.sparkContext.broadcast(places(plan(histogram, capacity)))
 
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    # Counted once more in the plan of the result: to store these few rows takes a file for each task of the shuffle.
+    groups = pieces.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     offsets = groups.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (
         pieces.withColumn("row", F.row_number().over(order))
-        .join(stored(offsets, "pack-offsets"), ["length", "salt"])
+        .join(offsets, ["length", "salt"])
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("row") - 1).alias("rank"))
     )
 

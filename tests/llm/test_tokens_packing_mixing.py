@@ -359,6 +359,38 @@ def test_a_worker_drops_what_other_operators_left(spark):
     assert left() is None
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_pieces_that_recur_are_remembered_within_bounds(name):
+    tokenizer = PieceTokenizer(open(public_tokenizers.path(name)).read(), 1 << 20)
+    common, largest = [f" tomorrow{i}" for i in range(100)], 0
+    for call in range(12):
+        rare = [f" {call}x{i}y" for i in range(2000)]
+        text = "".join(common + rare) + " Once, é-again"
+        lost = set(common) - {p.decode() for p in tokenizer.number}
+        assert not call or not lost
+        ids, _ = tokenizer.encode(pa.array([text, None]))
+        assert ids.tolist() == PLAIN[name].encode(text, add_special_tokens=False).ids
+        assert len(tokenizer.number) * tokens._ENTRY < tokenizer.bytes
+        largest = max(largest, tokenizer.bytes)
+    assert 1 << 20 < largest < 2 << 20
+
+
+def test_packing_bounds_its_workers_and_stores_one_table(spark, monkeypatch):
+    names, stored, slices = [], packing.stored, []
+    monkeypatch.setattr(packing, "stored", lambda df, name: (names.append(name), stored(df, name))[1])
+    docs = spark.createDataFrame([(i, "tok " * (i % 7)) for i in range(40)], "doc_id long, text string")
+    out = packing.pack(docs, public_tokenizers.path(NAMES[0])).collect()
+    assert names == ["pack-pieces"] and len(out) == len({(r["sequence_id"], r["offset"]) for r in out}) == 40
+    recorded, encode = Recorded(), PieceTokenizer.encode
+    recorded.sparkSession = spark
+    monkeypatch.setattr(PieceTokenizer, "encode", lambda self, texts, end: (slices.append((self.most, texts.nbytes)), encode(self, texts, end))[1])
+    packing.token_pieces(recorded, public_tokenizers.path(NAMES[0]))
+    batch = pa.record_batch([pa.array(range(200)), pa.array(["tok " * 15_000] * 200)], names=["doc_id", "text"])
+    length = len(PLAIN[NAMES[0]].encode("tok " * 15_000, add_special_tokens=False).ids) + 1
+    assert sum(b.num_rows for b in recorded.task(iter([batch]))) == 200 * -(-length // 1024)
+    assert {most for most, _ in slices} == {packing.REMEMBERED} and max(n for _, n in slices) < 5 << 20 and packing.REMEMBERED <= 64 << 20
+
+
 class Recorded:
     """Stands for a DataFrame; keeps the function that its tasks would run."""
 
