@@ -61,7 +61,6 @@ def test_checks_of_trees_equal_brute_force(spark, monkeypatch, linkage, subtree)
     assert [tuple(r)[1:] for r in joined] == [pytest.approx(e[:3]) for e in expected]
     least = cluster.least_linkages(merges, matrix, linkage).orderBy("step").collect()
     assert [r["least"] for r in least] == pytest.approx([e[3 if linkage == "average" else 4] for e in expected])
-    # A wrong height is seen: what is least does not follow the tree's own.
     assert [r["distance"] for r in merges.orderBy("step").collect()] == pytest.approx([r["least"] for r in least])
 
 
